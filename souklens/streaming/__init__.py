@@ -1,0 +1,5 @@
+"""No streaming operators: every analysis in scope is a dated batch job.
+
+Late data is handled by re-running with the same ``as_of`` date, by cutting week
+spines at ``as_of`` and by closing last year's window at the same elapsed day.
+"""
