@@ -1 +1,203 @@
+"""Impact measurement: synthetic control, placebos, reaction flags, data checks."""
 
+from __future__ import annotations
+
+from datetime import date, timedelta
+
+from pyspark.sql import functions as F
+
+from souklens.functions.storage import materialise
+from souklens.operators import causal, panel, quality
+from souklens.plans import panel_plans as pp
+from souklens.plans.registry import query
+from souklens.sources import marketplace as mp
+
+TREATED = ["NATION_1", "NATION_3"]
+CONTROL = ["NATION_5", "NATION_6", "NATION_7", "NATION_9", "NATION_11", "NATION_14"]
+METRICS = ["pct_active_suppliers", "pct_online_per_supplier", "bookings_per_supplier", "gmv_per_supplier",
+           "nr_per_supplier", "commission_rate_per_supplier"]
+SURCHARGE = {"NATION_1": 1.8, "NATION_3": 5.25, "NATION_6": 3.1, "NATION_9": 1.65}
+T_SUP = ["NATION_1", "NATION_3", "NATION_6", "NATION_9"]
+
+
+def study_panel(spark, root, st):
+    """Long panel for a study date; booking levels without a yearly comparison."""
+    r = [(st.start, st.ranges()[1][1])]
+    pool, online, avail = pp.inputs(spark, root, st)
+    a = pp.acts(spark, root, st)
+    sup = panel.cohort_supply_panel(panel.supplier_weeks(pool, a, online, avail, st), st)
+    weekly = panel.realised_weekly(mp.bookings(spark, root, st.ranges()), a, st)
+    real = panel.realised_yoy_panel(weekly, panel.cohort_sizes(pool, a), st)
+    return materialise(panel.merge_panels(sup, real))
+
+
+def fits_for(spark, root, st):
+    p = study_panel(spark, root, st)
+    n = causal.normalise(causal.complete_panel(p, TREATED + CONTROL, METRICS), st.event)
+    n = materialise(n)
+    return p, n, materialise(causal.synthetic_control(n, TREATED, CONTROL, min_pre=6))
+
+
+@query("synthetic_control_fits", "C23", doubles="treat_pre_mean:3 did:3 pre_rmse:3")
+def synthetic_control_fits(spark, root):
+    _, _, f = fits_for(spark, root, pp.ST)
+    return f.drop("weights")
+
+
+@query("synthetic_control_series", "C23", doubles="actual:3 synthetic:3")
+def synthetic_control_series(spark, root):
+    _, n, f = fits_for(spark, root, pp.ST)
+    return causal.synthetic_series(n, f)
+
+
+@query("placebo_in_space", "C24", doubles="did:3 pre_rmse:3 treat_pre_mean:3")
+def placebo_in_space(spark, root):
+    _, _, f = fits_for(spark, root, pp.ST)
+    return causal.placebo_in_space(f)
+
+
+@query("placebo_in_time", "C25", doubles="did:3 pre_rmse:3 treat_pre_mean:3")
+def placebo_in_time(spark, root):
+    out = None
+    for name, event in (("real", pp.ST.event), ("placebo", pp.ST.event - timedelta(weeks=44))):
+        _, _, f = fits_for(spark, root, panel.Study(event, as_of=pp.ST.as_of))
+        one = causal.placebo_in_space(f).withColumn("scenario", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("level_corrected_gap", "C26", doubles="did_absolute:3")
+def level_corrected_gap(spark, root):
+    p, n, f = fits_for(spark, root, pp.ST)
+    levels = causal.level_corrected(causal.synthetic_series(n, f), p, {"gmv_per_supplier": "gmv_per_supplier"})
+    return causal.mean_post_gap(levels)
+
+
+@query("donor_usage", "C27", doubles="avg_weight:3 share_models_used:3")
+def donor_usage(spark, root):
+    _, _, f = fits_for(spark, root, pp.ST)
+    return causal.donor_usage(f)
+
+
+@query("complete_panel", "R4", doubles="value:4",
+       sql=pp.COHORT + f""", m AS (SELECT * FROM supply LEFT JOIN realised USING (week_start, country_name, period, cohort_suppliers)),
+u AS (SELECT week_start, country_name, metric, value FROM (SELECT week_start, country_name, {', '.join(f'{m}::DOUBLE AS {m}' for m in METRICS)} FROM m)
+      UNPIVOT (value FOR metric IN ({', '.join(METRICS)})) WHERE country_name IN ({', '.join(repr(c) for c in TREATED + CONTROL)}))
+SELECT * FROM u QUALIFY count(*) OVER (PARTITION BY metric, week_start) = {len(TREATED + CONTROL)}""")
+def complete_panel(spark, root):
+    return causal.complete_panel(study_panel(spark, root, pp.ST), TREATED + CONTROL, METRICS)
+
+
+def flagged(spark, root):
+    e = materialise(causal.with_deltas(causal.with_dose(pp.entity_frame(spark, root), SURCHARGE)))
+    return causal.reaction_flags(e, causal.control_scales(e, ~F.col("country_name").isin(T_SUP)))
+
+
+TL = ", ".join(repr(c) for c in T_SUP)
+FLAG_SQL = pp.ENTITY + f""",
+dose AS (SELECT *, CASE country_name {' '.join(f"WHEN '{c}' THEN {v}::DOUBLE" for c, v in SURCHARGE.items())} ELSE 0.0::DOUBLE END AS surcharge_pct,
+          nr_pre / nullif(gmv_pre, 0) AS base_rate FROM ent),
+dl AS (SELECT *, base_rate * (1 + surcharge_pct / 100) AS effective_rate, base_rate * surcharge_pct / 100 AS rate_increase,
+         gmv_pre * (base_rate * surcharge_pct / 100) AS projected_amount, active_share_post - active_share_pre AS active_delta,
+         (pct_online_post - pct_online_pre) / nullif(pct_online_pre, 0) AS pct_online_rel,
+         (coverage_post - coverage_pre) / nullif(coverage_pre, 0) AS coverage_rel,
+         nr_post / nullif(gmv_post, 0) - base_rate AS commission_delta, country_name IN ({TL}) AS t FROM dose),
+""" + "q AS (SELECT " + ", ".join(
+    f"quantile_cont({c}, 0.5) FILTER (NOT t) AS med_{f}, " +
+    (f"quantile_cont({c}, 0.95) FILTER (NOT t) - quantile_cont({c}, 0.5) FILTER (NOT t)" if sign > 0 else
+     f"quantile_cont({c}, 0.5) FILTER (NOT t) - quantile_cont({c}, 0.05) FILTER (NOT t)") + f" AS tail_{f}"
+    for f, (c, sign) in causal.FLAGS.items()) + " FROM dl),\nsv AS (SELECT dl.*, " + ", ".join(
+    f"CASE WHEN {c} IS NULL OR med_{f} IS NULL THEN NULL WHEN tail_{f} IS NULL OR tail_{f} <= 0 THEN CASE WHEN {sign} * ({c} - med_{f}) > 0 THEN 9.99::DOUBLE ELSE 0.0::DOUBLE END "
+    f"ELSE least(greatest({sign} * ({c} - med_{f}) / tail_{f}, 0.0), 9.99) END AS severity_{f}"
+    for f, (c, sign) in causal.FLAGS.items()) + """ FROM dl, q),
+fl0 AS (SELECT *, coalesce(active_share_pre > 0 AND active_share_post = 0, false) AS flag_exited, """ + ", ".join(
+    f"coalesce(severity_{f}, 0) >= 1 AS flag_{f}" for f in causal.FLAGS) + """ FROM sv),
+fl AS (SELECT *, """ + " + ".join(f"{c}::INTEGER" for c in causal.FLAG_COLS) + """ AS n_flags FROM fl0),
+fin AS (SELECT *, n_flags > 0 AS any_flag, CASE WHEN n_flags > 0 THEN gmv_pre ELSE 0 END AS value_at_risk FROM fl)"""
+SEVS = " ".join(f"severity_{f}:5" for f in causal.FLAGS)
+
+
+@query("reaction_flags", "C29 C32 A10 F4", doubles=SEVS + " value_at_risk:2 projected_amount:4 effective_rate",
+       sql=FLAG_SQL + " SELECT supplier_id, country_name, n_flags, any_flag, value_at_risk, projected_amount, effective_rate, " +
+       ", ".join(causal.FLAG_COLS) + ", " + ", ".join(f"severity_{f}" for f in causal.FLAGS) + " FROM fin")
+def reaction_flags(spark, root):
+    return flagged(spark, root).select("supplier_id", "country_name", "n_flags", "any_flag", "value_at_risk", "projected_amount",
+                                       "effective_rate", *causal.FLAG_COLS, *[f"severity_{f}" for f in causal.FLAGS])
+
+
+@query("flag_excess_rates", "C30", doubles="treatment_rate control_rate excess",
+       sql=FLAG_SQL + " " + " UNION ALL ".join(
+           f"SELECT '{c}' AS flag, avg({c}::INTEGER) FILTER (t) AS treatment_rate, avg({c}::INTEGER) FILTER (NOT t) AS control_rate, "
+           f"avg({c}::INTEGER) FILTER (t) - avg({c}::INTEGER) FILTER (NOT t) AS excess FROM fin" for c in causal.FLAG_COLS))
+def flag_excess_rates(spark, root):
+    return causal.flag_excess_rates(flagged(spark, root), F.col("country_name").isin(T_SUP))
+
+
+@query("flags_by_country", "C30", doubles="value_at_risk:2",
+       sql=FLAG_SQL + " SELECT country_name, " + ", ".join(f"CAST(sum({c}::INTEGER) AS BIGINT) AS {c}" for c in causal.FLAG_COLS) +
+       ", CAST(sum(any_flag::INTEGER) AS BIGINT) AS any_flag, count(*) AS suppliers, sum(value_at_risk) AS value_at_risk FROM fin GROUP BY 1")
+def flags_by_country(spark, root):
+    return causal.flags_by_country(flagged(spark, root))
+
+
+@query("flag_combinations", "C30 A24",
+       sql=FLAG_SQL + " SELECT concat_ws(' + ', " + ", ".join(
+           f"CASE WHEN {c} THEN '{c.replace('flag_', '')}' END" for c in causal.FLAG_COLS) +
+       ") AS combination, count(*) AS suppliers FROM fin WHERE n_flags >= 2 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
+def flag_combinations(spark, root):
+    return causal.flag_combinations(flagged(spark, root))
+
+
+@query("dose_by_flag", "C30 C32", doubles="avg_rate_increase:8",
+       sql=FLAG_SQL + " SELECT any_flag, avg(rate_increase) AS avg_rate_increase, count(*) AS suppliers FROM fin GROUP BY 1")
+def dose_by_flag(spark, root):
+    return causal.dose_by_flag(flagged(spark, root))
+
+
+@query("action_list", "C31 O2", doubles="value_at_risk:2 projected_amount:4",
+       sql=FLAG_SQL + " SELECT supplier_id, country_name, n_flags, value_at_risk, projected_amount FROM fin WHERE any_flag "
+       "ORDER BY value_at_risk DESC, supplier_id LIMIT 25")
+def action_list(spark, root):
+    return causal.action_list(flagged(spark, root)).select("supplier_id", "country_name", "n_flags", "value_at_risk", "projected_amount")
+
+
+BOUNDS = {c: (0.0, 1.0) for c in ("pct_active_suppliers", "pct_online_per_supplier", "pct_days_with_slots")}
+
+
+@query("data_checks", "C33",
+       sql=pp.COHORT + """, per AS (SELECT country_name, count(DISTINCT week_start) AS w,
+  count(DISTINCT week_start) FILTER (week_start < DATE '1999-06-07') AS pre FROM supply GROUP BY 1),
+c AS (SELECT '25 units present' AS check_name, count(*) = 25 AS ok, count(*) AS f FROM per
+  UNION ALL SELECT '16 weeks per unit', count(*) FILTER (w <> 16) = 0, count(*) FILTER (w <> 16) FROM per
+  UNION ALL SELECT 'same number of weeks before and after', count(*) FILTER (pre * 2 <> w) = 0, count(*) FILTER (pre * 2 <> w) FROM per
+  UNION ALL SELECT 'pct_active_suppliers has no missing value', count(*) FILTER (pct_active_suppliers IS NULL) = 0, count(*) FILTER (pct_active_suppliers IS NULL) FROM supply
+  UNION ALL SELECT 'pct_days_with_slots has no missing value', count(*) FILTER (pct_days_with_slots IS NULL) = 0, count(*) FILTER (pct_days_with_slots IS NULL) FROM supply
+  """ + " ".join(f"UNION ALL SELECT '{c} in [0.0, 1.0]', count(*) FILTER (NOT {c} BETWEEN 0 AND 1) = 0, count(*) FILTER (NOT {c} BETWEEN 0 AND 1) FROM supply" for c in BOUNDS) + """
+  UNION ALL SELECT 'active_suppliers <= cohort_suppliers', count(*) FILTER (active_suppliers > cohort_suppliers) = 0, count(*) FILTER (active_suppliers > cohort_suppliers) FROM supply
+  UNION ALL SELECT 'active_activities <= cohort_activities', count(*) FILTER (active_activities > cohort_activities) = 0, count(*) FILTER (active_activities > cohort_activities) FROM supply
+  UNION ALL SELECT 'supplier_id is unique', count(*) = count(DISTINCT supplier_id), count(*) - count(DISTINCT supplier_id) FROM ent)
+SELECT check_name, CASE WHEN ok THEN 'PASS' ELSE 'FAIL' END AS result, CAST(f AS VARCHAR) AS found FROM c""".replace(
+           "FROM ent", "FROM sizes"))
+def data_checks(spark, root):
+    a = pp.acts(spark, root)
+    p = materialise(pp.supply(spark, root, a))
+    c = quality.panel_checks(p, 25, 16, pp.ST.event, ["pct_active_suppliers", "pct_days_with_slots"], BOUNDS,
+                             {"active_suppliers": "cohort_suppliers", "active_activities": "cohort_activities"})
+    return c.unionByName(quality.unique_check(panel.cohort_sizes(pp.pool(spark, root), a), "supplier_id"))
+
+
+@query("reconcile_panels", "C34", doubles="max_rel_diff",
+       sql=pp.COHORT + """, o AS (SELECT week_start, country_name, count(DISTINCT booking_id) AS bookings, sum(gmv) AS gmv, sum(tickets) AS tickets
+  FROM (SELECT *, CAST(date_trunc('week', checkout_date) AS DATE) AS week_start FROM cb) GROUP BY ALL),
+j AS (SELECT a.bookings AS ab, o.bookings AS ob, a.gmv AS ag, o.gmv AS og, a.tickets AS at_, o.tickets AS ot FROM cwk a JOIN o USING (week_start, country_name)),
+r AS (SELECT count(*) AS n, max(abs(ab - ob) / nullif(abs(ob), 0)) AS b, max(abs(ag - og) / nullif(abs(og), 0)) AS g,
+        max(abs(at_ - ot) / nullif(abs(ot), 0)) AS t FROM j),
+u AS (SELECT 'bookings' AS metric, n AS matched_rows, b AS max_rel_diff FROM r UNION ALL SELECT 'gmv', n, g FROM r UNION ALL SELECT 'tickets', n, t FROM r)
+SELECT *, CASE WHEN max_rel_diff < 0.01 THEN 'OK' WHEN max_rel_diff < 0.05 THEN 'check' ELSE 'MISMATCH' END AS verdict FROM u""")
+def reconcile_panels(spark, root):
+    a = pp.acts(spark, root)
+    b = mp.bookings(spark, root, pp.ST.ranges())
+    one = panel.realised_weekly(b, a, pp.ST)
+    two = panel.cohort_bookings(b, a, pp.ST).groupBy(panel.week_of("checkout_date").alias("week_start"), "country_name").agg(
+        F.countDistinct("booking_id").alias("bookings"), F.sum("gmv").alias("gmv"), F.sum("tickets").alias("tickets"))
+    return quality.reconcile(one, two, ["week_start", "country_name"], ["bookings", "gmv", "tickets"])

@@ -19,7 +19,7 @@ booking AS (SELECT l_orderkey * 8 + l_linenumber AS booking_id, o_orderkey AS ca
               od AS checkout_date, td AS travel_date, l_quantity AS tickets, l_extendedprice AS gmv,
               l_extendedprice * l_discount AS nr, l_extendedprice * (1 - l_discount) AS supplier_share,
               l_discount * 100 AS commission_rate, up AS unit_price,
-              CASE WHEN o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END AS coupon_id, country_name, region_name
+              CASE WHEN o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END AS coupon_id, sl AS line_id, country_name, region_name
             FROM ln JOIN sup ON l_suppkey = supplier_id)"""
 
 PRICE = SUPPLIERS + "," + LINES + """,

@@ -111,7 +111,8 @@ def bookings(spark: SparkSession, root: str, ranges=None, place: bool = True) ->
         (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("supplier_share"),
         (F.col("l_discount") * 100).alias("commission_rate"),
         (F.col("l_extendedprice") / F.col("l_quantity")).alias("unit_price"),
-        F.when(F.col("o_orderpriority") == "1-URGENT", 1).otherwise(0).alias("coupon_id"))
+        F.when(F.col("o_orderpriority") == "1-URGENT", 1).otherwise(0).alias("coupon_id"),
+        supplier_line().alias("line_id"))
     if not place:
         return b
     return b.join(suppliers(spark, root).select("supplier_id", "country_name", "region_name"), "supplier_id")
