@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from souklens.functions.storage import materialise
 
 BUCKETS = 64
+SMALL = 200_000   # up to this many rows one window task is cheaper than the extra passes
 
 
 def split_points(df: DataFrame, cols: list[str], buckets: int = BUCKETS) -> list[list[float]]:
@@ -42,7 +43,7 @@ def bucket_of(value: Column, splits: list) -> Column:
 
 def ordered(df: DataFrame, value: str, tie: str | None = None, keys: list[str] | None = None,
             descending: bool = False, running: dict[str, str] | None = None,
-            buckets: int = BUCKETS, prepared: bool = False) -> DataFrame:
+            buckets: int = BUCKETS, prepared: bool = False, small: int | None = None) -> DataFrame:
     """Adds ``pos`` (1-based place by value, then tie), ``rank_min`` (place of the first
     equal value), ``rank_max`` (place of the last), ``n_rows`` and, for every ``name ->
     column`` in ``running``, the running sum and ``<name>_total``. NULL values come first.
@@ -51,6 +52,9 @@ def ordered(df: DataFrame, value: str, tie: str | None = None, keys: list[str] |
     """
     keys, running = list(keys or []), dict(running or {})
     src = df if prepared else materialise(df)
+    v = F.col(value).desc() if descending else F.col(value).asc()
+    if src.count() <= (SMALL if small is None else small):
+        return _one_window(src, v, value, tie, keys, running)
     cols = [value] + ([tie] if tie else [])
     sp = split_points(src, cols, buckets)
     b = bucket_of(F.col(value), sp[0])
@@ -82,7 +86,6 @@ def ordered(df: DataFrame, value: str, tie: str | None = None, keys: list[str] |
         cond = cond & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
     j = src.join(offs if keys else F.broadcast(offs), cond)
 
-    v = F.col(value).desc() if descending else F.col(value).asc()
     part = Window.partitionBy(*keys, "_b", "_s")
     by_value = part.orderBy(v)
     by_row = part.orderBy(*([v, F.col(tie).asc()] if tie else [v])).rowsBetween(Window.unboundedPreceding, 0)
@@ -101,6 +104,22 @@ def ordered(df: DataFrame, value: str, tie: str | None = None, keys: list[str] |
     return out
 
 
+def _one_window(src: DataFrame, v: Column, value: str, tie: str | None, keys: list[str],
+                running: dict[str, str]) -> DataFrame:
+    """Same output for an input whose size was checked to be small."""
+    whole = Window.partitionBy(*keys)
+    by_value = whole.orderBy(v)
+    by_row = whole.orderBy(*([v, F.col(tie).asc()] if tie else [v])).rowsBetween(Window.unboundedPreceding, 0)
+    same = F.count(F.lit(1)).over(Window.partitionBy(*keys, value))
+    return src.select(
+        *src.columns, F.row_number().over(by_row).cast("long").alias("pos"),
+        F.rank().over(by_value).cast("long").alias("rank_min"),
+        (F.rank().over(by_value) + same - 1).cast("long").alias("rank_max"),
+        F.count(F.lit(1)).over(whole).alias("n_rows"),
+        *[F.sum(c).over(by_row).alias(n) for n, c in running.items()],
+        *[F.sum(c).over(whole).alias(f"{n}_total") for n, c in running.items()])
+
+
 def percent_rank_col() -> Column:
     """From ``ordered`` output: ``(rank - 1) / (n - 1)``, 0 for a single row."""
     return F.when(F.col("n_rows") > 1, (F.col("rank_min") - 1) / (F.col("n_rows") - 1)).otherwise(F.lit(0.0))
@@ -120,7 +139,7 @@ def ntile_col(tiles: int) -> Column:
 
 
 def percent_rank_of(df: DataFrame, value: str, keys: list[str] | None, out: str,
-                    prepared: bool = False) -> DataFrame:
+                    prepared: bool = False, small: int | None = None) -> DataFrame:
     """Percent rank of every row, computed on distinct values and joined back.
 
     Ranks need no tie-break: equal values are counted first, so only distinct values are
@@ -129,7 +148,7 @@ def percent_rank_of(df: DataFrame, value: str, keys: list[str] | None, out: str,
     keys = list(keys or [])
     src = df if prepared else materialise(df)
     counts = src.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
-    o = ordered(counts, value, keys=keys, running={"_cum": "_c"})
+    o = ordered(counts, value, keys=keys, running={"_cum": "_c"}, small=small)
     ranks = o.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col(value).alias("_v"),
                      F.when(F.col("_cum_total") > 1,
                             (F.col("_cum") - F.col("_c")) / (F.col("_cum_total") - 1)).otherwise(0.0).alias(out))

@@ -14,13 +14,16 @@ from pyspark.sql import functions as F
 from souklens.functions.ordering import ordered
 
 
-def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float],
-                    keys: list[str] | None = None) -> DataFrame:
-    """One row per key with one column per wanted quantile; NULL values are ignored."""
+def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float], keys: list[str] | None = None,
+                    weight: str | None = None, small: int | None = None) -> DataFrame:
+    """One row per key with one column per wanted quantile; NULL values are ignored.
+
+    ``weight`` names a column of whole-number multiplicities, for pre-counted input.
+    """
     keys = list(keys or [])
-    counts = (df.filter(F.col(value).isNotNull()).groupBy(*keys, value)
-              .agg(F.count(F.lit(1)).alias("_c")))
-    o = ordered(counts, value, keys=keys, running={"_cum": "_c"})
+    n = F.sum(weight) if weight else F.count(F.lit(1))
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(n.alias("_c"))
+    o = ordered(counts, value, keys=keys, running={"_cum": "_c"}, small=small)
     lo_pos, hi_pos = F.col("_cum") - F.col("_c"), F.col("_cum") - 1   # 0-based places held
     aggs, keep = [], F.lit(False)
     for name, p in probs.items():

@@ -1 +1,284 @@
+"""Configuration features, trailing performance and their join."""
 
+from __future__ import annotations
+
+from datetime import date
+
+from pyspark.sql import functions as F
+
+from souklens.functions.ordering import ordered, ntile_col
+from souklens.operators import configs, lift, ranking
+from souklens.plans import sqlbase as sb
+from souklens.plans.registry import query
+from souklens.sources import marketplace as mp
+
+AS_OF = date(2001, 8, 1)
+KEYS = ["activity_id", "supplier_id"]
+CFG_KEYS = [*KEYS, "pricing_id"]
+
+
+def configurations(spark, root):
+    slots = configs.latest_config(mp.slot_configs(spark, root), CFG_KEYS, ["update_seq", "slot_date", "from_price"])
+    return configs.parse_config(slots, "details", mp.CONFIG_DDL)
+
+
+def features(spark, root):
+    return configs.config_features(configurations(spark, root))
+
+
+CFG_SQL = """
+slot AS (SELECT l_partkey AS activity_id, l_suppkey AS supplier_id, l_linenumber AS pricing_id, l_orderkey AS update_seq,
+   CAST(l_shipdate AS DATE) AS slot_date, l_extendedprice / l_quantity AS from_price, l_returnflag AS rf, l_linestatus AS ls,
+   l_linenumber AS k, l_discount AS dis, l_tax AS tax, l_quantity AS qty FROM lineitem),
+cov AS (SELECT activity_id, supplier_id, pricing_id, count(DISTINCT slot_date) AS dates_covered,
+   count(DISTINCT slot_date) AS dates_with_vacancies,
+   count(DISTINCT slot_date) FILTER (ls = 'O') AS dates_available, min(slot_date) AS valid_from, max(slot_date) AS valid_to FROM slot GROUP BY ALL),
+last AS (SELECT *, CASE k % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS t,
+   CASE WHEN rf = 'A' THEN 1 WHEN rf = 'N' THEN 2 WHEN k <= 4 THEN 3 ELSE 0 END AS num_individual FROM slot
+   QUALIFY row_number() OVER (PARTITION BY activity_id, supplier_id, pricing_id ORDER BY update_seq DESC, slot_date DESC, from_price DESC) = 1),
+cfg AS (SELECT activity_id, supplier_id, pricing_id, update_seq, slot_date, from_price, num_individual,
+   CASE WHEN ls = 'O' THEN 1 ELSE 0 END AS num_groups, CASE WHEN dis >= 0.05 THEN 2 ELSE 0 END AS num_addons,
+   CASE num_individual WHEN 0 THEN 0 WHEN 1 THEN t WHEN 2 THEN t + 1 ELSE t + 2 END AS individual_tiers,
+   CASE WHEN ls = 'O' THEN t ELSE 0 END AS group_tiers, CASE WHEN dis >= 0.05 THEN 2 ELSE 0 END AS addon_tiers,
+   (num_individual > 0 AND t > 1)::INTEGER AS scale_individual, (ls = 'O' AND t > 1)::INTEGER AS scale_group, 0 AS scale_addons,
+   (num_individual >= 1)::INTEGER AS has_adult, (num_individual >= 2)::INTEGER AS has_child, (num_individual >= 3)::INTEGER AS has_senior,
+   (tax >= 0.08 OR tax = 0.06)::INTEGER AS uses_external, (tax >= 0.08)::INTEGER AS static_api, (tax = 0.07)::INTEGER AS live_dynamic,
+   (tax = 0.06) AS api_scales_b, CASE WHEN k <> 5 THEN CAST(qty AS INTEGER) * 900 END AS cutoff_seconds,
+   CASE WHEN k <> 2 THEN CAST(floor(qty / 25) AS INTEGER) END AS min_participants, CASE WHEN qty > 20 THEN CAST(qty AS INTEGER) END AS max_participants,
+   (tax > 0.03)::INTEGER AS has_capacity, (ls = 'O')::INTEGER AS has_slots,
+   CASE WHEN num_individual > 0 THEN floor(from_price / t * 1000) / 1000 WHEN ls = 'O' THEN floor(from_price / t * 1000) / 1000 END AS retail,
+   CASE WHEN num_individual > 0 THEN 'ADULT_INDIVIDUAL' WHEN ls = 'O' THEN 'SMALLEST_GROUP' END AS retail_kind,
+   dates_covered, dates_with_vacancies, dates_available, valid_from, valid_to
+  FROM last JOIN cov USING (activity_id, supplier_id, pricing_id)),
+feat AS (SELECT *, individual_tiers + group_tiers + addon_tiers AS total_tiers, (num_individual > 0)::INTEGER AS has_individual,
+   (num_groups > 0)::INTEGER AS has_group, (num_addons > 0)::INTEGER AS has_addons,
+   greatest(scale_individual, scale_group, scale_addons) AS has_scale,
+   (greatest(scale_individual, scale_group, scale_addons) = 1 AND NOT api_scales_b)::INTEGER AS native_scale,
+   cutoff_seconds / 3600.0::DOUBLE AS cutoff_hours, coalesce(cutoff_seconds > 0, false)::INTEGER AS has_cutoff,
+   coalesce(min_participants > 1, false)::INTEGER AS has_min_participants, (max_participants IS NOT NULL)::INTEGER AS has_max_participants,
+   100.0::DOUBLE * dates_with_vacancies / nullif(dates_covered, 0) AS pct_dates_with_vacancies FROM cfg)"""
+
+FEATURE_COLS = ["num_individual", "num_groups", "num_addons", "individual_tiers", "group_tiers", "addon_tiers", "total_tiers",
+                "scale_individual", "scale_group", "scale_addons", "has_adult", "has_child", "has_senior", *configs.FLAGS, "has_slots",
+                "dates_covered", "dates_available", "valid_from", "valid_to", "cutoff_hours", "pct_dates_with_vacancies"]
+
+
+@query("config_features", "C41 F8 F9 F10 W2 P17", doubles="cutoff_hours pct_dates_with_vacancies",
+       sql="WITH " + CFG_SQL + f" SELECT {', '.join(CFG_KEYS + FEATURE_COLS)} FROM feat")
+def config_features(spark, root):
+    return features(spark, root).select(*CFG_KEYS, *FEATURE_COLS)
+
+
+AVGS = ["num_individual", "num_groups", "num_addons", "individual_tiers", "group_tiers", "addon_tiers", "total_tiers", "cutoff_hours",
+        "dates_covered", "pct_dates_with_vacancies"]
+ROLL_SQL = CFG_SQL + """,
+roll AS (SELECT activity_id, supplier_id, count(*) AS num_configs, """ + ", ".join(
+    f"max({f}) AS {f}" for f in [*configs.FLAGS, "has_adult", "has_child", "has_senior"]) + ", " + ", ".join(
+    f"avg({a}) AS avg_{a}" for a in AVGS) + """, max(num_individual) AS max_individual, max(num_addons) AS max_addons, max(group_tiers) AS max_group_tiers,
+  max(has_scale) + max(has_addons) + max(has_group) + max(has_capacity) + max(has_cutoff) AS feature_count
+  FROM feat GROUP BY ALL)"""
+
+
+def rollup(spark, root):
+    return configs.parent_feature_rollup(features(spark, root), KEYS)
+
+
+@query("parent_feature_rollup", "C42 A17", doubles=" ".join(f"avg_{a}" for a in AVGS),
+       sql="WITH " + ROLL_SQL + " SELECT * FROM roll")
+def parent_feature_rollup(spark, root):
+    return rollup(spark, root)
+
+
+# customers with an account far in the red stand for resellers
+def performance_base(spark, root):
+    from souklens.sources.tables import read_table
+
+    b = mp.bookings(spark, root, place=False).filter(F.col("status_id") == 1)
+    resellers = read_table(spark, "customer", root).filter(F.col("c_acctbal") < -500).select(F.col("c_custkey").alias("customer_id"))
+    return ranking.without_resellers(b, resellers)
+
+
+def performance(spark, root):
+    p = ranking.trailing_performance(performance_base(spark, root), KEYS, AS_OF)
+    return p.withColumn("listing_id", F.col("activity_id") * 1048576 + F.col("supplier_id"))
+
+
+def tiered(spark, root):
+    return ranking.with_value_tiers(performance(spark, root), "gmv_l12m", "listing_id", ["bookings_l12m", "nr_l12m", "avg_booking_value"])
+
+
+def perf_sql() -> str:
+    w = lambda m: f"checkout_date >= DATE '2001-08-01' - INTERVAL {m} MONTH"
+    cols = []
+    for m in (3, 6, 12):
+        cols.append(f"""count(DISTINCT booking_id) FILTER ({w(m)}) AS bookings_l{m}m, sum(gmv) FILTER ({w(m)}) AS gmv_l{m}m,
+      sum(nr) FILTER ({w(m)}) AS nr_l{m}m, sum(tickets) FILTER ({w(m)}) AS tickets_l{m}m, count(DISTINCT customer_id) FILTER ({w(m)}) AS customers_l{m}m,
+      100.0::DOUBLE * count(DISTINCT customer_id) FILTER ({w(m)} AND f{m} > 1) / nullif(count(DISTINCT customer_id) FILTER ({w(m)}), 0) AS repeat_rate_l{m}m""")
+    return sb.with_(sb.BOOKING) + f""",
+pb AS (SELECT * FROM booking WHERE status_id = 1 AND customer_id NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < -500)),
+fq AS (SELECT customer_id, {', '.join(f'count(DISTINCT booking_id) FILTER ({w(m)}) AS f{m}' for m in (3, 6, 12))} FROM pb GROUP BY ALL),
+perf0 AS (SELECT activity_id, supplier_id, {', '.join(cols)}, count(DISTINCT booking_id) AS bookings_lifetime, sum(gmv) AS gmv_lifetime,
+   sum(nr) AS nr_lifetime, avg(gmv) FILTER ({w(12)}) AS avg_booking_value, avg(tickets) FILTER ({w(12)}) AS avg_tickets,
+   max(checkout_date) AS last_booking_date, min(checkout_date) AS first_booking_date FROM pb JOIN fq USING (customer_id) GROUP BY ALL),
+perf AS (SELECT *, CAST(DATE '2001-08-01' - last_booking_date AS INTEGER) AS days_since_last_booking,
+   CASE WHEN bookings_l6m > 0 THEN 100.0::DOUBLE * (bookings_l3m * 2 - bookings_l6m) / bookings_l6m END AS growth_pct,
+   activity_id * 1048576 + supplier_id AS listing_id FROM perf0),
+tier0 AS (SELECT *, percent_rank() OVER (ORDER BY gmv_l12m NULLS FIRST) * 100 AS gmv_l12m_percentile,
+   percent_rank() OVER (ORDER BY bookings_l12m NULLS FIRST) * 100 AS bookings_l12m_percentile,
+   percent_rank() OVER (ORDER BY nr_l12m NULLS FIRST) * 100 AS nr_l12m_percentile,
+   percent_rank() OVER (ORDER BY avg_booking_value NULLS FIRST) * 100 AS avg_booking_value_percentile,
+   CAST(ntile(10) OVER (ORDER BY gmv_l12m NULLS FIRST, listing_id) AS INTEGER) AS decile,
+   CAST(ntile(4) OVER (ORDER BY gmv_l12m NULLS FIRST, listing_id) AS INTEGER) AS quartile FROM perf),
+tier AS (SELECT *, CASE WHEN gmv_l12m IS NULL OR gmv_l12m = 0 THEN 'no_revenue' WHEN gmv_l12m_percentile >= 95 THEN 'top_5pct'
+     WHEN gmv_l12m_percentile >= 90 THEN 'top_10pct' WHEN gmv_l12m_percentile >= 75 THEN 'top_25pct'
+     WHEN gmv_l12m_percentile >= 50 THEN 'above_median' ELSE 'below_median' END AS percentile_tier,
+   CASE WHEN gmv_l12m IS NULL OR gmv_l12m = 0 THEN 'no_revenue' WHEN decile >= 9 THEN 'top_tier' WHEN decile >= 7 THEN 'high_value'
+     WHEN decile >= 4 THEN 'medium_value' ELSE 'low_value' END AS value_tier FROM tier0)"""
+
+
+PERF_SQL = perf_sql()
+PERF_D = " ".join(f"gmv_l{m}m:2 nr_l{m}m:4 tickets_l{m}m:2 repeat_rate_l{m}m" for m in (3, 6, 12)) + \
+    " gmv_lifetime:2 nr_lifetime:4 avg_booking_value:4 avg_tickets:5 growth_pct"
+TIER_D = " gmv_l12m_percentile bookings_l12m_percentile nr_l12m_percentile avg_booking_value_percentile"
+
+
+@query("trailing_performance", "C43 A20 A21 A22 J11 W3 W5", doubles=PERF_D + TIER_D, sql=PERF_SQL + " SELECT * FROM tier")
+def trailing_performance(spark, root):
+    return tiered(spark, root)
+
+
+def listings(spark, root):
+    """One row per listing: features, performance, country, type and opportunity columns."""
+    f, p = rollup(spark, root), tiered(spark, root)
+    j = f.join(p, KEYS, "left").fillna({"bookings_l3m": 0, "bookings_l6m": 0, "bookings_l12m": 0, "value_tier": "no_revenue"})
+    j = j.join(mp.suppliers(spark, root), "supplier_id").join(
+        mp.activities(spark, root).select("activity_id", "activity_type", "category"), "activity_id")
+    return lift.with_opportunities(j, "gmv_l12m")
+
+
+LISTING_SQL = PERF_SQL + "," + ROLL_SQL + """,
+lst0 AS (SELECT roll.*, p.* EXCLUDE (activity_id, supplier_id, bookings_l3m, bookings_l6m, bookings_l12m, value_tier),
+   coalesce(p.bookings_l3m, 0) AS bookings_l3m, coalesce(p.bookings_l6m, 0) AS bookings_l6m, coalesce(p.bookings_l12m, 0) AS bookings_l12m,
+   coalesce(p.value_tier, 'no_revenue') AS value_tier, country_name, region_name, is_managed, is_connected, p_type AS activity_type, p_brand AS category
+  FROM roll LEFT JOIN tier p USING (activity_id, supplier_id) JOIN sup ON roll.supplier_id = sup.supplier_id JOIN part ON roll.activity_id = p_partkey),
+lst AS (SELECT *, CASE WHEN uses_external = 1 THEN 'external_pricing' WHEN value_tier IN ('top_tier', 'high_value') AND feature_count >= 4 THEN 'high_value_full_features'
+     WHEN value_tier IN ('top_tier', 'high_value') AND feature_count <= 1 THEN 'high_value_low_features'
+     WHEN value_tier = 'medium_value' AND feature_count <= 2 THEN 'medium_value_opportunity' WHEN bookings_l12m = 0 THEN 'no_bookings' ELSE 'standard' END AS listing_segment,
+   (has_scale = 0 AND value_tier IN ('top_tier', 'high_value', 'medium_value') AND bookings_l12m >= 30 AND has_individual = 1 AND uses_external = 0)::INTEGER AS scale_opportunity,
+   (has_addons = 0 AND value_tier IN ('top_tier', 'high_value') AND bookings_l12m >= 20 AND uses_external = 0)::INTEGER AS addon_opportunity,
+   coalesce(has_group = 0 AND avg_tickets >= 3 AND value_tier IN ('top_tier', 'high_value', 'medium_value') AND bookings_l12m >= 20 AND uses_external = 0, false)::INTEGER AS group_opportunity,
+   CASE WHEN has_scale = 0 AND gmv_l12m > 0 THEN gmv_l12m * 0.15::DOUBLE * 0.5::DOUBLE ELSE 0 END AS scale_uplift,
+   CASE WHEN has_addons = 0 AND gmv_l12m > 0 THEN gmv_l12m * 0.10::DOUBLE * 0.5::DOUBLE ELSE 0 END AS addon_uplift,
+   CASE WHEN bookings_l12m > 0 THEN gmv_l12m / bookings_l12m END AS aov_l12m,
+   CASE WHEN customers_l12m > 0 THEN bookings_l12m / customers_l12m END AS bookings_per_customer,
+   CASE WHEN bookings_lifetime IS NULL THEN 'no_bookings_data' WHEN num_configs = 0 THEN 'no_pricing_config'
+     WHEN avg_dates_covered < 2 THEN 'limited_availability' ELSE 'complete' END AS data_quality FROM lst0)"""
+JOIN_COLS = ["activity_id", "supplier_id", "feature_count", "value_tier", "listing_segment", "scale_opportunity", "addon_opportunity",
+             "group_opportunity", "scale_uplift", "addon_uplift", "aov_l12m", "bookings_per_customer", "data_quality"]
+
+
+@query("feature_performance_join", "C44 P18 J2", doubles="scale_uplift:4 addon_uplift:4 aov_l12m:4 bookings_per_customer",
+       sql=LISTING_SQL + f" SELECT {', '.join(JOIN_COLS)} FROM lst")
+def feature_performance_join(spark, root):
+    return listings(spark, root).select(*JOIN_COLS)
+
+
+def price_rows(spark, root):
+    """Long price rows with a ticket category and a group size range."""
+    li = mp.lineitem(spark, root)
+    c = F.col
+    cat = F.when(c("l_returnflag") == "A", "adult").when(c("l_returnflag") == "N", "child").when(c("l_linenumber") < 4, "senior").otherwise("")
+    return li.select(c("l_partkey").alias("activity_id"), F.concat_ws("-", "l_partkey", c("l_suppkey") % 20).alias("option_id"),
+                     cat.alias("ticket_category"), F.when(c("l_linenumber") < 4, 1).otherwise(c("l_linenumber")).alias("size_min"),
+                     F.when(c("l_linenumber") < 3, 1).otherwise(c("l_linenumber") + 2).alias("size_max"),
+                     F.when(c("l_quantity") > 2, c("l_extendedprice") / c("l_quantity")).otherwise(0.0).alias("price"),
+                     (c("l_tax") >= 0.08).alias("api_prices"), (c("l_tax") == 0.06).alias("api_scales"))
+
+
+CATS = ["adult", "child", "senior"]
+REL_SQL = """
+pr AS (SELECT l_partkey AS activity_id, l_partkey || '-' || (l_suppkey % 20) AS option_id,
+   CASE WHEN l_returnflag = 'A' THEN 'adult' WHEN l_returnflag = 'N' THEN 'child' WHEN l_linenumber < 4 THEN 'senior' ELSE '' END AS cat,
+   CASE WHEN l_linenumber < 4 THEN 1 ELSE l_linenumber END AS smin, CASE WHEN l_linenumber < 3 THEN 1 ELSE l_linenumber + 2 END AS smax,
+   CASE WHEN l_quantity > 2 THEN l_extendedprice / l_quantity ELSE 0 END AS price, l_tax >= 0.08 AS ap, l_tax = 0.06 AS asc_ FROM lineitem),
+ro AS (SELECT activity_id, option_id, count(DISTINCT nullif(cat, '')) AS total_categories,
+   CAST(""" + " + ".join(f"max((cat = '{k}')::INTEGER)" for k in CATS) + """ AS INTEGER) AS category_breadth, """ + ", ".join(
+    f"max(price) FILTER (cat = '{k}' AND smin = 1) AS {k}_base_price" for k in CATS) + """,
+   count(DISTINCT smin || '-' || smax) FILTER (price > 0) AS total_scales, max(smax) FILTER (price > 0) AS max_group_size,
+   count(DISTINCT smin || '-' || smax) FILTER (price > 0 AND cat = 'adult') AS adult_scales,
+   100.0::DOUBLE * (max(price) FILTER (price > 0 AND cat = 'adult') - min(price) FILTER (price > 0 AND cat = 'adult'))
+     / nullif(max(price) FILTER (price > 0 AND cat = 'adult'), 0) AS volume_discount_pct,
+   max((price > 0 AND smax > 1)::INTEGER) AS has_scale, max((price > 0)::INTEGER) AS has_price,
+   max(asc_::INTEGER) AS api_scales, max(ap::INTEGER) AS api_prices FROM pr GROUP BY ALL),
+rel AS (SELECT *, CASE WHEN api_scales = 1 THEN 'API_SCALES' WHEN api_prices = 1 THEN 'API_PRICES' WHEN has_scale = 1 THEN 'CONFIG_SCALES'
+   WHEN has_price = 1 THEN 'CONFIG_PRICES' ELSE 'NO_PRICING' END AS mechanism FROM ro)"""
+REL_D = "adult_base_price child_base_price senior_base_price volume_discount_pct"
+
+
+@query("relational_config_features", "C75", doubles=REL_D, sql="WITH " + REL_SQL + " SELECT * FROM rel")
+def relational_config_features(spark, root):
+    return configs.relational_features(price_rows(spark, root), CATS)
+
+
+@query("relational_config_rollup", "C75 A17", doubles="avg_volume_discount_pct",
+       sql="WITH " + REL_SQL + """, g AS (SELECT activity_id, count(*) AS total_options, max(total_categories) AS max_categories,
+   CAST(sum(has_scale) AS BIGINT) AS options_with_scale, CAST(sum(greatest(api_prices, api_scales)) AS BIGINT) AS options_with_api,
+   avg(volume_discount_pct) AS avg_volume_discount_pct, max(max_group_size) AS max_group_size FROM rel GROUP BY 1)
+SELECT *, (max_categories >= 2)::INTEGER + (options_with_scale > 0)::INTEGER + (total_options > 1)::INTEGER + (options_with_api > 0)::INTEGER AS feature_score FROM g""")
+def relational_config_rollup(spark, root):
+    return configs.relational_rollup(relational_config_features(spark, root))
+
+
+TIER_SQL = CFG_SQL + """,
+ti AS (SELECT activity_id, supplier_id, from_price, t, unnest(range(1, t + 1)) AS n, 'ADULT' AS ticket_category FROM last WHERE num_individual >= 1
+  UNION ALL SELECT activity_id, supplier_id, from_price, t, 2, 'CHILD' FROM last WHERE num_individual >= 2
+  UNION ALL SELECT activity_id, supplier_id, from_price, t, 3, 'SENIOR' FROM last WHERE num_individual >= 3),
+ind AS (SELECT activity_id, supplier_id, ticket_category, floor(from_price / n * 1000) / 1000 AS tier_price FROM ti),
+grp AS (SELECT activity_id, supplier_id, n AS max_participants_tier, floor(from_price / n * 1000) / 1000 AS tier_price
+  FROM (SELECT activity_id, supplier_id, from_price, unnest(range(1, t + 1)) AS n FROM last WHERE ls = 'O')),
+ado AS (SELECT activity_id, supplier_id, floor(from_price / 10 * 1000) / 1000 AS tier_price FROM last WHERE dis >= 0.05
+  UNION ALL SELECT activity_id, supplier_id, floor(from_price / 20 * 1000) / 1000 FROM last WHERE dis >= 0.05)"""
+
+
+def placed_tiers(spark, root, part):
+    t = configs.tier_rows(configurations(spark, root), part)
+    return t.join(mp.suppliers(spark, root).select("supplier_id", "country_name"), "supplier_id").join(
+        mp.activities(spark, root).select("activity_id", "activity_type"), "activity_id")
+
+
+@query("tier_price_by_location", "C62 F11 A18 A10", doubles="avg_price:4 median_price:6",
+       sql=sb.with_(sb.SUPPLIERS, TIER_SQL) + """SELECT country_name, ticket_category, count(DISTINCT activity_id) AS activities, avg(tier_price) AS avg_price,
+  quantile_cont(tier_price, 0.5) AS median_price FROM ind JOIN sup USING (supplier_id) GROUP BY 1, 2 HAVING count(DISTINCT activity_id) >= 30""")
+def tier_price_by_location(spark, root):
+    return lift.tier_stats(placed_tiers(spark, root, "individual"), ["country_name", "ticket_category"], 30)
+
+
+@query("group_tiers_by_type", "C76", doubles="avg_price:4 median_price:6",
+       sql="WITH " + TIER_SQL + """ SELECT p_type AS activity_type, max_participants_tier, count(DISTINCT activity_id) AS activities, avg(tier_price) AS avg_price,
+  quantile_cont(tier_price, 0.5) AS median_price FROM grp JOIN part ON activity_id = p_partkey GROUP BY 1, 2 HAVING count(DISTINCT activity_id) >= 30""".replace(
+           "max_participants_tier, count", "CAST(max_participants_tier AS INTEGER) AS max_participants_tier, count"))
+def group_tiers_by_type(spark, root):
+    return lift.tier_stats(placed_tiers(spark, root, "groups"), ["activity_type", "max_participants_tier"], 30)
+
+
+@query("addon_tiers_by_location", "C76", doubles="avg_price:4 median_price:6",
+       sql=sb.with_(sb.SUPPLIERS, TIER_SQL) + """SELECT country_name, count(DISTINCT activity_id) AS activities, avg(tier_price) AS avg_price,
+  quantile_cont(tier_price, 0.5) AS median_price FROM ado JOIN sup USING (supplier_id) GROUP BY 1 HAVING count(DISTINCT activity_id) >= 30""")
+def addon_tiers_by_location(spark, root):
+    return lift.tier_stats(placed_tiers(spark, root, "addons"), ["country_name"], 30)
+
+
+@query("ticket_category_counts", "A24 F11 O2",
+       sql="WITH " + CFG_SQL + """ SELECT ticket_category, count(*) AS n FROM (
+  SELECT unnest(CASE num_individual WHEN 1 THEN ['ADULT'] WHEN 2 THEN ['ADULT', 'CHILD'] WHEN 3 THEN ['ADULT', 'CHILD', 'SENIOR'] ELSE [] END) AS ticket_category FROM last)
+  GROUP BY 1 ORDER BY n DESC, 1 LIMIT 20""")
+def ticket_category_counts(spark, root):
+    c = configurations(spark, root).select(F.explode("individual.ticketCategory").alias("ticket_category"))
+    return c.groupBy("ticket_category").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "ticket_category").limit(20)
+
+
+@query("supplier_quartiles", "W5", doubles="total:2",
+       sql=PERF_SQL + """, s AS (SELECT supplier_id, sum(gmv_l12m) AS total FROM perf WHERE gmv_l12m > 0 GROUP BY 1)
+  SELECT supplier_id, total, CAST(ntile(4) OVER (ORDER BY total, supplier_id) AS INTEGER) AS quartile FROM s""")
+def supplier_quartiles(spark, root):
+    return ranking.supplier_quartiles(performance(spark, root))

@@ -257,7 +257,7 @@ def accuracy_history(spark: SparkSession, root: str) -> DataFrame:
 
 def slot_configs(spark: SparkSession, root: str) -> DataFrame:
     """Slots with their price configuration as JSON text, built row by row."""
-    r = lambda c: F.round(c, 3).cast("decimal(10,3)")
+    r = lambda c: (F.floor(c * 1000) / 1000).cast("decimal(10,3)")
     price = F.col("l_extendedprice") / F.col("l_quantity")
     tier = lambda size_name, n: F.struct(n.cast("int").alias(size_name), r(price / n).alias("retailPrice"))
     one, two, three = F.lit(1), F.lit(2), F.lit(3)

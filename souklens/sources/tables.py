@@ -8,11 +8,20 @@ from typing import Any
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+
+_SCHEMAS: dict[str, StructType] = {}
 
 
 def read_table(spark: SparkSession, name: str, root: str | None = None) -> DataFrame:
-    """A catalog table, or ``<root>/<name>.parquet``."""
-    return spark.table(name) if root is None else spark.read.parquet(f"{root}/{name}.parquet")
+    """A catalog table, or ``<root>/<name>.parquet``; file footers are inspected once per path."""
+    if root is None:
+        return spark.table(name)
+    path = f"{root}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def run_sql(spark: SparkSession, text: str, params: dict[str, Any] | None = None,
