@@ -149,9 +149,10 @@ def similar_title_gap(options: DataFrame, prefix: int = 50) -> DataFrame:
 def within_parent_issues(options: DataFrame, performance: DataFrame) -> DataFrame:
     """Ordered sub-types of price problems inside one activity, with a severity ladder.
 
-    ``performance`` has ``option_id`` and ``bookings_l12m``.
+    ``performance`` has ``option_id`` and ``bookings_l12m``. ``options`` is read several
+    times and should be a stored table.
     """
-    base = materialise(options)
+    base = options
     o = percent_rank_of(base, "price_eur", ["activity_id"], "pr", prepared=True)
     o = (o.join(parent_stats(base), "activity_id").join(title_stats(base), ["activity_id", "option_title"])
          .join(performance.select("option_id", "bookings_l12m"), "option_id", "left")

@@ -12,11 +12,13 @@ from souklens.operators import configs
 from souklens.plans import feature_plans as fp
 from souklens.plans import sqlbase as sb
 from souklens.plans.registry import query
+from souklens.plans.stages import stage
 from souklens.sources import marketplace as mp
 
 AS_OF = fp.AS_OF
 
 
+@stage("options")
 def options(spark, root):
     """Priced options with their EUR price, location, type, category and retail price."""
     cfg = fp.configurations(spark, root)
@@ -53,7 +55,7 @@ BENCH_D = "avg_price:4 stddev_price:3 p50:6 p75:6 p90:6 p95:6 p99:6"
 
 
 def with_bench(spark, root, levels):
-    o = materialise(options(spark, root))
+    o = options(spark, root)
     b = materialise(bm.hierarchical_benchmarks(o, levels))
     return o, bm.attach_benchmarks(o, b, levels)
 
@@ -126,7 +128,7 @@ SIM_SQL = """, sim AS (SELECT a.option_id, a.pricing_id, max(abs(a.price_eur - b
 @query("similar_title_gap", "J13 F6", doubles="similar_gap:5",
        sql=OPT_SQL + SIM_SQL + " SELECT option_id, pricing_id, similar_gap FROM opt LEFT JOIN sim USING (option_id, pricing_id)")
 def similar_title_gap(spark, root):
-    return bm.similar_title_gap(materialise(options(spark, root))).select("option_id", "pricing_id", "similar_gap")
+    return bm.similar_title_gap(options(spark, root)).select("option_id", "pricing_id", "similar_gap")
 
 
 PERF_SQL = fp.PERF_SQL.replace("WITH ", ", ", 1).replace(sb.SUPPLIERS + ",", "", 1)
@@ -149,6 +151,7 @@ wpi AS (SELECT 'PARENT_VARIANCE' AS issue, *,
      OR (n BETWEEN 1 AND 5 AND price_eur > parent_avg * 1.5) OR g > 0.3 OR (num_options > 1 AND spread_ratio > 0.5 AND pr >= 0.75))"""
 
 
+@stage("option_performance")
 def option_performance(spark, root):
     p = fp.performance(spark, root)
     return p.select(F.concat_ws("-", "activity_id", "supplier_id").alias("option_id"), "bookings_l12m", "gmv_l12m")
@@ -180,5 +183,5 @@ iss AS (SELECT issue, NULL AS sub_type, severity, supplier_id, activity_id, opti
 SELECT iss.*, gmv_l12m, bookings_l12m FROM iss LEFT JOIN op USING (option_id)""")
 def issue_report(spark, root):
     o, ob = with_bench(spark, root, bm.LEVELS)
-    perf = materialise(option_performance(spark, root))
+    perf = option_performance(spark, root)
     return bm.issue_report([bm.price_outliers(ob, ORDER), bm.within_parent_issues(o, perf), bm.price_mismatch(o)], perf)

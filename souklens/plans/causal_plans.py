@@ -10,6 +10,7 @@ from souklens.functions.storage import materialise
 from souklens.operators import causal, panel, quality
 from souklens.plans import panel_plans as pp
 from souklens.plans.registry import query
+from souklens.plans.stages import stage
 from souklens.sources import marketplace as mp
 
 TREATED = ["NATION_1", "NATION_3"]
@@ -21,21 +22,34 @@ T_SUP = ["NATION_1", "NATION_3", "NATION_6", "NATION_9"]
 
 
 def study_panel(spark, root, st):
-    """Long panel for a study date; booking levels without a yearly comparison."""
-    r = [(st.start, st.ranges()[1][1])]
-    pool, online, avail = pp.inputs(spark, root, st)
-    a = pp.acts(spark, root, st)
-    sup = panel.cohort_supply_panel(panel.supplier_weeks(pool, a, online, avail, st), st)
-    weekly = panel.realised_weekly(mp.bookings(spark, root, st.ranges()), a, st)
-    real = panel.realised_yoy_panel(weekly, panel.cohort_sizes(pool, a), st)
-    return materialise(panel.merge_panels(sup, real))
+    """Panel for a study date: supply and realised metrics."""
+    @stage(f"panel-{st.event}")
+    def build(spark, root):
+        pool, online, avail = pp.inputs(spark, root, st)
+        a = pp.acts(spark, root, st)
+        sup = panel.cohort_supply_panel(panel.supplier_weeks(pool, a, online, avail, st), st)
+        weekly = panel.realised_weekly(mp.bookings(spark, root, st.ranges()), a, st)
+        real = panel.realised_yoy_panel(weekly, panel.cohort_sizes(pool, a), st)
+        return panel.merge_panels(sup, real)
+
+    return build(spark, root)
 
 
 def fits_for(spark, root, st):
+    """Panel, normalised series and fits of a study date."""
     p = study_panel(spark, root, st)
-    n = causal.normalise(causal.complete_panel(p, TREATED + CONTROL, METRICS), st.event)
-    n = materialise(n)
-    return p, n, materialise(causal.synthetic_control(n, TREATED, CONTROL, min_pre=6))
+
+    @stage(f"series-{st.event}")
+    def series(spark, root):
+        return causal.normalise(causal.complete_panel(p, TREATED + CONTROL, METRICS), st.event)
+
+    n = series(spark, root)
+
+    @stage(f"fits-{st.event}")
+    def fits(spark, root):
+        return causal.synthetic_control(n, TREATED, CONTROL, min_pre=6)
+
+    return p, n, fits(spark, root)
 
 
 @query("synthetic_control_fits", "C23", doubles="treat_pre_mean:3 did:3 pre_rmse:3")
@@ -89,7 +103,7 @@ def complete_panel(spark, root):
 
 
 def flagged(spark, root):
-    e = materialise(causal.with_deltas(causal.with_dose(pp.entity_frame(spark, root), SURCHARGE)))
+    e = causal.with_deltas(causal.with_dose(pp.entity_frame(spark, root), SURCHARGE))
     return causal.reaction_flags(e, causal.control_scales(e, ~F.col("country_name").isin(T_SUP)))
 
 

@@ -10,6 +10,7 @@ from souklens.functions.ordering import ordered, ntile_col
 from souklens.operators import configs, lift, ranking
 from souklens.plans import sqlbase as sb
 from souklens.plans.registry import query
+from souklens.plans.stages import stage
 from souklens.sources import marketplace as mp
 
 AS_OF = date(2001, 8, 1)
@@ -147,6 +148,7 @@ def trailing_performance(spark, root):
     return tiered(spark, root)
 
 
+@stage("listings")
 def listings(spark, root):
     """One row per listing: features, performance, country, type and opportunity columns."""
     f, p = rollup(spark, root), tiered(spark, root)

@@ -6,10 +6,10 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
-from souklens.functions.storage import materialise
 from souklens.operators import panel
 from souklens.plans import sqlbase as sb
 from souklens.plans.registry import query
+from souklens.plans.stages import stage
 from souklens.sources import marketplace as mp
 
 ST = panel.Study(date(1999, 6, 7), as_of=date(2001, 8, 1))
@@ -26,9 +26,13 @@ def inputs(spark, root, st=ST):
 
 
 def acts(spark, root, st=ST):
-    """The cohort is fixed once and then read by every panel."""
-    p, o, _ = inputs(spark, root, st)
-    return materialise(panel.cohort_activities(p, o, st))
+    """The cohort is fixed once per study date and then read by every panel."""
+    @stage(f"cohort-{st.event}")
+    def build(spark, root):
+        p, o, _ = inputs(spark, root, st)
+        return panel.cohort_activities(p, o, st)
+
+    return build(spark, root)
 
 
 S, E, EV = f"DATE '{ST.start}'", f"DATE '{ST.end}'", f"DATE '{ST.event}'"
@@ -171,11 +175,11 @@ ent AS (SELECT e1.*, price_idx_post, """ + ", ".join(
   FROM e1 LEFT JOIN e2 USING (supplier_id) LEFT JOIN e3 USING (supplier_id))"""
 
 
+@stage("entities")
 def entity_frame(spark, root):
     p, o, av = inputs(spark, root)
     r = [(ST.start, ST.ranges()[1][1])]
-    a = materialise(panel.cohort_activities(p, o, ST))
-    return panel.entity_pre_post(p, a, o, av, mp.prices(spark, root, r), mp.bookings(spark, root, r), ST)
+    return panel.entity_pre_post(p, acts(spark, root), o, av, mp.prices(spark, root, r), mp.bookings(spark, root, r), ST)
 
 
 @query("entity_pre_post", "C28", doubles=ENTITY_D, sql=ENTITY + " SELECT * FROM ent")
