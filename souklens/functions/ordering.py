@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from souklens.functions.skew import join_per_key
 from souklens.functions.storage import materialise
 
 BUCKETS = 64
@@ -44,9 +45,9 @@ def bucket_of(value: Column, splits: list) -> Column:
 def ordered(df: DataFrame, value: str, tie: str | None = None, keys: list[str] | None = None,
             descending: bool = False, running: dict[str, str] | None = None,
             buckets: int = BUCKETS, prepared: bool = False, small: int | None = None) -> DataFrame:
-    """Adds ``pos`` (1-based place by value, then tie), ``rank_min`` (place of the first
-    equal value), ``rank_max`` (place of the last), ``n_rows`` and, for every ``name ->
-    column`` in ``running``, the running sum and ``<name>_total``. NULL values come first.
+    """Adds ``pos`` (1-based place by value, then tie), ``n_rows`` and, for every ``name ->
+    column`` in ``running``, the running sum and ``<name>_total``. NULL values come first
+    in ascending and last in descending order.
 
     Without a tie-break column the values must be unique within ``keys``.
     """
@@ -67,16 +68,13 @@ def ordered(df: DataFrame, value: str, tie: str | None = None, keys: list[str] |
         F.count(F.lit(1)).alias("_n"), *[F.sum(c).alias(f"_m_{n}") for n, c in running.items()])
     before = Window.partitionBy(*keys).orderBy("_b", "_s").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)
-    in_b = Window.partitionBy(*keys, "_b")
     zero = F.lit(0)
     offs = totals.select(
         *keys, "_b", "_s",
         F.coalesce(F.sum("_n").over(before), zero).alias("_off"),
-        F.sum("_n").over(in_b).alias("_nb"),
         F.sum("_n").over(whole).alias("n_rows"),
         *[F.coalesce(F.sum(f"_m_{n}").over(before), zero).alias(f"_o_{n}") for n in running],
         *[F.sum(f"_m_{n}").over(whole).alias(f"{n}_total") for n in running])
-    offs = offs.withColumn("_offb", F.min("_off").over(in_b))
     # the renamed keys allow a null-safe equality, so rows with a NULL key keep their place
     offs = offs.select(*[F.col(k).alias(f"_k_{k}") for k in keys],
                        F.col("_b").alias("_kb"), F.col("_s").alias("_ks"),
@@ -87,48 +85,27 @@ def ordered(df: DataFrame, value: str, tie: str | None = None, keys: list[str] |
     j = src.join(offs if keys else F.broadcast(offs), cond)
 
     part = Window.partitionBy(*keys, "_b", "_s")
-    by_value = part.orderBy(v)
     by_row = part.orderBy(*([v, F.col(tie).asc()] if tie else [v])).rowsBetween(Window.unboundedPreceding, 0)
-    same = F.count(F.lit(1)).over(Window.partitionBy(*keys, "_b", "_s", value))
-    single = (F.col("_b") % 2) != 0
-    first = F.when(single, F.col("_offb") + 1).otherwise(F.col("_off") + F.rank().over(by_value))
-    out = j.select(
-        *[c for c in df.columns],
+    return j.select(
+        *df.columns,
         (F.col("_off") + F.row_number().over(by_row)).cast("long").alias("pos"),
-        first.cast("long").alias("rank_min"),
-        F.when(single, F.col("_offb") + F.col("_nb")).otherwise(
-            F.col("_off") + F.rank().over(by_value) + same - 1).cast("long").alias("rank_max"),
         F.col("n_rows"),
         *[(F.col(f"_o_{n}") + F.sum(c).over(by_row)).alias(n) for n, c in running.items()],
         *[F.col(f"{n}_total") for n in running])
-    return out
 
 
 def _one_window(src: DataFrame, v: Column, value: str, tie: str | None, keys: list[str],
                 running: dict[str, str]) -> DataFrame:
     """Same output for an input whose size was checked to be small."""
     whole = Window.partitionBy(*keys)
-    by_value = whole.orderBy(v)
     by_row = whole.orderBy(*([v, F.col(tie).asc()] if tie else [v])).rowsBetween(Window.unboundedPreceding, 0)
-    same = F.count(F.lit(1)).over(Window.partitionBy(*keys, value))
     return src.select(
         *src.columns, F.row_number().over(by_row).cast("long").alias("pos"),
-        F.rank().over(by_value).cast("long").alias("rank_min"),
-        (F.rank().over(by_value) + same - 1).cast("long").alias("rank_max"),
         F.count(F.lit(1)).over(whole).alias("n_rows"),
         *[F.sum(c).over(by_row).alias(n) for n, c in running.items()],
         *[F.sum(c).over(whole).alias(f"{n}_total") for n, c in running.items()])
 
 
-def percent_rank_col() -> Column:
-    """From ``ordered`` output: ``(rank - 1) / (n - 1)``, 0 for a single row."""
-    return F.when(F.col("n_rows") > 1, (F.col("rank_min") - 1) / (F.col("n_rows") - 1)).otherwise(F.lit(0.0))
-
-
-def cume_dist_col() -> Column:
-    return F.col("rank_max") / F.col("n_rows")
-
-
 def ntile_col(tiles: int) -> Column:
     """From ``ordered`` output: tile sizes differ by one at most, larger tiles first."""
     n, pos = F.col("n_rows"), F.col("pos")
@@ -149,10 +126,6 @@ def percent_rank_of(df: DataFrame, value: str, keys: list[str] | None, out: str,
     src = df if prepared else materialise(df)
     counts = src.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
     o = ordered(counts, value, keys=keys, running={"_cum": "_c"}, small=small)
-    ranks = o.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col(value).alias("_v"),
-                     F.when(F.col("_cum_total") > 1,
-                            (F.col("_cum") - F.col("_c")) / (F.col("_cum_total") - 1)).otherwise(0.0).alias(out))
-    cond = F.col(value).eqNullSafe(F.col("_v"))
-    for k in keys:
-        cond = cond & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    return src.join(ranks, cond, "left").select(*df.columns, out)
+    pr = F.when(F.col("_cum_total") > 1, (F.col("_cum") - F.col("_c")) / (F.col("_cum_total") - 1)).otherwise(0.0)
+    spread = [c for c in df.columns if c not in keys + [value]] or [value]
+    return join_per_key(src, o.select(*keys, value, "_c", pr.alias(out)), [*keys, value], "_c", spread, "left")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from souklens.functions.ordering import percent_rank_of
 from souklens.functions.quantiles import exact_quantiles
 from souklens.functions.ratios import flag, ratio
+from souklens.functions.skew import join_per_key
 from souklens.functions.storage import materialise
 
 PROBS = {"p50": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95, "p99": 0.99}
@@ -46,8 +47,7 @@ def hierarchical_benchmarks(options: DataFrame, levels: list[Level], price: str
     c, p = F.col("_c"), F.col("_p")
     stats = pre.groupBy(*keys).agg(
         F.countDistinct("activity_id").alias("n_activities"), F.sum("_c").alias("n_prices"),
-        (F.sum(c * p) / F.sum("_c")).alias("avg_price"), F.sum("_c").alias("_n"),
-        F.sum(c * p * p).alias("_ss"))
+        (F.sum(c * p) / F.sum("_c")).alias("avg_price"))
     # sample deviation from counted values, centred on the group mean
     centred = pre.join(stats.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("avg_price").alias("_avg")),
                        _null_safe(keys)).groupBy(*keys).agg(
@@ -59,7 +59,7 @@ def hierarchical_benchmarks(options: DataFrame, levels: list[Level], price: str
         minimum = F.when(cond, lv.min_activities) if minimum is None else minimum.when(cond, lv.min_activities)
     ren = lambda df: df.select(*[F.col(k).alias(f"_{k}") for k in keys], *[x for x in df.columns if x not in keys])
     drop = [f"_{k}" for k in keys]
-    out = stats.drop("_n", "_ss").join(ren(centred), _null_safe(keys)).drop(*drop).join(ren(q), _null_safe(keys)).drop(*drop)
+    out = stats.join(ren(centred), _null_safe(keys)).drop(*drop).join(ren(q), _null_safe(keys)).drop(*drop)
     return out.filter(F.col("n_activities") >= minimum)
 
 
@@ -113,14 +113,15 @@ def parent_stats(options: DataFrame) -> DataFrame:
         F.countDistinct("option_id").alias("num_options"), F.countDistinct(p).alias("num_prices"),
         F.min(p).alias("parent_min"), F.max(p).alias("parent_max"), F.avg(p).alias("parent_avg"),
         F.coalesce(ratio(F.stddev_samp(p), F.avg(p)), F.lit(0.0)).alias("price_cv"),
-        F.coalesce(ratio(F.max(p) - F.min(p), F.min(p)), F.lit(0.0)).alias("spread_ratio"))
+        F.coalesce(ratio(F.max(p) - F.min(p), F.min(p)), F.lit(0.0)).alias("spread_ratio"),
+        F.count(F.lit(1)).alias("parent_rows"))
 
 
 def title_stats(options: DataFrame) -> DataFrame:
     p = F.col("price_eur")
     return options.groupBy("activity_id", "option_title").agg(
         F.countDistinct("pricing_id").alias("title_configs"), F.countDistinct(p).alias("title_prices"),
-        F.min(p).alias("title_min"), F.max(p).alias("title_max"))
+        F.min(p).alias("title_min"), F.max(p).alias("title_max"), F.count(F.lit(1)).alias("title_rows"))
 
 
 def similar_title_gap(options: DataFrame, prefix: int = 50) -> DataFrame:
@@ -133,12 +134,14 @@ def similar_title_gap(options: DataFrame, prefix: int = 50) -> DataFrame:
     keys = ["activity_id", "_t"]
     o = options.withColumn("_t", F.substring("option_title", 1, prefix))
     per = o.groupBy(*keys, "option_id").agg(F.min("price_eur").alias("lo"), F.max("price_eur").alias("hi"))
-    first = per.groupBy(*keys).agg(F.min(F.struct("lo", "option_id")).alias("lo1"), F.max(F.struct("hi", "option_id")).alias("hi1"))
-    both = per.join(first, keys)
+    first = per.groupBy(*keys).agg(F.min(F.struct("lo", "option_id")).alias("lo1"), F.max(F.struct("hi", "option_id")).alias("hi1"),
+                                   F.count(F.lit(1)).alias("n"))
+    both = join_per_key(per, first, keys, "n", ["option_id"])
     second = both.groupBy(*keys).agg(
         F.min(F.when(F.col("option_id") != F.col("lo1.option_id"), F.col("lo"))).alias("lo2"),
         F.max(F.when(F.col("option_id") != F.col("hi1.option_id"), F.col("hi"))).alias("hi2"))
-    j = o.join(first, keys).join(second, keys)
+    sizes = o.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    j = join_per_key(o, first.drop("n").join(second, keys).join(sizes, keys), keys, "_rows", ["option_id"])
     low = F.when(F.col("option_id") == F.col("lo1.option_id"), F.col("lo2")).otherwise(F.col("lo1.lo"))
     high = F.when(F.col("option_id") == F.col("hi1.option_id"), F.col("hi2")).otherwise(F.col("hi1.hi"))
     p = F.col("price_eur")
@@ -154,8 +157,9 @@ def within_parent_issues(options: DataFrame, performance: DataFrame) -> DataFram
     """
     base = options
     o = percent_rank_of(base, "price_eur", ["activity_id"], "pr", prepared=True)
-    o = (o.join(parent_stats(base), "activity_id").join(title_stats(base), ["activity_id", "option_title"])
-         .join(performance.select("option_id", "bookings_l12m"), "option_id", "left")
+    o = join_per_key(o, parent_stats(base), ["activity_id"], "parent_rows", ["option_id"])
+    o = join_per_key(o, title_stats(base), ["activity_id", "option_title"], "title_rows", ["option_id"])
+    o = (o.join(performance.select("option_id", "bookings_l12m"), "option_id", "left")
          .join(similar_title_gap(base), ["activity_id", "option_id", "pricing_id"], "left"))
     c, n, p = F.col, F.coalesce("bookings_l12m", F.lit(0)), F.col("price_eur")
     dup = (c("title_configs") > 1) & (c("title_prices") > 1)
@@ -186,7 +190,7 @@ def price_mismatch(options: DataFrame, tolerance: float = 0.05) -> DataFrame:
 def parent_variance_simple(options: DataFrame, min_spread: float = 0.3) -> DataFrame:
     """Plain rule: every option of an activity whose prices spread by more than ``min_spread``."""
     s = F.col("spread_ratio")
-    return (options.join(parent_stats(options), "activity_id")
+    return (join_per_key(options, parent_stats(options), ["activity_id"], "parent_rows", ["option_id"])
             .filter((F.col("num_options") > 1) & (s > min_spread))
             .withColumn("severity", F.when(s > 2.0, 10).when(s > 1.0, 8).when(s > 0.5, 6).otherwise(4)))
 

@@ -21,14 +21,16 @@ def parse_config(df: DataFrame, text: str, ddl: str) -> DataFrame:
 def latest_config(slots: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Newest slot row per configuration, and the number of days the configuration covers.
 
-    One aggregation: the maximum of a struct replaces the sorted window.
+    Rows are reduced to days first, so the day counts need no distinct and the row itself is
+    carried once; the maximum of a struct replaces the sorted window.
     """
     rest = [c for c in slots.columns if c not in keys + order]
-    g = slots.groupBy(*keys).agg(
-        F.max(F.struct(*order, *rest)).alias("_r"), F.countDistinct("slot_date").alias("dates_covered"),
-        F.countDistinct(F.when(F.col("vacancies").isNotNull(), F.col("slot_date"))).alias("dates_with_vacancies"),
-        F.countDistinct(F.when(F.col("vacancies") > 0, F.col("slot_date"))).alias("dates_available"),
-        F.min("slot_date").alias("valid_from"), F.max("slot_date").alias("valid_to"))
+    day = slots.withColumn("_day", F.col("slot_date")).groupBy(*keys, "_day").agg(
+        F.max(F.struct(*order, *rest)).alias("_r"), F.max(flag(F.col("vacancies").isNotNull())).alias("_v"),
+        F.max(flag(F.col("vacancies") > 0)).alias("_a"))
+    g = day.groupBy(*keys).agg(
+        F.max("_r").alias("_r"), F.count(F.lit(1)).alias("dates_covered"), F.sum("_v").alias("dates_with_vacancies"),
+        F.sum("_a").alias("dates_available"), F.min("_day").alias("valid_from"), F.max("_day").alias("valid_to"))
     return g.select(*keys, "_r.*", "dates_covered", "dates_with_vacancies", "dates_available", "valid_from", "valid_to")
 
 

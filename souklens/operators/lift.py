@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from souklens.functions.labels import depth_level, size_band
-from souklens.functions.ordering import cume_dist_col, ordered
+from souklens.functions.ordering import ordered
 from souklens.functions.quantiles import exact_quantiles, quantile_values
 from souklens.functions.ratios import flag, ratio, share_pct
 from souklens.functions.storage import materialise
@@ -99,23 +99,31 @@ def bootstrap_lift(df: DataFrame, key: str, features: list[str], outcome: str, r
     weight for every replicate from its own key, so replicates are independent of
     partitioning, and the row expansion is combined away before the shuffle.
     """
-    rows = materialise(feature_rows(df.filter(F.col(outcome).isNotNull()), features, [key, outcome]))
+    base = materialise(df.filter(F.col(outcome).isNotNull()).select(key, outcome, *features))
+    rows = feature_rows(base, features, [outcome])
     caps = exact_quantiles(rows, outcome, {"lo": trim, "hi": 1 - trim}, ["feature", "has"])
     n = rows.groupBy("feature", "has").agg(F.count(F.lit(1)).alias("n"))
-    # two rows per feature
-    caps = caps.join(n, ["feature", "has"])
-    x = rows.join(F.broadcast(caps), ["feature", "has"]).withColumn(
-        "x", F.least(F.greatest(F.col(outcome), F.col("lo")), F.col("hi")))
-    r = x.withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    # two rows per feature reach the driver and become literals
+    side = {(r["feature"], r["has"]): r for r in caps.join(n, ["feature", "has"]).collect()}
+    usable = [f for f in features if all((f, h) in side and side[f, h]["n"] >= min_side for h in (0, 1))]
+    schema = "feature string, lift_mean_pct double, ci_low_pct double, ci_high_pct double, n_with bigint, n_without bigint"
+    if not usable:
+        return df.sparkSession.createDataFrame([], schema)
+    x = F.col(outcome)
+    clip = lambda r: F.least(F.greatest(x, F.lit(r["lo"])), F.lit(r["hi"]))
+    r = base.withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
     r = r.withColumn("w", poisson_weight(replicate_uniform(F.col(key), F.col("r").cast("long"))))
-    s = r.groupBy("feature", "r", "has").agg(F.sum(F.col("w") * F.col("x")).alias("s"), F.sum("w").alias("w"), F.max("n").alias("n"))
-    pick = lambda h, c: F.max(F.when(F.col("has") == h, F.col(c)))
-    mean = lambda h: pick(h, "s") / F.nullif(pick(h, "w"), F.lit(0))
-    b = s.groupBy("feature", "r").agg(mean(1).alias("a"), mean(0).alias("b"), pick(1, "n").alias("n_with"), pick(0, "n").alias("n_without"))
-    b = b.filter((F.col("n_with") >= min_side) & (F.col("n_without") >= min_side) & (F.col("b") > 0))
-    b = b.withColumn("lift", lift_pct(F.col("a"), F.col("b")))
+    sums = [e for f in usable for h in (0, 1) for e in (
+        F.sum(F.when(F.col(f) == h, F.col("w") * clip(side[f, h]))).alias(f"s{h}_{f}"),
+        F.sum(F.when(F.col(f) == h, F.col("w"))).alias(f"w{h}_{f}"))]
+    s = r.groupBy("r").agg(*sums)
+    mean = lambda h, f: F.col(f"s{h}_{f}") / F.nullif(F.col(f"w{h}_{f}"), F.lit(0))
+    long = s.select(F.explode(F.array(*[F.struct(
+        F.lit(f).alias("feature"), mean(1, f).alias("a"), mean(0, f).alias("b"), F.lit(side[f, 1]["n"]).cast("bigint").alias("n_with"),
+        F.lit(side[f, 0]["n"]).cast("bigint").alias("n_without")) for f in usable])).alias("x")).select("x.*").filter("b > 0")
+    long = long.withColumn("lift", lift_pct(F.col("a"), F.col("b")))
     # at most ``replicates`` values per feature
-    return b.groupBy("feature").agg(
+    return long.groupBy("feature").agg(
         F.avg("lift").alias("lift_mean_pct"), F.percentile("lift", 0.025).alias("ci_low_pct"),
         F.percentile("lift", 0.975).alias("ci_high_pct"), F.max("n_with").alias("n_with"), F.max("n_without").alias("n_without"))
 

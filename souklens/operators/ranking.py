@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from souklens.functions.ordering import ntile_col, ordered, percent_rank_of
 from souklens.functions.periods import shift_months
-from souklens.functions.ratios import count_if, distinct_if, flag, ratio, share_pct
+from souklens.functions.ratios import flag, ratio, share_pct
+from souklens.functions.skew import join_per_key
 from souklens.functions.storage import materialise
 
 
@@ -23,37 +24,44 @@ def without_resellers(bookings: DataFrame, resellers: DataFrame) -> DataFrame:
 
 def customer_frequency(bookings: DataFrame, as_of: date, months: list[int]) -> DataFrame:
     """Bookings per customer in every trailing window, in one pass."""
-    return bookings.groupBy("customer_id").agg(*[
-        distinct_if(since(F.col("checkout_date"), as_of, m), F.col("booking_id")).alias(f"freq_{m}") for m in months])
+    w = {m: F.max(flag(since(F.col("checkout_date"), as_of, m))).alias(f"freq_{m}") for m in months}
+    per = bookings.groupBy("customer_id", "booking_id").agg(*w.values(), F.count(F.lit(1)).alias("customer_rows"))
+    return per.groupBy("customer_id").agg(*[F.sum(f"freq_{m}").alias(f"freq_{m}") for m in months],
+                                          F.sum("customer_rows").alias("customer_rows"))
 
 
-def trailing_performance(bookings: DataFrame, keys: list[str], as_of: date, months: tuple[int, ...] = (3, 6, 12),
-                         repeat: bool = True) -> DataFrame:
+def trailing_performance(bookings: DataFrame, keys: list[str], as_of: date, months: tuple[int, ...] = (3, 6, 12)) -> DataFrame:
     """Bookings, value, tickets and customers per trailing window and over the lifetime.
 
-    The lifetime columns really cover the whole input. Windows are conditional aggregates
-    of a single scan. A customer is a repeat customer of a window with more than one booking
-    in it, anywhere.
+    The lifetime columns really cover the whole input. A customer is a repeat customer of a
+    window with more than one booking in it, anywhere. Rows are reduced to bookings, then to
+    customers, then to the keys: every distinct count becomes a plain count, so nothing is
+    expanded per distinct column. A booking belongs to one customer.
     """
     c, day = F.col, F.col("checkout_date")
-    b = bookings
-    if repeat:
-        b = b.join(customer_frequency(bookings, as_of, list(months)), "customer_id")
+    ins = {m: since(day, as_of, m) for m in months}
+    last = months[-1]
+    sums = {f"{v}_{m}": F.sum(F.when(ins[m], c(v))) for m in months for v in ("gmv", "nr", "tickets")}
+    sums.update({"gmv_all": F.sum("gmv"), "nr_all": F.sum("nr"),
+                 "gmv_n": F.count(F.when(ins[last], c("gmv"))), "tickets_n": F.count(F.when(ins[last], c("tickets")))})
+    ends = {"last_day": (F.max, day), "first_day": (F.min, day)}
+    per_b = bookings.groupBy(*keys, "customer_id", "booking_id").agg(
+        *[F.max(flag(ins[m])).alias(f"b_{m}") for m in months], *[e.alias(n) for n, e in sums.items()],
+        *[f(d).alias(n) for n, (f, d) in ends.items()])
+    per_c = per_b.groupBy(*keys, "customer_id").agg(
+        F.count(F.lit(1)).alias("b_all"), *[F.sum(f"b_{m}").alias(f"b_{m}") for m in months],
+        *[F.max(f"b_{m}").alias(f"c_{m}") for m in months], *[F.sum(n).alias(n) for n in sums],
+        *[f(n).alias(n) for n, (f, _) in ends.items()])
+    per_c = join_per_key(per_c, customer_frequency(bookings, as_of, list(months)), ["customer_id"], "customer_rows", keys)
     aggs = []
     for m in months:
-        w = since(day, as_of, m)
-        cust = distinct_if(w, c("customer_id"))
-        aggs += [distinct_if(w, c("booking_id")).alias(f"bookings_l{m}m"), F.sum(F.when(w, c("gmv"))).alias(f"gmv_l{m}m"),
-                 F.sum(F.when(w, c("nr"))).alias(f"nr_l{m}m"), F.sum(F.when(w, c("tickets"))).alias(f"tickets_l{m}m"),
-                 cust.alias(f"customers_l{m}m")]
-        if repeat:
-            aggs.append(share_pct(distinct_if(w & (c(f"freq_{m}") > 1), c("customer_id")), cust).alias(f"repeat_rate_l{m}m"))
-    w = since(day, as_of, months[-1])
-    aggs += [F.countDistinct("booking_id").alias("bookings_lifetime"), F.sum("gmv").alias("gmv_lifetime"),
-             F.sum("nr").alias("nr_lifetime"), F.avg(F.when(w, c("gmv"))).alias("avg_booking_value"),
-             F.avg(F.when(w, c("tickets"))).alias("avg_tickets"),
-             F.max(day).alias("last_booking_date"), F.min(day).alias("first_booking_date")]
-    out = b.groupBy(*keys).agg(*aggs)
+        cust, again = F.sum(f"c_{m}"), F.sum(flag((c(f"c_{m}") == 1) & (c(f"freq_{m}") > 1)))
+        aggs += [F.sum(f"b_{m}").alias(f"bookings_l{m}m"), F.sum(f"gmv_{m}").alias(f"gmv_l{m}m"), F.sum(f"nr_{m}").alias(f"nr_l{m}m"),
+                 F.sum(f"tickets_{m}").alias(f"tickets_l{m}m"), cust.alias(f"customers_l{m}m"), share_pct(again, cust).alias(f"repeat_rate_l{m}m")]
+    aggs += [F.sum("b_all").alias("bookings_lifetime"), F.sum("gmv_all").alias("gmv_lifetime"), F.sum("nr_all").alias("nr_lifetime"),
+             ratio(F.sum(f"gmv_{last}"), F.sum("gmv_n")).alias("avg_booking_value"), ratio(F.sum(f"tickets_{last}"), F.sum("tickets_n")).alias("avg_tickets"),
+             F.max("last_day").alias("last_booking_date"), F.min("first_day").alias("first_booking_date")]
+    out = per_c.groupBy(*keys).agg(*aggs)
     l3, l6 = c(f"bookings_l{months[0]}m"), c(f"bookings_l{months[1]}m")
     return out.withColumns({"days_since_last_booking": F.datediff(F.lit(as_of), "last_booking_date"),
                             "growth_pct": F.when(l6 > 0, share_pct(l3 * 2 - l6, l6))})

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from souklens.functions.periods import YearToDate
-from souklens.functions.ratios import distinct_if, flag, ratio, sum_if, weighted_mean
+from souklens.functions.ratios import distinct_if, flag, ratio
 
 VOLUMES = ["sessions", "visitors", "new_visitors", "returning_visitors", "bookings", "transactions",
            "bookings_with_coupon", "gmv", "nr", "supplier_share"]
@@ -45,20 +45,22 @@ def session_quarters(sessions: DataFrame, ytd: YearToDate, keys: list[str]) -> D
 
 
 def booking_quarters(bookings: DataFrame, ytd: YearToDate, keys: list[str]) -> DataFrame:
+    """Active bookings per quarter; rows are reduced to bookings, then carts, then quarters."""
     c = F.col
-    active = F.coalesce(c("status_id"), F.lit(-1)) == 1
-    gmv = sum_if(active, F.coalesce(c("gmv"), F.lit(0.0)))
-    nr = sum_if(active, F.coalesce(c("nr"), F.lit(0.0)))
-    share = sum_if(active, F.coalesce(c("supplier_share"), F.lit(0.0)))
-    n, t = distinct_if(active, c("booking_id")), distinct_if(active, c("cart_id"))
-    coupon = distinct_if(active & (F.coalesce(c("coupon_id"), F.lit(0)) > 0), c("booking_id"))
-    return _quarters(bookings, "checkout_date", ytd).groupBy(*keys, "period", "quarter_start").agg(
-        n.alias("bookings"), t.alias("transactions"), coupon.alias("bookings_with_coupon"),
-        gmv.alias("gmv"), nr.alias("nr"), share.alias("supplier_share"),
-        ratio(coupon, n).alias("coupon_share"), ratio(nr, gmv).alias("take_rate"),
-        ratio(share, gmv).alias("supplier_take_rate"), ratio(gmv, t).alias("aov"), ratio(gmv, n).alias("avg_price"),
-        ratio(sum_if(active, F.coalesce(c("commission_rate"), F.lit(0.0)) * F.coalesce(c("gmv"), F.lit(0.0))), gmv)
-        .alias("commission_rate"))
+    on = [*keys, "period", "quarter_start"]
+    b = _quarters(bookings, "checkout_date", ytd).filter(F.coalesce(c("status_id"), F.lit(-1)) == 1)
+    zero = F.lit(0.0)
+    v = {"gmv": F.coalesce("gmv", zero), "nr": F.coalesce("nr", zero), "supplier_share": F.coalesce("supplier_share", zero),
+         "rate_x": F.coalesce("commission_rate", zero) * F.coalesce("gmv", zero)}
+    per_b = b.groupBy(*on, "cart_id", "booking_id").agg(F.max(flag(F.coalesce("coupon_id", F.lit(0)) > 0)).alias("coupon"),
+                                                         *[F.sum(e).alias(n) for n, e in v.items()])
+    per_t = per_b.groupBy(*on, "cart_id").agg(F.count(F.lit(1)).alias("n"), F.sum("coupon").alias("coupon"), *[F.sum(n).alias(n) for n in v])
+    s, n, t = F.sum, F.sum("n"), F.count(F.lit(1))
+    return per_t.groupBy(*on).agg(
+        n.alias("bookings"), t.alias("transactions"), s("coupon").alias("bookings_with_coupon"), s("gmv").alias("gmv"), s("nr").alias("nr"),
+        s("supplier_share").alias("supplier_share"), ratio(s("coupon"), n).alias("coupon_share"), ratio(s("nr"), s("gmv")).alias("take_rate"),
+        ratio(s("supplier_share"), s("gmv")).alias("supplier_take_rate"), ratio(s("gmv"), t).alias("aov"), ratio(s("gmv"), n).alias("avg_price"),
+        ratio(s("rate_x"), s("gmv")).alias("commission_rate"))
 
 
 def yoy_quarters(sessions: DataFrame, bookings: DataFrame, ytd: YearToDate, keys: list[str]) -> DataFrame:

@@ -111,7 +111,7 @@ PS_SQL = """, ps AS (SELECT activity_id, count(DISTINCT option_id) AS num_option
 
 @query("parent_price_stats", "A12", doubles="parent_min:6 parent_max:6 parent_avg:4 price_cv:5 spread_ratio:5", sql=OPT_SQL + PS_SQL + " SELECT * FROM ps")
 def parent_price_stats(spark, root):
-    return bm.parent_stats(options(spark, root))
+    return bm.parent_stats(options(spark, root)).drop("parent_rows")
 
 
 @query("parent_variance_simple", "C40", doubles="spread_ratio:5",

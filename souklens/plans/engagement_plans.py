@@ -94,14 +94,14 @@ def monthly_reach(spark, root):
     return en.monthly_reach(mp.supplier_days(spark, root, [(lo, hi)]), mp.bookings(spark, root, [(lo, hi)], place=False), lo, date(2001, 7, 1))
 
 
-EDGES, TIER_LABELS = [5000.0, 20000.0, 50000.0], ["low", "middle", "upper", "high"]
+EDGES, TIER_LABELS = [150000.0, 200000.0, 250000.0], ["low", "middle", "upper", "high"]
 
 
 @query("login_frequency", "C65 P15", doubles="pct_10_plus:5",
        sql=REL + f""", v AS (SELECT supplier_id, sum(nr) AS nr FROM booking WHERE checkout_date >= {A} - 365 AND status_id IN (1, 2) GROUP BY 1),
 m AS (SELECT supplier_id, avg(l) AS a FROM (SELECT supplier_id, date_trunc('month', day) AS mo, sum(logins) AS l FROM logins
    WHERE is_active AND day >= DATE '2001-04-01' AND day < DATE '2001-07-01' GROUP BY ALL) GROUP BY 1),
-b AS (SELECT CASE WHEN nr IS NULL OR nr = 0 THEN 'none' WHEN nr < 5000 THEN 'low' WHEN nr < 20000 THEN 'middle' WHEN nr < 50000 THEN 'upper' ELSE 'high' END AS tier, coalesce(a, 0) AS a
+b AS (SELECT CASE WHEN nr IS NULL OR nr = 0 THEN 'none' WHEN nr < 150000 THEN 'low' WHEN nr < 200000 THEN 'middle' WHEN nr < 250000 THEN 'upper' ELSE 'high' END AS tier, coalesce(a, 0) AS a
   FROM rel LEFT JOIN v USING (supplier_id) LEFT JOIN m USING (supplier_id))
 SELECT tier, count(*) AS suppliers, count(*) FILTER (a = 0) AS no_login, count(*) FILTER (a > 0 AND a < 3) AS logins_1_2, count(*) FILTER (a >= 3 AND a < 6) AS logins_3_5,
   count(*) FILTER (a >= 6 AND a < 11) AS logins_6_10, count(*) FILTER (a >= 11) AS logins_10_plus, 100.0::DOUBLE * count(*) FILTER (a >= 11) / count(*) AS pct_10_plus FROM b GROUP BY 1""")

@@ -12,6 +12,7 @@ from souklens.functions.storage import materialise, shared_dir
 from souklens.operators import event_study as es
 from souklens.operators import configs, panel
 from souklens.plans import sqlbase as sb
+from souklens.plans.event_plans import W, label_sql
 from souklens.plans.registry import query
 from souklens.sources import marketplace as mp
 from souklens.sources import tables
@@ -141,7 +142,8 @@ def latest_value_in_group(spark, root):
        " FROM booking WHERE checkout_date BETWEEN DATE '2000-01-01' AND DATE '2000-12-31' GROUP BY 1")
 def quarter_pivot(spark, root):
     b = mp.bookings(spark, root, [(date(2000, 1, 1), date(2000, 12, 31))])
-    return b.groupBy("country_name").pivot(F.concat(F.lit("q"), F.quarter("checkout_date")), ["q1", "q2", "q3", "q4"]).agg(F.sum("gmv"))
+    b = b.withColumn("q", F.concat(F.lit("q"), F.quarter("checkout_date")))
+    return b.groupBy("country_name").pivot("q", ["q1", "q2", "q3", "q4"]).agg(F.sum("gmv"))
 
 
 @query("metric_unpivot", "R3", doubles="value:2",
@@ -178,3 +180,12 @@ def outer_explode_tiers(spark, root):
     c = configs.parse_config(mp.slot_configs(spark, root), "details", mp.CONFIG_DDL)
     return configs.tier_rows(c, "groups", outer=True).groupBy((F.col("vacancies") > 0).alias("has_group_data")).agg(
         F.count(F.lit(1)).alias("n"), F.count("tier_price").alias("priced"))
+
+
+@query("ordered_windows", "O1", doubles="gmv:2",
+       sql=sb.with_(sb.BOOKING, label_sql("booking", "checkout_date", W)) + """ SELECT period_window, CASE period_window WHEN 'PRE_LY' THEN 1 WHEN 'POST_LY' THEN 2 WHEN 'PRE_CY' THEN 3 ELSE 4 END AS sort_key,
+  count(*) AS n, sum(gmv) AS gmv FROM lab GROUP BY 1, 2 ORDER BY 2""")
+def ordered_windows(spark, root):
+    b = es.by_window(mp.bookings(spark, root, mp.event_ranges(W)), "checkout_date", W)
+    g = b.groupBy("period_window").agg(F.count(F.lit(1)).alias("n"), F.sum("gmv").alias("gmv"))
+    return g.withColumn("sort_key", labels.category_order(F.col("period_window"), es.WINDOWS)).orderBy("sort_key")

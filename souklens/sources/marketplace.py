@@ -190,14 +190,17 @@ def traffic(spark: SparkSession, root: str) -> DataFrame:
     """Daily traffic per activity and visitor country."""
     e = events(spark, root).join(customers(spark, root).select("visitor_id", "country_name"), "visitor_id")
     t = F.col("event_type")
-    n = lambda kind: F.sum(F.when(t == kind, 1).otherwise(0))
-    u = lambda kind: F.countDistinct(F.when(t == kind, F.col("visitor_id")))
-    return e.groupBy("day", "country_name", "activity_id").agg(
-        F.countDistinct("visitor_id").alias("visitors"), n("click").alias("clicks"),
-        n("view").alias("impressions"), u("purchase").alias("customers"), n("purchase").alias("bookings"),
-        u("signup").alias("add_to_cart_visitors"), u("error").alias("unavailability_visitors"),
-        F.sum(F.when(t == "purchase", 1 + F.floor(F.col("value")) % 5).otherwise(0)).alias("stars"),
-        n("purchase").alias("reviews")).withColumn("supplier_id", F.col("activity_id") % 10)
+    n = lambda kind: F.sum(F.when(t == kind, 1).otherwise(0)).alias(kind)
+    star = F.when(t == "purchase", 1 + F.floor(F.col("value")) % 5).otherwise(0)
+    # one row per visitor first: visitor counts become plain sums
+    per = e.groupBy("day", "country_name", "activity_id", "visitor_id").agg(
+        *[n(k) for k in ("click", "view", "purchase", "signup", "error")], F.sum(star).alias("stars"))
+    total = lambda c, name: F.sum(c).alias(name)
+    seen = lambda c, name: F.sum(F.when(F.col(c) > 0, 1).otherwise(0)).alias(name)
+    return per.groupBy("day", "country_name", "activity_id").agg(
+        F.count(F.lit(1)).alias("visitors"), total("click", "clicks"), total("view", "impressions"), seen("purchase", "customers"),
+        total("purchase", "bookings"), seen("signup", "add_to_cart_visitors"), seen("error", "unavailability_visitors"),
+        total("stars", "stars"), total("purchase", "reviews")).withColumn("supplier_id", F.col("activity_id") % 10)
 
 
 def sessions(spark: SparkSession, root: str) -> DataFrame:
