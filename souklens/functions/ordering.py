@@ -46,7 +46,7 @@ def ordered(df: DataFrame, value: str, tie: str | None = None, keys: list[str] |
             descending: bool = False, running: dict[str, str] | None = None,
             buckets: int = BUCKETS, prepared: bool = False, small: int | None = None) -> DataFrame:
     """Adds ``pos`` (1-based place by value, then tie), ``n_rows`` and, for every ``name ->
-    column`` in ``running``, the running sum and ``<name>_total``. NULL values come first
+    column`` in ``running``, the running sum (NULL adds nothing) and ``<name>_total``. NULL values come first
     in ascending and last in descending order.
 
     Without a tie-break column the values must be unique within ``keys``.
@@ -90,7 +90,7 @@ def ordered(df: DataFrame, value: str, tie: str | None = None, keys: list[str] |
         *df.columns,
         (F.col("_off") + F.row_number().over(by_row)).cast("long").alias("pos"),
         F.col("n_rows"),
-        *[(F.col(f"_o_{n}") + F.sum(c).over(by_row)).alias(n) for n, c in running.items()],
+        *[(F.col(f"_o_{n}") + F.coalesce(F.sum(c).over(by_row), zero)).alias(n) for n, c in running.items()],
         *[F.col(f"{n}_total") for n in running])
 
 
@@ -102,7 +102,7 @@ def _one_window(src: DataFrame, v: Column, value: str, tie: str | None, keys: li
     return src.select(
         *src.columns, F.row_number().over(by_row).cast("long").alias("pos"),
         F.count(F.lit(1)).over(whole).alias("n_rows"),
-        *[F.sum(c).over(by_row).alias(n) for n, c in running.items()],
+        *[F.coalesce(F.sum(c).over(by_row), F.lit(0)).alias(n) for n, c in running.items()],
         *[F.sum(c).over(whole).alias(f"{n}_total") for n, c in running.items()])
 
 
