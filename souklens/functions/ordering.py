@@ -11,17 +11,25 @@ value shared by a third of the rows is spread as well.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from souklens.functions.skew import join_per_key
 from souklens.functions.storage import materialise
 
-BUCKETS = 64
-SMALL = 200_000   # up to this many rows one window task is cheaper than the extra passes
+SMALL = 1_000_000        # up to this many rows one window task is cheaper than the extra passes
+BUCKET_ROWS = 2_000_000  # wanted rows per bucket
+MIN_BUCKETS, MAX_BUCKETS = 16, 4096
+
 
+def bucket_count(rows: int) -> int:
+    """Buckets grow with the data, within bounds that keep the split list short."""
+    return max(MIN_BUCKETS, min(MAX_BUCKETS, -(-rows // BUCKET_ROWS)))
 
-def split_points(df: DataFrame, cols: list[str], buckets: int = BUCKETS) -> list[list[float]]:
+
+def split_points(df: DataFrame, cols: list[str], buckets: int) -> list[list[float]]:
     """At most ``buckets - 1`` sorted split points per column, in one pass."""
     probs = [i / buckets for i in range(1, buckets)]
     row = df.agg(*[F.percentile_approx(F.col(c), probs, 20 * buckets).alias(f"s{i}")
@@ -30,21 +38,34 @@ def split_points(df: DataFrame, cols: list[str], buckets: int = BUCKETS) -> list
 
 
 def bucket_of(value: Column, splits: list) -> Column:
-    """Odd numbers: equal to split point; even numbers: between two; -1: NULL."""
-    def pick(lo: int, hi: int) -> Column:
+    """Odd numbers: equal to split point; even numbers: between two; -1: NULL.
+
+    A short list becomes a search tree of comparisons. A long one would make code too large
+    to be compiled; it is searched in two steps, the chunk first and then inside the chunk.
+    """
+    def tree(lo: int, hi: int) -> Column:
         if lo == hi:
             return F.lit(2 * lo)
         mid = (lo + hi) // 2
         return (F.when(value == F.lit(splits[mid]), F.lit(2 * mid + 1))
-                .when(value < F.lit(splits[mid]), pick(lo, mid))
-                .otherwise(pick(mid + 1, hi)))
+                .when(value < F.lit(splits[mid]), tree(lo, mid))
+                .otherwise(tree(mid + 1, hi)))
 
-    return F.when(value.isNull(), F.lit(-1)).otherwise(pick(0, len(splits)))
+    if len(splits) < 32:
+        return F.when(value.isNull(), F.lit(-1)).otherwise(tree(0, len(splits)))
+    size = math.ceil(math.sqrt(len(splits)))
+    chunks = [splits[i:i + size] for i in range(0, len(splits), size)]
+    below = lambda arr: F.size(F.filter(arr, lambda x: x < value))
+    chunk = below(F.lit([c[-1] for c in chunks[:-1]]))       # chunks that end below the value
+    inside = F.element_at(F.lit(chunks), chunk + 1)
+    place = below(inside)
+    return (F.when(value.isNull(), F.lit(-1))
+            .otherwise(2 * (chunk * size + place) + F.array_contains(inside, value).cast("int")))
 
 
 def ordered(df: DataFrame, value: str, tie: str | None = None, keys: list[str] | None = None,
             descending: bool = False, running: dict[str, str] | None = None,
-            buckets: int = BUCKETS, prepared: bool = False, small: int | None = None) -> DataFrame:
+            buckets: int | None = None, prepared: bool = False, small: int | None = None) -> DataFrame:
     """Adds ``pos`` (1-based place by value, then tie), ``n_rows`` and, for every ``name ->
     column`` in ``running``, the running sum (NULL adds nothing) and ``<name>_total``. NULL values come first
     in ascending and last in descending order.
@@ -54,8 +75,10 @@ def ordered(df: DataFrame, value: str, tie: str | None = None, keys: list[str] |
     keys, running = list(keys or []), dict(running or {})
     src = df if prepared else materialise(df)
     v = F.col(value).desc() if descending else F.col(value).asc()
-    if src.count() <= (SMALL if small is None else small):
+    rows = src.count()       # read from the file footers
+    if rows <= (SMALL if small is None else small):
         return _one_window(src, v, value, tie, keys, running)
+    buckets = buckets or bucket_count(rows)
     cols = [value] + ([tie] if tie else [])
     sp = split_points(src, cols, buckets)
     b = bucket_of(F.col(value), sp[0])
@@ -117,15 +140,30 @@ def ntile_col(tiles: int) -> Column:
 
 def percent_rank_of(df: DataFrame, value: str, keys: list[str] | None, out: str,
                     prepared: bool = False, small: int | None = None) -> DataFrame:
-    """Percent rank of every row, computed on distinct values and joined back.
+    """Percent rank of every row within ``keys``; see ``percent_ranks_of``."""
+    return percent_ranks_of(df, {value: out}, keys, prepared, small)
+
+
+def percent_ranks_of(df: DataFrame, values: dict[str, str], keys: list[str] | None = None,
+                     prepared: bool = False, small: int | None = None) -> DataFrame:
+    """Percent ranks of several columns (``values`` maps column to output name).
 
-    Ranks need no tie-break: equal values are counted first, so only distinct values are
-    ordered.
+    Ranks need no tie-break: equal values are counted first, only distinct values are
+    ordered, all columns in one pass, and the ranks are joined back by value.
     """
     keys = list(keys or [])
     src = df if prepared else materialise(df)
-    counts = src.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
-    o = ordered(counts, value, keys=keys, running={"_cum": "_c"}, small=small)
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("col"), F.col(c).cast("double").alias("v")) for c in values]))
+    counts = (src.select(*keys, pairs.alias("_x")).groupBy(*keys, F.col("_x.col").alias("_col"), F.col("_x.v").alias("_v"))
+              .agg(F.count(F.lit(1)).alias("_c")))
+    o = ordered(counts, "_v", keys=[*keys, "_col"], running={"_cum": "_c"}, small=small)
     pr = F.when(F.col("_cum_total") > 1, (F.col("_cum") - F.col("_c")) / (F.col("_cum_total") - 1)).otherwise(0.0)
-    spread = [c for c in df.columns if c not in keys + [value]] or [value]
-    return join_per_key(src, o.select(*keys, value, "_c", pr.alias(out)), [*keys, value], "_c", spread, "left")
+    ranks = o.select(*keys, "_col", "_v", "_c", pr.alias("_pr"))
+    if len(values) > 1:
+        ranks = materialise(ranks)
+    out = src
+    for c, name in values.items():
+        one = ranks.filter(F.col("_col") == c).select(*keys, "_v", "_c", F.col("_pr").alias(name))
+        spread = [x for x in df.columns if x not in keys + [c]] or [c]
+        out = join_per_key(out.withColumn("_v", F.col(c).cast("double")), one, [*keys, "_v"], "_c", spread, "left").drop("_v")
+    return out

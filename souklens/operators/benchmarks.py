@@ -11,7 +11,6 @@ from souklens.functions.ordering import percent_rank_of
 from souklens.functions.quantiles import exact_quantiles
 from souklens.functions.ratios import flag, ratio
 from souklens.functions.skew import join_per_key
-from souklens.functions.storage import materialise
 
 PROBS = {"p50": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95, "p99": 0.99}
 
@@ -34,40 +33,25 @@ CATEGORY_LEVELS = [Level("global", (), 0), Level("location", ("location",), 10),
 def hierarchical_benchmarks(options: DataFrame, levels: list[Level], price: str = "price_eur") -> DataFrame:
     """Quantiles, mean and spread of prices per level, long form.
 
-    Every row is repeated once per level inside the row, then all levels share one
-    aggregation and one quantile pass. Groups below the level's minimum are left out.
+    Every row is repeated once per level inside the row, then all levels share the
+    aggregations and one quantile pass under a single text key. Groups below the level's
+    minimum number of activities are left out.
     """
     dims = sorted({k for lv in levels for k in lv.keys})
     pick = F.explode(F.array(*[F.struct(F.lit(lv.name).alias("level"), *[
         (F.col(d) if d in lv.keys else F.lit(None).cast("string")).alias(d) for d in dims]) for lv in levels]))
-    rows = options.select(pick.alias("_l"), F.col(price).alias("_p"), "activity_id").select("_l.*", "_p", "activity_id")
-    keys = ["level", *dims]
-    # one row per group, activity and price: all later steps work on this smaller table
-    pre = materialise(rows.groupBy(*keys, "activity_id", "_p").agg(F.count(F.lit(1)).alias("_c")))
-    c, p = F.col("_c"), F.col("_p")
-    stats = pre.groupBy(*keys).agg(
-        F.countDistinct("activity_id").alias("n_activities"), F.sum("_c").alias("n_prices"),
-        (F.sum(c * p) / F.sum("_c")).alias("avg_price"))
-    # sample deviation from counted values, centred on the group mean
-    centred = pre.join(stats.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("avg_price").alias("_avg")),
-                       _null_safe(keys)).groupBy(*keys).agg(
-        F.sqrt(F.sum(c * (p - F.col("_avg")) * (p - F.col("_avg"))) / F.nullif(F.sum("_c") - 1, F.lit(0))).alias("stddev_price"))
-    q = exact_quantiles(pre, "_p", PROBS, keys, weight="_c")
+    shown = [F.coalesce(d, F.lit("")) for d in dims]
+    rows = (options.select(pick.alias("_l"), F.col(price).alias("_p"), "activity_id").select("_l.*", "_p", "activity_id")
+            .withColumn("_g", F.concat_ws("|", "level", *shown)))
+    stats = rows.groupBy("_g", "level", *dims).agg(F.count(F.lit(1)).alias("n_prices"), F.avg("_p").alias("avg_price"),
+                                                   F.stddev_samp("_p").alias("stddev_price"))
+    sizes = rows.select("_g", "activity_id").distinct().groupBy("_g").agg(F.count(F.lit(1)).alias("n_activities"))
     minimum = None
     for lv in levels:
         cond = F.col("level") == lv.name
         minimum = F.when(cond, lv.min_activities) if minimum is None else minimum.when(cond, lv.min_activities)
-    ren = lambda df: df.select(*[F.col(k).alias(f"_{k}") for k in keys], *[x for x in df.columns if x not in keys])
-    drop = [f"_{k}" for k in keys]
-    out = stats.join(ren(centred), _null_safe(keys)).drop(*drop).join(ren(q), _null_safe(keys)).drop(*drop)
-    return out.filter(F.col("n_activities") >= minimum)
-
-
-def _null_safe(keys: list[str]) -> Column:
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & F.col(k).eqNullSafe(F.col(f"_{k}"))
-    return cond
+    out = stats.join(sizes, "_g").filter(F.col("n_activities") >= minimum)
+    return out.join(exact_quantiles(rows, "_p", PROBS, ["_g"]), "_g").drop("_g")
 
 
 def attach_benchmarks(options: DataFrame, bench: DataFrame, levels: list[Level], cols: tuple[str, ...] = ("p50", "p95")) -> DataFrame:

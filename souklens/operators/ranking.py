@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from souklens.functions.ordering import ntile_col, ordered, percent_rank_of
+from souklens.functions.ordering import ntile_col, ordered, percent_ranks_of
 from souklens.functions.periods import shift_months
 from souklens.functions.ratios import flag, ratio, share_pct
 from souklens.functions.skew import join_per_key
@@ -76,9 +76,8 @@ def with_value_tiers(perf: DataFrame, value: str, tie: str, others: list[str]) -
     ``tie`` makes the tiles reproducible; missing values rank lowest.
     """
     p = materialise(perf)
-    for c in [value, *others]:
-        p = percent_rank_of(p, c, None, f"{c}_pr", prepared=True)
-        p = p.withColumn(f"{c}_percentile", F.col(f"{c}_pr") * 100).drop(f"{c}_pr")
+    names = {c: f"{c}_percentile" for c in [value, *others]}
+    p = percent_ranks_of(p, names, prepared=True).withColumns({n: F.col(n) * 100 for n in names.values()})
     cols = p.columns
     p = ordered(p, value, tie).select(*cols, ntile_col(10).alias("decile"), ntile_col(4).alias("quartile"))
     pct, none = F.col(f"{value}_percentile"), F.col(value).isNull() | (F.col(value) == 0)

@@ -113,6 +113,21 @@ def test_percent_rank(frame, keys, small):
             assert got[i] == pytest.approx(below / (len(rows) - 1) if len(rows) > 1 else 0.0)
 
 
+def test_long_split_lists(spark):
+    splits = [float(2 * i) for i in range(50)]
+    vals = [None, -5.0, 0.0, 1.0, 33.0, 34.0, 97.0, 98.0, 99.0]
+    df = spark.createDataFrame([(v,) for v in vals], "v double")
+    got = [r[0] for r in df.select(bucket_of(F.col("v"), splits)).collect()]
+    want = [-1 if v is None else 2 * sum(s < v for s in splits) + (v in splits) for v in vals]
+    assert got == want
+
+
+def test_bucketed_order_with_many_buckets(frame):
+    got = {r["id"]: r["pos"] for r in ordered(frame, "v", "id", small=0, buckets=200).collect()}
+    rows = sorted(data(), key=lambda r: (*sort_key(r[2], False), r[1]))
+    assert got == {r[1]: pos for pos, r in enumerate(rows, 1)}
+
+
 def test_buckets_follow_the_order(spark):
     df = spark.createDataFrame([(float(v),) for v in range(20)], "v double")
     b = [r[0] for r in df.orderBy("v").select(bucket_of(F.col("v"), [3.0, 3.5, 10.0])).collect()]
