@@ -5,10 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+DIM_ROWS = 1_000_000   # largest dimension that is broadcast, about 50 MB of narrow rows
 HOT = 5_000_000   # rows of one key from which on the key is spread
 SALTS = 64
 
 
+def broadcast_if_small(dim: DataFrame, rows: int | None = None, limit: int = DIM_ROWS) -> DataFrame:
+    """Broadcast hint for a dimension whose row count was checked; larger ones are left to a
+    shuffle join with adaptive skew splitting.
+
+    ``rows`` is an upper bound that is already known; without it at most ``limit + 1`` rows
+    are counted.
+    """
+    n = dim.limit(limit + 1).count() if rows is None else rows
+    return F.broadcast(dim) if n <= limit else dim
+
+
 def join_per_key(facts: DataFrame, per_key: DataFrame, keys: list[str], rows: str, spread_by: list[str],
                  how: str = "inner", hot: int = HOT, salts: int = SALTS) -> DataFrame:
     """Join a table with one row per key to the facts; NULL keys match.

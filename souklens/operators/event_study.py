@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from souklens.functions.labels import not_in_or_null
 from souklens.functions.periods import (EventWindows, Window2, explode_windows, horizon_bucket, label_period_window,
                                         label_periods, with_week_index, within_months)
+from souklens.functions.skew import broadcast_if_small
 from souklens.functions.ratios import (capped_ratio, count_if, distinct_if, flag, pct_change, ratio, share_pct,
                                        sum_if, weighted_mean)
 
@@ -27,9 +28,12 @@ def by_week(df: DataFrame, day: str, w: EventWindows) -> DataFrame:
 
 
 def with_status(bookings: DataFrame, status: DataFrame, keep: list[str]) -> DataFrame:
-    """Equi join on the status code; a missing code means -1. Only listed names are kept."""
+    """Equi join on the status code; a missing code means -1. Only listed names are kept.
+
+    A status list is a handful of rows; shuffling bookings by status would be pure skew.
+    """
     return (bookings.withColumn("status_id", F.coalesce("status_id", F.lit(-1)))
-            .join(status.filter(F.col("status_name").isin(keep)), "status_id"))
+            .join(broadcast_if_small(status.filter(F.col("status_name").isin(keep)), limit=1000), "status_id"))
 
 
 def booking_metrics(labelled: DataFrame, keys: list[str]) -> DataFrame:

@@ -6,6 +6,7 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
+from souklens.functions.skew import broadcast_if_small
 from souklens.functions.storage import materialise
 from souklens.operators import benchmarks as bm
 from souklens.operators import configs
@@ -14,6 +15,7 @@ from souklens.plans import sqlbase as sb
 from souklens.plans.registry import query
 from souklens.plans.stages import stage
 from souklens.sources import marketplace as mp
+from souklens.sources.tables import row_count
 
 AS_OF = fp.AS_OF
 
@@ -24,10 +26,12 @@ def options(spark, root):
     cfg = fp.configurations(spark, root)
     s = mp.suppliers(spark, root).select("supplier_id", F.col("country_name").alias("location"), F.when(F.col("nation_id") % 3 == 0, "EUR")
                                          .when(F.col("nation_id") % 3 == 1, "USD").otherwise("GBP").alias("currency"))
+    # one row per currency
     fx = mp.fx_rates(spark, root).filter(F.col("rate_date") == F.lit(AS_OF)).select("currency", "rate")
-    a = mp.activities(spark, root).select("activity_id", "title", "activity_type", "category")
+    s = broadcast_if_small(s, row_count(spark, "supplier", root))
+    a = mp.activity_dim(spark, root, "title", "activity_type", "category")
     rate = F.coalesce("rate", F.lit(1.0))
-    return (cfg.join(s, "supplier_id").join(fx, "currency", "left").join(a, "activity_id").select(
+    return (cfg.join(s, "supplier_id").join(F.broadcast(fx), "currency", "left").join(a, "activity_id").select(
         "activity_id", "supplier_id", F.concat_ws("-", "activity_id", "supplier_id").alias("option_id"), "pricing_id",
         F.concat_ws(" ", "title", (F.col("supplier_id") % 4).cast("string")).alias("option_title"),
         "location", "activity_type", "category", (F.col("from_price") / rate).alias("price_eur"),

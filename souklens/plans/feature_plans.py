@@ -153,8 +153,8 @@ def listings(spark, root):
     """One row per listing: features, performance, country, type and opportunity columns."""
     f, p = rollup(spark, root), tiered(spark, root)
     j = f.join(p, KEYS, "left").fillna({"bookings_l3m": 0, "bookings_l6m": 0, "bookings_l12m": 0, "value_tier": "no_revenue"})
-    j = j.join(mp.suppliers(spark, root), "supplier_id").join(
-        mp.activities(spark, root).select("activity_id", "activity_type", "category"), "activity_id")
+    j = j.join(mp.supplier_dim(spark, root, "country_name", "region_name", "is_managed", "is_connected"), "supplier_id").join(
+        mp.activity_dim(spark, root, "activity_type", "category"), "activity_id")
     return lift.with_opportunities(j, "gmv_l12m")
 
 
@@ -244,8 +244,8 @@ ado AS (SELECT activity_id, supplier_id, floor(from_price / 10 * 1000) / 1000 AS
 
 def placed_tiers(spark, root, part):
     t = configs.tier_rows(configurations(spark, root), part)
-    return t.join(mp.suppliers(spark, root).select("supplier_id", "country_name"), "supplier_id").join(
-        mp.activities(spark, root).select("activity_id", "activity_type"), "activity_id")
+    return t.join(mp.supplier_dim(spark, root, "country_name"), "supplier_id").join(
+        mp.activity_dim(spark, root, "activity_type"), "activity_id")
 
 
 @query("tier_price_by_location", "C62 F11 A18 A10", doubles="avg_price:4 median_price:6",

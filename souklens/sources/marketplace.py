@@ -2,8 +2,8 @@
 
 Each function reads only the columns it needs and takes the date range as Python dates,
 compared with the raw timestamp column so that the range reaches the parquet scan.
-Dimension tables are joined without hints: Spark broadcasts them when their size is
-known to be small and otherwise shuffles, with adaptive skew splitting.
+Dimension tables are broadcast when their row count, read from the file footers, is small;
+beyond that Spark shuffles, with adaptive skew splitting.
 """
 
 from __future__ import annotations
@@ -13,7 +13,8 @@ from datetime import date, datetime, time, timedelta
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from souklens.sources.tables import read_table
+from souklens.functions.skew import broadcast_if_small
+from souklens.sources.tables import read_table, row_count
 
 CONFIG_DDL = (
     "struct<pricingCategories:struct<"
@@ -59,6 +60,19 @@ def lineitem(spark: SparkSession, root: str) -> DataFrame:
     return read_table(spark, "lineitem", root)
 
 
+def supplier_dim(spark: SparkSession, root: str, *cols: str) -> DataFrame:
+    """Supplier columns for a join to facts; the inner joins to nation and region add no rows."""
+    return broadcast_if_small(suppliers(spark, root).select("supplier_id", *cols), row_count(spark, "supplier", root))
+
+
+def customer_dim(spark: SparkSession, root: str, *cols: str) -> DataFrame:
+    return broadcast_if_small(customers(spark, root).select("visitor_id", *cols), row_count(spark, "customer", root))
+
+
+def activity_dim(spark: SparkSession, root: str, *cols: str) -> DataFrame:
+    return broadcast_if_small(activities(spark, root).select("activity_id", *cols), row_count(spark, "part", root))
+
+
 def suppliers(spark: SparkSession, root: str) -> DataFrame:
     """Supplier with its country, region and the account flags."""
     s, n, r = (read_table(spark, t, root) for t in ("supplier", "nation", "region"))
@@ -115,7 +129,7 @@ def bookings(spark: SparkSession, root: str, ranges=None, place: bool = True) ->
         supplier_line().alias("line_id"))
     if not place:
         return b
-    return b.join(suppliers(spark, root).select("supplier_id", "country_name", "region_name"), "supplier_id")
+    return b.join(supplier_dim(spark, root, "country_name", "region_name"), "supplier_id")
 
 
 def status_dim(spark: SparkSession) -> DataFrame:
@@ -138,7 +152,7 @@ def prices(spark: SparkSession, root: str, ranges=None) -> DataFrame:
         "supplier_id", "country_name",
         F.when(F.col("nation_id") % 3 == 0, "EUR").when(F.col("nation_id") % 3 == 1, "USD")
         .otherwise("GBP").alias("currency"))
-    return p.join(s, "supplier_id")
+    return p.join(broadcast_if_small(s, row_count(spark, "supplier", root)), "supplier_id")
 
 
 def fx_rates(spark: SparkSession, root: str) -> DataFrame:
@@ -159,7 +173,7 @@ def online_history(spark: SparkSession, root: str, ranges=None) -> DataFrame:
     h = li.select(F.to_date("l_shipdate").alias("day"), supplier_line().alias("activity_id"),
                   F.col("l_suppkey").alias("supplier_id"),
                   (F.col("l_linestatus") == "O").alias("is_online"))
-    return h.join(suppliers(spark, root).select("supplier_id", "country_name"), "supplier_id")
+    return h.join(supplier_dim(spark, root, "country_name"), "supplier_id")
 
 
 def availability(spark: SparkSession, root: str, ranges=None) -> DataFrame:
@@ -188,7 +202,7 @@ def events(spark: SparkSession, root: str) -> DataFrame:
 
 def traffic(spark: SparkSession, root: str) -> DataFrame:
     """Daily traffic per activity and visitor country."""
-    e = events(spark, root).join(customers(spark, root).select("visitor_id", "country_name"), "visitor_id")
+    e = events(spark, root).join(customer_dim(spark, root, "country_name"), "visitor_id")
     t = F.col("event_type")
     n = lambda kind: F.sum(F.when(t == kind, 1).otherwise(0)).alias(kind)
     star = F.when(t == "purchase", 1 + F.floor(F.col("value")) % 5).otherwise(0)
@@ -216,7 +230,7 @@ def sessions(spark: SparkSession, root: str) -> DataFrame:
         F.nullif(F.collect_set(F.when(t == "click", k)), F.array().cast("array<bigint>")).alias("checked_ids"),
         F.collect_set(F.when(t == "signup", k)).alias("cart_ids"),
         F.max(F.when(t == "purchase", 1).otherwise(0)).alias("purchased"))
-    s = s.join(firsts, "visitor_id").join(customers(spark, root), "visitor_id")
+    s = s.join(firsts, "visitor_id").join(customer_dim(spark, root, "country_name", "region_name"), "visitor_id")
     return s.select("visitor_id", "day", "country_name", "region_name",
                     F.concat_ws("-", "visitor_id", F.date_format("day", "yyyyMMdd")).alias("session_id"),
                     "detail_views", "checked_ids", "cart_ids", (F.col("purchased") == 1).alias("purchased"),
@@ -246,7 +260,7 @@ def competitor_prices(spark: SparkSession, root: str, ranges=None) -> DataFrame:
         *rival("alpha", 0), *rival("beta", 1),
         F.when(F.col("l_orderkey") % 5 == 2, "meet").when(F.col("l_orderkey") % 5 > 2, "beat")
         .otherwise("lose").alias("overall"))
-    return c.join(suppliers(spark, root).select("supplier_id", "country_name"), "supplier_id")
+    return c.join(supplier_dim(spark, root, "country_name"), "supplier_id")
 
 
 def accuracy_history(spark: SparkSession, root: str) -> DataFrame:

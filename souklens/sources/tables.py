@@ -24,6 +24,17 @@ def read_table(spark: SparkSession, name: str, root: str | None = None) -> DataF
     return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
+_ROWS: dict[str, int] = {}
+
+
+def row_count(spark: SparkSession, name: str, root: str) -> int:
+    """Rows of a parquet table, read from the file footers once per path."""
+    path = f"{root}/{name}.parquet"
+    if path not in _ROWS:
+        _ROWS[path] = read_table(spark, name, root).count()
+    return _ROWS[path]
+
+
 def run_sql(spark: SparkSession, text: str, params: dict[str, Any] | None = None,
             **frames: DataFrame) -> DataFrame:
     """SQL with named parameters (``:name``) and ``{frame}`` inputs; values are never pasted into text."""
