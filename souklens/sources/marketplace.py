@@ -8,7 +8,7 @@ beyond that Spark shuffles, with adaptive skew splitting.
 
 from __future__ import annotations
 
-from datetime import date, datetime, time, timedelta
+from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,12 +27,16 @@ CONFIG_DDL = (
 
 
 def in_days(ts: Column, first: date | None, last: date | None) -> Column:
-    """Inclusive day range as a plain comparison of the timestamp column."""
+    """Inclusive day range as a plain comparison of the timestamp column.
+
+    Text literals take the column's own type, with or without time zone, so the range
+    neither moves with the session's zone nor stops at a cast before the scan.
+    """
     cond = F.lit(True)
     if first is not None:
-        cond = ts >= F.lit(datetime.combine(first, time()))
+        cond = ts >= F.lit(f"{first} 00:00:00")
     if last is not None:
-        upper = ts < F.lit(datetime.combine(last + timedelta(days=1), time()))
+        upper = ts < F.lit(f"{last + timedelta(days=1)} 00:00:00")
         cond = upper if first is None else cond & upper
     return cond
 

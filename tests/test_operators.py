@@ -334,3 +334,22 @@ def test_migration_and_time_buckets(spark):
     t = [(r["time_window"], r["n"]) for r in engagement.time_to_event(a).orderBy("sort_order").collect()]
     assert t == [("Same day", 1), ("Days 1-3", 1), ("60+ days", 1)]
     assert engagement.status_funnel(a, []).first()["dismissal_pct"] == 25.0
+
+
+@pytest.mark.parametrize("zone", ["UTC", "Asia/Tokyo", "America/New_York"])
+def test_date_ranges_do_not_move_with_the_zone(spark, zone):
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        df = spark.sql("SELECT explode(array(timestamp_ntz'1999-01-01 00:00:00', timestamp_ntz'1999-01-31 23:59:59', timestamp_ntz'1999-02-01 00:00:00')) AS t")
+        assert df.filter(mp.in_days(F.col("t"), date(1999, 1, 1), date(1999, 1, 31))).count() == 2
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_dimension_broadcast_is_size_checked(spark):
+    from souklens.functions.skew import broadcast_if_small
+
+    plan = lambda limit: spark.range(50).join(broadcast_if_small(spark.range(20), limit=limit), "id")._jdf.queryExecution().logical().toString()
+    assert "ResolvedHint" in plan(20) or "UnresolvedHint" in plan(20)
+    assert "Hint" not in plan(19)
