@@ -12,7 +12,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from souklens.functions.storage import materialise
@@ -24,8 +24,6 @@ ROWS = 6
 MISS = 1e-5
 #: Ids of texts to be compared are broadcast up to this many (8 MB); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
-#: A bucket with more members in several components is split by a further band.
-BUCKET = 200
 
 _U = np.uint64
 
@@ -161,9 +159,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     1. Rows of equal sets form a class under their smallest id (a grouping, combined before the shuffle).
     2. In every bucket of band keys each class is compared with the bucket's smallest one, on full sets.
-    3. Links become components. Where a bucket still holds several components, the members of different
-       components are compared too; buckets over ``BUCKET`` members are first split by a further
-       shared band, again and again, so that no bucket is cut off.
+    3. Links become components. Members of buckets that still hold several components are compared
+       across components too, wherever a prefix filter on their full sets leaves the chance of a link.
 
     Texts that are null, empty or without words have no shingles and are linked with nothing. Ids have
     to be integers; rows with a null id are compared with nothing and kept. Rows that share an id
@@ -182,7 +179,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = materialise(confirm(stars, ids, "id", "text", percent))
     parts = materialise(components(links))
 
-    rest = _rest(buckets, classes, parts, percent)
+    rest = _rest(buckets, parts, ids, percent)
     if rest is not None:
         rest = materialise(rest.join(stars, ["a", "b"], "left_anti"))
         more = materialise(confirm(rest, ids, "id", "text", percent))
@@ -198,33 +195,45 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                       F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
 
 
-def _rest(buckets: DataFrame, classes: DataFrame, parts: DataFrame, percent: int) -> DataFrame | None:
-    """Pairs of one bucket that lie in different components and were not compared with each other."""
+def _rest(buckets: DataFrame, parts: DataFrame, ids: DataFrame, percent: int) -> DataFrame | None:
+    """Pairs in different components that may still be linked, among members of buckets of several components.
+
+    A prefix filter: with shingles in order of rarity among these members, two linked sets share one
+    of their ``n - ceil(n * percent / 100) + 1`` first shingles, at places that leave room for enough
+    common ones. Mass passages are common and so come last; groups that are one component are left out.
+    """
     named = parts.withColumnRenamed("node", "rep")
     # two members: their only pair has been compared
     live = buckets.filter("members > 2").select("key", "rep", "n").join(named, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    live = materialise(_open(live))
-    found = None
-    depth = 0
-    while not live.isEmpty():
-        sized = live.join(live.groupBy("key").agg(F.count("*").alias("size")), "key")
-        last = depth == 4
-        fit = sized if last else sized.filter(F.col("size") <= BUCKET)
-        left = fit.select("key", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c"))
-        right = fit.select("key", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("d"))
-        pairs = left.join(right, "key").filter((F.col("a") < F.col("b")) & (F.col("c") != F.col("d")) & _near(percent)).select("a", "b")
-        pairs = materialise(pairs.distinct())
-        found = pairs if found is None else found.unionAll(pairs)
-        if last:
-            break
-        depth += 1
-        wide = sized.filter(F.col("size") > BUCKET).select("key", "rep", "n", "component").join(classes.select("rep", "keys"), "rep")
-        wide = wide.select("key", "rep", "n", "component", F.explode("keys").alias("more")).filter("key <> more")
-        live = materialise(_open(wide.select(F.xxhash64("key", "more").alias("key"), "rep", "n", "component")))
-    return None if found is None else found.distinct()
+    members = materialise(_open(live).select("rep", "n", "component").distinct())
+    count = members.count()
+    if not count:
+        return None
+    near = F.broadcast(members) if count <= BROADCAST_IDS // 4 else members
+    texts = ids.filter("id IS NOT NULL").join(near, ids["id"] == members["rep"]).select("rep", "n", "component", "text")
+
+    def spread(batches):
+        for batch in batches:
+            for block in tb.blocks(batch.column(3)):
+                flat, off = shingle_sets(block)
+                at = pa.array(np.repeat(np.arange(block.first, block.first + len(block)), np.diff(off)))
+                yield pa.RecordBatch.from_arrays([batch.column(i).take(at) for i in range(3)] + [pa.array(flat.view(np.int64))], names=["rep", "n", "component", "shingle"])
+            tb.shrink()
+
+    shingles = materialise(texts.mapInArrow(spread, "rep long, n long, component long, shingle long"))
+    rarity = shingles.groupBy("shingle").agg(F.count("*").alias("df")).filter("df > 1")
+    order = Window.partitionBy("rep").orderBy(F.coalesce("df", F.lit(1)), "shingle")
+    placed = shingles.join(rarity, "shingle", "left").withColumn("place", F.row_number().over(order))
+    first = placed.filter((F.col("df") > 1) & (F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1))
+    first = materialise(first.select(F.col("shingle").alias("key"), "rep", "n", "component", "place"))
+    first = _open(first)
+    left = first.select("key", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c"), F.col("place").alias("i"))
+    right = first.select("key", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("d"), F.col("place").alias("j"))
+    room = (100 + percent) * (1 + F.least(F.col("n_a") - F.col("i"), F.col("n_b") - F.col("j"))) >= percent * (F.col("n_a") + F.col("n_b"))
+    return left.join(right, "key").filter((F.col("a") < F.col("b")) & (F.col("c") != F.col("d")) & _near(percent) & room).select("a", "b").distinct()
 
 
 def _open(live: DataFrame) -> DataFrame:
-    """Members of the buckets that hold more than one component."""
+    """Rows of the keys that hold more than one component."""
     mixed = live.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
     return live.join(mixed, "key")
