@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from souklens.llm import minmax
+from souklens.llm import bpe, fmindex, language, licences, minmax, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,7 +20,50 @@ def op9_minmax_dedup(spark: SparkSession, root: str) -> DataFrame:
     return minmax.near_duplicates(table(spark, root, "documents"), percent=85)
 
 
-QUERIES: dict[str, Query] = {"op9_minmax_dedup": op9_minmax_dedup}
+def op6_fm_decontamination(spark: SparkSession, root: str) -> DataFrame:
+    found = fmindex.scan(table(spark, root, "documents"), table(spark, root, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
+
+
+def tokenizer_file() -> str:
+    """The byte-level BPE file that the queries use; installed beside Python, not part of this package."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op3_licence_automaton(spark: SparkSession, root: str) -> DataFrame:
+    return licences.scan(table(spark, root, "documents")).drop("spans")
+
+
+def op4_trie_bpe(spark: SparkSession, root: str) -> DataFrame:
+    return bpe.round_trip(table(spark, root, "documents"), tokenizer_file()).drop("same")
+
+
+def op5_language_svm(spark: SparkSession, root: str) -> DataFrame:
+    docs = table(spark, root, "documents")
+    return language.identify(docs, docs).select("doc_id", language.held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
+def op8_two_tier_counts(spark: SparkSession, root: str) -> DataFrame:
+    return bpe.token_counts(table(spark, root, "documents"), tokenizer_file())
+
+
+def op10_quality_ratio(spark: SparkSession, root: str) -> DataFrame:
+    made = quality.assess(table(spark, root, "documents"), table(spark, root, "labels"))
+    return made.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+
+
+QUERIES: dict[str, Query] = {
+    "op3_licence_automaton": op3_licence_automaton,
+    "op4_trie_bpe": op4_trie_bpe,
+    "op5_language_svm": op5_language_svm,
+    "op6_fm_decontamination": op6_fm_decontamination,
+    "op8_two_tier_counts": op8_two_tier_counts,
+    "op9_minmax_dedup": op9_minmax_dedup,
+    "op10_quality_ratio": op10_quality_ratio,
+}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -46,4 +90,30 @@ SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, least(doc_id, coalesce(low,
 FROM sets LEFT JOIN lowest ON doc_id = u
 """
 
-SQL: dict[str, str] = {"op9_minmax_dedup": OP9_SQL}
+OP6_SQL = rf"""
+WITH worded AS (
+  SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), items AS (
+  SELECT item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), windows AS (
+  SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') AS x
+  FROM (SELECT item_id, w, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM items WHERE len(w) > 0)
+), lengths AS (
+  SELECT DISTINCT n FROM windows
+), places AS (
+  SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS x
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM worded, lengths WHERE len(w) >= n)
+), found AS (
+  SELECT doc_id, item_id, n, i FROM places JOIN windows USING (n, x)
+), hits AS (
+  SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS k FROM found) GROUP BY doc_id
+), named AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM found) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM worded LEFT JOIN hits USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
+SQL: dict[str, str] = {"op6_fm_decontamination": OP6_SQL, "op9_minmax_dedup": OP9_SQL}

@@ -146,14 +146,16 @@ def ragged(lengths: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(starts - (ends - lengths), lengths)
 
 
-def map_texts(df: DataFrame, text: str, keep: list[str], schema: str, work: Callable[[Block], dict]) -> DataFrame:
+def map_texts(df: DataFrame, text: str, keep: list[str], schema: str, work: Callable[..., dict], uses: list[str] | None = None) -> DataFrame:
     """Runs ``work`` on each block of ``text``; ``work`` gives one value per text for each new column.
 
-    ``keep`` names the columns that are carried through; no other column is read.
+    ``keep`` names the columns that are carried through; no other column is read, but for those in
+    ``uses``: ``work`` gets them as a second argument, Arrow arrays of the block's rows.
     """
     kept = [df[c] for c in keep]
     slots = [f"k{i}" for i in range(len(keep))]
-    inner = df.select(*[c.alias(s) for c, s in zip(kept, slots)], df[text].alias("t"))
+    inner = df.select(*[c.alias(s) for c, s in zip(kept, slots)], df[text].cast("string").alias("t"), *[df[c].alias(f"u{i}") for i, c in enumerate(uses or [])])
+    takes = [len(slots) + 1 + i for i in range(len(uses or []))]
     names = [part.split()[0].strip("`") for part in split_schema(schema)]
 
     def run(batches):
@@ -161,7 +163,7 @@ def map_texts(df: DataFrame, text: str, keep: list[str], schema: str, work: Call
             if not batch.num_rows:
                 continue
             for block in blocks(batch.column(len(slots))):
-                out = work(block)
+                out = work(block, [batch.column(i).slice(block.first, len(block)) for i in takes]) if uses is not None else work(block)
                 head = [batch.column(i).slice(block.first, len(block)) for i in range(len(slots))]
                 yield pa.RecordBatch.from_arrays(head + [pa.array(out[n]) if not isinstance(out[n], pa.Array) else out[n] for n in names], names=slots + names)
             shrink()
