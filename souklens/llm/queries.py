@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from souklens.llm import bpe, fmindex, language, licences, minmax, quality
+from souklens.llm import bpe, fmindex, language, licences, minmax, pii, quality, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,6 +33,12 @@ def tokenizer_file() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_boosted_pii(spark: SparkSession, root: str) -> DataFrame:
+    found = pii.find(table(spark, root, "documents"))
+    counts = [pii.count_of(F.col("base"), k).alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
+
+
 def op3_licence_automaton(spark: SparkSession, root: str) -> DataFrame:
     return licences.scan(table(spark, root, "documents")).drop("spans")
 
@@ -46,6 +52,10 @@ def op5_language_svm(spark: SparkSession, root: str) -> DataFrame:
     return language.identify(docs, docs).select("doc_id", language.held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
+def op7_warc_salvage(spark: SparkSession, root: str) -> DataFrame:
+    return warc.round_trip(table(spark, root, "pages")).drop("url")
+
+
 def op8_two_tier_counts(spark: SparkSession, root: str) -> DataFrame:
     return bpe.token_counts(table(spark, root, "documents"), tokenizer_file())
 
@@ -56,10 +66,12 @@ def op10_quality_ratio(spark: SparkSession, root: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_boosted_pii": op1_boosted_pii,
     "op3_licence_automaton": op3_licence_automaton,
     "op4_trie_bpe": op4_trie_bpe,
     "op5_language_svm": op5_language_svm,
     "op6_fm_decontamination": op6_fm_decontamination,
+    "op7_warc_salvage": op7_warc_salvage,
     "op8_two_tier_counts": op8_two_tier_counts,
     "op9_minmax_dedup": op9_minmax_dedup,
     "op10_quality_ratio": op10_quality_ratio,
@@ -116,4 +128,11 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM worded LEFT JOIN hits USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
-SQL: dict[str, str] = {"op6_fm_decontamination": OP6_SQL, "op9_minmax_dedup": OP9_SQL}
+OP7_SQL = """
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
+  CASE WHEN n >= 100 AND page_id <> low THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 100 AND page_id <> low THEN low END AS refers_to
+FROM (SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS d, min(page_id) OVER (PARTITION BY sha256(coalesce(html, ''))) AS low FROM pages)
+"""
+
+SQL: dict[str, str] = {"op6_fm_decontamination": OP6_SQL, "op7_warc_salvage": OP7_SQL, "op9_minmax_dedup": OP9_SQL}
