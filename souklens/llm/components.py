@@ -17,8 +17,7 @@ def components(links: DataFrame) -> DataFrame:
     Self links and nulls are left out; nodes without a link are not returned.
     """
     links = links.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).filter("u < v").distinct()
-    links = materialise(links)
-    mark = _mark(links)
+    mark = None
     while True:
         both = links.unionAll(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("low"))

@@ -108,6 +108,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, perce
     ids = materialise(pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")).distinct())
     texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).filter("id IS NOT NULL")
     few = ids.count() <= BROADCAST_IDS
+    tb.small_batches(docs.sparkSession)
     texts = texts.join(F.broadcast(ids) if few else ids, "id", "left_semi")
     rows = pairs.join(texts.withColumnsRenamed({"id": "b", "text": "text_b"}), "b").join(texts.withColumnsRenamed({"id": "a", "text": "text_a"}), "a")
 
@@ -177,14 +178,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stars = buckets.filter("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b"), F.col("pivot_n").alias("n_a"), F.col("n").alias("n_b"))
     stars = materialise(stars.filter(_near(percent)).select("a", "b").distinct())
     links = materialise(confirm(stars, ids, "id", "text", percent))
-    parts = materialise(components(links))
+    parts = components(links)
 
     rest = _rest(buckets, parts, ids, percent)
     if rest is not None:
         rest = materialise(rest.join(stars, ["a", "b"], "left_anti"))
         more = materialise(confirm(rest, ids, "id", "text", percent))
         if not more.isEmpty():
-            parts = materialise(components(links.unionAll(more)))
+            parts = components(links.unionAll(more))
 
     # rows to classes, classes to components
     named = classes.join(parts, classes["rep"] == parts["node"], "left").select("s1", "s2", F.coalesce("component", "rep").alias("component"))

@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 BLOCK_BYTES = 4 << 20
 
@@ -146,12 +146,24 @@ def ragged(lengths: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(starts - (ends - lengths), lengths)
 
 
+#: Bytes of text that Spark hands to Python at once, unless the session says otherwise.
+BATCH_BYTES = 8 << 20
+_SETTING, _DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", ("67108864", "67108864b", "64m", "64MB")
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batches from Spark's default of 64 MB: long texts then need less memory."""
+    if spark.conf.get(_SETTING, None) in _DEFAULT:
+        spark.conf.set(_SETTING, str(BATCH_BYTES))
+
+
 def map_texts(df: DataFrame, text: str, keep: list[str], schema: str, work: Callable[..., dict], uses: list[str] | None = None) -> DataFrame:
     """Runs ``work`` on each block of ``text``; ``work`` gives one value per text for each new column.
 
     ``keep`` names the columns that are carried through; no other column is read, but for those in
     ``uses``: ``work`` gets them as a second argument, Arrow arrays of the block's rows.
     """
+    small_batches(df.sparkSession)
     kept = [df[c] for c in keep]
     slots = [f"k{i}" for i in range(len(keep))]
     inner = df.select(*[c.alias(s) for c, s in zip(kept, slots)], df[text].cast("string").alias("t"), *[df[c].alias(f"u{i}") for i, c in enumerate(uses or [])])
