@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from souklens.llm import bpe, fmindex, language, licences, minmax, pii, quality, warc
+from souklens.llm import bpe, fmindex, language, licences, minmax, pii, quality, warc, wrappers
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -39,6 +39,10 @@ def op1_boosted_pii(spark: SparkSession, root: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
 
 
+def op2_wrapper_text(spark: SparkSession, root: str) -> DataFrame:
+    return wrappers.extract(table(spark, root, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op3_licence_automaton(spark: SparkSession, root: str) -> DataFrame:
     return licences.scan(table(spark, root, "documents")).drop("spans")
 
@@ -67,6 +71,7 @@ def op10_quality_ratio(spark: SparkSession, root: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_boosted_pii": op1_boosted_pii,
+    "op2_wrapper_text": op2_wrapper_text,
     "op3_licence_automaton": op3_licence_automaton,
     "op4_trie_bpe": op4_trie_bpe,
     "op5_language_svm": op5_language_svm,
