@@ -261,7 +261,7 @@ _SPANS = "array<struct<kind:string,start:int,end:int>>"
 
 
 def find(docs: DataFrame, text_col: str = "text", keep: list[str] = ("doc_id",), model: Model | None = None) -> DataFrame:
-    """Personal data in every text: ``keep``, ``text`` (null: empty), ``base`` and ``spans``.
+    """Personal data in every text: ``keep``, ``text_`` (null: empty), ``base`` and ``spans``.
 
     ``base`` and ``spans`` are arrays of (kind, start, end) in code points, end exclusive, ordered by
     kind (email, ip, card, phone) and start. Base spans are the leftmost matches of each kind that
@@ -286,7 +286,7 @@ def find(docs: DataFrame, text_col: str = "text", keep: list[str] = ("doc_id",),
     df = df.withColumn("extra", F.when(F.size("extra") > 1, free).otherwise(F.col("extra")))
     own = lambda k: F.sort_array(F.concat(F.filter("base", _is(k)), F.filter("extra", _is(k))))
     spans = F.when(F.size("extra") == 0, F.col("base")).otherwise(F.concat(*[own(k) for k in KINDS]))
-    return df.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], F.col("text").alias("text") if "text" not in keep else F.col("text").alias("_text"), "base", spans.alias("spans"))
+    return df.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], F.col("text").alias("text_"), "base", spans.alias("spans"))
 
 
 def joined(spans: Column) -> Column:
@@ -304,7 +304,7 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     Overlapping spans become one, named by the first kind. Rows and other columns stay as they are.
     """
     names = docs.columns
-    found = find(docs.withColumnRenamed(text_col, "text") if text_col != "text" else docs, "text", [c if c != text_col else "text" for c in names])
+    found = find(docs, text_col, names)
     ordered = F.sort_array(F.transform("spans", lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["kind"].alias("kind"))))
     cut = "array<struct<start:int,end:int,kind:string>>"
 
@@ -314,7 +314,7 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
         return F.when((F.size(out) > 0) & (c["start"] < F.try_element_at(out, F.lit(-1))["end"]), F.concat(F.slice(out, 1, F.size(out) - 1), F.array(joined))).otherwise(F.concat(out, F.array(c)))
 
     df = found.withColumn("cuts", F.when(F.size("spans") > 1, F.aggregate(ordered, F.array().cast(cut), merge)).otherwise(ordered))
-    text = F.col("_text")
+    text = F.col("text_")
 
     def piece(c: Column, i: Column) -> Column:
         begin = F.when(i == 0, 0).otherwise(F.get("cuts", i - 1)["end"])
@@ -322,5 +322,5 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     end = F.element_at("cuts", -1)["end"]
     cleaned = F.concat(F.concat_ws("", F.transform("cuts", piece)), F.substr(text, end + 1, F.char_length(text)))
-    new = F.when(F.size("cuts") > 0, cleaned).otherwise(F.col("text"))
+    new = F.when(F.size("cuts") > 0, cleaned).otherwise(F.col(text_col))
     return df.select(*[new.alias(text_col) if c == text_col else F.col(c) for c in names])

@@ -185,6 +185,13 @@ def map_texts(df: DataFrame, text: str, keep: list[str], schema: str, work: Call
     return made.select(*[made[s].alias(c) for s, c in zip(slots, keep)], *[made[n] for n in names])
 
 
+def plain_columns(df: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``df`` with columns c0, c1, ... that clash with no operator's own, and the way back to its names."""
+    names = df.columns
+    back = lambda rows: rows.select(*[rows[f"c{i}"].alias(n) for i, n in enumerate(names)])
+    return df.toDF(*[f"c{i}" for i in range(len(names))]), back
+
+
 def split_schema(schema: str) -> list[str]:
     """The columns of a DDL string; commas inside <> don't count."""
     out, depth, start = [], 0, 0
