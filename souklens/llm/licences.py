@@ -147,8 +147,15 @@ class Scanner:
             for a, b in zip(x, x[1:]):
                 self.pairs[a, b] = True
                 self.kept_pairs[a, b] |= k < self.n_phrases and len(x) == 2
-        # phrases that end in each state, by number
-        self.phrase_ends = [sorted({k for k, i in ends if k < self.n_phrases and i == self.sizes[k] - 1}) for ends in self.automaton.ends]
+        # phrases that end wherever a state's run ends: those of the state and of its suffixes
+        self.phrase_ends: list[list[int]] = [[] for _ in self.automaton.step]
+        for k in range(self.n_phrases):
+            state = 0
+            for word in sequences[k]:
+                state = self.automaton.step[state][word]
+            self.phrase_ends[state].append(k)
+        for state in sorted(range(1, len(self.phrase_ends)), key=lambda s: self.automaton.length[s]):
+            self.phrase_ends[state] = self.phrase_ends[state] + self.phrase_ends[self.automaton.link[state]]
 
     def vocabulary_ids(self, words: np.ndarray) -> np.ndarray:
         out = np.full(len(words), len(self.hashes), np.int64)
