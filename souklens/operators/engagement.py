@@ -16,8 +16,10 @@ def relevant_entities(bookings: DataFrame, online: DataFrame, as_of: date, new_d
 
     An activity is relevant when first online within ``new_days`` or with more than
     ``min_bookings`` bookings in 365 days; the supplier needs the same at its own level.
+    Nothing after ``as_of`` counts.
     """
-    year = F.col("checkout_date") >= F.lit(as_of - timedelta(days=365))
+    year = F.col("checkout_date").between(F.lit(as_of - timedelta(days=365)), F.lit(as_of))
+    online = online.filter(F.col("day") <= F.lit(as_of))
     b = bookings.filter(year & F.col("status_id").isin(1, 2))
     per_act = b.groupBy("supplier_id", "line_id").agg(F.count(F.lit(1)).alias("n"))
     first = online.filter("is_online").groupBy("supplier_id", "activity_id").agg(F.min("day").alias("first_online"))
@@ -81,7 +83,11 @@ def frequency_distribution(entities: DataFrame, days: DataFrame, tier: str, star
 
 
 def surfaced(actions: DataFrame, start: date, as_of: date) -> DataFrame:
-    return actions.filter((F.col("surfaced_at") >= F.lit(start)) & (F.col("surfaced_at") <= F.lit(as_of)))
+    """Actions surfaced up to ``as_of``, in the state they had then: a later resolution leaves them open."""
+    later = F.coalesce(F.col("resolved_at") > F.lit(as_of), F.lit(False))
+    return actions.filter(F.col("surfaced_at").between(F.lit(start), F.lit(as_of))).withColumns({
+        "status": F.when(later & (F.col("status") == "resolved"), "active").otherwise(F.col("status")),
+        "resolved_at": F.when(~later, F.col("resolved_at"))})
 
 
 def reach_rate(entities: DataFrame, actions: DataFrame, key: str | None = None) -> DataFrame:

@@ -15,7 +15,8 @@ from souklens.functions.storage import materialise
 
 
 def since(day: Column, as_of: date, months: int) -> Column:
-    return day >= F.lit(shift_months(as_of, -months))
+    """The trailing window of so many months that ends with ``as_of``."""
+    return day.between(F.lit(shift_months(as_of, -months)), F.lit(as_of))
 
 
 def without_resellers(bookings: DataFrame, resellers: DataFrame) -> DataFrame:
@@ -23,7 +24,8 @@ def without_resellers(bookings: DataFrame, resellers: DataFrame) -> DataFrame:
 
 
 def customer_frequency(bookings: DataFrame, as_of: date, months: list[int]) -> DataFrame:
-    """Bookings per customer in every trailing window, in one pass."""
+    """Bookings per customer in every trailing window, in one pass; later bookings don't count."""
+    bookings = bookings.filter(F.col("checkout_date") <= F.lit(as_of))
     w = {m: F.max(flag(since(F.col("checkout_date"), as_of, m))).alias(f"freq_{m}") for m in months}
     per = bookings.groupBy("customer_id", "booking_id").agg(*w.values(), F.count(F.lit(1)).alias("customer_rows"))
     return per.groupBy("customer_id").agg(*[F.sum(f"freq_{m}").alias(f"freq_{m}") for m in months],
@@ -33,12 +35,13 @@ def customer_frequency(bookings: DataFrame, as_of: date, months: list[int]) -> D
 def trailing_performance(bookings: DataFrame, keys: list[str], as_of: date, months: tuple[int, ...] = (3, 6, 12)) -> DataFrame:
     """Bookings, value, tickets and customers per trailing window and over the lifetime.
 
-    The lifetime columns really cover the whole input. A customer is a repeat customer of a
+    The lifetime columns cover the whole input up to ``as_of``. A customer is a repeat customer of a
     window with more than one booking in it, anywhere. Rows are reduced to bookings, then to
     customers, then to the keys: every distinct count becomes a plain count, so nothing is
     expanded per distinct column. A booking belongs to one customer.
     """
     c, day = F.col, F.col("checkout_date")
+    bookings = bookings.filter(day <= F.lit(as_of))
     ins = {m: since(day, as_of, m) for m in months}
     last = months[-1]
     sums = {f"{v}_{m}": F.sum(F.when(ins[m], c(v))) for m in months for v in ("gmv", "nr", "tickets")}

@@ -25,15 +25,15 @@ def supplier_base(spark, root):
 
 @stage("relevant-suppliers")
 def relevant(spark, root):
-    b = mp.bookings(spark, root, [(date(2000, 6, 30), date(2001, 8, 1))], place=False)
-    return en.relevant_entities(b, mp.online_history(spark, root), AS_OF)
+    b = mp.bookings(spark, root, [(date(2000, 6, 30), AS_OF)], place=False)
+    return en.relevant_entities(b, mp.online_history(spark, root, [(date(1990, 1, 1), AS_OF)]), AS_OF)
 
 
 REL = sb.with_(sb.BOOKING, sb.ONLINE, sb.LOGIN) + f""",
-pa AS (SELECT supplier_id, line_id AS activity_id, count(*) AS n FROM booking WHERE checkout_date >= {A} - 365 AND status_id IN (1, 2) GROUP BY ALL),
-fo AS (SELECT supplier_id, activity_id, min(day) AS first_online FROM online WHERE is_online GROUP BY ALL),
+pa AS (SELECT supplier_id, line_id AS activity_id, count(*) AS n FROM booking WHERE checkout_date BETWEEN {A} - 365 AND {A} AND status_id IN (1, 2) GROUP BY ALL),
+fo AS (SELECT supplier_id, activity_id, min(day) AS first_online FROM online WHERE is_online AND day <= {A} GROUP BY ALL),
 aj AS (SELECT a.supplier_id, a.activity_id, coalesce(first_online >= {A} - 30, false) AS fresh, coalesce(n, 0) AS n
-  FROM (SELECT DISTINCT supplier_id, activity_id FROM online) a LEFT JOIN fo USING (supplier_id, activity_id) LEFT JOIN pa USING (supplier_id, activity_id)),
+  FROM (SELECT DISTINCT supplier_id, activity_id FROM online WHERE day <= {A}) a LEFT JOIN fo USING (supplier_id, activity_id) LEFT JOIN pa USING (supplier_id, activity_id)),
 rel AS (SELECT supplier_id, CAST(count(*) FILTER (fresh OR n > 1) AS BIGINT) AS relevant_activities, CAST(sum(n) AS BIGINT) AS bookings_l365, CAST(max(fresh::INTEGER) AS INTEGER) AS has_new FROM aj GROUP BY 1
   HAVING count(*) FILTER (fresh OR n > 1) > 0 AND (sum(n) > 1 OR bool_or(fresh))),
 ll AS (SELECT supplier_id, max(day) AS last_login FROM logins WHERE logins > 0 AND day <= {A} GROUP BY 1),
@@ -69,7 +69,7 @@ SEG = "CASE WHEN is_managed THEN 'Managed' ELSE 'Non-Managed' END || ' + ' || CA
 
 
 @query("login_rates_managed_connected", "C63 P16 A19", doubles=RATE_D + " avg_value:4",
-       sql=REL + f", c AS (SELECT *, {SEG} AS segment, nr FROM sb JOIN (SELECT supplier_id, sum(nr) AS nr FROM booking WHERE checkout_date >= {A} - 365 AND status_id IN (1, 2) GROUP BY 1) USING (supplier_id) WHERE is_relevant) "
+       sql=REL + f", c AS (SELECT *, {SEG} AS segment, nr FROM sb JOIN (SELECT supplier_id, sum(nr) AS nr FROM booking WHERE checkout_date BETWEEN {A} - 365 AND {A} AND status_id IN (1, 2) GROUP BY 1) USING (supplier_id) WHERE is_relevant) "
        + rates_sql("segment", "c", "nr"))
 def login_rates_managed_connected(spark, root):
     v = yearly_value(spark, root)
@@ -78,7 +78,7 @@ def login_rates_managed_connected(spark, root):
 
 
 def yearly_value(spark, root):
-    b = mp.bookings(spark, root, [(date(2000, 6, 30), date(2001, 8, 1))], place=False).filter(F.col("status_id").isin(1, 2))
+    b = mp.bookings(spark, root, [(date(2000, 6, 30), AS_OF)], place=False).filter(F.col("status_id").isin(1, 2))
     return b.groupBy("supplier_id").agg(F.sum("nr").alias("nr"))
 
 
@@ -98,7 +98,7 @@ EDGES, TIER_LABELS = [150000.0, 200000.0, 250000.0], ["low", "middle", "upper",
 
 
 @query("login_frequency", "C65 P15", doubles="pct_10_plus:5",
-       sql=REL + f""", v AS (SELECT supplier_id, sum(nr) AS nr FROM booking WHERE checkout_date >= {A} - 365 AND status_id IN (1, 2) GROUP BY 1),
+       sql=REL + f""", v AS (SELECT supplier_id, sum(nr) AS nr FROM booking WHERE checkout_date BETWEEN {A} - 365 AND {A} AND status_id IN (1, 2) GROUP BY 1),
 m AS (SELECT supplier_id, avg(l) AS a FROM (SELECT supplier_id, date_trunc('month', day) AS mo, sum(logins) AS l FROM logins
    WHERE is_active AND day >= DATE '2001-04-01' AND day < DATE '2001-07-01' GROUP BY ALL) GROUP BY 1),
 b AS (SELECT CASE WHEN nr IS NULL OR nr = 0 THEN 'none' WHEN nr < 150000 THEN 'low' WHEN nr < 200000 THEN 'middle' WHEN nr < 250000 THEN 'upper' ELSE 'high' END AS tier, coalesce(a, 0) AS a
@@ -116,7 +116,10 @@ def actions(spark, root, start=LAUNCH):
     return en.surfaced(mp.supplier_actions(spark, root, [(start, AS_OF)]), start, AS_OF)
 
 
-ACT = f"a AS (SELECT * FROM act WHERE surfaced_at BETWEEN DATE '1999-01-01' AND {A})"
+# what happened after the day is not known on it
+THEN = f"""* REPLACE (CASE WHEN status = 'resolved' AND resolved_at > {A} THEN 'active' ELSE status END AS status,
+  CASE WHEN resolved_at <= {A} THEN resolved_at END AS resolved_at)"""
+ACT = f"a AS (SELECT {THEN} FROM act WHERE surfaced_at BETWEEN DATE '1999-01-01' AND {A})"
 ACTS = sb.with_(sb.ACTION) + "," + ACT
 REACHED = REL + "," + sb.ACTION.replace(sb.LINES + ",", "") + "," + ACT + ", sn AS (SELECT DISTINCT supplier_id FROM a), rs AS (SELECT rel.supplier_id, is_managed, sn.supplier_id IS NOT NULL AS r FROM rel JOIN sup USING (supplier_id) LEFT JOIN sn USING (supplier_id))"
 
@@ -191,7 +194,7 @@ def action_conversion_by_managed(spark, root):
 
 TIER = "CASE WHEN n <= 1 THEN 'Single-Use' WHEN n = 2 THEN 'Occasional' WHEN n <= 9 THEN 'Regular' ELSE 'Power User' END"
 START2 = date(2001, 4, 1)
-ACT2 = sb.with_(sb.ACTION) + f", a AS (SELECT * FROM act WHERE surfaced_at BETWEEN DATE '2001-04-01' AND {A})"
+ACT2 = sb.with_(sb.ACTION) + f", a AS (SELECT {THEN} FROM act WHERE surfaced_at BETWEEN DATE '2001-04-01' AND {A})"
 
 
 @query("engagement_tiers", "C69", doubles="share_pct:5",
@@ -211,7 +214,7 @@ def time_to_resolution(spark, root):
 
 
 @query("cohort_migration", "C71", doubles="share_pct:5",
-       sql=sb.with_(sb.ACTION) + f""", a AS (SELECT * FROM act WHERE surfaced_at BETWEEN DATE '2000-12-01' AND {A}),
+       sql=sb.with_(sb.ACTION) + f""", a AS (SELECT {THEN} FROM act WHERE surfaced_at BETWEEN DATE '2000-12-01' AND {A}),
 p AS (SELECT supplier_id, count(*) FILTER (surfaced_at < DATE '2000-12-15') AS ia, count(*) FILTER (surfaced_at < DATE '2001-03-01') AS n FROM a WHERE status = 'resolved' GROUP BY 1)
 SELECT {TIER} AS tier, count(*) AS suppliers, 100.0::DOUBLE * count(*) / sum(count(*)) OVER () AS share_pct FROM p WHERE ia = 1 GROUP BY 1""")
 def cohort_migration(spark, root):

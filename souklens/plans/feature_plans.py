@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import date
+from decimal import Decimal
 
 from pyspark.sql import functions as F
 
@@ -91,39 +92,41 @@ def parent_feature_rollup(spark, root):
 
 
 # customers with an account far in the red stand for resellers
-def performance_base(spark, root):
+def performance_base(spark, root, as_of=AS_OF):
     from souklens.sources.tables import read_table
 
-    b = mp.bookings(spark, root, place=False).filter(F.col("status_id") == 1)
+    b = mp.bookings(spark, root, [(date(1990, 1, 1), as_of)], place=False).filter(F.col("status_id") == 1)
     resellers = read_table(spark, "customer", root).filter(F.col("c_acctbal") < -500).select(F.col("c_custkey").alias("customer_id"))
     return ranking.without_resellers(b, resellers)
 
 
-def performance(spark, root):
-    p = ranking.trailing_performance(performance_base(spark, root), KEYS, AS_OF)
-    return p.withColumn("listing_id", F.col("activity_id") * 1048576 + F.col("supplier_id"))
+def performance(spark, root, as_of=AS_OF):
+    p = ranking.trailing_performance(performance_base(spark, root, as_of), KEYS, as_of)
+    # one number for both ids, whatever their size
+    both = F.col("activity_id").cast("decimal(19,0)") * F.lit(Decimal(10) ** 19) + F.col("supplier_id").cast("decimal(19,0)")
+    return p.withColumn("listing_id", both.cast("decimal(38,0)"))
 
 
-def tiered(spark, root):
-    return ranking.with_value_tiers(performance(spark, root), "gmv_l12m", "listing_id", ["bookings_l12m", "nr_l12m", "avg_booking_value"])
+def tiered(spark, root, as_of=AS_OF):
+    return ranking.with_value_tiers(performance(spark, root, as_of), "gmv_l12m", "listing_id", ["bookings_l12m", "nr_l12m", "avg_booking_value"])
 
 
-def perf_sql() -> str:
-    w = lambda m: f"checkout_date >= DATE '2001-08-01' - INTERVAL {m} MONTH"
+def perf_sql(as_of: date = AS_OF) -> str:
+    w = lambda m: f"checkout_date >= DATE '{as_of}' - INTERVAL {m} MONTH"
     cols = []
     for m in (3, 6, 12):
         cols.append(f"""count(DISTINCT booking_id) FILTER ({w(m)}) AS bookings_l{m}m, sum(gmv) FILTER ({w(m)}) AS gmv_l{m}m,
       sum(nr) FILTER ({w(m)}) AS nr_l{m}m, sum(tickets) FILTER ({w(m)}) AS tickets_l{m}m, count(DISTINCT customer_id) FILTER ({w(m)}) AS customers_l{m}m,
       100.0::DOUBLE * count(DISTINCT customer_id) FILTER ({w(m)} AND f{m} > 1) / nullif(count(DISTINCT customer_id) FILTER ({w(m)}), 0) AS repeat_rate_l{m}m""")
     return sb.with_(sb.BOOKING) + f""",
-pb AS (SELECT * FROM booking WHERE status_id = 1 AND customer_id NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < -500)),
+pb AS (SELECT * FROM booking WHERE status_id = 1 AND checkout_date <= DATE '{as_of}' AND customer_id NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < -500)),
 fq AS (SELECT customer_id, {', '.join(f'count(DISTINCT booking_id) FILTER ({w(m)}) AS f{m}' for m in (3, 6, 12))} FROM pb GROUP BY ALL),
 perf0 AS (SELECT activity_id, supplier_id, {', '.join(cols)}, count(DISTINCT booking_id) AS bookings_lifetime, sum(gmv) AS gmv_lifetime,
    sum(nr) AS nr_lifetime, avg(gmv) FILTER ({w(12)}) AS avg_booking_value, avg(tickets) FILTER ({w(12)}) AS avg_tickets,
    max(checkout_date) AS last_booking_date, min(checkout_date) AS first_booking_date FROM pb JOIN fq USING (customer_id) GROUP BY ALL),
-perf AS (SELECT *, CAST(DATE '2001-08-01' - last_booking_date AS INTEGER) AS days_since_last_booking,
+perf AS (SELECT *, CAST(DATE '{as_of}' - last_booking_date AS INTEGER) AS days_since_last_booking,
    CASE WHEN bookings_l6m > 0 THEN 100.0::DOUBLE * (bookings_l3m * 2 - bookings_l6m) / bookings_l6m END AS growth_pct,
-   activity_id * 1048576 + supplier_id AS listing_id FROM perf0),
+   CAST(activity_id::HUGEINT * 10000000000000000000::HUGEINT + supplier_id AS DECIMAL(38,0)) AS listing_id FROM perf0),
 tier0 AS (SELECT *, percent_rank() OVER (ORDER BY gmv_l12m NULLS FIRST) * 100 AS gmv_l12m_percentile,
    percent_rank() OVER (ORDER BY bookings_l12m NULLS FIRST) * 100 AS bookings_l12m_percentile,
    percent_rank() OVER (ORDER BY nr_l12m NULLS FIRST) * 100 AS nr_l12m_percentile,
@@ -148,6 +151,15 @@ def trailing_performance(spark, root):
     return tiered(spark, root)
 
 
+MIDDLE = date(1999, 1, 1)
+
+
+@query("trailing_performance_then", "C43 A20 A21 A22", doubles=PERF_D + TIER_D, sql=perf_sql(MIDDLE) + " SELECT * FROM tier")
+def trailing_performance_then(spark, root):
+    """The same on a day in the middle of the data: nothing later counts."""
+    return tiered(spark, root, MIDDLE)
+
+
 @stage("listings")
 def listings(spark, root):
     """One row per listing: features, performance, country, type and opportunity columns."""
