@@ -21,12 +21,14 @@ from souklens.functions.storage import materialise
 
 SMALL = 1_000_000        # up to this many rows one window task is cheaper than the extra passes
 BUCKET_ROWS = 2_000_000  # wanted rows per bucket
-MIN_BUCKETS, MAX_BUCKETS = 16, 4096
+MIN_BUCKETS = 16
+# running sums of doubles are added as decimals, which gives the same bits in any order of rows
+EXACT = "decimal(38,9)"
 
 
 def bucket_count(rows: int) -> int:
-    """Buckets grow with the data, within bounds that keep the split list short."""
-    return max(MIN_BUCKETS, min(MAX_BUCKETS, -(-rows // BUCKET_ROWS)))
+    """Buckets grow with the data, so that each keeps its size."""
+    return max(MIN_BUCKETS, -(-rows // BUCKET_ROWS))
 
 
 def split_points(df: DataFrame, cols: list[str], buckets: int) -> list[list[float]]:
@@ -74,6 +76,13 @@ def ordered(df: DataFrame, value: str, tie: str | None = None, keys: list[str] |
     """
     keys, running = list(keys or []), dict(running or {})
     src = df if prepared else materialise(df)
+    inexact = {n: src.schema[c].dataType.typeName() in ("double", "float") for n, c in running.items()}
+    if any(inexact.values()):
+        names = {n: f"_r_{n}" if inexact[n] else c for n, c in running.items()}
+        exact = src.withColumns({names[n]: F.col(c).cast(EXACT) for n, c in running.items() if inexact[n]})
+        done = ordered(exact, value, tie, keys, descending, names, buckets, True, small)
+        both = lambda n: [F.col(x).cast("double").alias(x) if inexact[n] else F.col(x) for x in (n, f"{n}_total")]
+        return done.select(*src.columns, "pos", "n_rows", *[both(n)[0] for n in running], *[both(n)[1] for n in running])
     v = F.col(value).desc() if descending else F.col(value).asc()
     rows = src.count()       # read from the file footers
     if rows <= (SMALL if small is None else small):
@@ -105,7 +114,7 @@ def ordered(df: DataFrame, value: str, tie: str | None = None, keys: list[str] |
     cond = (F.col("_b") == F.col("_kb")) & (F.col("_s") == F.col("_ks"))
     for k in keys:
         cond = cond & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    j = src.join(offs if keys else F.broadcast(offs), cond)
+    j = src.join(offs, cond)
 
     part = Window.partitionBy(*keys, "_b", "_s")
     by_row = part.orderBy(*([v, F.col(tie).asc()] if tie else [v])).rowsBetween(Window.unboundedPreceding, 0)
