@@ -16,6 +16,7 @@ from souklens.functions.labels import depth_level, size_band
 from souklens.functions.ordering import ordered
 from souklens.functions.quantiles import exact_quantiles, quantile_values
 from souklens.functions.ratios import flag, ratio, share_pct
+from souklens.functions.skew import broadcast_if_small
 from souklens.functions.storage import materialise
 
 
@@ -74,6 +75,7 @@ PRIME = 2147483647   # fixed value: modulus of the replicate hash
 
 def replicate_uniform(key: Column, r: Column) -> Column:
     """Reproducible number in [0, 1) from a key and a replicate number, whole-number steps only."""
+    key = (key % PRIME).cast("long")
     t = (key % PRIME * 48271 + r * 69621 + 1) % PRIME
     t = (t * t + r * 40692 + key % PRIME) % PRIME
     t = (t * t + key % PRIME * 16807) % PRIME
@@ -245,7 +247,7 @@ def quartiles_within(df: DataFrame, segment: str, value: str, out: str = "quarti
     v = F.col(value)
     tier = (F.when(F.coalesce(v, F.lit(0.0)) <= 0, "none").when(v <= F.col("q1"), "Q1").when(v <= F.col("q2"), "Q2")
             .when(v <= F.col("q3"), "Q3").otherwise("Q4"))
-    return df.join(cuts, segment, "left").withColumn(out, tier).drop("q1", "q2", "q3")
+    return df.join(broadcast_if_small(cuts), segment, "left").withColumn(out, tier).drop("q1", "q2", "q3")
 
 
 def quartile_gap(df: DataFrame, features: list[str], segment: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from souklens.functions.periods import spread_over_weeks, week_list
 from souklens.functions.ratios import flag, ratio, sum_if
+from souklens.functions.skew import broadcast_if_small
 
 KEYS = ["week_start", "country_name"]
 
@@ -153,7 +154,8 @@ def with_own_index(week_prices: DataFrame, st: Study, low: float = 0.5, high: fl
 def to_eur(df: DataFrame, fx: DataFrame, day: str, amounts: dict[str, str]) -> DataFrame:
     """Divide by the rate (units per EUR) of the day; EUR is 1, rows without a usable rate drop out."""
     r = fx.filter(F.col("rate") > 0).select("currency", F.col("rate_date").alias(day), "rate")
-    j = df.join(r, ["currency", day], "left").filter((F.col("currency") == "EUR") | F.col("rate").isNotNull())
+    # a row per currency and day; the days are those that the rates were asked for
+    j = df.join(broadcast_if_small(r), ["currency", day], "left").filter((F.col("currency") == "EUR") | F.col("rate").isNotNull())
     rate = F.when(F.col("currency") == "EUR", F.lit(1.0)).otherwise(F.col("rate"))
     return j.withColumns({out: F.col(c) / rate for c, out in amounts.items()}).drop("rate")
 
@@ -183,7 +185,8 @@ def winsor_caps(df: DataFrame, keys: list[str], cols: list[str], p: float) -> Da
 def realised_weekly(bookings: DataFrame, acts: DataFrame, st: Study, cap_at: float = 0.99) -> DataFrame:
     """Country-week sums of capped values, and the mean of supplier commission rates."""
     b = cohort_bookings(bookings, acts, st)
-    capped = b.join(winsor_caps(b, ["country_name"], ["gmv", "nr"], cap_at), "country_name")
+    # a row per country: broadcast after a count, so that the facts stay where they are
+    capped = b.join(broadcast_if_small(winsor_caps(b, ["country_name"], ["gmv", "nr"], cap_at)), "country_name")
     paid = F.col("gmv") > 0
     per = capped.groupBy(week_of("checkout_date").alias("week_start"), "country_name", "supplier_id").agg(
         F.countDistinct("booking_id").alias("bookings"), F.sum("tickets").alias("tickets"),

@@ -51,12 +51,13 @@ def unique_check(df: DataFrame, key: str) -> DataFrame:
 
 
 def reconcile(a: DataFrame, b: DataFrame, keys: list[str], metrics: list[str], ok: float = 0.01, check: float = 0.05) -> DataFrame:
-    """Largest relative difference per metric between two tables, with a verdict."""
-    j = a.select(*keys, *[F.col(m).alias(f"a_{m}") for m in metrics]).join(
-        b.select(*keys, *[F.col(m).alias(f"b_{m}") for m in metrics]), keys)
-    g = j.agg(F.count(F.lit(1)).alias("n"), *[
+    """Largest relative difference per metric between two tables, and a verdict; a row that only one has is a mismatch."""
+    one, two = F.lit(True).alias("_a"), F.lit(True).alias("_b")
+    j = a.select(*keys, one, *[F.col(m).alias(f"a_{m}") for m in metrics]).join(
+        b.select(*keys, two, *[F.col(m).alias(f"b_{m}") for m in metrics]), keys, "full")
+    g = j.agg(F.sum(flag(F.col("_a") & F.col("_b"))).alias("n"), F.sum(flag(F.col("_b").isNull())).alias("l"), F.sum(flag(F.col("_a").isNull())).alias("r"), *[
         F.max(F.abs(F.col(f"a_{m}") - F.col(f"b_{m}")) / F.nullif(F.abs(f"b_{m}"), F.lit(0.0))).alias(m) for m in metrics])
-    long = g.unpivot(["n"], metrics, "metric", "max_rel_diff")
+    long = g.unpivot(["n", "l", "r"], metrics, "metric", "max_rel_diff")
     d = F.col("max_rel_diff")
-    verdict = F.when(d < ok, "OK").when(d < check, "check").otherwise("MISMATCH")
-    return long.select("metric", F.col("n").alias("matched_rows"), "max_rel_diff", verdict.alias("verdict"))
+    verdict = F.when(F.col("l") + F.col("r") > 0, "MISMATCH").when(d < ok, "OK").when(d < check, "check").otherwise("MISMATCH")
+    return long.select("metric", F.coalesce("n", F.lit(0)).alias("matched_rows"), F.coalesce("l", F.lit(0)).alias("only_left"), F.coalesce("r", F.lit(0)).alias("only_right"), "max_rel_diff", verdict.alias("verdict"))

@@ -27,7 +27,7 @@ def options(spark, root):
     s = mp.suppliers(spark, root).select("supplier_id", F.col("country_name").alias("location"), F.when(F.col("nation_id") % 3 == 0, "EUR")
                                          .when(F.col("nation_id") % 3 == 1, "USD").otherwise("GBP").alias("currency"))
     # one row per currency
-    fx = mp.fx_rates(spark, root).filter(F.col("rate_date") == F.lit(AS_OF)).select("currency", "rate")
+    fx = mp.fx_rates(spark, root, [(AS_OF, AS_OF)]).filter(F.col("rate_date") == F.lit(AS_OF)).select("currency", "rate")
     s = broadcast_if_small(s, row_count(spark, "supplier", root))
     a = mp.activity_dim(spark, root, "title", "activity_type", "category")
     rate = F.coalesce("rate", F.lit(1.0))

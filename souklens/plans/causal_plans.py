@@ -17,7 +17,17 @@ TREATED = ["NATION_1", "NATION_3"]
 CONTROL = ["NATION_5", "NATION_6", "NATION_7", "NATION_9", "NATION_11", "NATION_14"]
 METRICS = ["pct_active_suppliers", "pct_online_per_supplier", "bookings_per_supplier", "gmv_per_supplier",
            "nr_per_supplier", "commission_rate_per_supplier"]
-SURCHARGE = {"NATION_1": 1.8, "NATION_3": 5.25, "NATION_6": 3.1, "NATION_9": 1.65}
+# invented rates, in per cent
+SURCHARGE = {"NATION_1": 2.0, "NATION_3": 4.0, "NATION_6": 3.0, "NATION_9": 1.0}
+# behaviours looked for: a change of a supplier's measure, and the direction that counts
+REACTIONS = {
+    "fewer_active_days": ("active_delta", -1),
+    "smaller_share_online": ("pct_online_rel", -1),
+    "lower_date_coverage": ("coverage_rel", -1),
+    "higher_price_index": ("price_idx_post", 1),
+    "lower_commission": ("commission_delta", -1),
+}
+FLAG_COLS = ["flag_exited"] + [f"flag_{f}" for f in REACTIONS]
 T_SUP = ["NATION_1", "NATION_3", "NATION_6", "NATION_9"]
 
 
@@ -104,7 +114,11 @@ def complete_panel(spark, root):
 
 def flagged(spark, root):
     e = causal.with_deltas(causal.with_dose(pp.entity_frame(spark, root), SURCHARGE))
-    return causal.reaction_flags(e, causal.control_scales(e, ~F.col("country_name").isin(T_SUP)))
+    return causal.reaction_flags(e, causal.control_scales(e, ~treated(), REACTIONS), REACTIONS)
+
+
+def treated():
+    return F.col("country_name").isin(T_SUP)
 
 
 TL = ", ".join(repr(c) for c in T_SUP)
@@ -120,59 +134,59 @@ dl AS (SELECT *, base_rate * (1 + surcharge_pct / 100) AS effective_rate, base_r
     f"quantile_cont({c}, 0.5) FILTER (NOT t) AS med_{f}, " +
     (f"quantile_cont({c}, 0.95) FILTER (NOT t) - quantile_cont({c}, 0.5) FILTER (NOT t)" if sign > 0 else
      f"quantile_cont({c}, 0.5) FILTER (NOT t) - quantile_cont({c}, 0.05) FILTER (NOT t)") + f" AS tail_{f}"
-    for f, (c, sign) in causal.FLAGS.items()) + " FROM dl),\nsv AS (SELECT dl.*, " + ", ".join(
+    for f, (c, sign) in REACTIONS.items()) + " FROM dl),\nsv AS (SELECT dl.*, " + ", ".join(
     f"CASE WHEN {c} IS NULL OR med_{f} IS NULL THEN NULL WHEN tail_{f} IS NULL OR tail_{f} <= 0 THEN CASE WHEN {sign} * ({c} - med_{f}) > 0 THEN 9.99::DOUBLE ELSE 0.0::DOUBLE END "
     f"ELSE least(greatest({sign} * ({c} - med_{f}) / tail_{f}, 0.0), 9.99) END AS severity_{f}"
-    for f, (c, sign) in causal.FLAGS.items()) + """ FROM dl, q),
+    for f, (c, sign) in REACTIONS.items()) + """ FROM dl, q),
 fl0 AS (SELECT *, coalesce(active_share_pre > 0 AND active_share_post = 0, false) AS flag_exited, """ + ", ".join(
-    f"coalesce(severity_{f}, 0) >= 1 AS flag_{f}" for f in causal.FLAGS) + """ FROM sv),
-fl AS (SELECT *, """ + " + ".join(f"{c}::INTEGER" for c in causal.FLAG_COLS) + """ AS n_flags FROM fl0),
+    f"coalesce(severity_{f}, 0) >= 1 AS flag_{f}" for f in REACTIONS) + """ FROM sv),
+fl AS (SELECT *, """ + " + ".join(f"{c}::INTEGER" for c in FLAG_COLS) + """ AS n_flags FROM fl0),
 fin AS (SELECT *, n_flags > 0 AS any_flag, CASE WHEN n_flags > 0 THEN gmv_pre ELSE 0 END AS value_at_risk FROM fl)"""
-SEVS = " ".join(f"severity_{f}:5" for f in causal.FLAGS)
+SEVS = " ".join(f"severity_{f}:5" for f in REACTIONS)
 
 
 @query("reaction_flags", "C29 C32 A10 F4", doubles=SEVS + " value_at_risk:2 projected_amount:4 effective_rate",
        sql=FLAG_SQL + " SELECT supplier_id, country_name, n_flags, any_flag, value_at_risk, projected_amount, effective_rate, " +
-       ", ".join(causal.FLAG_COLS) + ", " + ", ".join(f"severity_{f}" for f in causal.FLAGS) + " FROM fin")
+       ", ".join(FLAG_COLS) + ", " + ", ".join(f"severity_{f}" for f in REACTIONS) + " FROM fin")
 def reaction_flags(spark, root):
     return flagged(spark, root).select("supplier_id", "country_name", "n_flags", "any_flag", "value_at_risk", "projected_amount",
-                                       "effective_rate", *causal.FLAG_COLS, *[f"severity_{f}" for f in causal.FLAGS])
+                                       "effective_rate", *FLAG_COLS, *[f"severity_{f}" for f in REACTIONS])
 
 
 @query("flag_excess_rates", "C30", doubles="treatment_rate control_rate excess",
        sql=FLAG_SQL + " " + " UNION ALL ".join(
            f"SELECT '{c}' AS flag, avg({c}::INTEGER) FILTER (t) AS treatment_rate, avg({c}::INTEGER) FILTER (NOT t) AS control_rate, "
-           f"avg({c}::INTEGER) FILTER (t) - avg({c}::INTEGER) FILTER (NOT t) AS excess FROM fin" for c in causal.FLAG_COLS))
+           f"avg({c}::INTEGER) FILTER (t) - avg({c}::INTEGER) FILTER (NOT t) AS excess FROM fin" for c in FLAG_COLS))
 def flag_excess_rates(spark, root):
-    return causal.flag_excess_rates(flagged(spark, root), F.col("country_name").isin(T_SUP))
+    return causal.flag_excess_rates(flagged(spark, root), treated())
 
 
 @query("flags_by_country", "C30", doubles="value_at_risk:2",
-       sql=FLAG_SQL + " SELECT country_name, " + ", ".join(f"CAST(sum({c}::INTEGER) AS BIGINT) AS {c}" for c in causal.FLAG_COLS) +
-       ", CAST(sum(any_flag::INTEGER) AS BIGINT) AS any_flag, count(*) AS suppliers, sum(value_at_risk) AS value_at_risk FROM fin GROUP BY 1")
+       sql=FLAG_SQL + " SELECT country_name, " + ", ".join(f"CAST(sum({c}::INTEGER) AS BIGINT) AS {c}" for c in FLAG_COLS) +
+       ", CAST(sum(any_flag::INTEGER) AS BIGINT) AS any_flag, count(*) AS suppliers, sum(value_at_risk) AS value_at_risk FROM fin WHERE t GROUP BY 1")
 def flags_by_country(spark, root):
-    return causal.flags_by_country(flagged(spark, root))
+    return causal.flags_by_country(flagged(spark, root), treated())
 
 
 @query("flag_combinations", "C30 A24",
        sql=FLAG_SQL + " SELECT concat_ws(' + ', " + ", ".join(
-           f"CASE WHEN {c} THEN '{c.replace('flag_', '')}' END" for c in causal.FLAG_COLS) +
-       ") AS combination, count(*) AS suppliers FROM fin WHERE n_flags >= 2 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
+           f"CASE WHEN {c} THEN '{c.replace('flag_', '')}' END" for c in FLAG_COLS) +
+       ") AS combination, count(*) AS suppliers FROM fin WHERE t AND n_flags >= 2 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
 def flag_combinations(spark, root):
-    return causal.flag_combinations(flagged(spark, root))
+    return causal.flag_combinations(flagged(spark, root), treated())
 
 
 @query("dose_by_flag", "C30 C32", doubles="avg_rate_increase:8",
-       sql=FLAG_SQL + " SELECT any_flag, avg(rate_increase) AS avg_rate_increase, count(*) AS suppliers FROM fin GROUP BY 1")
+       sql=FLAG_SQL + " SELECT any_flag, avg(rate_increase) AS avg_rate_increase, count(*) AS suppliers FROM fin WHERE t GROUP BY 1")
 def dose_by_flag(spark, root):
-    return causal.dose_by_flag(flagged(spark, root))
+    return causal.dose_by_flag(flagged(spark, root), treated())
 
 
 @query("action_list", "C31 O2", doubles="value_at_risk:2 projected_amount:4",
-       sql=FLAG_SQL + " SELECT supplier_id, country_name, n_flags, value_at_risk, projected_amount FROM fin WHERE any_flag "
+       sql=FLAG_SQL + " SELECT supplier_id, country_name, n_flags, value_at_risk, projected_amount FROM fin WHERE t AND any_flag "
        "ORDER BY value_at_risk DESC, supplier_id LIMIT 25")
 def action_list(spark, root):
-    return causal.action_list(flagged(spark, root)).select("supplier_id", "country_name", "n_flags", "value_at_risk", "projected_amount")
+    return causal.action_list(flagged(spark, root), treated()).select("supplier_id", "country_name", "n_flags", "value_at_risk", "projected_amount")
 
 
 BOUNDS = {c: (0.0, 1.0) for c in ("pct_active_suppliers", "pct_online_per_supplier", "pct_days_with_slots")}
@@ -189,9 +203,8 @@ c AS (SELECT '25 units present' AS check_name, count(*) = 25 AS ok, count(*) AS
   """ + " ".join(f"UNION ALL SELECT '{c} in [0.0, 1.0]', count(*) FILTER (NOT {c} BETWEEN 0 AND 1) = 0, count(*) FILTER (NOT {c} BETWEEN 0 AND 1) FROM supply" for c in BOUNDS) + """
   UNION ALL SELECT 'active_suppliers <= cohort_suppliers', count(*) FILTER (active_suppliers > cohort_suppliers) = 0, count(*) FILTER (active_suppliers > cohort_suppliers) FROM supply
   UNION ALL SELECT 'active_activities <= cohort_activities', count(*) FILTER (active_activities > cohort_activities) = 0, count(*) FILTER (active_activities > cohort_activities) FROM supply
-  UNION ALL SELECT 'supplier_id is unique', count(*) = count(DISTINCT supplier_id), count(*) - count(DISTINCT supplier_id) FROM ent)
-SELECT check_name, CASE WHEN ok THEN 'PASS' ELSE 'FAIL' END AS result, CAST(f AS VARCHAR) AS found FROM c""".replace(
-           "FROM ent", "FROM sizes"))
+  UNION ALL SELECT 'supplier_id is unique', count(*) = count(DISTINCT supplier_id), count(*) - count(DISTINCT supplier_id) FROM sizes)
+SELECT check_name, CASE WHEN ok THEN 'PASS' ELSE 'FAIL' END AS result, CAST(f AS VARCHAR) AS found FROM c""")
 def data_checks(spark, root):
     a = pp.acts(spark, root)
     p = materialise(pp.supply(spark, root, a))
@@ -203,11 +216,12 @@ def data_checks(spark, root):
 @query("reconcile_panels", "C34", doubles="max_rel_diff",
        sql=pp.COHORT + """, o AS (SELECT week_start, country_name, count(DISTINCT booking_id) AS bookings, sum(gmv) AS gmv, sum(tickets) AS tickets
   FROM (SELECT *, CAST(date_trunc('week', checkout_date) AS DATE) AS week_start FROM cb) GROUP BY ALL),
-j AS (SELECT a.bookings AS ab, o.bookings AS ob, a.gmv AS ag, o.gmv AS og, a.tickets AS at_, o.tickets AS ot FROM cwk a JOIN o USING (week_start, country_name)),
-r AS (SELECT count(*) AS n, max(abs(ab - ob) / nullif(abs(ob), 0)) AS b, max(abs(ag - og) / nullif(abs(og), 0)) AS g,
+j AS (SELECT a.bookings AS ab, o.bookings AS ob, a.gmv AS ag, o.gmv AS og, a.tickets AS at_, o.tickets AS ot FROM cwk a FULL JOIN o USING (week_start, country_name)),
+r AS (SELECT count(*) FILTER (ab IS NOT NULL AND ob IS NOT NULL) AS n, count(*) FILTER (ob IS NULL) AS l, count(*) FILTER (ab IS NULL) AS rr, max(abs(ab - ob) / nullif(abs(ob), 0)) AS b, max(abs(ag - og) / nullif(abs(og), 0)) AS g,
         max(abs(at_ - ot) / nullif(abs(ot), 0)) AS t FROM j),
-u AS (SELECT 'bookings' AS metric, n AS matched_rows, b AS max_rel_diff FROM r UNION ALL SELECT 'gmv', n, g FROM r UNION ALL SELECT 'tickets', n, t FROM r)
-SELECT *, CASE WHEN max_rel_diff < 0.01 THEN 'OK' WHEN max_rel_diff < 0.05 THEN 'check' ELSE 'MISMATCH' END AS verdict FROM u""")
+u AS (SELECT 'bookings' AS metric, n AS matched_rows, l AS only_left, rr AS only_right, b AS max_rel_diff FROM r
+  UNION ALL SELECT 'gmv', n, l, rr, g FROM r UNION ALL SELECT 'tickets', n, l, rr, t FROM r)
+SELECT *, CASE WHEN only_left + only_right > 0 THEN 'MISMATCH' WHEN max_rel_diff < 0.01 THEN 'OK' WHEN max_rel_diff < 0.05 THEN 'check' ELSE 'MISMATCH' END AS verdict FROM u""")
 def reconcile_panels(spark, root):
     a = pp.acts(spark, root)
     b = mp.bookings(spark, root, pp.ST.ranges())

@@ -64,7 +64,7 @@ WSQL = "CASE " + " ".join(f"WHEN u < {p!r}::DOUBLE THEN {k}" for k, p in enumera
 @query("bootstrap_lift", "C48", doubles="lift_mean_pct:5 ci_low_pct:5 ci_high_pct:5",
        sql=SOLD + f""", m AS (SELECT * FROM {melt_sql('sold', 'listing_id, gmv_lifetime AS x0', ['has_addons', 'has_scale'])}),
 c AS (SELECT feature, has, quantile_cont(x0, 0.01) AS lo, quantile_cont(x0, 0.99) AS hi, count(*) AS n FROM m GROUP BY 1, 2),
-x AS (SELECT m.feature, m.has, listing_id % {P} AS k, least(greatest(x0, lo), hi) AS x, n FROM m JOIN c USING (feature, has)),
+x AS (SELECT m.feature, m.has, CAST(listing_id % {P} AS BIGINT) AS k, least(greatest(x0, lo), hi) AS x, n FROM m JOIN c USING (feature, has)),
 t1 AS (SELECT *, (k * 48271 + r * 69621 + 1) % {P} AS t FROM x, (SELECT unnest(range(1, {BOOT + 1})) AS r)),
 t2 AS (SELECT * REPLACE ((t * t + r * 40692 + k) % {P} AS t) FROM t1),
 t3 AS (SELECT *, ((t * t + k * 16807) % {P}) / {P}.0::DOUBLE AS u FROM t2),
@@ -387,13 +387,12 @@ def concentration_curve(spark, root):
     return ranking.concentration_curve(by_supplier(spark, root).select("supplier_id", "supplier_value"), "supplier_id", "supplier_value")
 
 
-@query("activity_size_bands", "C73", doubles="total_value:2 median_per_listing:6",
-       sql=LISTING_SQL + """, a AS (SELECT activity_id, count(*) AS listings, sum(gmv_lifetime) AS supplier_value FROM lst GROUP BY 1),
+@query("supplier_size_bands", "C73", doubles="total_value:2 median_per_listing:6",
+       sql=LISTING_SQL + """, a AS (SELECT supplier_id, count(*) AS listings, sum(gmv_lifetime) AS supplier_value FROM lst GROUP BY 1),
 b AS (SELECT *, CASE WHEN listings <= 1 THEN '1' WHEN listings <= 3 THEN '2-3' WHEN listings <= 7 THEN '4-7' WHEN listings <= 15 THEN '8-15' ELSE '16+' END AS band FROM a)
 SELECT band, count(*) AS suppliers, CAST(sum(listings) AS BIGINT) AS listings, sum(supplier_value) AS total_value, quantile_cont(supplier_value / listings, 0.5) AS median_per_listing FROM b GROUP BY 1""")
-def activity_size_bands(spark, root):
-    # sellers per activity: the given suppliers all have long lists
-    a = listings(spark, root).groupBy("activity_id").agg(F.count(F.lit(1)).alias("listings"), F.sum(VALUE).alias("supplier_value"))
+def supplier_size_bands(spark, root):
+    a = listings(spark, root).groupBy("supplier_id").agg(F.count(F.lit(1)).alias("listings"), F.sum(VALUE).alias("supplier_value"))
     return lift.size_bands(a)
 
 

@@ -116,7 +116,7 @@ def relative_price_index(spark, root):
 
 def price_panel(spark, root, a):
     p = mp.prices(spark, root, [(ST.start, ST.ranges()[1][1])])
-    return panel.relative_price_index(p, a, mp.fx_rates(spark, root), ST)
+    return panel.relative_price_index(p, a, mp.fx_rates(spark, root, ST.ranges()), ST)
 
 
 @query("realised_yoy_panel", "C21 A23 J7 A15", doubles=REAL_D, sql=COHORT + " SELECT * FROM realised")

@@ -159,9 +159,9 @@ def prices(spark: SparkSession, root: str, ranges=None) -> DataFrame:
     return p.join(broadcast_if_small(s, row_count(spark, "supplier", root)), "supplier_id")
 
 
-def fx_rates(spark: SparkSession, root: str) -> DataFrame:
-    """Units of currency per 1 EUR, one row per currency and order day."""
-    days = orders(spark, root).select(F.to_date("o_orderdate").alias("rate_date")).distinct()
+def fx_rates(spark: SparkSession, root: str, ranges=None) -> DataFrame:
+    """Units of currency per 1 EUR, one row per currency and order day of the ranges."""
+    days = orders(spark, root, ranges).select(F.to_date("o_orderdate").alias("rate_date")).distinct()
     step = (F.dayofyear("rate_date") % 40) / 100.0
     return days.select("rate_date", F.explode(F.array(
         F.struct(F.lit("USD").alias("currency"), (1.0 + step).alias("rate")),

@@ -224,15 +224,21 @@ def test_reaction_flags(spark):
              entity(103, "t", active_share_post=0.9)]
     schema = ", ".join(f"{k} {'bigint' if k == 'supplier_id' else 'string' if k == 'country_name' else 'double'}" for k in rows[0])
     e = causal.with_deltas(causal.with_dose(spark.createDataFrame([tuple(r.values()) for r in rows], schema), {"t": 5.0}))
-    f = causal.reaction_flags(e, causal.control_scales(e, F.col("country_name") == "c"))
+    reactions = {"dark": ("active_delta", -1), "price": ("price_idx_post", 1), "dates": ("coverage_rel", -1)}
+    f = causal.reaction_flags(e, causal.control_scales(e, F.col("country_name") == "c", reactions), reactions)
     got = {r["supplier_id"]: r for r in f.collect()}
     # no control unit moved its activity: any drop is beyond the line and gets the cap
-    assert got[103]["flag_went_dark"] and got[103]["severity_went_dark"] == 9.99 and not got[103]["flag_exited"]
+    assert got[103]["flag_dark"] and got[103]["severity_dark"] == 9.99 and not got[103]["flag_exited"]
     assert got[100]["flag_exited"] and got[100]["value_at_risk"] == 100.0
-    assert got[101]["flag_repriced_up"] and got[101]["severity_repriced_up"] == 9.99
-    assert got[102]["severity_withdrew_capacity"] is None and got[102]["n_flags"] == 0
+    assert got[101]["flag_price"] and got[101]["severity_price"] == 9.99
+    assert got[102]["severity_dates"] is None and got[102]["n_flags"] == 0
     assert got[101]["effective_rate"] == pytest.approx(0.105) and got[0]["surcharge_pct"] == 0
-    assert causal.action_list(f, 2).count() == 2
+    treated = F.col("country_name") == "t"
+    assert causal.action_list(f, treated, 2).count() == 2
+    # controls give the scale and are in no result
+    assert {r["country_name"] for r in causal.flags_by_country(f, treated).collect()} == {"t"}
+    assert {r["country_name"] for r in causal.action_list(f, treated).collect()} == {"t"}
+    assert sum(r["suppliers"] for r in causal.dose_by_flag(f, treated).collect()) == 4
 
 
 def test_checks_and_reconciliation(spark):
@@ -244,6 +250,9 @@ def test_checks_and_reconciliation(spark):
     a = spark.createDataFrame([(1, 100.0, 0.0), (2, 103.0, 1.0)], "k int, v double, z double")
     b = spark.createDataFrame([(1, 100.0, 0.0), (2, 100.0, 2.0)], "k int, v double, z double")
     assert {r["metric"]: r["verdict"] for r in quality.reconcile(a, b, ["k"], ["v", "z"]).collect()} == {"v": "check", "z": "MISMATCH"}
+    lone = spark.createDataFrame([(1, 100.0, 0.0), (3, 100.0, 2.0)], "k int, v double, z double")
+    got = quality.reconcile(b, lone, ["k"], ["v"]).first()
+    assert (got["matched_rows"], got["only_left"], got["only_right"], got["verdict"]) == (1, 1, 1, "MISMATCH")
 
 
 def test_config_parsing_both_layouts(spark):
