@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 _LOCAL: dict[str, str] = {}
+_WRITTEN: list[tuple[str, str]] = []   # (application, path) of what this process has stored
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,4 +34,20 @@ def materialise(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/souklens-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append((spark.sparkContext.applicationId, path))
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_stored(spark: SparkSession) -> int:
+    """Deletes what this process has stored for the application; results that still read it are lost.
+
+    Call it when a job's results are written. Returns the number of tables deleted.
+    """
+    app = spark.sparkContext.applicationId
+    own = [p for a, p in _WRITTEN if a == app]
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in own:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
+    _WRITTEN[:] = [(a, p) for a, p in _WRITTEN if a != app]
+    return len(own)

@@ -11,7 +11,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from souklens.functions.storage import materialise
+from souklens.functions.storage import drop_stored, materialise
+from souklens.sources.tables import forget_tables
 
 _STAGES: dict[tuple[str, str, str], DataFrame] = {}
 
@@ -30,5 +31,12 @@ def stage(name: str):
     return wrap
 
 
-def clear() -> None:
+def clear(spark: SparkSession | None = None) -> None:
+    """Forgets all stages and what is known of the tables, as after new files have come.
+
+    With a session, the stored tables of its application are deleted too.
+    """
     _STAGES.clear()
+    forget_tables()
+    if spark is not None:
+        drop_stored(spark)

@@ -27,6 +27,12 @@ def read_table(spark: SparkSession, name: str, root: str | None = None) -> DataF
 _ROWS: dict[str, int] = {}
 
 
+def forget_tables() -> None:
+    """Schemas and row counts are read anew from then on."""
+    _SCHEMAS.clear()
+    _ROWS.clear()
+
+
 def row_count(spark: SparkSession, name: str, root: str) -> int:
     """Rows of a parquet table, read from the file footers once per path."""
     path = f"{root}/{name}.parquet"
