@@ -3,7 +3,7 @@
 Two multinomials over hashed word unigrams and bigrams are counted over the whole corpus: of the
 trusted documents and of all. A text's score is the mean, over its n-grams, of the logarithm of the
 ratio of both; each n-gram is left out of the counts once for its own sake. A text is kept if it
-passes the rules and its score is not under the threshold, which keeps ``RECALL`` of the trusted texts.
+passes the rules and its score is not under the threshold, which lies below ``RECALL`` of the trusted texts.
 """
 
 from __future__ import annotations
@@ -21,8 +21,9 @@ from souklens.llm import textbytes as tb
 BUCKET_BITS = 16
 #: Added to each bucket's count, so that unseen n-grams say nothing.
 SMOOTHING = 1.0
-#: Share of trusted texts that the threshold keeps; scores are compared on a grid of this step.
-RECALL, GRID = 0.999, 1 / 1024
+#: Share of trusted texts above the threshold's quantile; slack below it, as a share of its distance from
+#: their median, for good texts that no label covers; scores are compared on a grid of this step.
+RECALL, SLACK, GRID = 0.999, 0.5, 1 / 1024
 #: Trusted ids are broadcast up to this many (8 MB); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -168,11 +169,17 @@ def assess(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def threshold(made: DataFrame, recall: float) -> float:
-    """The largest grid value that ``recall`` of the trusted texts that pass the rules reach."""
+    """Of the trusted texts that pass the rules: the largest grid value that ``recall`` of them reach, less the slack."""
     counts = made.filter("trusted AND NOT base_failed").groupBy("score").count().collect()  # scores are grid values within a few units of 0
-    left = math.ceil(recall * sum(r["count"] for r in counts))
-    for r in sorted(counts, key=lambda r: -r["score"]):
-        left -= r["count"]
-        if left <= 0:
-            return r["score"]
-    return -math.inf
+    if not counts:
+        return -math.inf
+
+    def reached_by(share: float) -> float:
+        left = math.ceil(share * sum(r["count"] for r in counts))
+        for r in sorted(counts, key=lambda r: -r["score"]):
+            left -= r["count"]
+            if left <= 0:
+                return r["score"]
+
+    low = reached_by(recall)
+    return low - SLACK * (reached_by(0.5) - low)
