@@ -406,7 +406,9 @@ GROUPS = {"bookings": "Volume", "gmv": "Volume", "avg_price": "Price"}
              (CY_PRE IS NOT NULL AND CY_COMM IS NOT NULL AND CY_POST IS NOT NULL AND LY_PRE IS NOT NULL AND LY_COMM IS NOT NULL
                AND LY_POST IS NOT NULL) AS complete FROM p""" for a, b in PAIRS))
 def did_three_comparisons(spark, root):
-    return es.did_multi_comparison(booking_three_phase(spark, root), ["country_name"], GROUPS, PAIRS)
+    summary = booking_three_phase(spark, root)
+    es.require_windows(summary, ["CY", "LY"], ["PRE", "COMM", "POST"])   # a missing window stops the run
+    return es.did_multi_comparison(summary, ["country_name"], GROUPS, PAIRS)
 
 
 @query("weekly_did_line", "C14", doubles="did",

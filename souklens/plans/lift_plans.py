@@ -76,7 +76,7 @@ def bootstrap_lift(spark, root):
     return lift.bootstrap_lift(sold(spark, root), "listing_id", ["has_addons", "has_scale"], VALUE, replicates=BOOT)
 
 
-TOPC = """, topc AS (SELECT country_name FROM sold GROUP BY 1 ORDER BY count(*) DESC, country_name LIMIT 10),
+TOPC = """, topc AS (SELECT country_name FROM sold GROUP BY 1 ORDER BY count(*) DESC, country_name LIMIT 25),
 st AS (SELECT *, CASE WHEN country_name IN (SELECT country_name FROM topc) THEN country_name ELSE 'Other' END AS country_name_top FROM sold)"""
 
 
@@ -84,11 +84,11 @@ st AS (SELECT *, CASE WHEN country_name IN (SELECT country_name FROM topc) THEN
        sql=SOLD + TOPC + f""", g AS (SELECT feature, country_name_top, activity_type, count(*) FILTER (has = 1) AS n_with, count(*) FILTER (has = 0) AS n_without,
    {lift_sql('avg(v) FILTER (has = 1)', 'avg(v) FILTER (has = 0)')} AS lift_mean_pct,
    {lift_sql('quantile_cont(v, 0.5) FILTER (has = 1)', 'quantile_cont(v, 0.5) FILTER (has = 0)')} AS lift_median_pct
-  FROM {melt_sql('st', 'country_name_top, activity_type, gmv_lifetime AS v', ['has_addons', 'has_scale', 'has_group'])} GROUP BY 1, 2, 3)
+  FROM {melt_sql('st', 'country_name_top, activity_type, gmv_lifetime AS v')} GROUP BY 1, 2, 3)
 SELECT *, n_with + n_without AS weight FROM g WHERE n_with >= 40 AND n_without >= 40""")
 def stratified_lift(spark, root):
-    d = lift.top_values(sold(spark, root), "country_name", 10, "Other")
-    return lift.stratified_lift(d, ["has_addons", "has_scale", "has_group"], VALUE, ["country_name_top", "activity_type"])
+    d = lift.top_values(sold(spark, root), "country_name", 25, "Other")
+    return lift.stratified_lift(d, FEATURES, VALUE, ["country_name_top", "activity_type"])
 
 
 SEG_SQL = lambda keys: f"""SELECT {keys}, feature, count(*) FILTER (has = 1) AS n_with, count(*) FILTER (has = 0) AS n_without,
@@ -318,14 +318,17 @@ def adoption_levels(spark, root):
     return listings(spark, root).groupBy(adoption_level(F.col("feature_count")).alias("level")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("adoption_cross_tab", "A25 C56", doubles=" ".join(c for c in ("none", "low", "medium")),
+# result columns by level
+BANDS = dict(zip(["none", "low", "medium", "high", "power"], LEVELS))
+
+
+@query("adoption_cross_tab", "A25 C56", doubles=" ".join(BANDS),
        sql=LISTING_SQL + f""", x AS (SELECT value_tier, {LEVEL_SQL} AS l FROM lst)
-  SELECT value_tier, 100.0::DOUBLE * count(*) FILTER (l = 'Non-adopters') / count(*) AS none, 100.0::DOUBLE * count(*) FILTER (l = 'Low (1-2)') / count(*) AS low,
-    100.0::DOUBLE * count(*) FILTER (l = 'Medium (3-5)') / count(*) AS medium FROM x GROUP BY 1""")
+  SELECT value_tier, """ + ", ".join(f"100.0::DOUBLE * count(*) FILTER (l = '{level}') / count(*) AS {name}" for name, level in BANDS.items()) + " FROM x GROUP BY 1")
 def adoption_cross_tab(spark, root):
     d = listings(spark, root).withColumn("l", adoption_level(F.col("feature_count")))
     t = lift.cross_tab(d, "value_tier", "l", LEVELS)
-    return t.select("value_tier", F.col("`Non-adopters`").alias("none"), F.col("`Low (1-2)`").alias("low"), F.col("`Medium (3-5)`").alias("medium"))
+    return t.select("value_tier", *[F.col(f"`{level}`").alias(name) for name, level in BANDS.items()])
 
 
 @query("feature_combinations", "C57", doubles="total_value:2 share_pct:5",
@@ -403,11 +406,11 @@ def feature_count_gradient(spark, root):
     return lift.feature_count_gradient(sold(spark, root), "feature_count", VALUE, ["avg_booking_value", "bookings_l12m"])
 
 
-@query("market_summary", "C78", doubles="total_value:2 adoption_has_scale adoption_has_addons total_scale_uplift:3 total_addon_uplift:3",
-       sql=LISTING_SQL + """ SELECT country_name, count(*) AS listings, count(DISTINCT supplier_id) AS suppliers, sum(gmv_lifetime) AS total_value, avg(has_scale) AS adoption_has_scale,
-  avg(has_addons) AS adoption_has_addons, sum(scale_uplift) AS total_scale_uplift, sum(addon_uplift) AS total_addon_uplift FROM lst GROUP BY 1""")
+@query("market_summary", "C78", doubles="total_value:2 " + " ".join(f"adoption_{f}" for f in FEATURES) + " total_scale_uplift:3 total_addon_uplift:3",
+       sql=LISTING_SQL + """ SELECT country_name, count(*) AS listings, count(DISTINCT supplier_id) AS suppliers, sum(gmv_lifetime) AS total_value,
+  """ + ", ".join(f"avg({f}) AS adoption_{f}" for f in FEATURES) + """, sum(scale_uplift) AS total_scale_uplift, sum(addon_uplift) AS total_addon_uplift FROM lst GROUP BY 1""")
 def market_summary(spark, root):
-    return lift.market_summary(listings(spark, root), "country_name", ["has_scale", "has_addons"], VALUE, ["scale_uplift", "addon_uplift"])
+    return lift.market_summary(listings(spark, root), "country_name", FEATURES, VALUE, ["scale_uplift", "addon_uplift"])
 
 
 def summary_sections():
