@@ -21,7 +21,7 @@ from souklens.functions.storage import materialise
 from souklens.llm import textbytes as tb
 
 #: Pages of a host that must agree before an unchanging node counts as template.
-LEAST_PAGES = 3
+LEAST_PAGES = 5
 #: Elements nested more deeply count as part of the one around them.
 DEEPEST = 120
 #: Hosts whose wrappers are broadcast, and bytes of them; beyond either, pages are joined by a shuffle.
