@@ -17,7 +17,7 @@ from souklens.llm import textbytes as tb
 
 BITS = 13
 #: Labelled rows that the machines are fitted on, shared out evenly between the languages.
-SAMPLE_ROWS = 2400
+SAMPLE_ROWS = 1600
 #: Penalty of the support vector machines, and rounds of coordinate ascent over the sample.
 PENALTY, ROUNDS = 10.0, 60
 UNDETERMINED = "und"
@@ -136,10 +136,11 @@ def fit(sample: list[tuple[str, np.ndarray, np.ndarray]]) -> Machines | None:
         rows = np.flatnonzero((own == a) | (own == b))
         y = np.where(own[rows] == a, 1.0, -1.0)
         alpha = support_vectors(kernel[np.ix_(rows, rows)].astype(np.float64), y)
-        pull = alpha * y
-        out.weights[:, k] = (pull.astype(np.float32) @ x[rows]) * scale
+        pull = np.zeros(len(sample), np.float32)
+        pull[rows] = alpha * y
+        out.weights[:, k] = (pull @ x) * scale
         out.bias[k] = pull.sum()
-        out.slope[k] = steepness(kernel[np.ix_(rows, rows)] @ pull * y)
+        out.slope[k] = steepness((kernel @ pull)[rows] * y)
     return out
 
 
