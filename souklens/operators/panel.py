@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from souklens.functions.periods import spread_over_weeks, week_list
 from souklens.functions.ratios import flag, ratio, sum_if
 from souklens.functions.skew import broadcast_if_small
+from souklens.functions.storage import materialise
 
 KEYS = ["week_start", "country_name"]
 
@@ -162,7 +163,7 @@ def to_eur(df: DataFrame, fx: DataFrame, day: str, amounts: dict[str, str]) -> D
 
 def relative_price_index(prices: DataFrame, acts: DataFrame, fx: DataFrame, st: Study) -> DataFrame:
     """Mean over suppliers of their mean activity index, and EUR price levels."""
-    wp = activity_week_prices(prices, acts, st)
+    wp = materialise(activity_week_prices(prices, acts, st))   # read for the index and for the levels
     per = with_own_index(wp, st).groupBy(*KEYS, "supplier_id").agg(
         F.avg("idx_black").alias("b"), F.avg("idx_red").alias("r"))
     idx = per.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("suppliers_with_price"),
@@ -207,6 +208,7 @@ def realised_yoy_panel(weekly: DataFrame, sizes: DataFrame, st: Study) -> DataFr
     n = sizes.groupBy("country_name").agg(F.count(F.lit(1)).alias("cohort_suppliers"))
     cols = ["bookings", "tickets", "gmv", "nr", "commission_per_supplier"]
     c = F.col
+    weekly = materialise(weekly)   # read for both years
     j = (weekly.filter(c("week_start") >= F.lit(st.start)).join(n, "country_name")
          .join(shifted(weekly, st, cols), KEYS, "left"))
     return j.select(*KEYS, st.period(), "cohort_suppliers",
