@@ -113,6 +113,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, perce
     rows = pairs.join(texts.withColumnsRenamed({"id": "b", "text": "text_b"}), "b").join(texts.withColumnsRenamed({"id": "a", "text": "text_a"}), "a")
 
     def check(batches):
+        tb.give_back()
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -128,8 +129,8 @@ def confirm(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, perce
                     common = _common(left, right)
                     good.append(100 * common >= percent * (len(left) + len(right) - common))
                     i += 1
-            tb.shrink()
             yield pa.RecordBatch.from_arrays([pa.array([x for x, g in zip(side, good) if g], pa.int64()) for side in ids], names=["u", "v"])
+        tb.give_back()
 
     return rows.select("a", "b", "text_a", "text_b").mapInArrow(check, "u long, v long")
 
@@ -219,7 +220,7 @@ def _rest(buckets: DataFrame, parts: DataFrame, ids: DataFrame, percent: int) ->
                 flat, off = shingle_sets(block)
                 at = pa.array(np.repeat(np.arange(block.first, block.first + len(block)), np.diff(off)))
                 yield pa.RecordBatch.from_arrays([batch.column(i).take(at) for i in range(3)] + [pa.array(flat.view(np.int64))], names=["rep", "n", "component", "shingle"])
-            tb.shrink()
+        tb.give_back()
 
     shingles = materialise(texts.mapInArrow(spread, "rep long, n long, component long, shingle long"))
     rarity = shingles.groupBy("shingle").agg(F.count("*").alias("df")).filter("df > 1")

@@ -7,6 +7,7 @@ Python runs per word. A block holds at most ``BLOCK_BYTES`` of text, or a single
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -130,6 +131,29 @@ def inverse_powers(n: int) -> np.ndarray:
     return _INVERSE
 
 
+_KEPT: dict[str, Callable[[], None]] = {}
+
+
+def keeps(owner: str, forget: Callable[[], None]) -> None:
+    """Notes that ``owner`` keeps something in this worker; work of other owners may drop it."""
+    _KEPT[owner] = forget
+
+
+def give_back(owner: str | None = None) -> None:
+    """Before and after a task: drops what others keep in the worker and returns freed memory to the system.
+
+    Workers live on between stages, and what one stage left would stand beside the next one's needs.
+    """
+    for name in [n for n in _KEPT if n != owner]:
+        _KEPT.pop(name)()
+    shrink()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def shrink(limit: int = 2 * BLOCK_BYTES) -> None:
     """Gives back the tables that a single very long text made grow."""
     global _POWERS, _INVERSE
@@ -157,11 +181,12 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(_SETTING, str(BATCH_BYTES))
 
 
-def map_texts(df: DataFrame, text: str, keep: list[str], schema: str, work: Callable[..., dict], uses: list[str] | None = None) -> DataFrame:
+def map_texts(df: DataFrame, text: str, keep: list[str], schema: str, work: Callable[..., dict], uses: list[str] | None = None, owner: str | None = None) -> DataFrame:
     """Runs ``work`` on each block of ``text``; ``work`` gives one value per text for each new column.
 
     ``keep`` names the columns that are carried through; no other column is read, but for those in
-    ``uses``: ``work`` gets them as a second argument, Arrow arrays of the block's rows.
+    ``uses``: ``work`` gets them as a second argument, Arrow arrays of the block's rows. ``owner`` names
+    what ``work`` keeps in the worker for later tasks, see ``keeps``.
     """
     small_batches(df.sparkSession)
     kept = [df[c] for c in keep]
@@ -171,6 +196,7 @@ def map_texts(df: DataFrame, text: str, keep: list[str], schema: str, work: Call
     names = [part.split()[0].strip("`") for part in split_schema(schema)]
 
     def run(batches):
+        give_back(owner)
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -179,6 +205,7 @@ def map_texts(df: DataFrame, text: str, keep: list[str], schema: str, work: Call
                 head = [batch.column(i).slice(block.first, len(block)) for i in range(len(slots))]
                 yield pa.RecordBatch.from_arrays(head + [pa.array(out[n]) if not isinstance(out[n], pa.Array) else out[n] for n in names], names=slots + names)
             shrink()
+        give_back(owner)
 
     fields = [f"{s} {df.schema[c].dataType.simpleString()}" for s, c in zip(slots, keep)]
     made = inner.mapInArrow(run, ", ".join(fields + [schema]))
