@@ -40,7 +40,15 @@ NO_CONTENT_ROLES = frozenset("navigation banner contentinfo complementary search
 NO_CONTENT_NAMES = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo banner cookie cookies consent gdpr notice alert popup modal overlay newsletter "
                              "subscribe subscription signup comment comments disqus replies sidebar menu nav navbar navigation breadcrumb breadcrumbs pagination pager footer header masthead "
                              "topbar share sharing social related recommended recommendations widget login search toolbar skip".split())
+#: Words that may stand beside such a name in one class, as in "comment-list"; with any other word ("has-sidebar", "article-header") the class says nothing.
+BESIDE_NAMES = frozenset("site top bottom left right box bar list slot link links button buttons icons form posts section area block unit".split())
+#: Names that mark the title's place when they stand inside an article.
+TITLE_NAMES = frozenset("header masthead".split())
 TRUSTED = frozenset("html body article main".split()) | HEADINGS
+#: A form that holds one of these is the page's, as some servers write it, and says nothing about its parts.
+LANDMARKS = frozenset("article main header nav footer h1".split())
+# How an element is closed: not, by being a form, by its names, for good. Forms do not close an article in them; names do only if the page has another one.
+OPEN, BY_FORM, BY_NAME, SHUT = range(4)
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?][^>]*+>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]++)\s*+(?:=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++)))?")
@@ -54,29 +62,33 @@ class Node:
 
     __slots__ = ("index", "tag", "name", "children", "by_label", "closed")
 
-    def __init__(self, index: int, tag: str, name: str, closed: bool):
+    def __init__(self, index: int, tag: str, name: str, closed: int):
         self.index, self.tag, self.name, self.closed = index, tag, name, closed
         self.children: list[Node] = []
         self.by_label: dict[tuple[str, str], Node] = {}
 
 
-def _closed(tag: str, attributes: dict[str, str], inside_article: bool) -> bool:
-    """Whether an element's own marks say that it holds no article text."""
+def _closed(tag: str, attributes: dict[str, str], inside_article: bool) -> int:
+    """Whether and how an element's own marks say that it holds no article text."""
     if tag == "header":
-        return not inside_article
-    if tag in NO_CONTENT or "hidden" in attributes or attributes.get("aria-hidden") == "true" or attributes.get("role") in NO_CONTENT_ROLES:
-        return True
+        return OPEN if inside_article else SHUT
+    if tag in NO_CONTENT - {"form"} or "hidden" in attributes or attributes.get("aria-hidden") == "true" or attributes.get("role") in NO_CONTENT_ROLES:
+        return SHUT
     if "display:none" in attributes.get("style", "").replace(" ", ""):
-        return True
+        return SHUT
     if tag in TRUSTED:
-        return False
-    names = re.split(r"[^a-z0-9]+", f"{attributes.get('class', '')} {attributes.get('id', '')}".lower())
-    return not NO_CONTENT_NAMES.isdisjoint(names)
+        return OPEN
+    for name in f"{attributes.get('class', '')} {attributes.get('id', '')}".lower().split():
+        words = {w for w in re.split(r"[^a-z]+", name) if w}
+        marks = words & NO_CONTENT_NAMES
+        if marks and words <= NO_CONTENT_NAMES | BESIDE_NAMES and not (inside_article and marks <= TITLE_NAMES):
+            return BY_NAME
+    return BY_FORM if tag == "form" else OPEN
 
 
 def parse(html: str) -> tuple[Node, list[tuple[int, str]]]:
     """The folded tree of a page, and its text blocks in order as (node, text)."""
-    root = Node(0, "html", "", False)
+    root = Node(0, "html", "", OPEN)
     count = 1
     stack: list[tuple[str, Node]] = [("html", root)]  # open elements; an inline one shares its block's node
     blocks: list[tuple[int, str]] = []
@@ -149,7 +161,7 @@ def parse(html: str) -> tuple[Node, list[tuple[int, str]]]:
         label = tag, _NUMBER.sub("0", attributes.get("class", "") or attributes.get("id", ""))
         node = parent.by_label.get(label)
         if node is None:
-            node = Node(count, tag, label[1], parent.closed or _closed(tag, attributes, articles > 0))
+            node = Node(count, tag, label[1], _closed(tag, attributes, articles > 0))
             count += 1
             parent.by_label[label] = node
             parent.children.append(node)
@@ -174,7 +186,7 @@ def read(text: str) -> Node:
             path.pop()
         elif line != ">":
             tag, name, index = line.split("\t")
-            node = Node(int(index), tag, name, False)
+            node = Node(int(index), tag, name, OPEN)
             if path:
                 path[-1].children.append(node)
             else:
@@ -279,24 +291,42 @@ def induce(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
     return slots.groupBy("host", "model").agg(F.sort_array(F.collect_list(F.when(fixed, F.col("node")))).alias("template"))  # as many as the model has nodes, at most
 
 
+def _holds(node: Node, tags: frozenset) -> bool:
+    return any(c.tag in tags or _holds(c, tags) for c in node.children)
+
+
+def _open_blocks(root: Node, blocks: list[tuple[int, str]]) -> list[tuple[int, str]]:
+    """The blocks outside closed parts: those of articles, if there are any.
+
+    An article in a part that is closed by its names is a teaser or a comment if there is another one,
+    and the page's own if not. Without anything else, the texts of a form are the page's.
+    """
+    level: dict[int, int] = {}      # how a node is closed
+    reopened: dict[int, int] = {}   # the same, if names do not close an article either
+    inside: set[int] = set()
+
+    def walk(node: Node, above: int, above_reopened: int, within: bool) -> None:
+        if node.tag in ("article", "main"):
+            within = True
+            above = OPEN if above == BY_FORM else above
+            above_reopened = above_reopened if above_reopened == SHUT else OPEN
+        own = OPEN if node.closed == BY_FORM and _holds(node, LANDMARKS) else node.closed
+        level[node.index], reopened[node.index] = max(above, own), max(above_reopened, own)
+        if within:
+            inside.add(node.index)
+        for child in node.children:
+            walk(child, level[node.index], reopened[node.index], within)
+
+    walk(root, OPEN, OPEN, False)
+    kept = [[(n, t) for n, t in blocks if n in inside and level[n] == OPEN], [(n, t) for n, t in blocks if n in inside and reopened[n] == OPEN],
+            [(n, t) for n, t in blocks if level[n] == OPEN], [(n, t) for n, t in blocks if level[n] <= BY_FORM]]
+    return next((own for own in kept if own), [])
+
+
 def article(html: str, model: str | None, template: set[int], aligner: Aligner) -> str:
     """The article text of a page under its host's wrapper."""
     root, blocks = parse(html)
-    articles, closed = set(), set()
-
-    def walk(node: Node, inside: bool) -> None:
-        inside = inside or node.tag in ("article", "main")
-        if node.closed:
-            closed.add(node.index)
-        elif inside:
-            articles.add(node.index)
-        for child in node.children:
-            walk(child, inside)
-
-    walk(root, False)
-    blocks = [(n, t) for n, t in blocks if n not in closed]
-    if any(n in articles for n, _ in blocks):
-        blocks = [(n, t) for n, t in blocks if n in articles]
+    blocks = _open_blocks(root, blocks)
     if template and model is not None:
         to = aligner(written(root), model)
         varying = [(n, t) for n, t in blocks if to.get(n, -1) not in template]

@@ -97,6 +97,22 @@ def test_wrapper_text(spark):
     assert wrappers.extract(pages.limit(0)).count() == 0
 
 
+def test_wrapper_names_are_whole_classes(spark):
+    text = "<article><h1>Head {i}</h1><p>Text {i}</p></article>"
+    whole = ["<div class='layout has-sidebar'>" + text + "</div>", "<div class=no-sidebar>" + text + "</div>", "<form id=aspnetForm><div id=comments>nice</div>" + text + "</form>",
+             "<div class='sidebar'>" + text + "</div>", "<article><div class='article-header'><h1>Head {i}</h1></div><p>Text {i}</p></article>",
+             "<main><div class='post-header header'><h1>Head {i}</h1></div><form><input>Mail</form><p>Text {i}</p><div class=comment-list>nice</div></main>",
+             "<div>Site</div><form id=aspnetForm><nav>Menu</nav><div><h2>Head {i}</h2><p>Text {i}</div></form>",
+             "<form id=aspnetForm><div><h2>Head {i}</h2><p>Text {i}</div></form>",
+             text + "<div class='related posts'><article><h2>Other {i}</h2></article></div><div class=cookie-notice>We use cookies</div>"]
+    rows = [(i, f"http://h{i}.example.com/", h.replace("{i}", str(i))) for i, h in enumerate(whole)]
+    got = {r["page_id"]: r["text"] for r in wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(len(whole)):
+        assert got[i] == ("Site\n\n" if i == 6 else "") + f"Head {i}\n\nText {i}", (i, got[i])
+    hidden = "<div hidden><article>Gone</article></div><aside><main>Gone</main></aside><p>Left</p><div class=sidebar>Side</div><form>Mail</form>"
+    assert wrappers.article(hidden, None, set(), wrappers.Aligner()) == "Left"
+
+
 def test_simple_tree_matching():
     a, _ = wrappers.parse("<body><div class=x><p>1</p></div><div class=y><ul><li>2</li></ul></div>")
     b, _ = wrappers.parse("<body><div class=z><p>0</p></div><div class=x><p>1</p></div><section>s</section><div class=y><ul><li>2</li></ul></div>")
