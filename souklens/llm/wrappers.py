@@ -2,9 +2,10 @@
 
 A page's DOM is folded: siblings of equal tag and class become one node, so that a list or a run of
 paragraphs is one slot. For each host the most frequent folded tree is the model; every page's tree is
-aligned with it by simple tree matching. A node whose text never changes over the host's pages is
-template; a slot whose text varies is content, if it doesn't stand in a part that is marked as a menu,
-header, footer, sidebar, notice, advert, form or discussion.
+aligned with it by simple tree matching. A node whose text never changes over the host's distinct pages
+is template if enough of them have it; a slot whose text varies is content, if it doesn't stand in a part
+that is marked as a menu, header, footer, sidebar, notice, advert, form or discussion. Inside an article,
+unchanging text is template only if it also stands outside or its element is marked.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ from pyspark.sql import functions as F
 from souklens.functions.storage import materialise
 from souklens.llm import textbytes as tb
 
-#: Pages of a host that must agree before an unchanging node counts as template.
-LEAST_PAGES = 5
+#: Distinct pages of a host that must agree before an unchanging node counts as template, and their least share of all.
+LEAST_PAGES, LEAST_SHARE = 5, 0.5
 #: Elements nested more deeply count as part of the one around them.
 DEEPEST = 120
 #: Hosts whose wrappers are broadcast, and bytes of them; beyond either, pages are joined by a shuffle.
@@ -44,6 +45,8 @@ NO_CONTENT_NAMES = frozenset("ad ads advert adverts advertisement advertising sp
 BESIDE_NAMES = frozenset("site top bottom left right box bar list slot link links button buttons icons form posts section area block unit".split())
 #: Names that mark the title's place when they stand inside an article.
 TITLE_NAMES = frozenset("header masthead".split())
+#: Words in a class or id that let unchanging text inside an article count as template.
+FIXED_NAMES = NO_CONTENT_NAMES - TITLE_NAMES | frozenset("tag tags tagline byline meta copyright disclaimer legal credits boilerplate".split())
 TRUSTED = frozenset("html body article main".split()) | HEADINGS
 #: A form that holds one of these is the page's, as some servers write it, and says nothing about its parts.
 LANDMARKS = frozenset("article main header nav footer h1".split())
@@ -246,34 +249,50 @@ def _hash(text: str) -> int:
 
 
 def node_statistics(pages: DataFrame) -> DataFrame:
-    """By host, folded tree and node: pages with text there, and the least and largest hash of that text.
+    """By host, folded tree and node: distinct pages with text there, and the least and largest hash of that text.
 
-    ``pages`` has ``url`` and ``html``. Each batch is summed up before anything is shuffled.
+    ``pages`` has ``url`` and ``html``. Pages of a host with the same tree and texts count once: of each
+    page only its tree and the hashes of its texts are shuffled.
     """
 
     def run(batches):
         for batch in batches:
-            sums: dict[tuple[str, str, int], list[int]] = {}
+            rows: dict[tuple[str, int], tuple] = {}
             for url, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 root, blocks = parse(html)
-                host, tree, texts = host_of(url), written(root), {}
+                host, tree, texts = host_of(url), written(root), {0: []}
                 for node, text in blocks:
                     texts.setdefault(node, []).append(text)
-                for node, own in [(0, [])] + list(texts.items()) if 0 not in texts else texts.items():
-                    h = _hash("\n".join(own))
-                    s = sums.setdefault((host, tree, node), [0, h, h])
-                    s[0] += 1
-                    s[1], s[2] = min(s[1], h), max(s[2], h)
-            rows = [(*k, *v) for k, v in sums.items()]
-            kinds = [pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["host", "tree", "node", "pages", "low", "high"])
+                hashes = [_hash("\n".join(own)) for own in texts.values()]
+                rows[host, _hash("\n".join([tree, *map(str, texts), *map(str, hashes)]))] = tree, list(texts), hashes
+            kinds = [pa.string(), pa.int64(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int64())]
+            flat = [(*k, *v) for k, v in rows.items()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in flat], t) for i, t in enumerate(kinds)], names=["host", "page", "tree", "nodes", "hashes"])
+
+    made = pages.filter("html IS NOT NULL").select("url", "html").mapInArrow(run, "host string, page long, tree string, nodes array<int>, hashes array<long>")
+    each = made.dropDuplicates(["host", "page"]).select("host", "tree", F.explode(F.arrays_zip("nodes", "hashes")).alias("n"))
+    return each.groupBy("host", "tree", F.col("n.nodes").alias("node")).agg(F.count("*").alias("pages"), F.min("n.hashes").alias("low"), F.max("n.hashes").alias("high"))
+
+
+def template_of(model: str, fixed: list[tuple[int, int]]) -> list[int]:
+    """The template among a model's unchanging nodes, given with the hashes of their texts."""
+    place: dict[int, tuple[bool, bool]] = {}  # whether a node is in an article, and whether it is marked there
+
+    def walk(node: Node, inside: bool, marked: bool) -> None:
+        own = not FIXED_NAMES.isdisjoint(re.split(r"[^a-z]+", node.name.lower()))
+        marked = own or marked and node.tag not in HEADINGS
+        place[node.index] = inside, marked
+        inside_below = inside or node.tag in ("article", "main")
+        for child in node.children:
+            walk(child, inside_below, marked and inside)
 
-    made = pages.filter("html IS NOT NULL").select("url", "html").mapInArrow(run, "host string, tree string, node int, pages long, low long, high long")
-    return made.groupBy("host", "tree", "node").agg(F.sum("pages").alias("pages"), F.min("low").alias("low"), F.max("high").alias("high"))
+    walk(read(model), False, False)
+    outside = {h for n, h in fixed if not place[n][0]}
+    return sorted(n for n, h in fixed if not place[n][0] or place[n][1] or h in outside)
 
 
-def induce(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
-    """A wrapper for each host: ``host``, ``model`` (its most frequent folded tree) and ``template`` (unchanging nodes)."""
+def induce(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
+    """A wrapper for each host: ``host``, ``model`` (the folded tree of most distinct pages) and ``template`` (nodes)."""
     stats = materialise(node_statistics(pages))
     models = stats.filter("node = 0").groupBy("host").agg(F.max_by("tree", F.struct("pages", "tree")).alias("model"))
 
@@ -287,8 +306,17 @@ def induce(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
     joined = stats.join(models, "host").select("host", "tree", "node", "pages", "low", "high", "model")
     slots = joined.mapInArrow(align, "host string, model string, node int, pages long, low long, high long").filter("node >= 0")
     slots = slots.groupBy("host", "model", "node").agg(F.sum("pages").alias("pages"), F.min("low").alias("low"), F.max("high").alias("high"))
-    fixed = (F.col("pages") >= least_pages) & (F.col("low") == F.col("high")) & (F.col("node") > 0)
-    return slots.groupBy("host", "model").agg(F.sort_array(F.collect_list(F.when(fixed, F.col("node")))).alias("template"))  # as many as the model has nodes, at most
+    # the root is a node of every page
+    still = F.when((F.col("pages") >= least_pages) & (F.col("low") == F.col("high")) & (F.col("node") > 0), F.struct("node", "pages", "low"))
+    held = slots.groupBy("host", "model").agg(F.collect_list(still).alias("still"), F.max(F.when(F.col("node") == 0, F.col("pages"))).alias("all"))  # as many as the model has nodes, at most
+    held = held.select("host", "model", F.filter("still", lambda n: n["pages"] >= least_share * F.col("all")).alias("still"))
+
+    def decide(batches):
+        for batch in batches:
+            made = [template_of(m, [(n["node"], n["low"]) for n in own]) for m, own in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.list_(pa.int32()))], names=["host", "model", "template"])
+
+    return held.mapInArrow(decide, "host string, model string, template array<int>")
 
 
 def _holds(node: Node, tags: frozenset) -> bool:

@@ -113,6 +113,21 @@ def test_wrapper_names_are_whole_classes(spark):
     assert wrappers.article(hidden, None, set(), wrappers.Aligner()) == "Left"
 
 
+def test_wrapper_keeps_constant_article_text(spark):
+    quoted = "<body><div class=top>Top</div><p>{i}</p><blockquote>Quoted</blockquote>"
+    recipe = "<body><h3>Our recipes</h3><article><h1>Dish {i}</h1><p class=byline>By us</p><h2>Ingredients</h2><p>Flour {i}</p><h2 id=how>Method</h2><p>Stir {i}</p><table><td>Serves 4</table><h3>Our recipes</h3></article>"
+    rows = [(i, f"http://a.example.com/{i}", quoted.replace("{i}", "copied")) for i in range(8)]
+    rows += [(10 + i, f"http://a.example.com/{i}", f"<body><div class=top>Top</div><p>{i}</p><{t}>own {i}</{t}>") for i, t in enumerate("ul ol pre dl table section".split())]
+    rows += [(20 + i, f"http://b.example.com/{i}", recipe.replace("{i}", str(i))) for i in range(8)]
+    # five of twelve distinct pages agree: less than the share
+    rows += [(40 + i, f"http://c.example.com/{i}", f"<body><p>{i}</p>" + ("<blockquote>Quoted</blockquote>" if i < 5 else "")) for i in range(12)]
+    got = {r["page_id"]: r["text"] for r in wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == "copied\n\nQuoted" for i in range(8)), got[0]
+    assert got[10] == "0\n\nown 0"
+    assert all(got[20 + i] == f"Dish {i}\n\nIngredients\n\nFlour {i}\n\nMethod\n\nStir {i}\n\nServes 4" for i in range(8)), got[20]
+    assert all(got[40 + i] == f"{i}\n\nQuoted" for i in range(5)), got[40]
+
+
 def test_simple_tree_matching():
     a, _ = wrappers.parse("<body><div class=x><p>1</p></div><div class=y><ul><li>2</li></ul></div>")
     b, _ = wrappers.parse("<body><div class=z><p>0</p></div><div class=x><p>1</p></div><section>s</section><div class=y><ul><li>2</li></ul></div>")
