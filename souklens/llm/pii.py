@@ -1,9 +1,10 @@
 """Personal data: base patterns, and further spans by boosted trees over candidate spans.
 
 High-recall generators propose overlapping spans that look like an address, a number or a name of a
-host. A candidate that lies on a base span counts as found, any other as not found, and boosted trees
-learn from format and context, without the signs that the base patterns ask for. Candidates off the
-base spans are added where the share of found ones at their score is high enough.
+host. A candidate that lies on a base span of its kind counts as found; one off them that fails the kind's
+checks or lies on a base span of another kind is known to be wrong. Boosted trees learn both from format
+and context, without the signs that the base patterns ask for. The other candidates have no label, however
+many they are; they are added where the share of found ones among the labelled at their score is high enough.
 
 All work on texts is in SQL functions. The trees are fitted on a table with one row per combination
 of features, and become a CASE expression.
@@ -42,7 +43,7 @@ CONTEXT = 16
 CUES = {"email": "mail|contact|write|kontakt|correo", "ip": r"\bip\b|host|server|addr", "card": "card|visa|karte|tarjeta|carte|iban", "phone": "tel|phone|call|fax|mobil|appel"}
 
 ROUNDS, DEPTH, RATE = 24, 2, 0.3
-#: Share of found candidates that a score needs, by each kind's calibration, and the found ones it must rest on.
+#: Share of found among labelled candidates that a score needs, by each kind's calibration, and the found ones it must rest on.
 PRECISION, SUPPORT = 0.95, 20
 FEATURES = ("digits", "groups", "seps", "tail", "cue", "before", "after")
 
@@ -133,12 +134,27 @@ def _checked(kind: str):
     return lambda c: _holds(kind, c["m"])
 
 
+def _fails(kind: str, c: Column) -> Column:
+    """Whether a candidate off the base spans of its kind is known to be wrong: by the kind's checks, or as another kind's base span."""
+    m = F.regexp_replace(c["m"], r"[\[\]]", "") if kind == "ip" else c["m"]
+    holds = m.rlike("[A-Za-z][A-Za-z0-9-]*$") if kind == "email" else _holds(kind, m)
+    other = F.lit(False)
+    for k in KINDS:
+        if k != kind:
+            other = other | _overlaps(c, F.col(f"base_{k}"))
+    return ~holds | other
+
+
 def _described(kind: str):
-    return lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), _overlaps(c, F.col(f"base_{kind}")).alias("found"), _features(kind, c).alias("f"))
+    def describe(c: Column) -> Column:
+        found = _overlaps(c, F.col(f"base_{kind}"))
+        return F.struct(c["start"].alias("start"), c["end"].alias("end"), found.alias("found"), (~found & _fails(kind, c)).alias("wrong"), _features(kind, c).alias("f"))
+
+    return describe
 
 
 def _named(kind: str):
-    return lambda c: F.struct(F.lit(kind).alias("kind"), c["found"].alias("found"), c["f"].alias("f"))
+    return lambda c: F.struct(F.lit(kind).alias("kind"), c["found"].alias("found"), c["wrong"].alias("wrong"), c["f"].alias("f"))
 
 
 def _bare(kind: str):
@@ -150,7 +166,7 @@ def _is(kind: str):
 
 
 def candidates(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
-    """``keep``, ``text``, and by kind its base spans ``base_*`` and candidates ``wide_*`` with features and ``found``."""
+    """``keep``, ``text``, and by kind its base spans ``base_*`` and candidates ``wide_*`` with features, ``found`` and ``wrong``."""
     df = docs.select(*[docs[c].alias(f"k{i}") for i, c in enumerate(keep)], F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
     for kind in KINDS:
         df = _located(df, "text", BASE[kind], f"base_{kind}", SIGN.get(kind))
@@ -192,7 +208,7 @@ def _value(tree, x: dict) -> float:
 
 
 def boost(table: list[tuple[dict, int, int]]) -> tuple[float, list]:
-    """Start value and trees for rows of (features, found, seen), by logistic loss."""
+    """Start value and trees for rows of (features, found, labelled), by logistic loss."""
     rows = [{"x": x, "p": p, "n": n} for x, p, n in table]
     base = math.log((sum(r["p"] for r in rows) + 0.5) / (sum(r["n"] - r["p"] for r in rows) + 0.5))
     for r in rows:
@@ -240,13 +256,13 @@ class Model:
 
 
 def train(found: DataFrame) -> Model:
-    """Fits on the candidates of all texts, counted by their features.
+    """Fits on the labelled candidates of all texts, found or known to be wrong, counted by their features.
 
     Only counts leave the executors: whole numbers in small ranges, some thousand rows at most of
     which the corpus has a few hundred.
     """
     each = F.concat(*[F.transform(f"wide_{k}", _named(k)) for k in KINDS])
-    counted = found.select(F.explode(each).alias("c")).select("c.*").groupBy("kind", "f").agg(F.sum(F.col("found").cast("long")).alias("p"), F.count("*").alias("n")).collect()
+    counted = found.select(F.explode(each).alias("c")).select("c.*").filter("found OR wrong").groupBy("kind", "f").agg(F.sum(F.col("found").cast("long")).alias("p"), F.count("*").alias("n")).collect()
     tables: dict[str, list] = {k: [] for k in KINDS}
     for r in sorted(counted, key=lambda r: (r["kind"], tuple(r["f"]))):
         tables[r["kind"]].append((r["f"].asDict(), r["p"], r["n"]))
@@ -254,7 +270,7 @@ def train(found: DataFrame) -> Model:
 
 
 def _added(model: Model, kind: str, least: float):
-    return lambda c: ~c["found"] & (model.score(kind, c["f"]) >= least) & ~_overlaps(c, F.col("base"))
+    return lambda c: ~c["found"] & ~c["wrong"] & (model.score(kind, c["f"]) >= least) & ~_overlaps(c, F.col("base"))
 
 
 _SPANS = "array<struct<kind:string,start:int,end:int>>"

@@ -73,6 +73,23 @@ def test_pii_adds_and_redacts(spark):
     assert clean[3] == "call [PHONE] or write to [EMAIL] now" and clean[100] == "call [PHONE] today" and clean[101] is None and clean[102] == "nothing here"
 
 
+def test_pii_adds_as_many_as_base(spark):
+    """As many plain spans as base ones, and as many of what is known to be wrong."""
+    rows = []
+    for i in range(200):
+        rows += [(i, f"call +1 ({200 + i}) 555-{1000 + i} or write to user{i}@mail.example.com now"), (1000 + i, f"call 1 ({200 + i}) 555-{1000 + i} today"),
+                 (2000 + i, f"call ({200 + i}) 555-{1000 + i} today"), (3000 + i, f"write to user{i} (at) mail (dot) com now"),
+                 (4000 + i, f"from 10.20.{i}.7 on 2024-10-{10 + i % 20} at 20-10-{10 + i % 20}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    text = dict(rows)
+    got = {r["doc_id"]: [(s["kind"], text[r["doc_id"]][s["start"]:s["end"]]) for s in r["spans"]] for r in pii.find(docs).collect()}
+    for i in range(200):
+        assert got[1000 + i] == [("phone", f"1 ({200 + i}) 555-{1000 + i}")]
+        assert got[2000 + i] == [("phone", f"({200 + i}) 555-{1000 + i}")]
+        assert got[3000 + i] == [("email", f"user{i} (at) mail (dot) com")]
+        assert got[4000 + i] == [("ip", f"10.20.{i}.7")]
+
+
 def test_pii_without_rows(none):
     assert pii.find(none).count() == 0 and pii.redact(none).columns == none.columns
 
