@@ -26,13 +26,13 @@ FILE_BYTES = 32 << 20
 #: Repeated payloads are broadcast up to this many (some 80 MB); more are joined by a shuffle.
 BROADCAST_DIGESTS = 500_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: A record's headers are looked for in so many bytes.
-HEADER_BYTES = 1 << 16
+#: A gzip member is unpacked so many bytes at a time.
+UNPACKED_BYTES = 1 << 16
 
 
 def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html",
-                   date: str = "2000-01-01T00:00:00Z", least_shared: int = LEAST_SHARED, file_bytes: int = FILE_BYTES) -> None:
-    """Writes a record per row of ``pages`` to WARC files in ``folder``.
+                   date: str = "2000-01-01T00:00:00Z", least_shared: int = LEAST_SHARED, file_bytes: int = FILE_BYTES) -> int:
+    """Writes a record per row of ``pages`` to WARC files in ``folder``; gives their number.
 
     Of equal payloads of at least ``least_shared`` bytes the row with the smallest id is a response,
     the others revisit it; rows that repeat that smallest id are responses too. A null payload is
@@ -61,8 +61,11 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     record = rows.select(F.concat(header, "block", F.lit("\r\n")).alias("record"))
     mean = (sized["bytes"] or 0) / max(1, sized["k"]) + 700
     record.write.option("lineSep", "\r\n").option("maxRecordsPerFile", max(1, int(file_bytes / mean))).text(folder)
+    return sized["k"]
 
 
+#: Where a record's headers end, or those of a broken one meet the next version line.
+_HEADER_END = re.compile(rb"\r\n(?:\r\n|WARC/1\.[01]\r\n)")
 _NEXT = re.compile(rb"WARC/1\.[01]\r\n|\x1f\x8b\x08")
 
 
@@ -74,9 +77,10 @@ def parse_record(data: bytes, at: int) -> tuple[dict, int]:
     """The plain record at ``at`` and where the next one begins; raises ``Broken`` if a check fails."""
     if not data.startswith((b"WARC/1.0\r\n", b"WARC/1.1\r\n"), at):
         raise Broken("no version line")
-    end = data.find(b"\r\n\r\n", at, at + HEADER_BYTES)
-    if end < 0:
+    found = _HEADER_END.search(data, at + 8)  # headers may be of any length
+    if not found or found[0] != b"\r\n\r\n":
         raise Broken("headers do not end")
+    end = found.start()
     fields = {}
     for line in data[at:end].split(b"\r\n")[1:]:
         name, colon, value = line.partition(b":")
@@ -119,8 +123,8 @@ def inflate(data: bytes, at: int) -> tuple[bytes, int]:
         while not unpack.eof:
             if pos >= len(data):
                 raise Broken("a gzip member does not end")
-            out.append(unpack.decompress(data[pos:pos + HEADER_BYTES]))
-            pos = min(len(data), pos + HEADER_BYTES)
+            out.append(unpack.decompress(data[pos:pos + UNPACKED_BYTES]))
+            pos = min(len(data), pos + UNPACKED_BYTES)
     except zlib.error as e:
         raise Broken("a gzip member is damaged") from e
     return b"".join(out), pos - len(unpack.unused_data)
@@ -198,8 +202,12 @@ def page_of(urn: str) -> Column:
 
 
 def round_trip(pages: DataFrame, **names) -> DataFrame:
-    """Writes ``pages`` to archives in the shared folder and reads them back: a row per page."""
+    """Writes ``pages`` to archives in the shared folder and reads them back: a row per page; raises ``ValueError`` if any is missing."""
     folder = f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
-    write_archives(pages, folder, **names)
+    written = write_archives(pages, folder, **names)
     back = read_archives(pages.sparkSession, folder, payloads=False).filter("kind IN ('response', 'revisit')")
-    return back.select(page_of("record_id").alias("page_id"), "url", "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), page_of("refers_to").alias("refers_to"))
+    back = materialise(back.select(page_of("record_id").alias("page_id"), "url", "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), page_of("refers_to").alias("refers_to")))
+    read = back.count()
+    if read != written:
+        raise ValueError(f"{read} of {written} records were read back from {folder}")
+    return back

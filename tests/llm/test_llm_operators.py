@@ -305,6 +305,22 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_warc_long_urls(spark, tmp_path, monkeypatch):
+    rows = [(1, "http://x/" + "a" * 70_000, "long " * 30), (2, "u", "short"), (3, "http://x/" + "é" * 200_000, "long " * 30)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: (r["url"], r["payload_bytes"], r["record_type"]) for r in warc.round_trip(pages).collect()}
+    assert got == {1: (rows[0][1], 150, "response"), 2: ("u", 5, "response"), 3: (rows[2][1], 150, "revisit")}
+    # headers that do not end stop at the next version line
+    warc.write_archives(pages.coalesce(1), str(tmp_path / "a"))
+    plain = next((tmp_path / "a").glob("part-*")).read_bytes()
+    got = list(warc.salvage(b"WARC/1.1\r\nWARC-Type: response\r\n" + plain))
+    assert [r["kind"] for r in got] == ["gap", "response", "response", "revisit"] and got[0]["length"] == 31 and got[0]["reason"] == "headers do not end"
+    read = warc.read_archives
+    monkeypatch.setattr(warc, "read_archives", lambda *a, **k: read(*a, **k).filter("record_id != '<urn:page:2>'"))
+    with pytest.raises(ValueError, match="2 of 3"):
+        warc.round_trip(pages)
+
+
 def test_salvage(spark, tmp_path):
     pages = spark.createDataFrame([(i, "u", f"page {i} " * 20) for i in range(6)], "page_id long, url string, html string").coalesce(1)
     warc.write_archives(pages, str(tmp_path / "a"))
