@@ -6,6 +6,7 @@ trigrams. They are fitted on a bounded sample of labelled rows; every text is th
 
 from __future__ import annotations
 
+import re
 from itertools import combinations
 
 import numpy as np
@@ -13,16 +14,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from souklens.functions.storage import materialise
 from souklens.llm import textbytes as tb
 
 BITS = 13
-#: Labelled rows that the machines are fitted on, shared out evenly between the languages.
-SAMPLE_ROWS = 1600
+#: Labelled rows that the machines are fitted on, shared out evenly between the languages, and the rows that each has at least.
+SAMPLE_ROWS, LEAST_EACH = 1600, 8
+#: Margins that are voted on at once.
+VOTED = 1 << 22
 #: Penalty of the support vector machines, and rounds of coordinate ascent over the sample.
 PENALTY, ROUNDS = 10.0, 60
 UNDETERMINED = "und"
 
-# Language families by ISO 639-1 code; a code that is not listed is a family of its own.
+# Language families by ISO 639-1 code; a code that is not listed is a family of its own, with its regional tags.
 FAMILIES = {
     "germanic": "af da de en fo fy is lb nb nl nn no sv yi",
     "romance": "an ast ca es fr gl it la oc pt ro",
@@ -39,6 +43,13 @@ FAMILIES = {
 }
 FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in codes.split()}
 
+
+def family_of(lang: str) -> str:
+    """The family of a code, with or without a region; one that is not listed is that of the code before the region."""
+    code = re.split("[-_]", lang.lower())[0]
+    return FAMILY_OF.get(code, code)
+
+
 # Folds A-Z, digits to 0, other ASCII signs and white space to a blank.
 _TABLE = tb.FOLD.copy()
 _TABLE[:48] = _TABLE[58:65] = _TABLE[91:97] = _TABLE[123:128] = 32
@@ -69,33 +80,60 @@ def has_letter(block: tb.Block) -> np.ndarray:
 
 
 def pick_sample(rows: DataFrame, size: int) -> DataFrame:
-    """About ``size`` rows at most, as many of each language: chosen by a hash, cut before any shuffle of text."""
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(200).collect()
-    if not counts:
-        return rows.limit(0)
-    each = max(8, size // len(counts))
+    """As many rows of each language: chosen by a hash, cut before any shuffle of text.
+
+    About ``size`` rows at most, but ``LEAST_EACH`` of every language, however many there are.
+    """
+    counts = materialise(rows.groupBy("lang").count())
+    each = max(LEAST_EACH, size // max(1, counts.count()))
+    chance = counts.select(F.col("lang").alias("known"), F.least(F.lit(1.0), (F.lit(1.5 * each) + 10) / F.col("count")).alias("chance"))
     rows = rows.withColumn("draw", F.xxhash64("text", "id"))
-    chance = {r["lang"]: min(1.0, 1.5 * each / r["count"] + 10 / r["count"]) for r in counts}
-    known = F.create_map(*[F.lit(x) for pair in chance.items() for x in pair])
-    near = rows.filter((F.col("draw").cast("double") / 2.0**64 + 0.5) < known[F.col("lang")])
+    # a row per language: small enough to be broadcast
+    near = rows.join(F.broadcast(chance), F.col("lang") == F.col("known")).filter((F.col("draw").cast("double") / 2.0**64 + 0.5) < F.col("chance"))
     ranked = near.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("draw")))
     return ranked.filter(F.col("place") <= each).select("lang", "text")
 
 
 class Machines:
-    """Linear deciders for pairs of classes: a column of weights and a bias each."""
+    """Linear deciders for pairs of classes: a column of weights and a bias each.
+
+    With more pairs than rows in the sample, the columns are the sample's rows, and ``mix`` has the rows
+    of each pair and their factors, so that the size grows with the languages and not with their pairs.
+    """
 
     def __init__(self, families: list[str], languages: dict[str, list[str]]):
         self.families, self.languages = families, languages
-        self.pairs = [("", a, b) for a, b in combinations(families, 2)] + [(f, a, b) for f in families for a, b in combinations(languages[f], 2)]
-        self.weights = np.zeros((1 << BITS, len(self.pairs)), np.float32)
+        self.pairs = [(None, a, b) for a, b in combinations(families, 2)] + [(f, a, b) for f in families for a, b in combinations(languages[f], 2)]
+        self.weights = np.zeros((1 << BITS, 0), np.float32)
+        self.mix: list[tuple[np.ndarray, np.ndarray]] | None = None
+        self.level: dict[str | None, list[tuple[int, int, int]]] = {}  # pairs of a level, and the places of their classes
+        place = {lv: {c: i for i, c in enumerate(cs)} for lv, cs in [(None, families), *languages.items()]}
+        for k, (lv, a, b) in enumerate(self.pairs):
+            self.level.setdefault(lv, []).append((k, place[lv][a], place[lv][b]))
         self.bias = np.zeros(len(self.pairs))
         self.slope = np.ones(len(self.pairs))
 
+    def margins(self, sums: np.ndarray) -> np.ndarray:
+        """The margin of each pair, from a text's products with the columns of ``weights``."""
+        if self.mix is None:
+            return sums + self.bias
+        out = np.empty((len(sums), len(self.pairs)))
+        for k, (rows, factor) in enumerate(self.mix):
+            out[:, k] = sums[:, rows] @ factor
+        return out + self.bias
+
+    def decide_all(self, sums: np.ndarray) -> tuple[list[str], np.ndarray]:
+        """Language and score of each text, a bounded number at a time."""
+        lang, score, step = [], np.empty(len(sums)), max(1, VOTED // max(1, len(self.pairs)))
+        for a in range(0, len(sums), step):
+            own, score[a:a + step] = self.decide(self.margins(sums[a:a + step]))
+            lang += own
+        return lang, score
+
     def decide(self, margins: np.ndarray) -> tuple[list[str], np.ndarray]:
         """Language and score of each row of margins: the family by votes of its pairs, then the language."""
         chance = 1 / (1 + np.exp(-np.clip(margins * self.slope, -30, 30)))
-        family, sure = self._vote("", self.families, chance)
+        family, sure = self._vote(None, self.families, chance)
         out, score = np.empty(len(margins), object), sure.copy()
         for i, f in enumerate(self.families):
             rows = np.flatnonzero(family == i)
@@ -104,12 +142,11 @@ class Machines:
             score[rows] *= own
         return out.tolist(), score
 
-    def _vote(self, level: str, classes: list[str], chance: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _vote(self, level: str | None, classes: list[str], chance: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         votes = np.zeros((len(chance), len(classes)))
-        for k, (lv, a, b) in enumerate(self.pairs):
-            if lv == level:
-                votes[:, classes.index(a)] += chance[:, k]
-                votes[:, classes.index(b)] += 1 - chance[:, k]
+        for k, a, b in self.level.get(level, ()):
+            votes[:, a] += chance[:, k]
+            votes[:, b] += 1 - chance[:, k]
         best = votes.argmax(axis=1) if len(classes) > 1 else np.zeros(len(chance), np.int64)
         return best, votes[np.arange(len(chance)), best] / (len(classes) - 1) if len(classes) > 1 else np.ones(len(chance))
 
@@ -121,7 +158,7 @@ def fit(sample: list[tuple[str, np.ndarray, np.ndarray]]) -> Machines | None:
         return None
     by_family: dict[str, list[str]] = {}
     for code in langs:
-        by_family.setdefault(FAMILY_OF.get(code, code), []).append(code)
+        by_family.setdefault(family_of(code), []).append(code)
     out = Machines(sorted(by_family), by_family)
     x = np.zeros((len(sample), 1 << BITS), np.float32)
     for i, (_, at, share) in enumerate(sample):
@@ -130,17 +167,27 @@ def fit(sample: list[tuple[str, np.ndarray, np.ndarray]]) -> Machines | None:
     x *= scale
     kernel = x @ x.T + 1.0  # 1 for the bias
     label = np.array([s[0] for s in sample])
-    family = np.array([FAMILY_OF.get(s[0], s[0]) for s in sample])
+    family = np.array([family_of(s[0]) for s in sample])
+    few = len(out.pairs) <= len(sample)
+    if few:
+        out.weights = np.zeros((1 << BITS, len(out.pairs)), np.float32)
+    else:
+        out.mix = []
     for k, (level, a, b) in enumerate(out.pairs):
-        own = family if level == "" else label
+        own = family if level is None else label
         rows = np.flatnonzero((own == a) | (own == b))
         y = np.where(own[rows] == a, 1.0, -1.0)
         alpha = support_vectors(kernel[np.ix_(rows, rows)].astype(np.float64), y)
         pull = np.zeros(len(sample), np.float32)
         pull[rows] = alpha * y
-        out.weights[:, k] = (pull @ x) * scale
+        if few:
+            out.weights[:, k] = (pull @ x) * scale
+        else:
+            out.mix.append((rows[alpha > 0].astype(np.int32), pull[rows[alpha > 0]]))
         out.bias[k] = pull.sum()
-        out.slope[k] = steepness((kernel @ pull)[rows] * y)
+        out.slope[k] = steepness((kernel[rows] @ pull) * y)
+    if not few:
+        out.weights = np.ascontiguousarray((x * scale).T)
     return out
 
 
@@ -203,11 +250,11 @@ def predict(docs: DataFrame, machines: Machines | None, text_col: str = "text",
         feature, inside = features(block)
         ends = np.minimum(block.offsets, len(feature))
         count = np.maximum(1, np.diff(np.concatenate([[0], np.cumsum(inside, dtype=np.int64)])[ends]))
-        margins = np.empty((len(block), len(m.pairs)))
-        for k in range(len(m.pairs)):
+        sums = np.empty((len(block), m.weights.shape[1]))
+        for k in range(m.weights.shape[1]):
             each = np.where(inside, m.weights[:, k][feature], 0)
-            margins[:, k] = np.diff(np.concatenate([[0.0], np.cumsum(each, dtype=np.float64)])[ends]) / count + m.bias[k]
-        lang, score = m.decide(margins)
+            sums[:, k] = np.diff(np.concatenate([[0.0], np.cumsum(each, dtype=np.float64)])[ends]) / count
+        lang, score = m.decide_all(sums)
         return {"lang_pred": [x if ok else UNDETERMINED for x, ok in zip(lang, lettered)], "score": np.where(lettered, score, 0.0)}
 
     return tb.map_texts(docs, text_col, list(keep), "lang_pred string, score double", work)

@@ -4,6 +4,7 @@ import gzip
 import random
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -253,6 +254,32 @@ def test_language_held_out(spark):
     assert row["right"] > 0.98 and 0 <= row["low"] and row["high"] <= 1
 
 
+def test_language_of_every_label(spark):
+    # 205 regional tags in known families; each has words of its own
+    codes = [f"{c}-{r}" for c in ("en", "fr", "pl", "lt", "hi") for r in range(100, 141)]
+    rows = [(8 * i + j, code, " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26)}{chr(97 + (i * 7 + k) % 26)}q" for k in range(12)) * 2) for i, code in enumerate(codes) for j in range(8)]
+    docs = spark.createDataFrame(rows, "id long, lang string, text string")
+    sample = Counter(r["lang"] for r in language.pick_sample(docs, 1600).collect())
+    assert set(sample) == set(codes) and set(sample.values()) == {8}
+    machines = language.train(docs)
+    assert len(machines.families) == 5 and len(machines.pairs) == 10 + 5 * 41 * 40 // 2
+    made = language.predict(docs, machines, keep=["lang"])
+    assert made.filter("lang = lang_pred").count() > 0.95 * len(rows)
+    assert language.family_of("de_AT") == language.family_of("EN-us") == "germanic" and language.family_of("xx-1") == "xx" and language.family_of("") == ""
+
+
+def test_language_machines_of_many_pairs():
+    rng = np.random.default_rng(1)
+    sample = [(f"x{i}", np.array([3 * i, 3 * i + 1, 1000 + j]), np.array([0.5, 0.3, 0.2], np.float32)) for i in range(30) for j in range(2)]
+    machines = language.fit(sample)
+    assert len(machines.pairs) > len(sample) and machines.weights.shape[1] == len(sample)  # kept by sample rows, not by pairs
+    dense = np.zeros((len(sample), 1 << language.BITS), np.float32)
+    for i, (_, at, share) in enumerate(sample):
+        dense[i, at] = share
+    lang, score = machines.decide(machines.margins(dense @ machines.weights))
+    assert lang == [s[0] for s in sample] and 0 < score.min() <= score.max() <= 1
+
+
 def test_language_edges(small, edge, none):
     got = {(r["doc_id"], r["lang_pred"]) for r in language.identify(edge, small).collect()}
     assert {(1, "und"), (2, "und"), (3, "und"), (7, "und")} <= got and (4, "und") not in got and (6, "und") not in got
