@@ -61,8 +61,8 @@ BOOT = 400
 WSQL = "CASE " + " ".join(f"WHEN u < {p!r}::DOUBLE THEN {k}" for k, p in enumerate(lift.POISSON)) + f" ELSE {len(lift.POISSON)} END"
 
 
-@query("bootstrap_lift", "C48", doubles="lift_mean_pct:5 ci_low_pct:5 ci_high_pct:5",
-       sql=SOLD + f""", m AS (SELECT * FROM {melt_sql('sold', 'listing_id, gmv_lifetime AS x0', ['has_addons', 'has_scale'])}),
+def boot_sql(feats):
+    return SOLD + f""", m AS (SELECT * FROM {melt_sql('sold', 'listing_id, gmv_lifetime AS x0', feats)}),
 c AS (SELECT feature, has, quantile_cont(x0, 0.01) AS lo, quantile_cont(x0, 0.99) AS hi, count(*) AS n FROM m GROUP BY 1, 2),
 x AS (SELECT m.feature, m.has, CAST(listing_id % {P} AS BIGINT) AS k, least(greatest(x0, lo), hi) AS x, n FROM m JOIN c USING (feature, has)),
 t1 AS (SELECT *, (k * 48271 + r * 69621 + 1) % {P} AS t FROM x, (SELECT unnest(range(1, {BOOT + 1})) AS r)),
@@ -71,11 +71,21 @@ t3 AS (SELECT *, ((t * t + k * 16807) % {P}) / {P}.0::DOUBLE AS u FROM t2),
 s AS (SELECT feature, r, has, sum(w * x) AS s, sum(w) AS w, max(n) AS n FROM (SELECT *, {WSQL} AS w FROM t3) GROUP BY 1, 2, 3),
 b AS (SELECT feature, r, max(s / w) FILTER (has = 1) AS a, max(s / w) FILTER (has = 0) AS b, max(n) FILTER (has = 1) AS n_with, max(n) FILTER (has = 0) AS n_without FROM s GROUP BY 1, 2)
 SELECT feature, avg({lift_sql('a', 'b')}) AS lift_mean_pct, quantile_cont({lift_sql('a', 'b')}, 0.025) AS ci_low_pct, quantile_cont({lift_sql('a', 'b')}, 0.975) AS ci_high_pct,
-  max(n_with) AS n_with, max(n_without) AS n_without FROM b WHERE n_with >= 200 AND n_without >= 200 AND b > 0 GROUP BY 1""")
+  max(n_with) AS n_with, max(n_without) AS n_without FROM b WHERE n_with >= 200 AND n_without >= 200 AND b > 0 GROUP BY 1"""
+
+
+@query("bootstrap_lift", "C48", doubles="lift_mean_pct:5 ci_low_pct:5 ci_high_pct:5",
+       sql=boot_sql(["has_addons", "has_scale"]))
 def bootstrap_lift(spark, root):
     return lift.bootstrap_lift(sold(spark, root), "listing_id", ["has_addons", "has_scale"], VALUE, replicates=BOOT)
 
 
+# over every feature: bootstrap_lift stays as its SQL has it
+@query("bootstrap_lift_features", "C48", doubles="lift_mean_pct:5 ci_low_pct:5 ci_high_pct:5", sql=boot_sql(FEATURES))
+def bootstrap_lift_features(spark, root):
+    return lift.bootstrap_lift(sold(spark, root), "listing_id", FEATURES, VALUE, replicates=BOOT)
+
+
 TOPC = """, topc AS (SELECT country_name FROM sold GROUP BY 1 ORDER BY count(*) DESC, country_name LIMIT 25),
 st AS (SELECT *, CASE WHEN country_name IN (SELECT country_name FROM topc) THEN country_name ELSE 'Other' END AS country_name_top FROM sold)"""
 

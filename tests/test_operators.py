@@ -314,6 +314,13 @@ def test_lift_with_one_sided_feature(spark):
     assert lift.segment_lift(df.withColumn("s", F.lit("x")), ["f", "g"], "s", "v", "a").count() == 1
 
 
+def test_bootstrap_query_over_every_feature(spark):
+    from souklens.plans import QUERIES
+
+    got = {r["feature"] for r in QUERIES["bootstrap_lift_features"].run(spark, "/root/testdata/sf0.001").collect()}
+    assert {"has_group", "has_capacity"} < got  # on so few rows the others lack 200 on a side
+
+
 def test_bootstrap_interval_holds_the_plain_lift(spark):
     df = spark.range(2000).select(F.col("id"), (F.col("id") % 2).cast("int").alias("f"), (F.lit(10.0) + F.col("id") % 7 + (F.col("id") % 2) * 3).alias("v"))
     r = lift.bootstrap_lift(df, "id", ["f"], "v", replicates=200).first()
