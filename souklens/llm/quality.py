@@ -21,9 +21,10 @@ from souklens.llm import textbytes as tb
 BUCKET_BITS = 16
 #: Added to each bucket's count, so that unseen n-grams say nothing.
 SMOOTHING = 1.0
-#: Share of trusted texts above the threshold's quantile; slack below it, as a share of its distance from
+#: Share of trusted texts above the threshold's quantile, and the texts that lie below it at least, if they
+#: are at most a tenth, so that no single label decides; slack below it, as a share of its distance from
 #: their median, for good texts that no label covers; scores are compared on a grid of this step.
-RECALL, SLACK, GRID = 0.999, 0.5, 1 / 1024
+RECALL, LEAST_BELOW, SLACK, GRID = 0.98, 2, 0.5, 1 / 1024
 #: Trusted ids are broadcast up to this many (8 MB); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -169,13 +170,16 @@ def assess(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def threshold(made: DataFrame, recall: float) -> float:
-    """Of the trusted texts that pass the rules: the largest grid value that ``recall`` of them reach, less the slack."""
+    """Of the trusted texts that pass the rules: the largest grid value that ``recall`` of them reach, or all but ``LEAST_BELOW``, less the slack."""
     counts = made.filter("trusted AND NOT base_failed").groupBy("score").count().collect()  # scores are grid values within a few units of 0
     if not counts:
         return -math.inf
 
+    total = sum(r["count"] for r in counts)
+    below = min(LEAST_BELOW, (total - 1) // 10)
+
     def reached_by(share: float) -> float:
-        left = math.ceil(share * sum(r["count"] for r in counts))
+        left = min(math.ceil(share * total), total - below)
         for r in sorted(counts, key=lambda r: -r["score"]):
             left -= r["count"]
             if left <= 0:

@@ -440,6 +440,16 @@ def test_quality_verdict(spark):
     assert by[1]["kept"] > 0.99 and by[0]["kept"] < by[1]["kept"] and by[0]["score"] < by[1]["score"]
 
 
+def test_quality_threshold_stands_on_several(spark):
+    rng = random.Random(2)
+    words = lambda mark, n=120: " ".join(f"{mark}{rng.randint(0, 400)}" for _ in range(n))
+    rows = [(i, words("good")) for i in range(60)] + [(100 + i, words("junk")) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 40)] + [(100, 1, 0)] + [(i, 0, 0) for i in range(101, 150)], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r["kept"] for r in quality.assess(docs, labels).collect()}  # one junk text is trusted by mistake
+    assert all(got[i] for i in range(60)) and sum(got[100 + i] for i in range(1, 300)) == 0
+
+
 def test_quality_without_labels(edge, none, spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert all(r["kept"] != r["base_failed"] for r in quality.assess(edge, labels).collect())
