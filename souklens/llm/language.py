@@ -19,7 +19,7 @@ from souklens.llm import textbytes as tb
 
 BITS = 13
 #: Labelled rows that the machines are fitted on, shared out evenly between the languages, and the rows that each has at least.
-SAMPLE_ROWS, LEAST_EACH = 1600, 8
+SAMPLE_ROWS, LEAST_EACH = 2400, 8
 #: Margins that are voted on at once.
 VOTED = 1 << 22
 #: Penalty of the support vector machines, and rounds of coordinate ascent over the sample.
@@ -225,14 +225,14 @@ def train(rows: DataFrame, size: int = SAMPLE_ROWS) -> Machines | None:
         for a, b in zip(block.offsets[:-1].tolist(), block.offsets[1:].tolist()):
             own = feature[a:b][inside[a:b]]
             f, n = np.unique(own, return_counts=True)
-            at.append(f.tolist())
-            share.append((n / max(1, len(own))).tolist())
-        return {"at": pa.array(at, pa.list_(pa.int32())), "share": pa.array(share, pa.list_(pa.float32()))}
+            at.append(f.astype("<i4").tobytes())
+            share.append((n / max(1, len(own))).astype("<f4").tobytes())
+        return {"at": pa.array(at, pa.binary()), "share": pa.array(share, pa.binary())}
 
     sample = pick_sample(rows.filter("lang IS NOT NULL AND text IS NOT NULL"), size)
-    made = tb.map_texts(sample, "text", ["lang"], "at array<int>, share array<float>", work).collect()
+    made = tb.map_texts(sample, "text", ["lang"], "at binary, share binary", work).collect()
     made.sort(key=lambda r: (r["lang"], r["at"], r["share"]))
-    return fit([(r["lang"], np.array(r["at"], np.int64), np.array(r["share"], np.float32)) for r in made if r["at"]])
+    return fit([(r["lang"], np.frombuffer(r["at"], "<i4"), np.frombuffer(r["share"], "<f4")) for r in made if r["at"]])
 
 
 def predict(docs: DataFrame, machines: Machines | None, text_col: str = "text", keep: list[str] = ("doc_id",)) -> DataFrame:

@@ -268,6 +268,11 @@ def test_language_of_every_label(spark):
     assert language.family_of("de_AT") == language.family_of("EN-us") == "germanic" and language.family_of("xx-1") == "xx" and language.family_of("") == ""
 
 
+def test_language_sample_rows_are_packed(spark):
+    docs = spark.createDataFrame([(i, "en" if i % 2 else "fr", f"word {i} " * 400) for i in range(4000)], "id long, lang string, text string")
+    assert language.pick_sample(docs, language.SAMPLE_ROWS).count() == 2400
+
+
 def test_language_machines_of_many_pairs():
     rng = np.random.default_rng(1)
     sample = [(f"x{i}", np.array([3 * i, 3 * i + 1, 1000 + j]), np.array([0.5, 0.3, 0.2], np.float32)) for i in range(30) for j in range(2)]
