@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from souklens.llm import bpe, fmindex, language, licences, minmax, pii, quality, warc, wrappers
+from souklens.llm import bpe, collocations, fmindex, forest, language, licences, minmax, pii, quality, warc, whitening, wrappers
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -69,6 +69,18 @@ def op10_quality_ratio(spark: SparkSession, root: str) -> DataFrame:
     return made.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
 
 
+def op11_stripe_collocations(spark: SparkSession, root: str) -> DataFrame:
+    return collocations.collocations(table(spark, root, "documents"))
+
+
+def op12_forest_neighbours(spark: SparkSession, root: str) -> DataFrame:
+    return forest.neighbours(table(spark, root, "embeddings"), F.col("id") % 100 == 0)
+
+
+def op13_chebyshev_whitening(spark: SparkSession, root: str) -> DataFrame:
+    return whitening.whiten(table(spark, root, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_boosted_pii": op1_boosted_pii,
     "op2_wrapper_text": op2_wrapper_text,
@@ -80,6 +92,9 @@ QUERIES: dict[str, Query] = {
     "op8_two_tier_counts": op8_two_tier_counts,
     "op9_minmax_dedup": op9_minmax_dedup,
     "op10_quality_ratio": op10_quality_ratio,
+    "op11_stripe_collocations": op11_stripe_collocations,
+    "op12_forest_neighbours": op12_forest_neighbours,
+    "op13_chebyshev_whitening": op13_chebyshev_whitening,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -140,4 +155,32 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
 FROM (SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS d, min(page_id) OVER (PARTITION BY sha256(coalesce(html, ''))) AS low FROM pages)
 """
 
-SQL: dict[str, str] = {"op6_fm_decontamination": OP6_SQL, "op7_warc_salvage": OP7_SQL, "op9_minmax_dedup": OP9_SQL}
+OP11_SQL = rf"""
+WITH words AS (
+  SELECT doc_id, p, coalesce(lang, 'und') AS lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w
+  FROM (SELECT doc_id, lang, unnest(pieces) AS piece, unnest(range(len(pieces))) AS p
+        FROM (SELECT row_number() OVER () AS doc_id, lang, string_split_regex({_LOWER}, '[.,;:!?\x0A-\x0D]') AS pieces FROM documents))
+), sizes AS (
+  SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM words GROUP BY lang HAVING sum(len(w)) > 0
+), places AS (
+  SELECT lang, k, w[i:i + k - 1] AS x FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM words, (VALUES (1), (2), (3)) t(k) WHERE len(w) >= k)
+), counts AS (
+  SELECT lang, k, array_to_string(x, ' ') AS phrase, any_value(x) AS x, count(*) AS f FROM places GROUP BY ALL HAVING count(*) >= 10
+), cuts AS (
+  SELECT c.lang, c.k, c.phrase, c.f AS a, unnest(range(1, c.k)) AS cut, c.x FROM counts c WHERE c.k > 1
+), scored AS (
+  SELECT c.*, l.f AS l, r.f AS r, (1000000::HUGEINT * c.a * c.a) // (l.f::HUGEINT * r.f) AS score FROM cuts c
+  JOIN counts l ON l.lang = c.lang AND l.phrase = array_to_string(c.x[1:c.cut], ' ')
+  JOIN counts r ON r.lang = c.lang AND r.phrase = array_to_string(c.x[c.cut + 1:c.k], ' ')
+), lowest AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+), longer AS (
+  SELECT lang, part, max(f) AS f FROM (SELECT lang, f, unnest([array_to_string(x[1:2], ' '), array_to_string(x[2:3], ' ')]) AS part FROM counts WHERE k = 3) GROUP BY ALL
+), ranked AS (
+  SELECT l.*, row_number() OVER (PARTITION BY l.lang ORDER BY score DESC, a DESC, phrase) AS rank FROM lowest l
+  LEFT JOIN longer g ON g.lang = l.lang AND g.part = l.phrase AND l.k = 2 WHERE g.f IS NULL OR 100 * g.f < 50 * l.a
+)
+SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM ranked JOIN sizes USING (lang) WHERE rank <= 2000
+"""
+
+SQL: dict[str, str] = {"op11_stripe_collocations": OP11_SQL, "op6_fm_decontamination": OP6_SQL, "op7_warc_salvage": OP7_SQL, "op9_minmax_dedup": OP9_SQL}
