@@ -23,10 +23,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from souklens.functions.storage import materialise
+from souklens.llm.textbytes import small_batches
 from souklens.llm.vectors import matrix, usable
 
 #: Trees; rows of a leaf as meant; rows of the sample that trees are fitted on, at least so many in a leaf.
-TREES, LEAF_ROWS, SAMPLE_ROWS, SAMPLE_LEAF = 4, 256, 32_768, 8
+TREES, LEAF_ROWS, SAMPLE_ROWS, SAMPLE_LEAF = 4, 256, 16_384, 8
 #: Leaves of the first round; share of the k-th distance found there that a leaf's bound may have in the second.
 FIRST, REACH = 8, 0.17
 #: Rows of a leaf, and queries at a leaf, that are worked on at once; a fuller leaf is cut into pieces.
@@ -130,7 +131,8 @@ def _visits(queries: DataFrame, shared, d: int, first: int, reach: float | None)
 def _rerank(leaves: DataFrame, visits: DataFrame, d: int, k: int) -> DataFrame:
     """``query, rep, low, distance``: of each visited piece of a leaf the query's ``k`` nearest rows under ``most``, by exact distances."""
     asked = _pieces(visits, PIECE_QUERIES).groupBy("leaf", F.col("piece").alias("of")).agg(F.collect_list(F.struct("rep", "v", "most")).alias("queries"))
-    pairs = leaves.join(asked, "leaf").select("rows", "queries")
+    # never by broadcast: Spark would take the visits for as small as the queries that they come from
+    pairs = leaves.join(asked.hint("merge"), "leaf").select("rows", "queries")
 
     def work(batches):
         for batch in batches:
@@ -175,6 +177,7 @@ def neighbours(rows: DataFrame, is_query, id_col: str = "vec_id", vector_col: st
     ``k + 1`` smallest ids, which is all that any answer can need. Other columns are ignored. Ids are integers.
     """
     session, n_ids = rows.sparkSession, k + 1
+    small_batches(session)
     picked, d = usable(rows, id_col, vector_col, zero=False)
     empty = session.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if not d:
@@ -188,7 +191,9 @@ def neighbours(rows: DataFrame, is_query, id_col: str = "vec_id", vector_col: st
     n = points.count()
     if not n:
         return empty
-    sample = points.select("v").orderBy(F.xxhash64("v"), "low").limit(SAMPLE_ROWS).toArrow()["v"].combine_chunks()
+    # a share of all points by a hash of theirs: SAMPLE_ROWS, give or take a few per cent
+    part = F.pmod(F.xxhash64("v", F.lit(17)), F.lit(1 << 31)) < int(min(1.0, SAMPLE_ROWS / n) * (1 << 31))
+    sample = points.filter(part).select("v").toArrow()["v"].combine_chunks()
     shared = session.sparkContext.broadcast(Forest(matrix(sample, d), n, trees, leaf_rows))
     leaves = _pieces(_route(points, shared, d), PIECE_ROWS).groupBy("leaf", "piece").agg(F.collect_list(F.struct("rep", "low", "v")).alias("rows"))
     leaves = materialise(leaves)

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from souklens.functions.storage import materialise
+from souklens.llm.textbytes import small_batches
 from souklens.llm.vectors import matrix, usable
 
 SCALE, SHIFT = 1024, 100_000
@@ -277,6 +278,7 @@ def whiten(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding
     """
     kind = rows.schema[id_col].dataType.simpleString()
     schema = f"{id_col} {kind}, component int, n long, deviation long, whitened double, explained double, identity_error double"
+    small_batches(rows.sparkSession)
     picked, d = usable(rows, id_col, vector_col)
     blocks = store_blocks(picked, d) if d else None
     known = moments(blocks, d) if d else None
