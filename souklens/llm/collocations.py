@@ -10,6 +10,8 @@ the most frequent extension to the right.
 from __future__ import annotations
 
 import math
+import pickle
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +24,8 @@ from souklens.llm import textbytes as tb
 
 UNDETERMINED = "und"
 LEAST, PER_LANG, COVERED = 10, 2000, 50
-#: Text for which there is one bucket; entries, and words, that a task holds before it sends them on.
-BUCKET_BYTES, HELD, HELD_WORDS = 8 << 20, 2_000_000, 1_000_000
+#: Text for which there is one bucket at most; entries, and words, that a task holds before it sends them on.
+BUCKET_BYTES, HELD, HELD_WORDS = 16 << 20, 600_000, 500_000
 
 #: ``[.,;:!?\x0A-\x0D]`` end a piece, these and blanks a word.
 _STOP = np.zeros(256, bool)
@@ -72,17 +74,27 @@ class Stripes:
         """Elementwise sums."""
         if self.fresh:
             entries, counts = np.concatenate([e for e, _ in self.parts], axis=1), np.concatenate([n for _, n in self.parts])
-            order = np.argsort(packed(entries), kind="stable") if len(self.pool) <= 1 << _BITS else np.lexsort(entries[::-1])
-            entries = entries[:, order]
-            first = np.flatnonzero(np.concatenate([[True], (entries[:, 1:] != entries[:, :-1]).any(axis=0)]))
-            self.parts = [(entries[:, first], np.add.reduceat(counts[order], first))]
+            self.parts = []
+            if len(self.pool) <= 1 << _BITS:
+                key = packed(entries)
+                order = np.argsort(key, kind="stable")
+                key = key[order]
+                other = key[1:] != key[:-1]
+            else:
+                order = np.lexsort(entries[::-1])
+                other = (entries[:, order[1:]] != entries[:, order[:-1]]).any(axis=0)
+            first = np.flatnonzero(np.concatenate([[True], other]))
+            self.parts = [(entries[:, order[first]], np.add.reduceat(counts[order], first))]
             self.rows, self.fresh = len(first), 0
         return self.parts[0] if self.parts else (np.zeros((3, 0), np.int32), np.zeros(0, np.int64))
 
 
 def packed(entries: np.ndarray) -> np.ndarray:
-    a, b, c = entries.astype(np.int64)
-    return a << 2 * _BITS | b << _BITS | c
+    key = entries[0].astype(np.int64)
+    for row in entries[1:]:
+        key <<= _BITS
+        key |= row
+    return key
 
 
 def prefixes(entries: np.ndarray) -> np.ndarray:
@@ -90,6 +102,39 @@ def prefixes(entries: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], (entries[:2, 1:] != entries[:2, :-1]).any(axis=0)])) if entries.shape[1] else np.zeros(0, np.int64)
 
 
+def _small(values: np.ndarray) -> tuple[str, bytes]:
+    """Numbers in the least wide type that holds them."""
+    kind = np.min_scalar_type(int(values.max(initial=0)))
+    return kind.str, values.astype(kind).tobytes()
+
+
+def pack(words: list[bytes], entries: np.ndarray, counts: np.ndarray) -> bytes:
+    """Stripes as bytes: the words that they hold, each prefix once with the size of its stripe, what follows and counts.
+
+    Entries are places in ``words``, sorted by prefix.
+    """
+    there = np.zeros(len(words), bool)
+    there[entries] = True
+    local = (np.cumsum(there) - 1)[entries]
+    begin = prefixes(local)
+    arrays = [_small(x) for x in (local[0, begin], local[1, begin], np.diff(np.append(begin, len(counts))), local[2], counts)]
+    names = [words[i] for i in np.flatnonzero(there).tolist()]
+    joined = b"\x00".join(names)
+    return pickle.dumps((joined, None if joined.count(b"\x00") == len(names) - 1 else [len(w) for w in names], arrays), protocol=5)
+
+
+def unpack(body: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The words, entries as places in them, and counts."""
+    joined, lengths, arrays = pickle.loads(body)
+    first, second, sizes, follows, counts = [np.frombuffer(raw, kind).astype(np.int64) for kind, raw in arrays]
+    if lengths is None:
+        words = joined.split(b"\x00")
+    else:  # a word holds the byte between words
+        ends = (np.cumsum(lengths) + np.arange(len(lengths))).tolist()
+        words = [joined[e - n:e] for e, n in zip(ends, lengths)]
+    return words, np.stack([np.repeat(first, sizes), np.repeat(second, sizes), follows]), counts
+
+
 def add_texts(held: Stripes, block: tb.Block, langs: pa.Array) -> None:
     """Adds the stripes of a block's texts."""
     data = tb.FOLD[block.data]
@@ -115,24 +160,23 @@ def add_texts(held: Stripes, block: tb.Block, langs: pa.Array) -> None:
     held.add(entries, np.ones(entries.shape[1], np.int64))
 
 
-_BODIES = ["bucket", "words", "entries", "counts"]
-
-
-def bodies(held: Stripes, buckets: int) -> pa.RecordBatch:
-    """``bucket, words, entries, counts``: whole stripes by a hash of their prefix, with the words that they hold."""
+def bodies(held: Stripes, buckets: int) -> Iterator[pa.RecordBatch]:
+    """``bucket, body``: whole stripes by a hash of their prefix, with the words that they hold, compressed."""
     entries, counts = held.merged()
     words = held.pool.words()
+    order = sorted(range(len(words)), key=words.__getitem__)  # words in order compress better
+    place = np.empty(len(words), np.int32)
+    place[order] = np.arange(len(words), dtype=np.int32)
+    entries, words = place[entries], [words[i] for i in order]
     hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64)
-    bucket = (tb.mix(hashes[entries[0]] + tb.mix(hashes[entries[1]])) % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    entries, counts, bucket = entries[:, order], counts[order], bucket[order]
+    bucket = (tb.mix(hashes[entries[0]] + tb.mix(hashes[entries[1]])) % np.uint64(buckets)).astype(np.int32)
+    order = np.lexsort([entries[1], entries[0], bucket])
+    bucket = bucket[order]
     edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])) if len(bucket) else np.zeros(1, np.int64)
-    out = [[], [], [], []]
+    codec = pa.Codec("zstd", 3)
     for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
-        used, local = np.unique(entries[:, a:b], return_inverse=True)
-        for column, value in zip(out, (int(bucket[a]), [words[i] for i in used.tolist()], local.reshape(3, -1).astype(np.int32).tobytes(), counts[a:b].tobytes())):
-            column.append(value)
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int32(), pa.list_(pa.binary()), pa.binary(), pa.binary()))], names=_BODIES)
+        body = pack(words, entries[:, order[a:b]], counts[order[a:b]])
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[a:a + 1]), pa.array([len(body)], pa.int64()), pa.array([codec.compress(body, asbytes=True)], pa.binary())], names=["bucket", "size", "body"])
 
 
 def frequent(held: Stripes, least: int) -> pa.RecordBatch:
@@ -179,7 +223,7 @@ def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     spark = docs.sparkSession
     total = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / (8 * BUCKET_BYTES)))
-    buckets = max(4 * partitions, math.ceil(total / BUCKET_BYTES))
+    buckets = max(2 * partitions, math.ceil(total / BUCKET_BYTES))
 
     def build(batches):
         tb.give_back()
@@ -190,26 +234,26 @@ def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
             for block in tb.blocks(batch.column(0)):
                 add_texts(held, block, batch.column(1).slice(block.first, len(block)))
                 if held.rows > HELD or len(held.pool) > HELD_WORDS:
-                    yield bodies(held, buckets)
+                    yield from bodies(held, buckets)
                     held = Stripes()
-        yield bodies(held, buckets)
+        yield from bodies(held, buckets)
         tb.give_back()
 
     def merge(batches):
-        bucket, held = None, Stripes()
+        bucket, held, codec = None, Stripes(), pa.Codec("zstd")
         for batch in batches:
-            for at, words, entries, counts in zip(*[batch.column(i) for i in range(4)]):
-                if at.as_py() != bucket:
+            for at, size, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                if at != bucket:
                     if bucket is not None:
                         yield frequent(held, least)
-                    bucket, held = at.as_py(), Stripes()
-                codes = held.pool.add(words.values.to_pylist()).astype(np.int32)
-                held.add(codes[np.frombuffer(entries.as_buffer(), np.int32).reshape(3, -1)], np.frombuffer(counts.as_buffer(), np.int64))
+                    bucket, held = at, Stripes()
+                words, entries, counts = unpack(codec.decompress(body.as_buffer(), size, asbytes=True))
+                held.add(held.pool.add(words).astype(np.int32)[entries], counts)
         if bucket is not None:
             yield frequent(held, least)
         tb.give_back()
 
-    made = rows.mapInArrow(build, "bucket int, words array<binary>, entries binary, counts binary").repartition(partitions, "bucket").sortWithinPartitions("bucket")
+    made = rows.mapInArrow(build, "bucket int, size long, body binary").repartition(partitions, "bucket").sortWithinPartitions("bucket")
     return made.mapInArrow(merge, "kind int, lang string, w1 string, w2 string, w3 string, f long, head long")
 
 
