@@ -15,7 +15,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,7 +22,7 @@ from souklens.functions.storage import materialise
 from souklens.llm import textbytes as tb
 
 UNDETERMINED = "und"
-LEAST, PER_LANG, COVERED = 10, 2000, 50
+LEAST, PER_LANG, COVERED, PARTS = 10, 2000, 50, 32
 #: Text for which there is one bucket at most; entries, and words, that a task holds before it sends them on.
 BUCKET_BYTES, HELD, HELD_WORDS = 16 << 20, 600_000, 500_000
 
@@ -142,13 +141,12 @@ def add_texts(held: Stripes, block: tb.Block, langs: pa.Array) -> None:
     starts, ends = tb.spans(solid, block.offsets)
     if not len(starts):
         return
-    lengths = np.cumsum(np.concatenate([[0], ends - starts]))
-    words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(lengths.astype(np.int64)), pa.py_buffer(data[solid])]).dictionary_encode()
+    word, texts = tb.distinct(data, starts, ends)
     lang = langs.cast(pa.large_string()).cast(pa.large_binary()).dictionary_encode()
-    owner, size = block.owner(starts), len(words.dictionary)
-    both = lang.indices.to_numpy(zero_copy_only=False)[owner].astype(np.int64) * size + words.indices.to_numpy(zero_copy_only=False)
+    owner, size = block.owner(starts), len(texts)
+    both = lang.indices.to_numpy(zero_copy_only=False)[owner].astype(np.int64) * size + word
     used, at = np.unique(both, return_inverse=True)
-    names, texts = lang.dictionary.to_pylist(), words.dictionary.to_pylist()
+    names = lang.dictionary.to_pylist()
     code = held.pool.add([texts[x % size] + b"\n" + names[x // size] for x in used.tolist()])[at]
     stops = np.concatenate([[0], np.cumsum(_STOP[data])])
     inner = np.flatnonzero((stops[starts[1:]] == stops[starts[:-1]]) & (owner[1:] == owner[:-1]))  # words with a next one
@@ -168,7 +166,7 @@ def bodies(held: Stripes, buckets: int) -> Iterator[pa.RecordBatch]:
     place = np.empty(len(words), np.int32)
     place[order] = np.arange(len(words), dtype=np.int32)
     entries, words = place[entries], [words[i] for i in order]
-    hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64)
+    hashes = tb.hash_words(words)
     bucket = (tb.mix(hashes[entries[0]] + tb.mix(hashes[entries[1]])) % np.uint64(buckets)).astype(np.int32)
     order = np.lexsort([entries[1], entries[0], bucket])
     bucket = bucket[order]
@@ -293,7 +291,9 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     three = ends.withColumns({"s1": s1, "s2": s2}).select("lang", F.concat_ws(" ", "w1", "w2", "w3").alias("phrase"), F.col("f").alias("a"), cut.alias("cut")).select("lang", "phrase", "a", "cut.*")
 
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    best = two.unionByName(three).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+    # the first ``top`` of each part of a language before those of the whole, so that no task reads more than ``PARTS * top`` rows of it
+    part = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(PARTS))).orderBy(F.desc("score"), F.desc("a"), "phrase")
+    best = two.unionByName(three).withColumn("rank", F.row_number().over(part)).filter(F.col("rank") <= top).drop("rank").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
     return best.join(F.broadcast(sizes) if _few(sizes) else sizes, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 

@@ -28,44 +28,42 @@ BENCHMARK_BYTES = 8 << 20
 
 
 class Windows:
-    """Windows of some benchmark items: word ids by length, and the items each window belongs to."""
+    """Windows of some benchmark items: word numbers by length, and the items each window belongs to."""
 
     def __init__(self, items: list[tuple[str, str]], size: int = WINDOW):
+        vocabulary: dict[bytes, int] = {}
         owners: dict[tuple, set[str]] = defaultdict(set)
         for item, text in items:
             block = next(tb.blocks(pa.array([text])))
-            words = block_words(block)[2].tolist()
+            _, _, codes, distinct = block_words(block)
+            own = [vocabulary.setdefault(w, len(vocabulary) + 1) for w in distinct]
+            words = [own[c] for c in codes.tolist()]
             n = min(size, len(words))
             for i in range(len(words) - n + 1 if n else 0):
                 owners[tuple(words[i:i + n])].add(item)
         windows = sorted(owners)
-        self.vocabulary = np.unique(np.array([w for x in windows for w in x], np.uint64))
+        self.vocabulary = vocabulary
         self.items = sorted({i for x in owners.values() for i in x})
         place = {x: i for i, x in enumerate(self.items)}
         self.shortest = min(map(len, windows), default=0)
         self.by_length = {}
         for n in sorted({len(x) for x in windows}):
             own = [x for x in windows if len(x) == n]
-            symbols = np.searchsorted(self.vocabulary, np.array(own, np.uint64)) + 1
+            symbols = np.array(own, np.int64)
             lists = [sorted(place[i] for i in owners[x]) for x in own]
             self.by_length[n] = symbols, np.array([i for x in lists for i in x], np.int64), np.cumsum([0] + [len(x) for x in lists])
-        self.quick = np.zeros(1 << 16, bool)
-        self.quick[(self.vocabulary >> np.uint64(48)).astype(np.int64)] = True
-
-    def symbols(self, words: np.ndarray) -> np.ndarray:
-        """1 + place in the vocabulary, 0 for other words."""
-        out = np.zeros(len(words), np.int64)
-        maybe = np.flatnonzero(self.quick[(words >> np.uint64(48)).astype(np.int64)])
-        if len(maybe):
-            at = np.minimum(np.searchsorted(self.vocabulary, words[maybe]), len(self.vocabulary) - 1)
-            out[maybe] = np.where(self.vocabulary[at] == words[maybe], at + 1, 0)
-        return out
+
+    def symbols(self, codes: np.ndarray, distinct: list[bytes]) -> np.ndarray:
+        """The vocabulary's number of each word, 0 for other words."""
+        known = self.vocabulary
+        return np.array([known.get(w, 0) for w in distinct], np.int64)[codes] if len(codes) else codes
 
 
-def block_words(block: tb.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def block_words(block: tb.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """Starts and ends of words, a code of each by its bytes, and the distinct words."""
     data = tb.FOLD[block.data]
     starts, ends = tb.spans(tb.ALNUM[data], block.offsets)
-    return starts, ends, tb.hash_spans(tb.prefix(data), starts, ends)
+    return starts, ends, *tb.distinct(data, starts, ends)
 
 
 class FmIndex:
@@ -214,11 +212,11 @@ def _pass(docs: DataFrame, text_col: str, keep: list[str], shared, cleaned: bool
 
     def work(block: tb.Block, found: list) -> dict:
         windows = shared.value
-        starts, ends, words = block_words(block)
+        starts, ends, codes, distinct = block_words(block)
         first = np.searchsorted(starts, block.offsets)
-        hit = np.zeros(len(words) + 1, np.int32)
+        hit = np.zeros(len(codes) + 1, np.int32)
         pairs = []
-        for at, n, window in occurrences(windows, windows.symbols(words), first):
+        for at, n, window in occurrences(windows, windows.symbols(codes, distinct), first):
             np.add.at(hit, at, 1)
             np.add.at(hit, at + n, -1)
             pair = np.unique(np.stack([np.searchsorted(first, at, side="right") - 1, window], axis=1), axis=0)

@@ -134,12 +134,7 @@ class Scanner:
         sequences = [[ids[w] for w in x] for x in worded]
         self.sizes = [len(x) for x in sequences]
         self.automaton = Automaton(sequences)
-        block = tb.Block(0, np.frombuffer(b"".join(vocabulary), np.uint8), np.cumsum([0] + [len(w) for w in vocabulary]))
-        hashes = tb.hash_spans(tb.prefix(block.data), block.offsets[:-1], block.offsets[1:])
-        self.order = np.argsort(hashes)
-        self.hashes = hashes[self.order]
-        self.quick = np.zeros(1 << 16, bool)
-        self.quick[(self.hashes >> np.uint64(48)).astype(np.int64)] = True
+        self.ids = ids
         # which words follow which: runs of text without such a pair can't match two words
         n = len(vocabulary)
         self.pairs, self.kept_pairs = np.zeros((n + 1, n + 1), bool), np.zeros((n + 1, n + 1), bool)
@@ -147,6 +142,8 @@ class Scanner:
             for a, b in zip(x, x[1:]):
                 self.pairs[a, b] = True
                 self.kept_pairs[a, b] |= k < self.n_phrases and len(x) == 2
+        self.alone = np.zeros(n + 1, bool)  # words that are a phrase by themselves
+        self.alone[[x[0] for x in sequences[:self.n_phrases] if len(x) == 1]] = True
         # phrases that end wherever a state's run ends: those of the state and of its suffixes
         self.phrase_ends: list[list[int]] = [[] for _ in self.automaton.step]
         for k in range(self.n_phrases):
@@ -157,13 +154,11 @@ class Scanner:
         for state in sorted(range(1, len(self.phrase_ends)), key=lambda s: self.automaton.length[s]):
             self.phrase_ends[state] = self.phrase_ends[state] + self.phrase_ends[self.automaton.link[state]]
 
-    def vocabulary_ids(self, words: np.ndarray) -> np.ndarray:
-        out = np.full(len(words), len(self.hashes), np.int64)
-        maybe = np.flatnonzero(self.quick[(words >> np.uint64(48)).astype(np.int64)])
-        if len(maybe):
-            at = np.minimum(np.searchsorted(self.hashes, words[maybe]), len(self.hashes) - 1)
-            out[maybe] = np.where(self.hashes[at] == words[maybe], self.order[at], len(self.hashes))
-        return out
+    def vocabulary_ids(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The vocabulary's number of each word, its size for other words."""
+        codes, words = tb.distinct(data, starts, ends)
+        other = len(self.ids)
+        return np.array([self.ids.get(w, other) for w in words], np.int64)[codes] if words else codes
 
     def scan_run(self, words: list[int], base: int, phrases: list, matches: list) -> None:
         """Streams one run of words; adds (phrase, start) to ``phrases`` and long maximal matches to ``matches``."""
@@ -231,9 +226,8 @@ def scan(docs: DataFrame, text_col: str = "text", keep: list[str] = ("doc_id",),
         scanner = shared.value
         data = tb.FOLD[block.data]
         starts, ends = tb.spans(tb.ALNUM[data], block.offsets)
-        words = tb.hash_spans(tb.prefix(data), starts, ends)
         first = np.searchsorted(starts, block.offsets)
-        ids = scanner.vocabulary_ids(words)
+        ids = scanner.vocabulary_ids(data, starts, ends)
         linked = np.zeros(len(ids), bool)  # with the next word of the text
         if len(ids) > 1:
             linked[:-1] = scanner.pairs[ids[:-1], ids[1:]]
@@ -244,6 +238,10 @@ def scan(docs: DataFrame, text_col: str = "text", keep: list[str] = ("doc_id",),
         keep_short = scanner.kept_pairs[ids[low], ids[np.minimum(low + 1, max(0, len(ids) - 1))]] if len(low) else short
         real = ~short | keep_short
         low, high = low[real], high[real] + 1
+        covered = np.zeros(len(ids), bool)
+        covered[tb.ragged(high - low, low)] = True
+        single = np.flatnonzero(scanner.alone[ids] & ~covered)
+        low, high = np.concatenate([low, single]), np.concatenate([high, single + 1])
         n = len(block)
         places, matches = [[] for _ in range(n)], [[] for _ in range(n)]
         for doc, a, b in zip((np.searchsorted(first, low, side="right") - 1).tolist(), low.tolist(), high.tolist()):

@@ -12,6 +12,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,32 +41,37 @@ def _constants(n: int, seed: int) -> np.ndarray:
 _PLACES = _constants(SHINGLE, 11)
 
 
-def shingle_sets(block: tb.Block) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes of each text, one text after another, and the offsets between texts.
+def _shingled(block: tb.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each text's distinct shingles, one text after another: a code by their bytes, a hash, and the offsets between texts.
 
-    A text of one to four words has its whole word sequence as its only shingle.
+    Codes hold within the block, hashes everywhere. A text of one to four words has its whole word sequence as
+    its only shingle.
     """
     data = tb.FOLD[block.data]
     starts, ends = tb.spans(tb.SOLID[data], block.offsets)
-    words = tb.hash_spans(tb.prefix(data), starts, ends)
+    words, distinct = tb.distinct(data, starts, ends)
+    hashes = tb.hash_words(distinct)[words]
     first = np.searchsorted(starts, block.offsets)
-    n = len(words)
-    if n >= SHINGLE:
-        rolled = np.full(n - SHINGLE + 1, _U(SHINGLE), np.uint64)
-        for j in range(SHINGLE):
-            rolled += words[j:n - SHINGLE + 1 + j] * _PLACES[j]
-        rolled = tb.mix(rolled)
-    sets, sizes = [], np.zeros(len(block), np.int64)
-    for i, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist())):
-        if b == a:
-            continue
-        if b - a < SHINGLE:
-            one = tb.mix(np.array([(words[a:b] * _PLACES[:b - a]).sum() + _U(b - a)], np.uint64))
-        else:
-            one = np.unique(rolled[a:b - SHINGLE + 1])
-        sizes[i] = len(one)
-        sets.append(one)
-    return (np.concatenate(sets) if sets else np.zeros(0, np.uint64)), np.concatenate([[0], np.cumsum(sizes)])
+    count = np.diff(first)
+    # a shingle begins at each word that has four more behind it, or at the first word of a shorter text
+    begins = np.concatenate([tb.ragged(np.maximum(count - SHINGLE + 1, 0), first[:-1]), first[:-1][(count > 0) & (count < SHINGLE)]])
+    size = np.minimum(count[np.searchsorted(first, begins, side="right") - 1], SHINGLE)
+    columns, rolled = [], size.astype(np.uint64)
+    for j in range(SHINGLE):
+        there = size > j
+        at = np.minimum(begins + j, max(0, len(words) - 1))
+        columns.append(np.where(there, words[at] + 1, 0))
+        rolled += np.where(there, hashes[at] * _PLACES[j], _U(0))
+    codes = tb.dense(columns)
+    owner = np.searchsorted(first, begins, side="right") - 1
+    once = np.unique(owner * (int(codes.max(initial=0)) + 1) + codes, return_index=True)[1]
+    return codes[once], tb.mix(rolled[once]), np.searchsorted(owner[once], np.arange(len(block) + 1))
+
+
+def shingle_sets(block: tb.Block) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of each text's distinct shingles, one text after another, and the offsets between texts."""
+    _, hashes, offsets = _shingled(block)
+    return hashes, offsets
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, percent: int, rows: int = ROWS) -> DataFrame:
@@ -115,29 +121,36 @@ def confirm(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, perce
     def check(batches):
         tb.give_back()
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids, texts = [batch.column(i).to_pylist() for i in (0, 1)], [batch.column(2), batch.column(3)]
-            # a pivot stands in many rows, one after another: its set is made once
-            fresh = [i for i in range(batch.num_rows) if not i or ids[0][i] != ids[0][i - 1] or texts[0][i] != texts[0][i - 1]]
-            which = np.searchsorted(np.array(fresh), np.arange(batch.num_rows), side="right") - 1
-            lefts = [s for block in tb.blocks(texts[0].take(pa.array(fresh))) for s in _each(block)]
-            good, i = [], 0
-            for block in tb.blocks(texts[1]):
-                for right in _each(block):
-                    left = lefts[which[i]]
+            for part in _parts(batch):
+                ids, texts = [part.column(i).to_pylist() for i in (0, 1)], [part.column(i).cast(pa.large_string()) for i in (2, 3)]
+                # a pivot stands in many rows, one after another: its set is made once
+                fresh = [i for i in range(part.num_rows) if not i or ids[0][i] != ids[0][i - 1] or texts[0][i] != texts[0][i - 1]]
+                which = np.searchsorted(np.array(fresh), np.arange(part.num_rows), side="right") - 1
+                # one block, so that codes hold for both sides
+                block = next(tb.blocks(pa.concat_arrays([texts[0].take(pa.array(fresh)), texts[1]]), limit=1 << 62))
+                codes, _, off = _shingled(block)
+                sets = [codes[a:b] for a, b in zip(off[:-1].tolist(), off[1:].tolist())]
+                good = []
+                for i, right in enumerate(sets[len(fresh):]):
+                    left = sets[which[i]]
                     common = _common(left, right)
                     good.append(100 * common >= percent * (len(left) + len(right) - common))
-                    i += 1
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, g in zip(side, good) if g], pa.int64()) for side in ids], names=["u", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, g in zip(side, good) if g], pa.int64()) for side in ids], names=["u", "v"])
         tb.give_back()
 
     return rows.select("a", "b", "text_a", "text_b").mapInArrow(check, "u long, v long")
 
 
-def _each(block: tb.Block):
-    flat, off = shingle_sets(block)
-    return [flat[a:b] for a, b in zip(off[:-1].tolist(), off[1:].tolist())]
+def _parts(batch: pa.RecordBatch):
+    """A batch of pairs, in parts that hold about a block of text, or a single pair."""
+    sizes = np.zeros(batch.num_rows, np.int64)
+    for i in (2, 3):
+        sizes += np.asarray(pc.fill_null(pc.binary_length(batch.column(i)), 0))
+    ends, a = np.cumsum(sizes), 0
+    while a < batch.num_rows:
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + tb.BLOCK_BYTES, side="right")))
+        yield batch.slice(a, b - a)
+        a = b
 
 
 def _common(left: np.ndarray, right: np.ndarray) -> int:
@@ -145,7 +158,7 @@ def _common(left: np.ndarray, right: np.ndarray) -> int:
         left, right = right, left
     at = np.searchsorted(right, left)
     at[at == len(right)] = 0
-    return int((right[at] == left).sum())
+    return int((right[at] == left).sum()) if len(right) else 0
 
 
 def _near(percent: int):
@@ -190,11 +203,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # rows to classes, classes to components
     named = classes.join(parts, classes["rep"] == parts["node"], "left").select("s1", "s2", F.coalesce("component", "rep").alias("component"))
-    out = signed.join(named, ["s1", "s2"], "left")
-    own = (F.col("n_shingles") == 0) | F.col("id").isNull()
-    component = F.when(own, F.col("id")).otherwise(F.col("component"))
-    return out.select(F.col("id").alias(id_col), F.col("n_shingles"), component.alias("component_id"),
-                      F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
+    columns = [F.col("id").alias(id_col), F.col("n_shingles"), F.col("component").alias("component_id"),
+               F.coalesce(F.col("component") == F.col("id"), F.lit(True)).alias("kept")]
+    linked = full.join(named, ["s1", "s2"]).select(columns)
+    alone = signed.filter("n_shingles = 0 OR id IS NULL").withColumn("component", F.col("id")).select(columns)
+    return linked.unionAll(alone)
 
 
 def _rest(buckets: DataFrame, parts: DataFrame, ids: DataFrame, percent: int) -> DataFrame | None:

@@ -34,16 +34,17 @@ _PLACES = tb.mix(np.arange(1, 4, dtype=np.uint64)) | np.uint64(1)
 
 
 def _words(block: tb.Block):
+    """Starts of words, a code of each by its bytes, its hash, and the first word of each text."""
     starts, ends = tb.spans(tb.SOLID[block.data], block.offsets)
-    sums = tb.prefix(block.data)
-    return starts, tb.hash_spans(sums, starts, ends), sums, np.searchsorted(starts, block.offsets)
+    codes, words = tb.distinct(block.data, starts, ends)
+    return starts, codes, tb.hash_words(words)[codes], np.searchsorted(starts, block.offsets)
 
 
 def _per_text(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.diff(np.concatenate([[0], np.cumsum(flags, dtype=np.int64)])[offsets])
 
 
-def rules(block: tb.Block, starts: np.ndarray, words: np.ndarray, sums: np.ndarray, first: np.ndarray) -> dict:
+def rules(block: tb.Block, words: np.ndarray, first: np.ndarray) -> dict:
     """The countable properties of each text of a block."""
     data, offsets = block.data, block.offsets
     n_words = np.diff(first)
@@ -57,20 +58,15 @@ def rules(block: tb.Block, starts: np.ndarray, words: np.ndarray, sums: np.ndarr
     low, high = low[real], high[real]
     owner = block.owner(low)
     lines = np.bincount(owner, minlength=len(block))
-    distinct = np.unique(tb.mix(tb.hash_spans(sums, low, high) + tb.mix(owner.astype(np.uint64))), return_index=True)[1]
-    n_dup = lines - np.bincount(owner[distinct], minlength=len(block))
+    different = np.unique(owner * (len(low) + 1) + tb.distinct(data, low, high)[0])
+    n_dup = lines - np.bincount(different // (len(low) + 1), minlength=len(block))
     # words of 3-word windows that stand in the text more than once
     repeated = np.zeros(len(words), bool)
     if len(words) >= 3:
         doc = np.searchsorted(first, np.arange(len(words) - 2), side="right") - 1
         inside = np.flatnonzero(np.arange(len(words) - 2) + 3 <= first[doc + 1])
-        w = words[inside] * _PLACES[0] + words[inside + 1] * _PLACES[1] + words[inside + 2] * _PLACES[2]
-        w = tb.mix(tb.mix(w) + tb.mix(doc[inside].astype(np.uint64)))
-        order = np.argsort(w)
-        same = w[order][1:] == w[order][:-1]
-        twice = np.zeros(len(w), bool)
-        twice[order[1:]] |= same
-        twice[order[:-1]] |= same
+        window = tb.dense([doc[inside], words[inside], words[inside + 1], words[inside + 2]])
+        twice = np.bincount(window)[window] > 1
         at = inside[twice]
         for j in range(3):
             repeated[at + j] = True
@@ -110,12 +106,11 @@ def count_ngrams(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         for batch in batches:
             flags = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
             for block in tb.blocks(batch.column(0)):
-                _, words, _, first = _words(block)
-                ones, twos = ngram_buckets(words, first)
+                _, _, hashes, first = _words(block)
+                ones, twos = ngram_buckets(hashes, first)
                 total += np.bincount(ones, minlength=size + 1)[:size] + np.bincount(twos, minlength=size + 1)[:size]
                 own = np.repeat(flags[block.first:block.first + len(block)], np.diff(first))
                 trusted += np.bincount(ones[own], minlength=size + 1)[:size] + np.bincount(twos[own], minlength=size + 1)[:size]
-            tb.shrink()
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen]), pa.array(trusted[seen])], names=["bucket", "n", "t"])
 
@@ -149,9 +144,9 @@ def assess(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     ratios = docs.sparkSession.sparkContext.broadcast((outside.astype(np.float32), inside.astype(np.float32)))
 
     def work(block: tb.Block, used: list) -> dict:
-        starts, words, sums, first = _words(block)
-        out = rules(block, starts, words, sums, first)
-        ones, twos = ngram_buckets(words, first)
+        _, words, hashes, first = _words(block)
+        out = rules(block, words, first)
+        ones, twos = ngram_buckets(hashes, first)
         trusted = used[0].to_numpy(zero_copy_only=False).astype(bool)
         own = np.repeat(trusted, out["n_words"])
         each = [np.where(own, ratios.value[1][b], ratios.value[0][b]) for b in (ones, twos)]

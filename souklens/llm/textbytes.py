@@ -1,24 +1,24 @@
 """Vector work on the UTF-8 bytes of many texts at once.
 
 An Arrow string column is one byte buffer with offsets. Words, lines and pre-tokens are spans of
-that buffer; spans are found and hashed for a whole block of texts with a few array passes, so no
-Python runs per word. A block holds at most ``BLOCK_BYTES`` of text, or a single longer text.
+that buffer; spans are found, told apart by their bytes and hashed for a whole block of texts with a
+few array passes, so Python runs at most once for each distinct word. A block holds at most ``BLOCK_BYTES`` of text, or a single longer text.
 """
 
 from __future__ import annotations
 
 import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 BLOCK_BYTES = 2 << 20
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_POWERS = np.ones(1, np.uint64)
 
 #: Folds A-Z to a-z and leaves every other byte.
 FOLD = np.arange(256, dtype=np.uint8)
@@ -86,16 +86,6 @@ def spans(mask: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends
 
 
-def powers(n: int) -> np.ndarray:
-    """Powers of the hash base, at least ``n`` of them."""
-    global _POWERS
-    if len(_POWERS) < n:
-        p = np.full(n, _BASE, np.uint64)
-        p[0] = 1
-        _POWERS = np.multiply.accumulate(p)
-    return _POWERS
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """Spreads the bits of a 64-bit value over all 64 bits (a bijection)."""
     x = (x ^ (x >> np.uint64(30))) * _M1
@@ -103,32 +93,43 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def prefix(data: np.ndarray) -> np.ndarray:
-    """Running polynomial sums, from which any span's hash follows."""
-    out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(len(data) + 1)[:len(data)], out=out[1:])
-    return out
+def distinct(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """A code for each span, and the distinct spans in order of their codes; told apart by their bytes, not by hashes.
 
-
-def hash_spans(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of spans, equal for equal bytes wherever they stand in whichever block."""
+    Spans are in order and don't overlap.
+    """
     if not len(starts):
-        return np.zeros(0, np.uint64)
-    # B^-s for a start s: B is odd, so it has an inverse modulo 2^64
-    inverse = inverse_powers(len(sums))
-    return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * _M2)
-
-
-_INVERSE = np.ones(1, np.uint64)
-
-
-def inverse_powers(n: int) -> np.ndarray:
-    global _INVERSE
-    if len(_INVERSE) < n:
-        p = np.full(n, np.uint64(pow(int(_BASE), -1, 1 << 64)), np.uint64)
-        p[0] = 1
-        _INVERSE = np.multiply.accumulate(p)
-    return _INVERSE
+        return np.zeros(0, np.int64), []
+    lengths = ends - starts
+    if (starts[1:] == ends[:-1]).all():
+        raw = data[starts[0]:ends[-1]]
+    else:
+        inside = np.zeros(len(data) + 1, np.int8)
+        real = lengths > 0
+        inside[starts[real]] += 1
+        inside[ends[real]] -= 1
+        raw = data[np.cumsum(inside[:-1], dtype=np.int8).view(bool)]
+    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+    coded = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(raw))]).dictionary_encode()
+    return coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+
+
+def hash_words(words: list[bytes]) -> np.ndarray:
+    """64-bit hashes, the same in every block and process. They find candidates; what a result depends on compares bytes."""
+    return np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64)
+
+
+def dense(columns: list[np.ndarray]) -> np.ndarray:
+    """A code for each row of columns of codes, the same for equal rows and for no others."""
+    key, width = columns[0].astype(np.int64), int(columns[0].max(initial=0)) + 1
+    for column in columns[1:]:
+        n = int(column.max(initial=0)) + 1
+        if width * n > 1 << 62:
+            key = np.unique(key, return_inverse=True)[1].astype(np.int64)
+            width = int(key.max(initial=0)) + 1
+        key = key * n + column
+        width *= n
+    return np.unique(key, return_inverse=True)[1].astype(np.int64)
 
 
 _KEPT: dict[str, Callable[[], None]] = {}
@@ -142,23 +143,24 @@ def keeps(owner: str, forget: Callable[[], None]) -> None:
 def give_back(owner: str | None = None) -> None:
     """Before and after a task: drops what others keep in the worker and returns freed memory to the system.
 
-    Workers live on between stages, and what one stage left would stand beside the next one's needs.
+    Workers live on between stages, and what one stage left would stand beside the next one's needs. Arrays
+    get pages of their own (the C library would otherwise raise its limit for that to 32 MB, and what is
+    freed between other things in its heap can't be given back).
     """
     for name in [n for n in _KEPT if n != owner]:
         _KEPT.pop(name)()
-    shrink()
+    gc.collect()
     pa.default_memory_pool().release_unused()
     try:
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(_OWN_PAGES, OWN_PAGES_BYTES)
+        libc.malloc_trim(0)
     except (OSError, AttributeError):  # another C library
         pass
 
 
-def shrink(limit: int = 2 * BLOCK_BYTES) -> None:
-    """Gives back the tables that a single very long text made grow."""
-    global _POWERS, _INVERSE
-    if len(_POWERS) > limit:
-        _POWERS, _INVERSE = _POWERS[:limit].copy(), _INVERSE[:limit].copy()
+#: M_MMAP_THRESHOLD of the C library (a fixed value), and from which size on allocations get pages of their own.
+_OWN_PAGES, OWN_PAGES_BYTES = -3, 1 << 20
 
 
 def ragged(lengths: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -204,7 +206,6 @@ def map_texts(df: DataFrame, text: str, keep: list[str], schema: str, work: Call
                 out = work(block, [batch.column(i).slice(block.first, len(block)) for i in takes]) if uses is not None else work(block)
                 head = [batch.column(i).slice(block.first, len(block)) for i in range(len(slots))]
                 yield pa.RecordBatch.from_arrays(head + [pa.array(out[n]) if not isinstance(out[n], pa.Array) else out[n] for n in names], names=slots + names)
-            shrink()
         give_back(owner)
 
     fields = [f"{s} {df.schema[c].dataType.simpleString()}" for s, c in zip(slots, keep)]

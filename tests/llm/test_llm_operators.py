@@ -1,6 +1,7 @@
 """Each operator against a plain version, on the small table and on awkward rows."""
 
 import gzip
+import hashlib
 import random
 from collections import Counter
 
@@ -35,10 +36,49 @@ def test_spans_do_not_cross_texts():
     block = next(tb.blocks(pa.array(["ab c", None, "", "de", " f"])))
     starts, ends = tb.spans(tb.SOLID[block.data], block.offsets)
     assert [block.data[a:b].tobytes() for a, b in zip(starts, ends)] == [b"ab", b"c", b"de", b"f"]
-    hashes = tb.hash_spans(tb.prefix(block.data), starts, ends)
+    codes, words = tb.distinct(block.data, starts, ends)
+    assert [words[c] for c in codes] == [b"ab", b"c", b"de", b"f"]
     other = next(tb.blocks(pa.array(["x  f de"])))
-    s, e = tb.spans(tb.SOLID[other.data], other.offsets)
-    assert tb.hash_spans(tb.prefix(other.data), s, e)[[2, 1]].tolist() == hashes[[2, 3]].tolist()
+    codes, others = tb.distinct(other.data, *tb.spans(tb.SOLID[other.data], other.offsets))
+    assert tb.hash_words(others)[codes][[2, 1]].tolist() == tb.hash_words(words)[[2, 3]].tolist()
+
+
+def test_codes_of_rows():
+    rng = np.random.default_rng(0)
+    for top in (3, 1 << 20, 1 << 40):
+        columns = [rng.integers(0, top, 2000) % 7 * (top // 7 + 1) for _ in range(5)]
+        codes, rows = tb.dense(columns).tolist(), list(zip(*[c.tolist() for c in columns]))
+        assert len(set(zip(codes, rows))) == len(set(codes)) == len(set(rows))
+    assert tb.dense([np.zeros(0, np.int64)] * 3).tolist() == []
+
+
+def thue_morse():
+    """Two words of 2,048 letters that any polynomial hash modulo 2^64 takes for one."""
+    word = "a"
+    while len(word) < 2048:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_equal_words_have_equal_bytes(spark, library):
+    """Ops 3, 4, 6, 8, 9 and 10 on two words that a weak hash can't tell apart."""
+    x, y = thue_morse()
+    tail = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(1, x), (2, y), (3, f"{x} {tail}\n{y} {tail}\n{x} {tail}"), (4, f"{x} {x} {x} {x}"), (5, f"{y} {y} {y} {y}"), (6, f"{x} a {x} b {y} a {x} b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    path = queries.tokenizer_file()
+    want = [(i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(t.encode()).hexdigest()) for i, t in rows for ids in [library.encode(t, add_special_tokens=False).ids]]
+    same([tuple(r)[:4] for r in bpe.round_trip(docs, path).collect()], want)
+    same([(r["doc_id"], r["n_tokens"]) for r in bpe.token_counts(docs, path, size=5).collect()], [w[:2] for w in want])
+    same([tuple(r) for r in minmax.near_duplicates(docs, percent=85).collect()],
+         [(i, n, c, c == i) for i, (n, c) in brute.components(rows, 85).items()])
+    bench = spark.createDataFrame([(1, y), (2, f"{y} one two three four five six seven eight nine")], "item_id long, text string")
+    found = {r["doc_id"]: (r["n_hit"], r["items"]) for r in fmindex.scan(docs, bench).collect()}
+    assert found == {1: (0, []), 2: (1, ["1"]), 3: (10, ["1", "2"]), 4: (0, []), 5: (4, ["1"]), 6: (1, ["1"])}
+    got = {r["doc_id"]: r for r in licences.scan(docs, phrases={y: "y"}).collect()}
+    assert [got[i]["n_base"] for i in range(1, 7)] == [0, 1, 1, 0, 4, 1] and got[6]["first_word"] == 4
+    made = {r["doc_id"]: (r["n_dup_lines"], r["n_repeat_words"]) for r in quality.assess(docs, spark.createDataFrame([], "doc_id long, quality int")).collect()}
+    assert made[3][0] == 1 and made[6] == (0, 6) and made[4] == (0, 4)
 
 
 def test_blocks_hold_whole_texts():
