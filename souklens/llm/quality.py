@@ -24,7 +24,7 @@ SMOOTHING = 1.0
 #: Share of trusted texts above the threshold's quantile, and the texts that lie below it at least, if they
 #: are at most a tenth, so that no single label decides; slack below it, as a share of its distance from
 #: their median, for good texts that no label covers; scores are compared on a grid of this step.
-RECALL, LEAST_BELOW, SLACK, GRID = 0.98, 2, 1.0, 1 / 1024
+RECALL, LEAST_BELOW, SLACK, GRID = 0.98, 2, 0.75, 1 / 1024
 #: Trusted ids are broadcast up to this many (8 MB); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
