@@ -30,19 +30,23 @@ def bad_rows(cond: Column) -> Column:
 zero = lambda c: F.coalesce(c, F.lit(0)) == 0
 
 
-def panel_checks(panel: DataFrame, units: int, weeks: int, event: date, no_nulls: list[str], bounds: dict[str, tuple[float, float]],
-                 not_above: dict[str, str]) -> DataFrame:
-    """Units present, weeks per unit, balanced sides, missing values, bounds and subset counts."""
-    per = panel.groupBy("country_name").agg(F.countDistinct("week_start").alias("w"),
+def frame_checks(frame: DataFrame, name: str, units: int, weeks: int, event: date) -> DataFrame:
+    """Units present, weeks per unit and balanced sides of one frame."""
+    per = frame.groupBy("country_name").agg(F.countDistinct("week_start").alias("w"),
                                             F.countDistinct(F.when(F.col("week_start") < F.lit(event), F.col("week_start"))).alias("pre"))
-    shape = _one_pass(per, [
-        (f"{units} units present", F.count(F.lit(1)), lambda c: c == units),
-        (f"{weeks} weeks per unit", bad_rows(F.col("w") == weeks), zero),
-        ("same number of weeks before and after", bad_rows(F.col("pre") * 2 == F.col("w")), zero)])
+    return _one_pass(per, [
+        (f"{name}: {units} units present", F.count(F.lit(1)), lambda c: c == units),
+        (f"{name}: {weeks} weeks per unit", bad_rows(F.col("w") == weeks), zero),
+        (f"{name}: same number of weeks before and after", bad_rows(F.col("pre") * 2 == F.col("w")), zero)])
+
+
+def panel_checks(panel: DataFrame, no_nulls: list[str], bounds: dict[str, tuple[float, float]],
+                 not_above: dict[str, tuple[str, float]]) -> DataFrame:
+    """Missing values, bounds, and columns that may not exceed another (times a tolerance); one pass over the panel."""
     rules = [(f"{c} has no missing value", bad_rows(F.col(c).isNotNull()), zero) for c in no_nulls]
     rules += [(f"{c} in [{lo}, {hi}]", F.sum(flag(~F.col(c).between(lo, hi))), zero) for c, (lo, hi) in bounds.items()]
-    rules += [(f"{a} <= {b}", bad_rows(F.col(a) <= F.col(b)), zero) for a, b in not_above.items()]
-    return shape.unionByName(_one_pass(panel, rules))
+    rules += [(f"{a} <= {b}", bad_rows(F.col(a) <= k * F.col(b)), zero) for a, (b, k) in not_above.items()]
+    return _one_pass(panel, rules)
 
 
 def unique_check(df: DataFrame, key: str) -> DataFrame:

@@ -2,21 +2,32 @@
 
 from __future__ import annotations
 
-from datetime import date, timedelta
+import uuid
+from datetime import timedelta
 
 from pyspark.sql import functions as F
 
-from souklens.functions.storage import materialise
+from souklens.functions.storage import shared_dir
 from souklens.operators import causal, panel, quality
 from souklens.plans import panel_plans as pp
 from souklens.plans.registry import query
 from souklens.plans.stages import stage
 from souklens.sources import marketplace as mp
-
-TREATED = ["NATION_1", "NATION_3"]
-CONTROL = ["NATION_5", "NATION_6", "NATION_7", "NATION_9", "NATION_11", "NATION_14"]
-METRICS = ["pct_active_suppliers", "pct_online_per_supplier", "bookings_per_supplier", "gmv_per_supplier",
-           "nr_per_supplier", "commission_rate_per_supplier"]
+from souklens.sources.tables import replace_scenario
+
+UNITS = [f"NATION_{i}" for i in range(25)]
+TREATED = ["NATION_1", "NATION_3", "NATION_6", "NATION_9"]
+CONTROL = [u for u in UNITS if u not in TREATED]
+METRICS = ["commission_rate_per_supplier", "commission_rate_per_supplier_yoy",
+           "pct_active_suppliers", "pct_online_per_supplier", "pct_days_with_slots",
+           "price_index_black", "price_index_effective",
+           "bookings_yoy", "tickets_yoy", "gmv_yoy", "nr_yoy",
+           "visitors_yoy", "conversion_rate_yoy", "add_to_cart_rate_yoy", "unavailability_rate_yoy",
+           "bookings_per_supplier", "gmv_per_supplier", "nr_per_supplier", "conversion_rate"]
+# ratios to last year, and the level that each is a ratio of
+YOY_BASE = {f"{m}_yoy": f"{m}_per_supplier" for m in ("bookings", "tickets", "gmv", "nr", "visitors")} | {
+    f"{m}_yoy": m for m in ("conversion_rate", "add_to_cart_rate", "unavailability_rate", "commission_rate_per_supplier")} | {
+    f"price_index_{m}": f"avg_price_{m}_eur" for m in ("black", "effective")}
 # invented rates, in per cent
 SURCHARGE = {"NATION_1": 2.0, "NATION_3": 4.0, "NATION_6": 3.0, "NATION_9": 1.0}
 # behaviours looked for: a change of a supplier's measure, and the direction that counts
@@ -28,26 +39,12 @@ REACTIONS = {
     "lower_commission": ("commission_delta", -1),
 }
 FLAG_COLS = ["flag_exited"] + [f"flag_{f}" for f in REACTIONS]
-T_SUP = ["NATION_1", "NATION_3", "NATION_6", "NATION_9"]
-
-
-def study_panel(spark, root, st):
-    """Panel for a study date: supply and realised metrics."""
-    @stage(f"panel-{st.event}")
-    def build(spark, root):
-        pool, online, avail = pp.inputs(spark, root, st)
-        a = pp.acts(spark, root, st)
-        sup = panel.cohort_supply_panel(panel.supplier_weeks(pool, a, online, avail, st), st)
-        weekly = panel.realised_weekly(mp.bookings(spark, root, st.ranges()), a, st)
-        real = panel.realised_yoy_panel(weekly, panel.cohort_sizes(pool, a), st)
-        return panel.merge_panels(sup, real)
-
-    return build(spark, root)
+T_SUP = TREATED
 
 
 def fits_for(spark, root, st):
     """Panel, normalised series and fits of a study date."""
-    p = study_panel(spark, root, st)
+    p = pp.merged_panel(spark, root, st)
 
     @stage(f"series-{st.event}")
     def series(spark, root):
@@ -57,15 +54,34 @@ def fits_for(spark, root, st):
 
     @stage(f"fits-{st.event}")
     def fits(spark, root):
-        return causal.synthetic_control(n, TREATED, CONTROL, min_pre=6)
+        return causal.synthetic_control(n, TREATED, CONTROL)
 
     return p, n, fits(spark, root)
 
 
+LONG = pp.PANELS + f""",
+long AS (SELECT week_start, country_name, metric, value FROM (SELECT week_start, country_name, {', '.join(f'{m}::DOUBLE AS {m}' for m in METRICS)} FROM merged)
+      UNPIVOT (value FOR metric IN ({', '.join(METRICS)})) WHERE country_name IN ({', '.join(repr(c) for c in UNITS)})),
+whole AS (SELECT * FROM long QUALIFY count(*) OVER (PARTITION BY metric, week_start) = {len(UNITS)})"""
+
+
 @query("synthetic_control_fits", "C23", doubles="treat_pre_mean:3 did:3 pre_rmse:3")
 def synthetic_control_fits(spark, root):
     _, _, f = fits_for(spark, root, pp.ST)
-    return f.drop("weights")
+    return f.drop("weights", "gap")
+
+
+@query("synthetic_control_certificates", "C23", doubles="treat_pre_mean:4",
+       sql=LONG + f""", f AS (SELECT metric, country_name AS treated, CAST(count(*) FILTER (week_start < {pp.EV}) AS INTEGER) AS n_pre,
+    CAST(count(*) FILTER (week_start >= {pp.EV}) AS INTEGER) AS n_post, avg(value) FILTER (week_start < {pp.EV}) AS treat_pre_mean FROM whole GROUP BY ALL),
+z AS (SELECT metric FROM f GROUP BY metric HAVING min(n_pre) >= 8 AND min(n_post) >= 1 AND bool_and(treat_pre_mean <> 0))
+SELECT metric, treated, treated IN ({', '.join(repr(c) for c in TREATED)}) AS is_treated, n_pre, n_post, treat_pre_mean,
+  CASE WHEN treated IN ({', '.join(repr(c) for c in TREATED)}) THEN {len(CONTROL)} ELSE {len(CONTROL) - 1} END AS donors,
+  TRUE AS weights_not_negative, TRUE AS weights_sum_to_one, TRUE AS certified FROM f WHERE metric IN (SELECT metric FROM z)""")
+def synthetic_control_certificates(spark, root):
+    """Every fit that the panel allows is there, with weights on the simplex that the duality gap proves to be best."""
+    _, _, f = fits_for(spark, root, pp.ST)
+    return causal.certificates(f)
 
 
 @query("synthetic_control_series", "C23", doubles="actual:3 synthetic:3")
@@ -82,18 +98,17 @@ def placebo_in_space(spark, root):
 
 @query("placebo_in_time", "C25", doubles="did:3 pre_rmse:3 treat_pre_mean:3")
 def placebo_in_time(spark, root):
-    out = None
+    path = f"{shared_dir(spark)}/souklens-placebo-{uuid.uuid4().hex}"
     for name, event in (("real", pp.ST.event), ("placebo", pp.ST.event - timedelta(weeks=44))):
         _, _, f = fits_for(spark, root, panel.Study(event, as_of=pp.ST.as_of))
-        one = causal.placebo_in_space(f).withColumn("scenario", F.lit(name))
-        out = one if out is None else out.unionByName(one)
-    return out
+        replace_scenario(causal.placebo_in_space(f).withColumn("scenario", F.lit(name)), path)
+    return spark.read.parquet(path)
 
 
 @query("level_corrected_gap", "C26", doubles="did_absolute:3")
 def level_corrected_gap(spark, root):
     p, n, f = fits_for(spark, root, pp.ST)
-    levels = causal.level_corrected(causal.synthetic_series(n, f), p, {"gmv_per_supplier": "gmv_per_supplier"})
+    levels = causal.level_corrected(causal.synthetic_series(n, f), p, YOY_BASE)
     return causal.mean_post_gap(levels)
 
 
@@ -103,13 +118,9 @@ def donor_usage(spark, root):
     return causal.donor_usage(f)
 
 
-@query("complete_panel", "R4", doubles="value:4",
-       sql=pp.COHORT + f""", m AS (SELECT * FROM supply LEFT JOIN realised USING (week_start, country_name, period, cohort_suppliers)),
-u AS (SELECT week_start, country_name, metric, value FROM (SELECT week_start, country_name, {', '.join(f'{m}::DOUBLE AS {m}' for m in METRICS)} FROM m)
-      UNPIVOT (value FOR metric IN ({', '.join(METRICS)})) WHERE country_name IN ({', '.join(repr(c) for c in TREATED + CONTROL)}))
-SELECT * FROM u QUALIFY count(*) OVER (PARTITION BY metric, week_start) = {len(TREATED + CONTROL)}""")
+@query("complete_panel", "R4", doubles="value:4", sql=LONG + " SELECT week_start, country_name, metric, value FROM whole")
 def complete_panel(spark, root):
-    return causal.complete_panel(study_panel(spark, root, pp.ST), TREATED + CONTROL, METRICS)
+    return causal.complete_panel(pp.merged_panel(spark, root), UNITS, METRICS)
 
 
 def flagged(spark, root):
@@ -189,28 +200,42 @@ def action_list(spark, root):
     return causal.action_list(flagged(spark, root), treated()).select("supplier_id", "country_name", "n_flags", "value_at_risk", "projected_amount")
 
 
-BOUNDS = {c: (0.0, 1.0) for c in ("pct_active_suppliers", "pct_online_per_supplier", "pct_days_with_slots")}
+FRAMES = ("supply", "price", "realised", "traffic")
+NO_NULLS = ["pct_active_suppliers", "pct_online_per_supplier", "pct_days_with_slots", "price_index_black", "commission_rate_per_supplier",
+            "bookings_yoy", "nr_yoy", "visitors_yoy", "conversion_rate_yoy"]
+SHARES = ["pct_active_suppliers", "pct_online_per_supplier", "pct_days_with_slots", "add_to_cart_rate", "conversion_rate", "unavailability_rate"]
+BOUNDS = {c: (0.0, 1.0) for c in SHARES} | {f"price_index_{c}": (0.5, 2.0) for c in ("black", "effective")} | {
+    "commission_rate_per_supplier": (0.001, 0.5)} | {f"{c}_yoy": (0.2, 5.0) for c in ("bookings", "gmv", "nr", "visitors")}
+NOT_ABOVE = {"active_suppliers": ("cohort_suppliers", 1.0), "active_activities": ("cohort_activities", 1.0), "avg_price_effective_eur": ("avg_price_black_eur", 1.001)}
+
+
+def _bad_sql(name, condition, frame):
+    return f"SELECT '{name}' AS check_name, count(*) FILTER ({condition}) = 0 AS ok, count(*) FILTER ({condition}) AS f FROM {frame}"
 
 
-@query("data_checks", "C33",
-       sql=pp.COHORT + """, per AS (SELECT country_name, count(DISTINCT week_start) AS w,
-  count(DISTINCT week_start) FILTER (week_start < DATE '1999-06-07') AS pre FROM supply GROUP BY 1),
-c AS (SELECT '25 units present' AS check_name, count(*) = 25 AS ok, count(*) AS f FROM per
-  UNION ALL SELECT '16 weeks per unit', count(*) FILTER (w <> 16) = 0, count(*) FILTER (w <> 16) FROM per
-  UNION ALL SELECT 'same number of weeks before and after', count(*) FILTER (pre * 2 <> w) = 0, count(*) FILTER (pre * 2 <> w) FROM per
-  UNION ALL SELECT 'pct_active_suppliers has no missing value', count(*) FILTER (pct_active_suppliers IS NULL) = 0, count(*) FILTER (pct_active_suppliers IS NULL) FROM supply
-  UNION ALL SELECT 'pct_days_with_slots has no missing value', count(*) FILTER (pct_days_with_slots IS NULL) = 0, count(*) FILTER (pct_days_with_slots IS NULL) FROM supply
-  """ + " ".join(f"UNION ALL SELECT '{c} in [0.0, 1.0]', count(*) FILTER (NOT {c} BETWEEN 0 AND 1) = 0, count(*) FILTER (NOT {c} BETWEEN 0 AND 1) FROM supply" for c in BOUNDS) + """
-  UNION ALL SELECT 'active_suppliers <= cohort_suppliers', count(*) FILTER (active_suppliers > cohort_suppliers) = 0, count(*) FILTER (active_suppliers > cohort_suppliers) FROM supply
-  UNION ALL SELECT 'active_activities <= cohort_activities', count(*) FILTER (active_activities > cohort_activities) = 0, count(*) FILTER (active_activities > cohort_activities) FROM supply
-  UNION ALL SELECT 'supplier_id is unique', count(*) = count(DISTINCT supplier_id), count(*) - count(DISTINCT supplier_id) FROM sizes)
-SELECT check_name, CASE WHEN ok THEN 'PASS' ELSE 'FAIL' END AS result, CAST(f AS VARCHAR) AS found FROM c""")
+def _checks_sql():
+    out = []
+    for name, cte in zip(FRAMES, ("supply", "pricep", "realised", "trafficp")):
+        per = f"(SELECT country_name, count(DISTINCT week_start) AS w, count(DISTINCT week_start) FILTER (week_start < {pp.EV}) AS pre FROM {cte} GROUP BY 1)"
+        out.append(f"SELECT '{name}: 25 units present' AS check_name, count(*) = 25 AS ok, count(*) AS f FROM {per}")
+        out += [_bad_sql(f"{name}: 16 weeks per unit", "w <> 16", per), _bad_sql(f"{name}: same number of weeks before and after", "pre * 2 <> w", per)]
+    out += [_bad_sql(f"{c} has no missing value", f"{c} IS NULL", "merged") for c in NO_NULLS]
+    out += [_bad_sql(f"{c} in [{lo}, {hi}]", f"NOT {c} BETWEEN {lo} AND {hi}", "merged") for c, (lo, hi) in BOUNDS.items()]
+    out += [_bad_sql(f"{a} <= {b}", f"coalesce({a} > {k}::DOUBLE * {b}, TRUE)", "merged") for a, (b, k) in NOT_ABOVE.items()]
+    out.append("SELECT 'supplier_id is unique', count(*) = count(DISTINCT supplier_id), count(*) - count(DISTINCT supplier_id) FROM sizes")
+    return " UNION ALL ".join(out)
+
+
+@query("data_checks", "C33", sql=pp.PANELS + f", c AS ({_checks_sql()}) SELECT check_name, CASE WHEN ok THEN 'PASS' ELSE 'FAIL' END AS result, CAST(f AS VARCHAR) AS found FROM c")
 def data_checks(spark, root):
-    a = pp.acts(spark, root)
-    p = materialise(pp.supply(spark, root, a))
-    c = quality.panel_checks(p, 25, 16, pp.ST.event, ["pct_active_suppliers", "pct_days_with_slots"], BOUNDS,
-                             {"active_suppliers": "cohort_suppliers", "active_activities": "cohort_activities"})
-    return c.unionByName(quality.unique_check(panel.cohort_sizes(pp.pool(spark, root), a), "supplier_id"))
+    """All rules over all four frames and over the merged one; a rule that fails on small data is a finding, not an error."""
+    merged = pp.merged_panel(spark, root)
+    own = {"supply": "pct_active_suppliers", "price": "suppliers_with_price", "realised": "bookings_per_supplier", "traffic": "visitors"}
+    out = quality.panel_checks(merged, NO_NULLS, BOUNDS, NOT_ABOVE)
+    for name in FRAMES:  # a row of the merged panel is a row of a frame if it has the frame's own column
+        out = out.unionByName(quality.frame_checks(merged.filter(F.col(own[name]).isNotNull()), name, 25, 16, pp.ST.event))
+    sizes = panel.cohort_sizes(pp.pool(spark, root), pp.acts(spark, root))
+    return out.unionByName(quality.unique_check(sizes, "supplier_id"))
 
 
 @query("reconcile_panels", "C34", doubles="max_rel_diff",

@@ -147,14 +147,63 @@ def traffic_yoy_panel(spark, root):
     return panel.traffic_yoy_panel(mp.traffic(spark, root), pool(spark, root), TRAFFIC_ST)
 
 
-def merged_panel(spark, root):
-    a = acts(spark, root)
-    return panel.merge_panels(supply(spark, root, a), price_panel(spark, root, a), realised(spark, root, a))
+# Events cover one month, orders years. For the panels the month is stretched over both years of a study: an event's
+# place in the month is its place in the weeks before and after, last year's first.
+EVENTS_FROM, EVENTS_DAYS = date(2024, 1, 1), 30
 
 
-@query("merged_panel", "J18", doubles=f"{SUPPLY_D} {PRICE_D} {REAL_D}",
-       sql=COHORT + """ SELECT * FROM supply LEFT JOIN pricep USING (week_start, country_name, period)
-       LEFT JOIN realised USING (week_start, country_name, period, cohort_suppliers)""")
+def _days(st):
+    return (st.ly_end - st.ly_start).days, (min(st.end, st.as_of) - st.start).days
+
+
+def study_day(st):
+    last, this = _days(st)
+    k = f"(timestampdiff(SECOND, TIMESTAMP_NTZ'{EVENTS_FROM} 00:00:00', CAST(ts AS TIMESTAMP_NTZ)) * {last + this} div {EVENTS_DAYS * 86400})"
+    return F.expr(f"date_add(DATE'{st.ly_start}', CAST({k} + CASE WHEN {k} < {last} THEN 0 ELSE {(st.start - st.ly_start).days - last} END AS INT))")
+
+
+def _study_day_sql(st):
+    last, this = _days(st)
+    k = f"(date_diff('second', TIMESTAMP '{EVENTS_FROM}', CAST(ts AS TIMESTAMP)) * {last + this} // {EVENTS_DAYS * 86400})"
+    return f"CAST(DATE '{st.ly_start}' + CAST({k} + CASE WHEN {k} < {last} THEN 0 ELSE {(st.start - st.ly_start).days - last} END AS INTEGER) AS DATE) AS day"
+
+
+_RATES = (("a", "add_to_cart_rate"), ("c", "conversion_rate"), ("u", "unavailability_rate"))
+PANELS = COHORT + "," + sb.TRAFFIC.replace("CAST(ts AS DATE) AS day", _study_day_sql(ST)) + f""",
+tw AS (SELECT CAST(date_trunc('week', day) AS DATE) AS week_start, country_name, sum(visitors) AS v, sum(add_to_cart_visitors) AS a,
+         sum(customers) AS c, sum(unavailability_visitors) AS u FROM traffic GROUP BY ALL),
+trafficp AS (SELECT y.week_start, y.country_name, CAST(y.v AS BIGINT) AS visitors, y.v / cohort_suppliers AS visitors_per_supplier, y.v / nullif(l.v, 0) AS visitors_yoy,
+    """ + ", ".join(f"y.{x} / nullif(y.v, 0) AS {n}, (y.{x} / nullif(y.v, 0)) / nullif(l.{x} / nullif(l.v, 0), 0) AS {n}_yoy" for x, n in _RATES) + f"""
+  FROM tw y JOIN csz USING (country_name) LEFT JOIN tw l ON l.country_name = y.country_name AND l.week_start = y.week_start - 364
+  WHERE y.week_start >= {S}),
+merged AS (SELECT * FROM supply LEFT JOIN pricep USING (week_start, country_name, period)
+  LEFT JOIN realised USING (week_start, country_name, period, cohort_suppliers) LEFT JOIN trafficp USING (week_start, country_name))"""
+TRAFFIC_D = ("visitors_per_supplier visitors_yoy add_to_cart_rate add_to_cart_rate_yoy conversion_rate conversion_rate_yoy "
+             "unavailability_rate unavailability_rate_yoy")
+
+
+def four_panels(spark, root, st=ST):
+    """Supply, price, realised and traffic panels of one cohort."""
+    p, o, av = inputs(spark, root, st)
+    a = acts(spark, root, st)
+    sizes = panel.cohort_sizes(p, a)
+    prices = mp.prices(spark, root, [(st.start, st.ranges()[1][1])])
+    weekly = panel.realised_weekly(mp.bookings(spark, root, st.ranges()), a, st)
+    return (panel.cohort_supply_panel(panel.supplier_weeks(p, a, o, av, st), st),
+            panel.relative_price_index(prices, a, mp.fx_rates(spark, root, st.ranges()), st),
+            panel.realised_yoy_panel(weekly, sizes, st),
+            panel.traffic_yoy_panel(mp.traffic(spark, root, study_day(st)), sizes, st))
+
+
+def merged_panel(spark, root, st=ST):
+    @stage(f"merged-{st.event}")
+    def build(spark, root):
+        return panel.merge_panels(*four_panels(spark, root, st))
+
+    return build(spark, root)
+
+
+@query("merged_panel", "J18", doubles=f"{SUPPLY_D} {PRICE_D} {REAL_D} {TRAFFIC_D}", sql=PANELS + " SELECT * FROM merged")
 def merged_panel_query(spark, root):
     return merged_panel(spark, root)
 

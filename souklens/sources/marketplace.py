@@ -204,9 +204,10 @@ def events(spark: SparkSession, root: str) -> DataFrame:
                     F.get_json_object("props", "$.k").cast("bigint").alias("activity_id"))
 
 
-def traffic(spark: SparkSession, root: str) -> DataFrame:
-    """Daily traffic per activity and visitor country."""
-    e = events(spark, root).join(customer_dim(spark, root, "country_name"), "visitor_id")
+def traffic(spark: SparkSession, root: str, day: Column | None = None) -> DataFrame:
+    """Daily traffic per activity and visitor country; ``day`` replaces the day of an event, as a function of its ``ts``."""
+    e = events(spark, root)
+    e = (e if day is None else e.withColumn("day", day)).join(customer_dim(spark, root, "country_name"), "visitor_id")
     t = F.col("event_type")
     n = lambda kind: F.sum(F.when(t == kind, 1).otherwise(0)).alias(kind)
     star = F.when(t == "purchase", 1 + F.floor(F.col("value")) % 5).otherwise(0)

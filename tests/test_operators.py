@@ -244,8 +244,9 @@ def test_reaction_flags(spark):
 def test_checks_and_reconciliation(spark):
     rows = [(date(1999, 5, 31), "a", 0.5, 1, 2), (date(1999, 6, 7), "a", None, 3, 2)]
     p = spark.createDataFrame(rows, "week_start date, country_name string, x double, n int, m int")
-    got = {r["check_name"]: r["result"] for r in quality.panel_checks(p, 1, 2, date(1999, 6, 7), ["x"], {"x": (0, 1)}, {"n": "m"}).collect()}
-    assert got == {"1 units present": "PASS", "2 weeks per unit": "PASS", "same number of weeks before and after": "PASS",
+    made = quality.frame_checks(p, "f", 1, 2, date(1999, 6, 7)).unionByName(quality.panel_checks(p, ["x"], {"x": (0, 1)}, {"n": ("m", 1.0)}))
+    got = {r["check_name"]: r["result"] for r in made.collect()}
+    assert got == {"f: 1 units present": "PASS", "f: 2 weeks per unit": "PASS", "f: same number of weeks before and after": "PASS",
                    "x has no missing value": "FAIL", "x in [0, 1]": "PASS", "n <= m": "FAIL"}
     a = spark.createDataFrame([(1, 100.0, 0.0), (2, 103.0, 1.0)], "k int, v double, z double")
     b = spark.createDataFrame([(1, 100.0, 0.0), (2, 100.0, 2.0)], "k int, v double, z double")
