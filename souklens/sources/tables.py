@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable
 from typing import Any
 
@@ -33,6 +34,20 @@ def forget_tables() -> None:
     _ROWS.clear()
 
 
+def manifest(spark: SparkSession, root: str) -> str:
+    """What the tables under ``root`` consist of now: per table its time of change, files and bytes.
+
+    A few calls per table, however many files it has; a new, removed or replaced file changes it.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = []
+    for table in store.listStatus(path):
+        size = store.getContentSummary(table.getPath())
+        found.append((table.getPath().getName(), table.getModificationTime(), size.getFileCount(), size.getLength()))
+    return hashlib.sha256(repr(sorted(found)).encode()).hexdigest()
+
+
 def row_count(spark: SparkSession, name: str, root: str) -> int:
     """Rows of a parquet table, read from the file footers once per path."""
     path = f"{root}/{name}.parquet"

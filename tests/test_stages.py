@@ -1,4 +1,4 @@
-"""Stage tables follow new input once they are cleared, and their files go."""
+"""Stage tables follow new input, and their files go when they are cleared."""
 
 import os
 
@@ -15,9 +15,13 @@ def test_clear(spark, tmp_path):
         return spark.read.parquet(f"{root}/t.parquet")
 
     assert counted(spark, root).count() == 3
-    spark.range(2).write.mode("append").parquet(f"{root}/t.parquet")
-    assert counted(spark, root).count() == 3   # the stage of the old files
     kept = [p for _, p in storage._WRITTEN]
+    assert counted(spark, root).count() == 3 and [p for _, p in storage._WRITTEN] == kept   # built once
+    spark.range(2).write.mode("append").parquet(f"{root}/t.parquet")
+    assert counted(spark, root).count() == 5   # other files, another stage
+    spark.range(4).write.mode("overwrite").parquet(f"{root}/t.parquet")
+    assert counted(spark, root).count() == 4
+    spark.range(5).write.mode("overwrite").parquet(f"{root}/t.parquet")
     stages.clear()
     assert counted(spark, root).count() == 5 and all(os.path.isdir(p) for p in kept)
     stages.clear(spark)
