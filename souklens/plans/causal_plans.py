@@ -13,7 +13,7 @@ from souklens.plans import panel_plans as pp
 from souklens.plans.registry import query
 from souklens.plans.stages import stage
 from souklens.sources import marketplace as mp
-from souklens.sources.tables import replace_scenario
+from souklens.sources.tables import read_table, replace_scenario
 
 UNITS = [f"NATION_{i}" for i in range(25)]
 TREATED = ["NATION_1", "NATION_3", "NATION_6", "NATION_9"]
@@ -254,3 +254,17 @@ def reconcile_panels(spark, root):
     two = panel.cohort_bookings(b, a, pp.ST).groupBy(panel.week_of("checkout_date").alias("week_start"), "country_name").agg(
         F.countDistinct("booking_id").alias("bookings"), F.sum("gmv").alias("gmv"), F.sum("tickets").alias("tickets"))
     return quality.reconcile(one, two, ["week_start", "country_name"], ["bookings", "gmv", "tickets"])
+
+
+# two sources of an order's value that share no column: its lines, and the total in its head
+@query("reconcile_order_totals", "C34",
+       sql="""WITH a AS (SELECT l_orderkey AS cart_id, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS cents FROM lineitem GROUP BY 1),
+b AS (SELECT o_orderkey AS cart_id, CAST(round(o_totalprice * 100) AS BIGINT) AS cents FROM orders)
+SELECT coalesce(a.cart_id, b.cart_id) AS cart_id, a.cents AS a_cents, b.cents AS b_cents,
+  CASE WHEN b.cart_id IS NULL THEN 'only in a' WHEN a.cart_id IS NULL THEN 'only in b' ELSE 'differs' END AS found
+FROM a FULL JOIN b ON a.cart_id = b.cart_id WHERE a.cents IS DISTINCT FROM b.cents""")
+def reconcile_order_totals(spark, root):
+    cents = lambda c: F.round(F.col(c) * 100).cast("long")
+    lines = read_table(spark, "lineitem", root).groupBy(F.col("l_orderkey").alias("cart_id")).agg(F.sum(cents("l_extendedprice")).alias("cents"))
+    heads = read_table(spark, "orders", root).select(F.col("o_orderkey").alias("cart_id"), cents("o_totalprice").alias("cents"))
+    return quality.differing_rows(lines, heads, ["cart_id"], ["cents"])

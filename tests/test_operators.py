@@ -370,3 +370,22 @@ def test_dimension_broadcast_is_size_checked(spark):
     plan = lambda limit: spark.range(50).join(broadcast_if_small(spark.range(20), limit=limit), "id")._jdf.queryExecution().logical().toString()
     assert "ResolvedHint" in plan(20) or "UnresolvedHint" in plan(20)
     assert "Hint" not in plan(19)
+
+
+@pytest.mark.parametrize("buckets", [1, 7, 4096])
+def test_differing_rows(spark, buckets):
+    rng = np.random.default_rng(3)
+    rows = {(i, "x" if i % 3 else None): int(v) for i, v in enumerate(rng.integers(0, 1000, 3000))}
+    other = dict(rows)
+    for i in (5, 99, 1500):   # planted: changed, lost, new
+        other[i, "x" if i % 3 else None] = -1
+    del other[6, None], other[7, "x"]
+    other[9000, None] = 4
+    frame = lambda d: spark.createDataFrame([(*k, v) for k, v in d.items()], "k int, s string, v long")
+    got = {(r["k"], r["a_v"], r["b_v"], r["found"]) for r in quality.differing_rows(frame(rows), frame(other), ["k", "s"], ["v"], buckets).collect()}
+    want = {(i, rows[i, "x" if i % 3 else None], -1, "differs") for i in (5, 99, 1500)}
+    want |= {(6, rows[6, None], None, "only in a"), (7, rows[7, "x"], None, "only in a"), (9000, None, 4, "only in b")}
+    assert got == want
+    assert quality.differing_rows(frame(rows), frame(rows), ["k", "s"], ["v"], buckets).count() == 0
+    nothing = frame(rows).limit(0)
+    assert quality.differing_rows(nothing, frame(rows), ["k", "s"], ["v"], buckets).filter("found = 'only in b'").count() == 3000
