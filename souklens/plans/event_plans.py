@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 from souklens.functions.periods import (EventWindows, explode_windows, label_first_window, three_phase_windows,
                                         two_event_windows)
 from souklens.functions.ratios import ratio
+from souklens.functions.intervals import interval_join
 from souklens.operators import event_study as es
 from souklens.plans import sqlbase as sb
 from souklens.plans.registry import query
 from souklens.sources import marketplace as mp
+from souklens.sources.tables import read_table
 
 EVENT = date(1999, 6, 7)
 W = EventWindows.around(EVENT, 8, 8)
@@ -440,3 +442,19 @@ def executive_summary(spark, root):
     return es.executive_summary([(booking_event_windows(spark, root), SUMMARY_B),
                                  (supply_by_window(spark, root), SUMMARY_S),
                                  (cancellation_by_window(spark, root), SUMMARY_C)], ["country_name"])
+
+
+# the days around every deep discount of an activity: as many windows as there are discounts, and they overlap
+@query("bookings_around_discounts", "J5 P5", doubles="quantity:2",
+       sql="""WITH f AS (SELECT l_partkey AS activity_id, CAST(l_shipdate AS DATE) AS day, l_quantity AS quantity, l_discount FROM lineitem),
+w AS (SELECT DISTINCT activity_id, day - 10 AS window_start, day + 20 AS window_end FROM f WHERE l_discount >= 0.095)
+SELECT activity_id, CAST(w.window_start AS DATE) AS window_start, CAST(w.window_end AS DATE) AS window_end, count(*) AS bookings, sum(quantity) AS quantity
+FROM w JOIN f USING (activity_id) WHERE f.day BETWEEN w.window_start AND w.window_end GROUP BY ALL""")
+def bookings_around_discounts(spark, root):
+    li = read_table(spark, "lineitem", root)
+    day = F.to_date("l_shipdate")
+    facts = li.select(F.col("l_partkey").alias("activity_id"), day.alias("day"), F.col("l_quantity").alias("quantity"))
+    windows = li.filter("l_discount >= 0.095").select(F.col("l_partkey").alias("activity_id"), F.date_sub(day, 10).alias("window_start"),
+                                                      F.date_add(day, 20).alias("window_end")).distinct()
+    j = interval_join(facts, windows, ["activity_id"], "day", "window_start", "window_end")
+    return j.groupBy("activity_id", "window_start", "window_end").agg(F.count(F.lit(1)).alias("bookings"), F.sum("quantity").alias("quantity"))

@@ -389,3 +389,23 @@ def test_differing_rows(spark, buckets):
     assert quality.differing_rows(frame(rows), frame(rows), ["k", "s"], ["v"], buckets).count() == 0
     nothing = frame(rows).limit(0)
     assert quality.differing_rows(nothing, frame(rows), ["k", "s"], ["v"], buckets).filter("found = 'only in b'").count() == 3000
+
+
+@pytest.mark.parametrize("cell", [1, 14, 400])
+def test_interval_join(spark, cell):
+    from souklens.functions.intervals import interval_join
+
+    rng = np.random.default_rng(cell)
+    at = lambda n: date(1969, 6, 1) + timedelta(days=int(n))  # noqa: E731  days on both sides of the epoch
+    facts = [(int(k), at(d), i) for i, (k, d) in enumerate(zip(rng.integers(0, 4, 300), rng.integers(0, 400, 300)))] + [(1, None, 900), (None, at(5), 901)]
+    windows = [(int(k), at(s), at(s + n), i) for i, (k, s, n) in enumerate(zip(rng.integers(0, 4, 60), rng.integers(0, 400, 60), rng.integers(-3, 60, 60)))]
+    windows += [(1, None, at(3), 90), (1, at(3), None, 91), (None, at(0), at(300), 92)]
+    f = spark.createDataFrame(facts, "k int, day date, i int")
+    w = spark.createDataFrame(windows, "k int, s date, e date, j int")
+    got = interval_join(f, w, ["k"], "day", "s", "e", cell)
+    want = [(a, b) for k, d, a in facts for q, s, e, b in windows if k is not None and k == q and d and s and e and s <= d <= e]
+    assert sorted((r["i"], r["j"]) for r in got.collect()) == sorted(want) and len(want) > 50
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    far = interval_join(f, w.drop("k"), [], "day", "s", "e", cell).count()
+    assert far == sum(1 for _, d, _ in facts for _, s, e, _ in windows if d and s and e and s <= d <= e)
