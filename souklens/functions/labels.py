@@ -46,20 +46,24 @@ def not_in_or_null(col: Column, excluded: list[str]) -> Column:
 
 
 def maturity_band(days: Column) -> Column:
+    # fixed values: edges and labels
     return (F.when(days <= 180, "New (0-6 months)").when(days <= 540, "Developing (6-18 months)")
             .otherwise("Mature (18+ months)"))
 
 
 def adoption_level(n: Column) -> Column:
+    # fixed values: edges and labels
     return (F.when(n == 0, "Non-adopters").when(n <= 2, "Low (1-2)").when(n <= 5, "Medium (3-5)")
             .when(n <= 7, "High (6-7)").otherwise("Power (8+)"))
 
 
 def size_band(n: Column) -> Column:
+    # fixed values: edges and labels
     return (F.when(n <= 1, "1").when(n <= 3, "2-3").when(n <= 7, "4-7").when(n <= 15, "8-15").otherwise("16+"))
 
 
 def engagement_tier(n: Column) -> Column:
+    # fixed values: edges and labels
     return (F.when(n == 1, "Single-Use").when(n == 2, "Occasional").when(n <= 9, "Regular").otherwise("Power User"))
 
 
@@ -70,4 +74,5 @@ def two_flag_segment(a: Column, b: Column, a_name: str, b_name: str) -> Column:
 
 
 def depth_level(mean: Column) -> Column:
+    # fixed values: edges and labels
     return F.when(mean < 2, "SHALLOW").when(mean < 4, "MODERATE").otherwise("DEEP")
