@@ -1,9 +1,9 @@
-"""Exact quantiles of large groups.
+"""Exact quantiles of groups of any size.
 
-``percentile`` keeps a map of all distinct values of a group in one task. Here equal
-values are counted first, the counts are accumulated with the bucketed order of
-:mod:`souklens.functions.ordering`, and only the one or two values at the wanted ranks
-are kept. Interpolation is linear between the neighbouring ranks.
+``percentile`` keeps a map of all distinct values of a group in one task, which suits groups
+up to a limit. Rows of larger groups are counted by value, the counts are accumulated with
+the bucketed order of :mod:`souklens.functions.ordering`, and only the one or two values at
+the wanted ranks are kept. Interpolation is linear between the neighbouring ranks.
 """
 
 from __future__ import annotations
@@ -12,17 +12,45 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from souklens.functions.ordering import ordered
+from souklens.functions.skew import broadcast_if_small
+from souklens.functions.storage import materialise
+
+GROUP = 200_000   # values of a group up to which one task holds their counts, about 20 MB
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float], keys: list[str] | None = None,
-                    weight: str | None = None, small: int | None = None) -> DataFrame:
+                    weight: str | None = None, small: int | None = None, group: int | None = None) -> DataFrame:
     """One row per key with one column per wanted quantile; NULL values are ignored.
 
-    ``weight`` names a column of whole-number multiplicities, for pre-counted input.
+    ``weight`` names a column of whole-number multiplicities, for pre-counted input. Groups of
+    more than ``group`` rows take the bucketed way. Calling it costs the count of rows by key.
     """
     keys = list(keys or [])
+    group = GROUP if group is None else group
+    held = df.filter(F.col(value).isNotNull())
+    # at most (number of rows / ``group``) keys
+    large = materialise(held.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > group)
+                        .select(*[F.col(k).alias(f"_l_{k}") for k in keys], "_n"))
+    if large.isEmpty():
+        return _in_groups(held, value, probs, keys, weight)
+    if not keys:
+        return _bucketed(held, value, probs, keys, weight, small)
+    same = [F.col(k).eqNullSafe(F.col(f"_l_{k}")) for k in keys]
+    large = broadcast_if_small(large)
+    return (_in_groups(held.join(large, same, "left_anti"), value, probs, keys, weight)
+            .unionByName(_bucketed(held.join(large, same, "left_semi"), value, probs, keys, weight, small)))
+
+
+def _in_groups(held: DataFrame, value: str, probs: dict[str, float], keys: list[str], weight: str | None) -> DataFrame:
+    q = F.percentile(value, [float(p) for p in probs.values()], F.col(weight) if weight else 1)
+    got = held.groupBy(*keys).agg(q.alias("_q")).filter(F.col("_q").isNotNull())
+    return got.select(*keys, *[F.col("_q")[i].alias(name) for i, name in enumerate(probs)])
+
+
+def _bucketed(held: DataFrame, value: str, probs: dict[str, float], keys: list[str], weight: str | None,
+              small: int | None) -> DataFrame:
     n = F.sum(weight) if weight else F.count(F.lit(1))
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(n.alias("_c"))
+    counts = held.groupBy(*keys, value).agg(n.alias("_c"))
     o = ordered(counts, value, keys=keys, running={"_cum": "_c"}, small=small)
     lo_pos, hi_pos = F.col("_cum") - F.col("_c"), F.col("_cum") - 1   # 0-based places held
     aggs, keep = [], F.lit(False)

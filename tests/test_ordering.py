@@ -74,10 +74,11 @@ def test_ntile(spark, tiles, n):
 
 
 @pytest.mark.parametrize("small", [0, 10**9])
+@pytest.mark.parametrize("group", [0, 1000, 10**9])
 @pytest.mark.parametrize("keys", [[], ["k"]])
-def test_exact_quantiles(frame, keys, small):
+def test_exact_quantiles(frame, keys, group, small):
     probs = {"p0": 0.0, "p10": 0.1, "p50": 0.5, "p95": 0.95, "p100": 1.0}
-    got = exact_quantiles(frame, "v", probs, keys, small=small).collect()
+    got = exact_quantiles(frame, "v", probs, keys, small=small, group=group).collect()
     groups = {}
     for k, _, v in data():
         if v is not None:
@@ -94,9 +95,10 @@ def test_quantile_of_nothing(spark):
     assert quantile_values(df, "v", [0.5, 0.9]) == [None, None]
 
 
-def test_weighted_quantile(spark):
+@pytest.mark.parametrize("group", [0, 10])
+def test_weighted_quantile(spark, group):
     df = spark.createDataFrame([(1.0, 3), (2.0, 1), (9.0, 2)], "v double, n bigint")
-    r = exact_quantiles(df, "v", {"m": 0.5}, weight="n", small=0).first()
+    r = exact_quantiles(df, "v", {"m": 0.5}, weight="n", small=0, group=group).first()
     assert r["m"] == np.median([1, 1, 1, 2, 9, 9])
 
 
