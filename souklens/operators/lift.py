@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,24 +75,21 @@ def opportunity_score(lifts: DataFrame, difficulty: dict[str, int], default: int
 PRIME = 2147483647   # fixed value: modulus of the replicate hash
 
 
-def replicate_uniform(key: Column, r: Column) -> Column:
-    """Reproducible number in [0, 1) from a key and a replicate number, whole-number steps only."""
-    key = (key % PRIME).cast("long")
-    t = (key % PRIME * 48271 + r * 69621 + 1) % PRIME
-    t = (t * t + r * 40692 + key % PRIME) % PRIME
-    t = (t * t + key % PRIME * 16807) % PRIME
-    return t / F.lit(float(PRIME))
-
-
 # fixed values: cumulative Poisson(1) probabilities for 0..6
 POISSON = [0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991675]
 
 
-def poisson_weight(u: Column) -> Column:
-    out = F.lit(len(POISSON))
-    for k in reversed(range(len(POISSON))):
-        out = F.when(u < POISSON[k], k).otherwise(out)
-    return out
+#: Rows whose weights are held at once: 32 MB of them.
+BOOT_ROWS = 4096
+
+
+def bootstrap_weights(key: np.ndarray, replicates: int) -> np.ndarray:
+    """Poisson weights, one row per key (reduced modulo ``PRIME``) and one column per replicate, from whole-number steps only."""
+    k, r = key.astype(np.int64)[:, None], np.arange(1, replicates + 1, dtype=np.int64)[None, :]
+    t = (k * 48271 + r * 69621 + 1) % PRIME
+    t = (t * t + r * 40692 + k) % PRIME
+    t = (t * t + k * 16807) % PRIME
+    return np.searchsorted(np.array(POISSON), t / float(PRIME), side="right").astype(np.float64)
 
 
 def bootstrap_lift(df: DataFrame, key: str, features: list[str], outcome: str, replicates: int = 400,
@@ -98,8 +97,9 @@ def bootstrap_lift(df: DataFrame, key: str, features: list[str], outcome: str, r
     """Mean lift with a 95 % interval from Poisson bootstrap weights.
 
     Outcomes are clipped at their 1 % and 99 % points per feature side. Each row draws its
-    weight for every replicate from its own key, so replicates are independent of
-    partitioning, and the row expansion is combined away before the shuffle.
+    weight for every replicate from its own key (rows without a key draw none), so replicates
+    are independent of partitioning. Rows are not repeated: a block of rows is a matrix of weights, multiplied
+    by the clipped outcomes of every feature side, and each task gives one row of sums per replicate.
     """
     base = materialise(df.filter(F.col(outcome).isNotNull()).select(key, outcome, *features))
     rows = feature_rows(base, features, [outcome])
@@ -111,15 +111,29 @@ def bootstrap_lift(df: DataFrame, key: str, features: list[str], outcome: str, r
     schema = "feature string, lift_mean_pct double, ci_low_pct double, ci_high_pct double, n_with bigint, n_without bigint"
     if not usable:
         return df.sparkSession.createDataFrame([], schema)
-    x = F.col(outcome)
+    sides = [(f, h) for f in usable for h in (0, 1)]
+    x = F.col(outcome).cast("double")
     clip = lambda r: F.least(F.greatest(x, F.lit(r["lo"])), F.lit(r["hi"]))
-    r = base.withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    r = r.withColumn("w", poisson_weight(replicate_uniform(F.col(key), F.col("r").cast("long"))))
-    sums = [e for f in usable for h in (0, 1) for e in (
-        F.sum(F.when(F.col(f) == h, F.col("w") * clip(side[f, h]))).alias(f"s{h}_{f}"),
-        F.sum(F.when(F.col(f) == h, F.col("w"))).alias(f"w{h}_{f}"))]
-    s = r.groupBy("r").agg(*sums)
-    mean = lambda h, f: F.col(f"s{h}_{f}") / F.nullif(F.col(f"w{h}_{f}"), F.lit(0))
+    # per side the clipped outcome and 1; nothing where the row is on the other side
+    cells = [e for f, h in sides for e in (F.when(F.col(f) == h, clip(side[f, h])), F.when(F.col(f) == h, 1.0))]
+    blocks = base.select(F.pmod(F.col(key), F.lit(PRIME)).cast("long").alias("k"), *[F.coalesce(e, F.lit(0.0)).alias(f"c{i}") for i, e in enumerate(cells)])
+    blocks = blocks.filter("k IS NOT NULL")
+    names = [f"{s}{h}_{f}" for f, h in sides for s in "sw"]
+    width = len(names)
+
+    def fold(batches):
+        total = np.zeros((replicates, width))
+        for batch in batches:
+            keys = batch.column(0).to_numpy()
+            values = np.column_stack([batch.column(i + 1).to_numpy() for i in range(width)])
+            for at in range(0, len(keys), BOOT_ROWS):
+                total += bootstrap_weights(keys[at:at + BOOT_ROWS], replicates).T @ values[at:at + BOOT_ROWS]
+        columns = [pa.array(np.arange(1, replicates + 1), pa.int64()), *[pa.array(total[:, i]) for i in range(width)]]
+        yield pa.RecordBatch.from_arrays(columns, names=["r", *names])
+
+    parts = blocks.mapInArrow(fold, "r bigint, " + ", ".join(f"{c} double" for c in names))
+    s = parts.groupBy("r").agg(*[F.sum(c).alias(c) for c in names])
+    mean = lambda h, f: F.col(f"s{h}_{f}") / F.nullif(F.col(f"w{h}_{f}"), F.lit(0.0))
     long = s.select(F.explode(F.array(*[F.struct(
         F.lit(f).alias("feature"), mean(1, f).alias("a"), mean(0, f).alias("b"), F.lit(side[f, 1]["n"]).cast("bigint").alias("n_with"),
         F.lit(side[f, 0]["n"]).cast("bigint").alias("n_without")) for f in usable])).alias("x")).select("x.*").filter("b > 0")

@@ -330,10 +330,29 @@ def test_bootstrap_interval_holds_the_plain_lift(spark):
     assert r["ci_low_pct"] < plain < r["ci_high_pct"] and r["ci_high_pct"] - r["ci_low_pct"] < 6
 
 
-def test_poisson_weights_look_like_poisson(spark):
-    w = spark.range(20000).select(lift.poisson_weight(lift.replicate_uniform(F.col("id"), F.lit(17))).alias("w"))
-    m, v = w.agg(F.avg("w"), F.variance("w")).first()
-    assert abs(m - 1) < 0.05 and abs(v - 1) < 0.08
+def test_poisson_weights_look_like_poisson():
+    w = lift.bootstrap_weights(np.arange(20000), 17)[:, 16]
+    assert abs(w.mean() - 1) < 0.05 and abs(w.var() - 1) < 0.08
+
+
+def test_bootstrap_equals_a_plain_loop(spark, monkeypatch):
+    monkeypatch.setattr(lift, "BOOT_ROWS", 64)
+    rows = [(i * 7 + 5, i % 2, int(i % 3 == 0), float((i * 37) % 101)) for i in range(900)] + [(None, 0, 1, 5.0), (3, None, 1, None)]
+    df = spark.createDataFrame(rows, "id bigint, f int, g int, v double").repartition(5, "v")
+    got = {r["feature"]: r for r in lift.bootstrap_lift(df, "id", ["f", "g"], "v", replicates=30).collect()}
+    held = [r for r in rows if r[3] is not None]
+    for at, name in ((1, "f"), (2, "g")):
+        means = {}
+        for h in (0, 1):
+            own = [r for r in held if r[at] == h]
+            lo, hi = np.quantile([r[3] for r in own], [0.01, 0.99])
+            own = [r for r in own if r[0] is not None]
+            w = lift.bootstrap_weights(np.array([r[0] for r in own]), 30)
+            means[h] = [sum(w[i][k] * min(max(r[3], lo), hi) for i, r in enumerate(own)) / sum(w[i][k] for i in range(len(own))) for k in range(30)]
+        lifts = [(a / b - 1) * 100 for a, b in zip(means[1], means[0])]
+        assert got[name]["lift_mean_pct"] == pytest.approx(np.mean(lifts))
+        assert got[name]["ci_low_pct"] == pytest.approx(np.quantile(lifts, 0.025))
+        assert got[name]["ci_high_pct"] == pytest.approx(np.quantile(lifts, 0.975))
 
 
 def test_status_label_groups(spark):
