@@ -6,6 +6,11 @@ checks or lies on a base span of another kind is known to be wrong. Boosted tree
 and context, without the signs that the base patterns ask for. The other candidates have no label, however
 many they are; they are added where the share of found ones among the labelled at their score is high enough.
 
+Secrets (keys, tokens, passwords) have no base pattern. A run of letters and digits that is assigned to a
+name for secrets, or has a vendor's prefix, counts as found; one beside a name for check sums, revisions or
+places, or without a digit or a letter, is known to be wrong. The rest is decided by its format. Trees are
+fitted on the texts of one hash half, thresholds are set on those of the other.
+
 All work on texts is in SQL functions. The trees are fitted on a table with one row per combination
 of features, and become a CASE expression.
 """
@@ -38,13 +43,23 @@ WIDE = {
     "card": r"(?<![0-9])[0-9](?:[\x20.-]?[0-9]){12,18}(?![0-9])",
     "phone": r"(?<![0-9])[(]?[0-9]{1,4}[\x20().-]{1,2}[0-9]{2,4}(?:[\x20().-]{1,2}[0-9]{2,4}){1,3}(?![0-9])",
 }
+#: Kinds that only the method finds, with their generator: long runs that may be keys, tokens or passwords.
+ADDED = {"secret": r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9][A-Za-z0-9+/_-]{10,}+={0,2})(?!@|\.[A-Za-z0-9])"}
+ALL_KINDS = (*KINDS, *ADDED)
+GENERATORS = {**WIDE, **ADDED}
+#: Names for secrets before a sign of assignment, and names for what only looks like one.
+ASSIGNED = r"(?i)(?:token|secret|passw(?:or)?d|passwd|pwd|passphrase|api_?-?key|access_?-?key|auth|bearer|credential)[\"']?\s*(?:[:=]\s*|=>\s*)?[\"']?$"
+NO_SECRET = r"(?i)(?:commit|sha-?[0-9]*|hash|digest|checksum|md5|uuid|guid|etag|rev(?:ision)?|isbn|doi|https?:/|/)[\"']?\s*[:=]?\s*[\"']?$"
+#: Prefixes that vendors give their keys.
+VENDOR = r"^(?:AKIA|ASIA)[A-Z0-9]{16}$|^gh[opsu]_[A-Za-z0-9]{36}|^sk[-_](?:live|test|proj)?[-_]?[A-Za-z0-9]{20}|^xox[abp]-[0-9A-Za-z-]{10}|^AIza[A-Za-z0-9_-]{35}$|^glpat-[A-Za-z0-9_-]{20}"
 CONTEXT = 16
 #: Words before a span that speak for its kind.
-CUES = {"email": "mail|contact|write|kontakt|correo", "ip": r"\bip\b|host|server|addr", "card": "card|visa|karte|tarjeta|carte|iban", "phone": "tel|phone|call|fax|mobil|appel"}
+CUES = {"email": "mail|contact|write|kontakt|correo", "ip": r"\bip\b|host|server|addr", "card": "card|visa|karte|tarjeta|carte|iban", "phone": "tel|phone|call|fax|mobil|appel",
+        "secret": "key|login|user|cred|config|env|export"}
 
 ROUNDS, DEPTH, RATE = 24, 2, 0.3
-#: Share of found among labelled candidates that a score needs, by each kind's calibration, and the found ones it must rest on.
-PRECISION, SUPPORT = 0.95, 20
+#: Share of found among labelled candidates that a score needs, by each kind's calibration.
+PRECISION = 0.95
 FEATURES = ("digits", "groups", "seps", "tail", "cue", "before", "after")
 
 
@@ -111,6 +126,8 @@ def _features(kind: str, c: Column) -> Column:
     """Small whole numbers that describe a candidate's format and surroundings."""
     m = c["m"]
     flag = lambda test, v: F.when(test, v).otherwise(0)
+    if kind in ADDED:
+        return _run_features(c)
     letter = lambda s: F.when(s == "", 0).when(s.rlike("[A-Za-z0-9]"), 3).when(s.rlike(r"[\s]"), 1).otherwise(2)
     return F.struct(
         F.least(F.length(_digits(m)), F.lit(20)).alias("digits"),
@@ -123,6 +140,25 @@ def _features(kind: str, c: Column) -> Column:
     )
 
 
+def _run_features(c: Column) -> Column:
+    """The same features for runs of letters and digits: how mixed they are takes the place of groups and ends."""
+    m = c["m"]
+    flag = lambda test, v: F.when(test, v).otherwise(0)
+    turns = F.size(F.regexp_extract_all(m, F.lit("[0-9][A-Za-z]|[A-Za-z][0-9]"), F.lit(0)))
+    share = F.floor(10 * F.length(_digits(m)) / F.length(m)).cast("int")
+    different = F.size(F.array_distinct(F.split(F.left(m, F.lit(64)), "")))
+    side = lambda s: F.when(s == "", 0).when(s.rlike(r"[\"']"), 2).when(s.rlike("[:=]"), 3).otherwise(1)
+    return F.struct(
+        share.alias("digits"),
+        F.least(turns, F.lit(9)).alias("groups"),
+        (flag(m.rlike("[a-z]"), 1) + flag(m.rlike("[A-Z]"), 2) + flag(m.rlike("[+/=]"), 4) + flag(m.rlike("[_-]"), 8) + flag(m.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), 16)).alias("seps"),
+        F.least(F.floor(different / 3).cast("int"), F.lit(9)).alias("tail"),
+        flag(F.lower(c["left"]).rlike(CUES["secret"]), 1).alias("cue"),
+        side(F.right(F.rtrim(c["left"]), F.lit(1))).alias("before"),
+        F.least(F.floor(F.length(m) / 8).cast("int"), F.lit(9)).alias("after"),
+    )
+
+
 def _overlaps(c: Column, spans: Column) -> Column:
     return F.exists(spans, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
 
@@ -145,8 +181,21 @@ def _fails(kind: str, c: Column) -> Column:
     return ~holds | other
 
 
+def _secret(c: Column) -> tuple[Column, Column]:
+    """Whether a run is a secret by its name or prefix, and whether it is known to be none."""
+    m = c["m"]
+    other = F.lit(False)
+    for k in KINDS:
+        other = other | _overlaps(c, F.col(f"base_{k}"))
+    wrong = other | ~m.rlike("[0-9]") | ~m.rlike("[A-Za-z]") | c["left"].rlike(NO_SECRET)
+    return ~wrong & (c["left"].rlike(ASSIGNED) | m.rlike(VENDOR)), wrong
+
+
 def _described(kind: str):
     def describe(c: Column) -> Column:
+        if kind in ADDED:
+            known, wrong = _secret(c)
+            return F.struct(c["start"].alias("start"), c["end"].alias("end"), known.alias("found"), wrong.alias("wrong"), _features(kind, c).alias("f"))
         found = _overlaps(c, F.col(f"base_{kind}"))
         return F.struct(c["start"].alias("start"), c["end"].alias("end"), found.alias("found"), (~found & _fails(kind, c)).alias("wrong"), _features(kind, c).alias("f"))
 
@@ -171,8 +220,8 @@ def candidates(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
     for kind in KINDS:
         df = _located(df, "text", BASE[kind], f"base_{kind}", SIGN.get(kind))
         df = df.withColumn(f"base_{kind}", F.filter(f"base_{kind}", _checked(kind)))
-    for kind in KINDS:
-        df = _located(df, "text", WIDE[kind], f"wide_{kind}", None)
+    for kind in ALL_KINDS:
+        df = _located(df, "text", GENERATORS[kind], f"wide_{kind}", None)
         df = df.withColumn(f"wide_{kind}", F.transform(f"wide_{kind}", _described(kind)))
     return df
 
@@ -226,20 +275,26 @@ def boost(table: list[tuple[dict, int, int]]) -> tuple[float, list]:
 
 
 class Model:
-    """Trees and threshold of each kind."""
+    """Trees and threshold of each kind.
+
+    ``tables`` has (features, found, labelled) of each kind for the half that fits and the half that
+    calibrates; if either lacks found ones, both do both.
+    """
 
-    def __init__(self, tables: dict[str, list[tuple[dict, int, int]]]):
+    def __init__(self, tables: dict[str, tuple[list, list]]):
         self.trees, self.least = {}, {}
-        for kind, table in tables.items():
-            if not table:
+        for kind, (own, other) in tables.items():
+            if not any(p for _, p, _ in own) or not any(p for _, p, _ in other):
+                own = other = own + other
+            if not own:
                 continue
-            base, trees = self.trees[kind] = boost(table)
-            scored = sorted(((base + sum(_value(t, x) for t in trees), p, n) for x, p, n in table), reverse=True)
+            base, trees = self.trees[kind] = boost(own)
+            scored = sorted(((base + sum(_value(t, x) for t in trees), p, n) for x, p, n in other), key=lambda r: r[0], reverse=True)
             least, p_sum, n_sum = math.inf, 0, 0
             for i, (s, p, n) in enumerate(scored):
                 p_sum, n_sum = p_sum + p, n_sum + n
                 last_of_score = i + 1 == len(scored) or scored[i + 1][0] < s - 1e-9
-                if last_of_score and p_sum >= SUPPORT and p_sum >= PRECISION * n_sum:
+                if last_of_score and p_sum and p_sum >= PRECISION * n_sum:
                     least = s - 1e-9
             self.least[kind] = least
 
@@ -261,16 +316,19 @@ def train(found: DataFrame) -> Model:
     Only counts leave the executors: whole numbers in small ranges, some thousand rows at most of
     which the corpus has a few hundred.
     """
-    each = F.concat(*[F.transform(f"wide_{k}", _named(k)) for k in KINDS])
-    counted = found.select(F.explode(each).alias("c")).select("c.*").filter("found OR wrong").groupBy("kind", "f").agg(F.sum(F.col("found").cast("long")).alias("p"), F.count("*").alias("n")).collect()
-    tables: dict[str, list] = {k: [] for k in KINDS}
-    for r in sorted(counted, key=lambda r: (r["kind"], tuple(r["f"]))):
-        tables[r["kind"]].append((r["f"].asDict(), r["p"], r["n"]))
+    each = F.concat(*[F.transform(f"wide_{k}", _named(k)) for k in ALL_KINDS])
+    half = F.pmod(F.xxhash64("text"), F.lit(2)).alias("half")
+    counted = (found.select(half, F.explode(each).alias("c")).select("half", "c.*").filter("found OR wrong")
+               .groupBy("kind", "half", "f").agg(F.sum(F.col("found").cast("long")).alias("p"), F.count("*").alias("n")).collect())
+    tables: dict[str, tuple[list, list]] = {k: ([], []) for k in ALL_KINDS}
+    for r in sorted(counted, key=lambda r: (r["kind"], r["half"], tuple(r["f"]))):
+        tables[r["kind"]][r["half"]].append((r["f"].asDict(), r["p"], r["n"]))
     return Model(tables)
 
 
 def _added(model: Model, kind: str, least: float):
-    return lambda c: ~c["found"] & ~c["wrong"] & (model.score(kind, c["f"]) >= least) & ~_overlaps(c, F.col("base"))
+    new = (lambda c: ~c["found"]) if kind in KINDS else (lambda c: F.lit(True))
+    return lambda c: new(c) & ~c["wrong"] & (model.score(kind, c["f"]) >= least) & ~_overlaps(c, F.col("base"))
 
 
 _SPANS = "array<struct<kind:string,start:int,end:int>>"
@@ -280,7 +338,7 @@ def find(docs: DataFrame, text_col: str = "text", keep: list[str] = ("doc_id",),
     """Personal data in every text: ``keep``, ``text_`` (null: empty), ``base`` and ``spans``.
 
     ``base`` and ``spans`` are arrays of (kind, start, end) in code points, end exclusive, ordered by
-    kind (email, ip, card, phone) and start. Base spans are the leftmost matches of each kind that
+    kind (email, ip, card, phone, secret) and start. Base spans are the leftmost matches of each kind that
     pass its check and may overlap across kinds; the others overlap no base span and none before them.
     Rows stay as given; texts without spans have empty arrays. Without candidates nothing is learned
     and ``spans`` is ``base``.
@@ -291,7 +349,7 @@ def find(docs: DataFrame, text_col: str = "text", keep: list[str] = ("doc_id",),
     base = F.concat(*[F.transform(f"base_{k}", _bare(k)) for k in KINDS])
     df = found.withColumn("base", base)
     extra = F.array().cast(_SPANS)
-    for kind in KINDS:
+    for kind in ALL_KINDS:
         least = model.least.get(kind, math.inf)
         if least < math.inf:
             extra = F.concat(extra, F.transform(F.filter(f"wide_{kind}", _added(model, kind, least)), _bare(kind)))
@@ -301,7 +359,7 @@ def find(docs: DataFrame, text_col: str = "text", keep: list[str] = ("doc_id",),
     free = F.aggregate(by_start, F.array().cast(_SPANS), lambda out, c: F.when(_overlaps(c, out), out).otherwise(F.concat(out, F.array(F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"))))))
     df = df.withColumn("extra", F.when(F.size("extra") > 1, free).otherwise(F.col("extra")))
     own = lambda k: F.sort_array(F.concat(F.filter("base", _is(k)), F.filter("extra", _is(k))))
-    spans = F.when(F.size("extra") == 0, F.col("base")).otherwise(F.concat(*[own(k) for k in KINDS]))
+    spans = F.when(F.size("extra") == 0, F.col("base")).otherwise(F.concat(*[own(k) for k in ALL_KINDS]))
     return df.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], F.col("text").alias("text_"), "base", spans.alias("spans"))
 
 

@@ -36,7 +36,8 @@ def tokenizer_file() -> str:
 def op1_boosted_pii(spark: SparkSession, root: str) -> DataFrame:
     found = pii.find(table(spark, root, "documents"))
     counts = [pii.count_of(F.col("base"), k).alias(f"n_{k}") for k in pii.KINDS]
-    return found.select("doc_id", *counts, F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"),
+                        *[pii.count_of(F.col("spans"), k).alias(f"n_{k}") for k in pii.ADDED])
 
 
 def op2_wrapper_text(spark: SparkSession, root: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import gzip
 import hashlib
+import math
 import random
 from collections import Counter
 
@@ -131,6 +132,39 @@ def test_pii_adds_as_many_as_base(spark):
         assert got[4000 + i] == [("ip", f"10.20.{i}.7")]
 
 
+def test_pii_adds_secrets(spark):
+    """Keys by their name or prefix, and unnamed ones of the same form; not revisions, check sums, words or numbers."""
+    def hexed(i):
+        return hashlib.sha1(str(i).encode()).hexdigest()
+
+    rows = []
+    for i in range(120):
+        rows += [(i, f'set token = "{hexed(i)}" and go'), (1000 + i, f"use password={hexed(i)[:18]}."), (2000 + i, f"the key AKIA{hexed(i)[:16].upper()} is ours"),
+                 (3000 + i, f"commit {hexed(-i - 1)} of sha256: {hexed(-i - 2)}"), (4000 + i, f"Donaudampfschifffahrtsgesellschaft internationalization {10**29 + i * 7919}"),
+                 (5000 + i, f"see {hexed(i)[:9]}.example.com or user{hexed(i)[:12]}@mail.example.com")]
+    rows += [(9000, f'here "{hexed(7777)}" stands alone'), (9001, "a" * 5000 + "1" * 5000 + "@"), (9002, None), (9003, "x-" * 4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    text = dict(rows)
+    found = {r["doc_id"]: r for r in pii.find(docs).collect()}
+    got = {i: [text[i][s["start"]:s["end"]] for s in r["spans"] if s["kind"] == "secret"] for i, r in found.items()}
+    for i in range(120):
+        assert got[i] == [hexed(i)] and got[1000 + i] == [hexed(i)[:18]] and got[2000 + i] == ["AKIA" + hexed(i)[:16].upper()]
+        assert got[3000 + i] == [] and got[4000 + i] == [] and got[5000 + i] == []
+    assert got[9000] == [hexed(7777)]
+    assert got[9001] == [] and got[9002] == [] and got[9003] == []
+    clean = {r["doc_id"]: r["text"] for r in pii.redact(docs).collect()}
+    assert clean[5] == 'set token = "[SECRET]" and go' and clean[1005] == "use password=[SECRET]." and clean[3005] == text[3005]
+
+
+def test_pii_thresholds_are_set_on_other_rows():
+    """Trees see one half only: a form that is right there and wrong in the other half is left out."""
+    x = {f: 0 for f in pii.FEATURES}
+    good, bad = {**x, "digits": 9}, {**x, "digits": 3}
+    fit = [(good, 50, 50), (bad, 0, 50)]
+    assert pii.Model({"card": (fit, [(good, 30, 30), (bad, 0, 30)])}).least["card"] < math.inf
+    assert pii.Model({"card": (fit, [(good, 10, 30), (bad, 1, 30)])}).least["card"] == math.inf
+
+
 def test_pii_without_rows(none):
     assert pii.find(none).count() == 0 and pii.redact(none).columns == none.columns
 
