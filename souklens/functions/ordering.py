@@ -147,6 +147,52 @@ def ntile_col(tiles: int) -> Column:
         rem + F.ceil((pos - head) / F.nullif(base, F.lit(0)))).cast("int")
 
 
+def ranked(df: DataFrame, values: dict[str, str], tie: list[str], tiles: dict[str, int] | None = None,
+           small: int = 100_000, buckets: int | None = None) -> DataFrame:
+    """Percent ranks of several columns (``values`` maps column to output name) and n-tiles of the
+    first one (``tiles`` maps output name to number of tiles), over the whole table in one order.
+
+    Rows are stored once with a number of their own and stacked, one per column; every column is cut
+    into buckets by its split points, a window runs inside a bucket and starts at the number of rows
+    before it, and the results meet their row by its number. All rows of a bucket that holds one
+    value have the same rank, so it is cut further along the first column of ``tie`` like any other.
+    NULL ranks lowest. Tiles are reproducible if ``tie`` is unique. Up to ``small`` rows nothing is cut.
+    """
+    cols, tiles = list(values), dict(tiles or {})
+    src = materialise(df.withColumn("_row", F.monotonically_increasing_id()))
+    rows = src.count()       # read from the file footers
+    cut_by = [*cols, tie[0]]
+    points = [[]] * len(cut_by) if rows <= small else split_points(src, cut_by, buckets or bucket_count(rows))
+    types = {src.schema[c].dataType.simpleString() for c in cols}
+    kind = types.pop() if len(types) == 1 else "double"
+
+    def entry(i: int, c: str) -> Column:
+        s = F.when(F.col(f"_b{i}") % 2 != 0, F.col("_tb")).otherwise(0)
+        # only tiles need the tie-break
+        ties = [(F.col(t) if i == 0 else F.lit(None).cast(src.schema[t].dataType)).alias(f"_t{j}") for j, t in enumerate(tie)]
+        return F.struct(F.lit(i).alias("_m"), F.col(c).cast(kind).alias("_v"), F.col(f"_b{i}").alias("_b"), s.alias("_s"), *ties)
+
+    places = {f"_b{i}": bucket_of(F.col(c), points[i]) for i, c in enumerate(cols)}
+    stacked = src.withColumns({**places, "_tb": bucket_of(F.col(tie[0]), points[-1])}).select(
+        "_row", F.explode(F.array(*[entry(i, c) for i, c in enumerate(cols)])).alias("_x")).select("_row", "_x.*")
+    place = Window.partitionBy("_m").orderBy("_b", "_s").rowsBetween(Window.unboundedPreceding, -1)
+    offs = stacked.groupBy("_m", "_b", "_s").agg(F.count(F.lit(1)).alias("_n"))
+    offs = offs.withColumn("_off", F.coalesce(F.sum("_n").over(place), F.lit(0)))
+    offs = offs.select("_m", "_b", "_s", "_off", F.min("_off").over(Window.partitionBy("_m", "_b")).alias("_first"))
+    inside = Window.partitionBy("_m", "_b", "_s")
+    one = F.col("_b") % 2 != 0
+    placed = stacked.join(offs, ["_m", "_b", "_s"]).select(
+        "_row", "_m", (F.col("_off") + F.row_number().over(inside.orderBy("_v", *[f"_t{j}" for j in range(len(tie))]))).alias("_pos"),
+        F.when(one, F.col("_first")).otherwise(F.col("_off") + F.rank().over(inside.orderBy("_v")) - 1).alias("_before"))
+    share = F.col("_before") / F.lit(rows - 1) if rows > 1 else F.lit(0.0)
+    got = placed.groupBy("_row").agg(
+        F.max(F.when(F.col("_m") == 0, F.col("_pos"))).alias("pos"),
+        *[F.max(F.when(F.col("_m") == i, share)).alias(values[c]) for i, c in enumerate(cols)])
+    tiled = [ntile_col(n).alias(name) for name, n in tiles.items()]
+    got = got.withColumn("n_rows", F.lit(rows).cast("long")).select("_row", *values.values(), *tiled)
+    return src.join(got, "_row").drop("_row")
+
+
 def percent_rank_of(df: DataFrame, value: str, keys: list[str] | None, out: str,
                     prepared: bool = False, small: int | None = None) -> DataFrame:
     """Percent rank of every row within ``keys``; see ``percent_ranks_of``."""

@@ -7,11 +7,10 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from souklens.functions.ordering import ntile_col, ordered, percent_ranks_of
+from souklens.functions.ordering import ntile_col, ordered, ranked
 from souklens.functions.periods import shift_months
 from souklens.functions.ratios import flag, ratio, share_pct
 from souklens.functions.skew import join_per_key
-from souklens.functions.storage import materialise
 
 
 def since(day: Column, as_of: date, months: int) -> Column:
@@ -73,16 +72,13 @@ def trailing_performance(bookings: DataFrame, keys: list[str], as_of: date, mont
 VALUE_TIERS = ["no_revenue", "low_value", "medium_value", "high_value", "top_tier"]   # fixed values
 
 
-def with_value_tiers(perf: DataFrame, value: str, tie: str, others: list[str]) -> DataFrame:
+def with_value_tiers(perf: DataFrame, value: str, tie: list[str], others: list[str]) -> DataFrame:
     """Percent ranks, deciles, quartiles and the tiers derived from them.
 
     ``tie`` makes the tiles reproducible; missing values rank lowest.
     """
-    p = materialise(perf)
     names = {c: f"{c}_percentile" for c in [value, *others]}
-    p = percent_ranks_of(p, names, prepared=True).withColumns({n: F.col(n) * 100 for n in names.values()})
-    cols = p.columns
-    p = ordered(p, value, tie).select(*cols, ntile_col(10).alias("decile"), ntile_col(4).alias("quartile"))
+    p = ranked(perf, names, tie, {"decile": 10, "quartile": 4}).withColumns({n: F.col(n) * 100 for n in names.values()})
     pct, none = F.col(f"{value}_percentile"), F.col(value).isNull() | (F.col(value) == 0)
     return p.withColumns({
         "percentile_tier": F.when(none, "no_revenue").when(pct >= 95, "top_5pct").when(pct >= 90, "top_10pct")

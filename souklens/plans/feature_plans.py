@@ -108,7 +108,7 @@ def performance(spark, root, as_of=AS_OF):
 
 
 def tiered(spark, root, as_of=AS_OF):
-    return ranking.with_value_tiers(performance(spark, root, as_of), "gmv_l12m", "listing_id", ["bookings_l12m", "nr_l12m", "avg_booking_value"])
+    return ranking.with_value_tiers(performance(spark, root, as_of), "gmv_l12m", KEYS, ["bookings_l12m", "nr_l12m", "avg_booking_value"])
 
 
 def perf_sql(as_of: date = AS_OF) -> str:

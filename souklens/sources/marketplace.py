@@ -279,30 +279,33 @@ def accuracy_history(spark: SparkSession, root: str) -> DataFrame:
 
 def slot_configs(spark: SparkSession, root: str) -> DataFrame:
     """Slots with their price configuration as JSON text, built row by row."""
-    r = lambda c: (F.floor(c * 1000) / 1000).cast("decimal(10,3)")
     price = F.col("l_extendedprice") / F.col("l_quantity")
-    tier = lambda size_name, n: F.struct(n.cast("int").alias(size_name), r(price / n).alias("retailPrice"))
-    one, two, three = F.lit(1), F.lit(2), F.lit(3)
-    tiers = lambda name: F.when(F.col("l_linenumber") % 3 == 0, F.array(tier(name, one), tier(name, two), tier(name, three))) \
-        .when(F.col("l_linenumber") % 3 == 1, F.array(tier(name, one))) \
-        .otherwise(F.array(tier(name, one), tier(name, two)))
-    cat = lambda label, prices: F.struct(F.lit(label).alias("ticketCategory"), prices.alias("prices"))
-    adult = cat("ADULT", tiers("minParticipants"))
-    child = cat("CHILD", F.array(tier("minParticipants", two)))
-    senior = cat("SENIOR", F.array(tier("minParticipants", three)))
-    individual = (F.when(F.col("l_returnflag") == "A", F.array(adult))
-                  .when(F.col("l_returnflag") == "N", F.array(adult, child))
-                  .when(F.col("l_linenumber") <= 4, F.array(adult, child, senior)))
-    group = F.when(F.col("l_linestatus") == "O", F.array(
-        F.struct(F.lit(False).alias("isAdditionalPaxForGroup"), tiers("maxParticipants").alias("prices"))))
-    addons = F.when(F.col("l_discount") >= 0.05, F.array(
-        F.struct(F.array(F.struct(r(price / 10).alias("retailPrice"))).alias("prices")),
-        F.struct(F.array(F.struct(r(price / 20).alias("retailPrice"))).alias("prices"))))
-    nested = F.to_json(F.struct(F.struct(individual.alias("individual"), group.alias("group"),
-                                         addons.alias("addons")).alias("pricingCategories")))
-    flat = F.to_json(F.struct(F.struct(individual.alias("individual")).alias("pricingCategories"),
-                              group.alias("group"), addons.alias("addons")))
-    return lineitem(spark, root).select(
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    money = lambda c: F.coalesce((F.floor(c * 1000) / 1000).cast("decimal(10,3)").cast("string"), F.lit("null"))
+    tier = lambda size_name, n: text(f'{{"{size_name}":{n},"retailPrice":', F.col(f"p{n}"), "}")
+    three = F.col("l_linenumber") % 3
+    tiers = lambda name: F.when(three == 0, F.concat_ws(",", tier(name, 1), tier(name, 2), tier(name, 3))).when(
+        three == 1, tier(name, 1)).otherwise(F.concat_ws(",", tier(name, 1), tier(name, 2)))
+    cat = lambda label, prices: text(f'{{"ticketCategory":"{label}","prices":[', prices, "]}")
+    adult = cat("ADULT", F.col("adult_tiers"))
+    child = cat("CHILD", tier("minParticipants", 2))
+    senior = cat("SENIOR", tier("minParticipants", 3))
+    array = lambda *items: text("[", F.concat_ws(",", *items), "]")
+    individual = (F.when(F.col("l_returnflag") == "A", array(adult))
+                  .when(F.col("l_returnflag") == "N", array(adult, child))
+                  .when(F.col("l_linenumber") <= 4, array(adult, child, senior)).otherwise("null"))
+    group = F.when(F.col("l_linestatus") == "O", array(
+        text('{"isAdditionalPaxForGroup":false,"prices":[', tiers("maxParticipants"), "]}"))).otherwise("null")
+    addon = lambda n: text('{"prices":[{"retailPrice":', money(price / n), "}]}")
+    addons = F.when(F.col("l_discount") >= 0.05, array(addon(10), addon(20))).otherwise("null")
+    rest = ['"group":', F.col("group"), ',"addons":', F.col("addons")]
+    nested = text('{"pricingCategories":{"individual":', F.col("individual"), ",", *rest, "}}")
+    flat = text('{"pricingCategories":{"individual":', F.col("individual"), "},", *rest, "}")
+    # columns of their own for what is used several times; written as text, as the tree-to-JSON function takes 80 us a row
+    items = (lineitem(spark, root).withColumns({f"p{n}": money(price / n) for n in (1, 2, 3)})
+             .withColumn("adult_tiers", tiers("minParticipants"))
+             .withColumns({"individual": individual, "group": group, "addons": addons}))
+    return items.select(
         F.col("l_partkey").alias("activity_id"), F.col("l_suppkey").alias("supplier_id"),
         F.col("l_linenumber").alias("pricing_id"), F.col("l_orderkey").alias("update_seq"),
         F.to_date("l_shipdate").alias("slot_date"), price.alias("from_price"),

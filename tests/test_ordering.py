@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from souklens.functions.ordering import bucket_of, ntile_col, ordered, percent_rank_of
+from souklens.functions.ordering import bucket_of, ntile_col, ordered, percent_rank_of, ranked
 from souklens.functions.quantiles import exact_quantiles, quantile_values
 from souklens.functions.skew import join_per_key
 
@@ -150,3 +150,26 @@ def test_join_per_key(frame, hot, how):
     want = [r for r in data() if how == "left" or r[0] != "c"]
     assert len(rows) == len(want) == got.count()
     assert all(rows[i]["top"] == tops.get(k) for k, i, _ in want)
+
+
+@pytest.mark.parametrize("small", [0, 10**9])
+def test_ranked_against_windows(spark, frame, small):
+    """Several columns of different types, ties, missing values and a repeated tie-break, with and without cuts."""
+    df = frame.withColumns({"w": F.col("id") % 7, "t": F.col("id") % 500})
+    got = ranked(df, {"v": "pv", "w": "pw"}, ["t", "id"], {"ten": 10, "four": 4}, small=small)
+    df.createOrReplaceTempView("ranked_rows")
+    want = spark.sql("""SELECT *, percent_rank() OVER (ORDER BY v) AS pv, percent_rank() OVER (ORDER BY w) AS pw,
+        ntile(10) OVER (ORDER BY v, t, id) AS ten, ntile(4) OVER (ORDER BY v, t, id) AS four FROM ranked_rows""")
+    assert got.columns == want.columns
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
+@pytest.mark.parametrize("small", [0, 10**9])
+def test_ranked_of_few_rows(spark, small):
+    none = spark.createDataFrame([], "id bigint, v double")
+    assert ranked(none, {"v": "p"}, ["id"], {"q": 4}, small=small).collect() == []
+    one = spark.createDataFrame([(None, None)], "id bigint, v double")
+    assert [tuple(r) for r in ranked(one, {"v": "p"}, ["id"], {"q": 4}, small=small).collect()] == [(None, None, 0.0, 1)]
+    same = spark.createDataFrame([(1, 2.0), (1, 2.0)], "id bigint, v double")
+    assert sorted(tuple(r) for r in ranked(same, {"v": "p"}, ["id"], {"q": 2}, small=small).collect()) == [
+        (1, 2.0, 0.0, 1), (1, 2.0, 0.0, 2)]
