@@ -38,6 +38,13 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def own_folder(spark: SparkSession, kind: str) -> str:
+    """A new path in shared storage for files of another format; ``drop_stored`` deletes it too."""
+    path = f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+    _WRITTEN.append((spark.sparkContext.applicationId, path))
+    return path
+
+
 def drop_stored(spark: SparkSession) -> int:
     """Deletes what this process has stored for the application; results that still read it are lost.
 

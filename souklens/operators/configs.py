@@ -98,7 +98,7 @@ def parent_feature_rollup(features: DataFrame, keys: list[str]) -> DataFrame:
         avg("num_individual"), avg("num_groups"), avg("num_addons"), avg("individual_tiers"), avg("group_tiers"),
         avg("addon_tiers"), avg("total_tiers"), avg("cutoff_hours"), avg("dates_covered"), avg("pct_dates_with_vacancies"),
         F.max("num_individual").alias("max_individual"), F.max("num_addons").alias("max_addons"),
-        F.max("group_tiers").alias("max_group_tiers"),
+        F.max("group_tiers").alias("max_group_tiers"), F.min("valid_from").alias("first_online"),
         sum((F.max(f) for f in key_feats), F.lit(0)).alias("feature_count"))
 
 

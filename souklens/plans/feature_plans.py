@@ -76,7 +76,7 @@ AVGS = ["num_individual", "num_groups", "num_addons", "individual_tiers", "group
 ROLL_SQL = CFG_SQL + """,
 roll AS (SELECT activity_id, supplier_id, count(*) AS num_configs, """ + ", ".join(
     f"max({f}) AS {f}" for f in [*configs.FLAGS, "has_adult", "has_child", "has_senior"]) + ", " + ", ".join(
-    f"avg({a}) AS avg_{a}" for a in AVGS) + """, max(num_individual) AS max_individual, max(num_addons) AS max_addons, max(group_tiers) AS max_group_tiers,
+    f"avg({a}) AS avg_{a}" for a in AVGS) + """, max(num_individual) AS max_individual, max(num_addons) AS max_addons, max(group_tiers) AS max_group_tiers, min(valid_from) AS first_online,
   max(has_scale) + max(has_addons) + max(has_group) + max(has_capacity) + max(has_cutoff) AS feature_count
   FROM feat GROUP BY ALL)"""
 

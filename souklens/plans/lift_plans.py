@@ -313,10 +313,11 @@ def quartile_gap(spark, root):
 
 
 @query("maturity_bands", "C55 A22", sql=LISTING_SQL + """ SELECT CASE WHEN x <= 180 THEN 'New (0-6 months)' WHEN x <= 540 THEN 'Developing (6-18 months)' ELSE 'Mature (18+ months)' END AS band,
-  count(*) AS n FROM (SELECT DATE '2001-08-01' - first_booking_date AS x FROM lst WHERE first_booking_date IS NOT NULL) GROUP BY 1""")
+  count(*) AS n FROM (SELECT DATE '2001-08-01' - first_online AS x FROM lst WHERE first_online <= DATE '2001-08-01') GROUP BY 1""")
 def maturity_bands(spark, root):
-    d = F.datediff(F.lit(AS_OF), F.col("first_booking_date"))
-    return listings(spark, root).filter("first_booking_date IS NOT NULL").groupBy(maturity_band(d).alias("band")).agg(F.count(F.lit(1)).alias("n"))
+    """Listings by the time since their first day online, booked or not; later ones are not there yet."""
+    d = F.datediff(F.lit(AS_OF), F.col("first_online"))
+    return listings(spark, root).filter(F.col("first_online") <= F.lit(AS_OF)).groupBy(maturity_band(d).alias("band")).agg(F.count(F.lit(1)).alias("n"))
 
 
 LEVELS = ["Non-adopters", "Low (1-2)", "Medium (3-5)", "High (6-7)", "Power (8+)"]
