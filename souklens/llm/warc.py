@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -17,12 +16,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from souklens.functions.storage import materialise, shared_dir
+from souklens.functions.storage import materialise, own_folder
 
 #: Payloads of fewer bytes are stored each time.
 LEAST_SHARED = 100
 #: Aimed-at bytes of an archive file; a file is read whole by one task.
 FILE_BYTES = 32 << 20
+#: No file of several records grows beyond this; Spark reads no file of 2 GB as one value.
+MOST_BYTES = 1 << 30
+#: About what a record takes beside payload and URL.
+RECORD_BYTES = 700
 #: Repeated payloads are broadcast up to this many (some 80 MB); more are joined by a shuffle.
 BROADCAST_DIGESTS = 500_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -31,18 +34,23 @@ UNPACKED_BYTES = 1 << 16
 
 
 def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html",
-                   date: str = "2000-01-01T00:00:00Z", least_shared: int = LEAST_SHARED, file_bytes: int = FILE_BYTES) -> int:
+                   date: str = "2000-01-01T00:00:00Z", least_shared: int = LEAST_SHARED, file_bytes: int = FILE_BYTES,
+                   most_bytes: int = MOST_BYTES) -> int:
     """Writes a record per row of ``pages`` to WARC files in ``folder``; gives their number.
 
     Of equal payloads of at least ``least_shared`` bytes the row with the smallest id is a response,
     the others revisit it; rows that repeat that smallest id are responses too. A null payload is
     empty, a null URL leaves its header out, control characters in a URL are dropped; a null id is
-    written as such and is never referred to.
+    written as such and is never referred to. Files aim at ``file_bytes``; records of very different
+    sizes go to files of their own, so that none holds over ``most_bytes``, unless as its only record.
     """
     digest = F.sha2(F.col("payload").cast("binary"), 256)
     rows = pages.select(pages[id_col].cast("long").alias("id"), pages[url_col].alias("url"), F.coalesce(pages[payload_col], F.lit("")).alias("payload"))
     rows = rows.withColumns({"n": F.octet_length("payload"), "digest": digest})
-    sized = rows.agg(F.count("*").alias("k"), F.sum("n").alias("bytes")).first()
+    size = F.col("n").cast("long") + F.coalesce(F.octet_length("url"), F.lit(0)) + RECORD_BYTES
+    power = F.floor(F.log2(size)).cast("int")
+    sizes = rows.groupBy(power.alias("power")).agg(F.count("*").alias("k"), F.sum(size).alias("bytes"), F.max(size).alias("most")).collect()
+    groups = size_groups([tuple(r) for r in sizes], file_bytes, most_bytes)
     firsts = materialise(rows.filter(F.col("n") >= least_shared).groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("k")).filter("k > 1 AND first IS NOT NULL").select("digest", "first"))
     few = firsts.count() <= BROADCAST_DIGESTS
     rows = rows.join(F.broadcast(firsts) if few else firsts, "digest", "left")
@@ -58,10 +66,30 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
         F.lit("\r\nWARC-Payload-Digest: sha256:"), "digest", F.lit("\r\nWARC-Block-Digest: sha256:"), F.sha2(F.col("block").cast("binary"), 256),
         F.lit("\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: "), F.octet_length("block").cast("string"), F.lit("\r\n\r\n"))
     # the writer ends each value by one line separator; a record ends by two
-    record = rows.select(F.concat(header, "block", F.lit("\r\n")).alias("record"))
-    mean = (sized["bytes"] or 0) / max(1, sized["k"]) + 700
-    record.write.option("lineSep", "\r\n").option("maxRecordsPerFile", max(1, int(file_bytes / mean))).text(folder)
-    return sized["k"]
+    record = F.concat(header, "block", F.lit("\r\n")).alias("record")
+    for powers, per_file in groups:
+        part = rows if len(groups) == 1 else rows.filter(power.between(*powers))
+        part.select(record).write.mode("append").option("lineSep", "\r\n").option("maxRecordsPerFile", per_file).text(folder)
+    return sum(r["k"] for r in sizes)
+
+
+def size_groups(sizes: list[tuple[int, int, int, int]], file_bytes: int, most_bytes: int) -> list[tuple[tuple[int, int], int]]:
+    """Ranges of sizes written together, each with its records per file.
+
+    ``sizes`` has at most some 32 tuples: power of two, records, their bytes, and the largest one's. A
+    range takes the next power as long as a file of only its largest records stays in ``most_bytes``.
+    """
+    groups = []  # lowest power, highest power, records, bytes, largest
+    fits = lambda k, total: max(1, int(file_bytes * k / total))
+    for power, k, total, most in sorted(sizes):
+        if groups:
+            low, _, k0, total0, _ = groups[-1]
+            if fits(k0 + k, total0 + total) * most <= most_bytes:
+                groups[-1] = low, power, k0 + k, total0 + total, most
+                continue
+        groups.append((power, power, k, total, most))
+    done = [((low, high), min(fits(k, total), max(1, most_bytes // most))) for low, high, k, total, most in groups]
+    return done or [((0, 0), 1)]
 
 
 #: Where a record's headers end, or those of a broken one meet the next version line.
@@ -203,7 +231,7 @@ def page_of(urn: str) -> Column:
 
 def round_trip(pages: DataFrame, **names) -> DataFrame:
     """Writes ``pages`` to archives in the shared folder and reads them back: a row per page; raises ``ValueError`` if any is missing."""
-    folder = f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
+    folder = own_folder(pages.sparkSession, "warc")
     written = write_archives(pages, folder, **names)
     back = read_archives(pages.sparkSession, folder, payloads=False).filter("kind IN ('response', 'revisit')")
     back = materialise(back.select(page_of("record_id").alias("page_id"), "url", "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), page_of("refers_to").alias("refers_to")))

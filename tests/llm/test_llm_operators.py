@@ -427,6 +427,24 @@ def test_warc_long_urls(spark, tmp_path, monkeypatch):
         warc.round_trip(pages)
 
 
+def test_warc_files_of_long_pages(spark, tmp_path):
+    """Many short pages beside long ones in one partition: no file outgrows its bound, nothing is lost."""
+    rows = [(i, f"u{i}", "s" * 20) for i in range(1500)] + [(2000 + i, "u", f"{i:03d}" + "x" * 60_000) for i in range(40)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    assert warc.write_archives(pages, str(tmp_path / "a"), file_bytes=1 << 17, most_bytes=1 << 19) == 1540
+    sizes = [f.stat().st_size for f in (tmp_path / "a").glob("part-*")]
+    assert max(sizes) <= 1 << 19 and sum(sizes) > 2_400_000
+    back = warc.read_archives(spark, str(tmp_path / "a"), payloads=False)
+    assert back.filter("kind = 'response'").count() == 1540 and back.filter("kind = 'gap'").isEmpty()
+
+
+def test_warc_size_groups():
+    assert warc.size_groups([], 100, 1000) == [((0, 0), 1)]
+    assert warc.size_groups([(4, 10, 200, 30), (3, 10, 100, 15)], 100, 1000) == [((3, 4), 6)]
+    assert warc.size_groups([(3, 1000, 10_000, 15), (9, 1, 900, 900)], 100, 1000) == [((3, 3), 10), ((9, 9), 1)]
+    assert warc.size_groups([(12, 3, 15_000, 5_000)], 100, 1000) == [((12, 12), 1)]
+
+
 def test_salvage(spark, tmp_path):
     pages = spark.createDataFrame([(i, "u", f"page {i} " * 20) for i in range(6)], "page_id long, url string, html string").coalesce(1)
     warc.write_archives(pages, str(tmp_path / "a"))
