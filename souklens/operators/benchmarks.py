@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from souklens.functions.ordering import percent_rank_of
 from souklens.functions.quantiles import exact_quantiles
 from souklens.functions.ratios import flag, ratio
-from souklens.functions.skew import join_per_key
+from souklens.functions.skew import broadcast_if_small, join_per_key
+from souklens.functions.storage import materialise
 
+HOT_PARENT = 1_000_000   # options of one activity up to which windows of one task hold its facts
+TITLE_PREFIX = 50   # characters in which similar titles agree
 PROBS = {"p50": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95, "p99": 0.99}
 
 
@@ -108,7 +111,16 @@ def title_stats(options: DataFrame) -> DataFrame:
         F.min(p).alias("title_min"), F.max(p).alias("title_max"), F.count(F.lit(1)).alias("title_rows"))
 
 
-def similar_title_gap(options: DataFrame, prefix: int = 50) -> DataFrame:
+def _largest_gap() -> Column:
+    """Relative gap to the lowest or highest price of another option, from the two extremes on either side."""
+    low = F.when(F.col("option_id") == F.col("lo1.option_id"), F.col("lo2")).otherwise(F.col("lo1.lo"))
+    high = F.when(F.col("option_id") == F.col("hi1.option_id"), F.col("hi2")).otherwise(F.col("hi1.hi"))
+    p = F.col("price_eur")
+    gap = lambda other: F.abs(p - other) / F.nullif(F.least(p, other), F.lit(0.0))
+    return F.greatest(gap(low), gap(high))
+
+
+def similar_title_gap(options: DataFrame, prefix: int = TITLE_PREFIX) -> DataFrame:
     """Per option: largest relative price gap to another option of the same parent whose
     title starts with the same characters.
 
@@ -126,25 +138,69 @@ def similar_title_gap(options: DataFrame, prefix: int = 50) -> DataFrame:
         F.max(F.when(F.col("option_id") != F.col("hi1.option_id"), F.col("hi"))).alias("hi2"))
     sizes = o.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
     j = join_per_key(o, first.drop("n").join(second, keys).join(sizes, keys), keys, "_rows", ["option_id"])
-    low = F.when(F.col("option_id") == F.col("lo1.option_id"), F.col("lo2")).otherwise(F.col("lo1.lo"))
-    high = F.when(F.col("option_id") == F.col("hi1.option_id"), F.col("hi2")).otherwise(F.col("hi1.hi"))
-    p = F.col("price_eur")
-    gap = lambda other: F.abs(p - other) / F.nullif(F.least(p, other), F.lit(0.0))
-    return j.select("activity_id", "option_id", "pricing_id", F.greatest(gap(low), gap(high)).alias("similar_gap"))
+    return j.select("activity_id", "option_id", "pricing_id", _largest_gap().alias("similar_gap"))
+
+
+def _parent_facts_in_windows(options: DataFrame) -> DataFrame:
+    """Rank, parent, title and similar-title facts as windows under one partitioning by activity.
+
+    Every window's keys begin with the activity, so one exchange serves them all; distinct
+    counts are the largest dense rank, less one if NULL is among the values. Options without an activity
+    or a title have no similar ones.
+    """
+    c, p, keys = F.col, F.col("price_eur"), ["activity_id"]
+    parent, title, alike = Window.partitionBy(*keys), Window.partitionBy(*keys, "option_title"), Window.partitionBy(*keys, "_t")
+    nulls = lambda col, w: F.max(flag(F.col(col).isNull())).over(w)
+    count = lambda rank, col, w: (F.max(rank).over(w) - nulls(col, w)).cast("long")
+    mean, lowest, highest = F.avg(p).over(parent), F.min(p).over(parent), F.max(p).over(parent)
+    o = options.withColumns({"pr": F.percent_rank().over(parent.orderBy(p)), "_dp": F.dense_rank().over(parent.orderBy(p))})
+    o = o.withColumns({"num_prices": count("_dp", "price_eur", parent), "parent_min": lowest, "parent_max": highest, "parent_avg": mean,
+                       "price_cv": F.coalesce(ratio(F.stddev_samp(p).over(parent), mean), F.lit(0.0)),
+                       "spread_ratio": F.coalesce(ratio(highest - lowest, lowest), F.lit(0.0))})
+    o = o.withColumn("_do", F.dense_rank().over(parent.orderBy("option_id"))).withColumn("num_options", count("_do", "option_id", parent))
+    o = o.withColumns({"_tp": F.dense_rank().over(title.orderBy(p))})
+    o = o.withColumns({"title_prices": count("_tp", "price_eur", title), "title_min": F.min(p).over(title), "title_max": F.max(p).over(title)})
+    o = o.withColumn("_tc", F.dense_rank().over(title.orderBy("pricing_id"))).withColumn("title_configs", count("_tc", "pricing_id", title))
+    o = o.withColumn("_t", F.substring("option_title", 1, TITLE_PREFIX))
+    o = o.withColumns({"lo1": F.min(F.struct(p.alias("lo"), "option_id")).over(alike), "hi1": F.max(F.struct(p.alias("hi"), "option_id")).over(alike)})
+    o = o.withColumns({"lo2": F.min(F.when(c("option_id") != c("lo1.option_id"), p)).over(alike), "hi2": F.max(F.when(c("option_id") != c("hi1.option_id"), p)).over(alike)})
+    return o.withColumn("similar_gap", F.when(c("activity_id").isNotNull() & c("option_title").isNotNull(), _largest_gap()))
+
+
+def _parent_facts_joined(options: DataFrame) -> DataFrame:
+    """The same facts for activities of any size: aggregated, then joined back with hot keys spread."""
+    o = percent_rank_of(options, "price_eur", ["activity_id"], "pr", prepared=True)
+    o = join_per_key(o, parent_stats(options), ["activity_id"], "parent_rows", ["option_id"])
+    o = join_per_key(o, title_stats(options), ["activity_id", "option_title"], "title_rows", ["option_id"])
+    return o.join(similar_title_gap(options), ["activity_id", "option_id", "pricing_id"], "left")
+
+
+PARENT_FACTS = ["pr", "num_options", "num_prices", "parent_min", "parent_max", "parent_avg", "price_cv", "spread_ratio",
+                "title_configs", "title_prices", "title_min", "title_max", "similar_gap"]
+
+
+def parent_facts(options: DataFrame, hot: int = HOT_PARENT) -> DataFrame:
+    """Options with their facts inside the activity (``PARENT_FACTS``).
+
+    Activities of up to ``hot`` options share one exchange; larger ones, at most (number of
+    options / ``hot``), are stored and take the joined way. Calling it costs the count of
+    options by activity.
+    """
+    large = materialise(options.groupBy("activity_id").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot).select(F.col("activity_id").alias("_large")))
+    wanted = [*options.columns, *PARENT_FACTS]
+    if large.isEmpty():
+        return _parent_facts_in_windows(options).select(*wanted)
+    same, large = F.col("activity_id").eqNullSafe(F.col("_large")), broadcast_if_small(large)
+    return (_parent_facts_in_windows(options.join(large, same, "left_anti")).select(*wanted)
+            .unionByName(_parent_facts_joined(materialise(options.join(large, same, "left_semi"))).select(*wanted)))
 
 
-def within_parent_issues(options: DataFrame, performance: DataFrame) -> DataFrame:
+def within_parent_issues(options: DataFrame, performance: DataFrame, hot: int = HOT_PARENT) -> DataFrame:
     """Ordered sub-types of price problems inside one activity, with a severity ladder.
 
-    ``performance`` has ``option_id`` and ``bookings_l12m``. ``options`` is read several
-    times and should be a stored table.
+    ``performance`` has ``option_id`` and ``bookings_l12m``; see ``parent_facts`` for ``hot``.
     """
-    base = options
-    o = percent_rank_of(base, "price_eur", ["activity_id"], "pr", prepared=True)
-    o = join_per_key(o, parent_stats(base), ["activity_id"], "parent_rows", ["option_id"])
-    o = join_per_key(o, title_stats(base), ["activity_id", "option_title"], "title_rows", ["option_id"])
-    o = (o.join(performance.select("option_id", "bookings_l12m"), "option_id", "left")
-         .join(similar_title_gap(base), ["activity_id", "option_id", "pricing_id"], "left"))
+    o = parent_facts(options, hot).join(performance.select("option_id", "bookings_l12m"), "option_id", "left")
     c, n, p = F.col, F.coalesce("bookings_l12m", F.lit(0)), F.col("price_eur")
     dup = (c("title_configs") > 1) & (c("title_prices") > 1)
     over = lambda f: p > c("parent_avg") * f

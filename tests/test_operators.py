@@ -174,6 +174,31 @@ def test_similar_title_gap_against_pairs(spark):
         assert got[p] == (pytest.approx(max(gaps)) if gaps else None)
 
 
+def test_parent_facts_by_windows_and_by_joins(spark):
+    rng = np.random.default_rng(9)
+    rows = [(None if i % 17 == 0 else int(rng.integers(4)), f"o{int(rng.integers(5))}", i, None if i % 13 == 0 else "t" * 60 + str(int(rng.integers(2))),
+             float(rng.integers(1, 30))) for i in range(150)]
+    rows += [(99, "o1", 1000, "only", 5.0), (98, "o1", 1001, "", 0.0), (98, "o2", 1002, "", 4.0)]
+    o = spark.createDataFrame(rows, "activity_id bigint, option_id string, pricing_id bigint, option_title string, price_eur double")
+    narrow = lambda df: {r["pricing_id"]: [r[c] for c in benchmarks.PARENT_FACTS] for r in df.collect()}
+    windows, mixed, joined = (narrow(benchmarks.parent_facts(o, hot)) for hot in (10 ** 6, 30, 0))
+    assert len(windows) == len(mixed) == len(joined) == len(rows)
+    for a, op, p, t, x in rows:
+        mine = [r for r in rows if r[0] == a]
+        titled = [r for r in mine if r[3] == t]
+        prices = [r[4] for r in mine]
+        got = dict(zip(benchmarks.PARENT_FACTS, windows[p]))
+        below = sum(y < x for y in prices)
+        assert got["pr"] == pytest.approx(below / (len(mine) - 1) if len(mine) > 1 else 0.0)
+        assert (got["num_options"], got["num_prices"]) == (len({r[1] for r in mine}), len(set(prices)))
+        assert got["parent_avg"] == pytest.approx(np.mean(prices)) and (got["parent_min"], got["parent_max"]) == (min(prices), max(prices))
+        assert (got["title_configs"], got["title_prices"]) == (len({r[2] for r in titled}), len({r[4] for r in titled}))
+        for other in (mixed[p], joined[p]):
+            assert [v if v is None else pytest.approx(v, rel=1e-9) for v in windows[p]] == other
+    empty = benchmarks.parent_facts(o.filter("false"))
+    assert empty.count() == 0 and empty.columns == [*o.columns, *benchmarks.PARENT_FACTS]
+
+
 def test_planted_synthetic_control(spark):
     rng = np.random.default_rng(1)
     weeks = [date(1999, 4, 12) + timedelta(weeks=i) for i in range(16)]
