@@ -3,9 +3,10 @@
 A page's DOM is folded: siblings of equal tag and class become one node, so that a list or a run of
 paragraphs is one slot. For each host the most frequent folded tree is the model; every page's tree is
 aligned with it by simple tree matching. A node whose text never changes over the host's distinct pages
-is template if enough of them have it; a slot whose text varies is content, if it doesn't stand in a part
-that is marked as a menu, header, footer, sidebar, notice, advert, form or discussion. Inside an article,
-unchanging text is template only if it also stands outside or its element is marked.
+is template if enough of them have it, and so is one with few texts in turn, by the measure of the host's
+most varied slot; a slot whose text varies is content, if it doesn't stand in a part that is marked as a
+menu, header, footer, sidebar, notice, advert, form or discussion. Inside an article, text in turn is
+content, and unchanging text is template only if it also stands outside or its element is marked.
 """
 
 from __future__ import annotations
@@ -18,15 +19,20 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from souklens.functions.skew import join_per_key
 from souklens.functions.storage import materialise
 from souklens.llm import textbytes as tb
 
 #: Distinct pages of a host that must agree before an unchanging node counts as template, and their least share of all.
 LEAST_PAGES, LEAST_SHARE = 5, 0.5
+#: A slot outside articles is template, too, if the host's most varied slot has this many times its number of texts.
+IN_TURN = 5
 #: Elements nested more deeply count as part of the one around them.
 DEEPEST = 120
 #: Hosts whose wrappers are broadcast, and bytes of them; beyond either, pages are joined by a shuffle.
 BROADCAST_HOSTS, BROADCAST_BYTES = 200_000, 32 << 20
+#: Trees that a task remembers having given; beyond it, it gives them again.
+GIVEN = 100_000
 
 # Elements by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -248,14 +254,15 @@ def _hash(text: str) -> int:
 # -- wrappers of all hosts
 
 
-def node_statistics(pages: DataFrame) -> DataFrame:
-    """By host, folded tree and node: distinct pages with text there, and the least and largest hash of that text.
+def page_trees(pages: DataFrame) -> DataFrame:
+    """By host and distinct page: the hash of its folded tree, and its nodes with the hash of their text.
 
-    ``pages`` has ``url`` and ``html``. Pages of a host with the same tree and texts count once: of each
-    page only its tree and the hashes of its texts are shuffled.
+    ``pages`` has ``url`` and ``html``. The tree itself is given by one row of each task that has it, so
+    neither the tree nor the texts are carried by page. Pages of one host with equal ``page`` are copies.
     """
 
     def run(batches):
+        given: set[tuple[str, int]] = set()
         for batch in batches:
             rows: dict[tuple[str, int], tuple] = {}
             for url, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -264,18 +271,23 @@ def node_statistics(pages: DataFrame) -> DataFrame:
                 for node, text in blocks:
                     texts.setdefault(node, []).append(text)
                 hashes = [_hash("\n".join(own)) for own in texts.values()]
-                rows[host, _hash("\n".join([tree, *map(str, texts), *map(str, hashes)]))] = tree, list(texts), hashes
-            kinds = [pa.string(), pa.int64(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int64())]
+                page = host, _hash("\n".join([tree, *map(str, texts), *map(str, hashes)]))
+                if page in rows:
+                    continue
+                kind = _hash(tree)
+                rows[page] = kind, None if (host, kind) in given else tree, list(texts), hashes
+                if len(given) >= GIVEN:
+                    given.clear()
+                given.add((host, kind))
+            kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int64())]
             flat = [(*k, *v) for k, v in rows.items()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in flat], t) for i, t in enumerate(kinds)], names=["host", "page", "tree", "nodes", "hashes"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in flat], t) for i, t in enumerate(kinds)], names=["host", "page", "kind", "tree", "nodes", "hashes"])
 
-    made = pages.filter("html IS NOT NULL").select("url", "html").mapInArrow(run, "host string, page long, tree string, nodes array<int>, hashes array<long>")
-    each = made.dropDuplicates(["host", "page"]).select("host", "tree", F.explode(F.arrays_zip("nodes", "hashes")).alias("n"))
-    return each.groupBy("host", "tree", F.col("n.nodes").alias("node")).agg(F.count("*").alias("pages"), F.min("n.hashes").alias("low"), F.max("n.hashes").alias("high"))
+    return pages.filter("html IS NOT NULL").select("url", "html").mapInArrow(run, "host string, page long, kind long, tree string, nodes array<int>, hashes array<long>")
 
 
-def template_of(model: str, fixed: list[tuple[int, int]]) -> list[int]:
-    """The template among a model's unchanging nodes, given with the hashes of their texts."""
+def template_of(model: str, fixed: list[tuple[int, int | None]]) -> list[int]:
+    """The template among a model's nodes that don't vary, given with the hash of their text, None for several in turn."""
     place: dict[int, tuple[bool, bool]] = {}  # whether a node is in an article, and whether it is marked there
 
     def walk(node: Node, inside: bool, marked: bool) -> None:
@@ -288,32 +300,43 @@ def template_of(model: str, fixed: list[tuple[int, int]]) -> list[int]:
 
     walk(read(model), False, False)
     outside = {h for n, h in fixed if not place[n][0]}
-    return sorted(n for n, h in fixed if not place[n][0] or place[n][1] or h in outside)
+    return sorted(n for n, h in fixed if not place[n][0] or h is not None and (place[n][1] or h in outside))
 
 
 def induce(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
-    """A wrapper for each host: ``host``, ``model`` (the folded tree of most distinct pages) and ``template`` (nodes)."""
-    stats = materialise(node_statistics(pages))
-    models = stats.filter("node = 0").groupBy("host").agg(F.max_by("tree", F.struct("pages", "tree")).alias("model"))
+    """A wrapper for each host: ``host``, ``model`` (the folded tree of most distinct pages) and ``template`` (nodes).
+
+    Every tree of a host is aligned with the model once; texts meet the alignment by tree and node, and are
+    only counted: the texts of a slot by hash, then the slot's texts.
+    """
+    made = materialise(page_trees(pages))
+    distinct = made.dropDuplicates(["host", "page"])
+    trees = made.filter("tree IS NOT NULL").groupBy("host", "kind").agg(F.max("tree").alias("tree"))
+    trees = materialise(trees.join(distinct.groupBy("host", "kind").agg(F.count("*").alias("pages")), ["host", "kind"]))
+    models = trees.groupBy("host").agg(F.max_by("tree", F.struct("pages", "kind")).alias("model"), F.sum("pages").alias("all"))
 
     def align(batches):
         aligner = Aligner()
         for batch in batches:
-            host, tree, node, model = (batch.column(i).to_pylist() for i in (0, 1, 2, 6))
-            to = [aligner(t, m).get(n, -1) for t, n, m in zip(tree, node, model)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(6), pa.array(to, pa.int32()), *(batch.column(i) for i in (3, 4, 5))], names=["host", "model", "node", "pages", "low", "high"])
-
-    joined = stats.join(models, "host").select("host", "tree", "node", "pages", "low", "high", "model")
-    slots = joined.mapInArrow(align, "host string, model string, node int, pages long, low long, high long").filter("node >= 0")
-    slots = slots.groupBy("host", "model", "node").agg(F.sum("pages").alias("pages"), F.min("low").alias("low"), F.max("high").alias("high"))
-    # the root is a node of every page
-    still = F.when((F.col("pages") >= least_pages) & (F.col("low") == F.col("high")) & (F.col("node") > 0), F.struct("node", "pages", "low"))
-    held = slots.groupBy("host", "model").agg(F.collect_list(still).alias("still"), F.max(F.when(F.col("node") == 0, F.col("pages"))).alias("all"))  # as many as the model has nodes, at most
-    held = held.select("host", "model", F.filter("still", lambda n: n["pages"] >= least_share * F.col("all")).alias("still"))
+            pairs = [aligner(t, m) for t, m in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())]
+            nodes, to = (pa.array([list(x) for x in own], pa.list_(pa.int32())) for own in ([p.keys() for p in pairs], [p.values() for p in pairs]))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), nodes, to], names=["host", "kind", "pages", "nodes", "slots"])
+
+    aligned = trees.join(models, "host").select("host", "kind", "pages", "tree", "model").mapInArrow(align, "host string, kind long, pages long, nodes array<int>, slots array<int>")
+    aligned = aligned.select("host", "kind", "pages", F.explode(F.arrays_zip("nodes", "slots")).alias("n")).select("host", "kind", F.col("n.nodes").alias("node"), "pages", F.col("n.slots").alias("slot"))
+    texts = distinct.select("host", "kind", F.explode(F.arrays_zip("nodes", "hashes")).alias("n")).groupBy("host", "kind", F.col("n.nodes").alias("node"), F.col("n.hashes").alias("hash"))
+    texts = join_per_key(texts.agg(F.count("*").alias("times")), materialise(aligned), ["host", "kind", "node"], "pages", ["hash"])
+    texts = texts.groupBy("host", "slot", "hash").agg(F.sum("times").alias("times"))
+    slots = texts.groupBy("host", "slot").agg(F.sum("times").alias("pages"), F.count("*").alias("texts"), F.max("hash").alias("hash"))
+    # lists as long as the model has nodes, at most; the root is a node of every page
+    held = slots.groupBy("host").agg(F.collect_list(F.when(F.col("pages") >= least_pages, F.struct("slot", "pages", "texts", "hash"))).alias("still"), F.max("texts").alias("most"))
+    still = F.filter("still", lambda n: (n["slot"] > 0) & (n["pages"] >= least_share * F.col("all")) & ((n["texts"] == 1) | (n["texts"] * IN_TURN <= F.col("most"))))
+    still = F.transform(still, lambda n: F.struct(n["slot"].alias("node"), F.when(n["texts"] == 1, n["hash"]).alias("hash")))
+    held = held.join(models, "host").select("host", "model", still.alias("still"))
 
     def decide(batches):
         for batch in batches:
-            made = [template_of(m, [(n["node"], n["low"]) for n in own]) for m, own in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            made = [template_of(m, [(n["node"], n["hash"]) for n in own]) for m, own in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.list_(pa.int32()))], names=["host", "model", "template"])
 
     return held.mapInArrow(decide, "host string, model string, template array<int>")

@@ -2,8 +2,10 @@
 
 import gzip
 import hashlib
+import html
 import math
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -220,6 +222,41 @@ def test_wrapper_keeps_constant_article_text(spark):
     assert all(got[40 + i] == f"{i}\n\nQuoted" for i in range(5)), got[40]
 
 
+def test_wrapper_without_landmarks(spark):
+    """Only the slots say what is text here: no article element, no telling names."""
+    plain = "<body><div class=ka><ul><li>Home<li>News</ul></div><div class=kb>{ad}</div><div class=kc><div class=kd>Text {i}</div><p>more of {i}<p>and {i}</div><div class=ke>{foot}</div>"
+    fill = lambda i, **more: plain.format(i=i, ad=f"Buy {i % 3}", foot=f"Host {i % 2}", **more)
+    rows = [(i, f"http://a.example.com/{i}", fill(i)) for i in range(30)]
+    # four texts under twelve adverts and menus in turn: what varies least is the text, and nothing is cut that could be it
+    rows += [(100 + i, f"http://b.example.com/{i}", plain.format(i=i % 4, ad=f"Buy {i % 12}", foot="Host")) for i in range(24)]
+    # too few pages for a wrapper
+    rows += [(200 + i, f"http://c.example.com/{i}", fill(i)) for i in range(4)]
+    # inside an article texts in turn are its own
+    rows += [(300 + i, f"http://d.example.com/{i}", f"<body><div class=ka>Menu {i % 2}</div><article><h1>Head {i}</h1><div class=kb>Part {i % 2}</div><p>Text {i}</p></article>") for i in range(30)]
+    rows += rows[:40] * 2  # copies are no evidence
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    got = {}
+    for r in wrappers.extract(pages).collect():
+        assert got.setdefault(r["page_id"], r["text"]) == r["text"]
+    for i in range(30):
+        assert got[i] == f"Text {i}\n\nmore of {i}\n\nand {i}", (i, got[i])
+        assert got[300 + i] == f"Head {i}\n\nPart {i % 2}\n\nText {i}", (i, got[300 + i])
+    for i in range(12):
+        assert got[100 + i] == f"Buy {i}\n\nText {i % 4}\n\nmore of {i % 4}\n\nand {i % 4}", (i, got[100 + i])
+    assert got[200] == "Home\n\nNews\n\nBuy 0\n\nText 0\n\nmore of 0\n\nand 0\n\nHost 0"
+
+
+def test_wrapper_of_given_pages(spark):
+    """Every text of the given pages against a plain reading of their article elements."""
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    got = {r["page_id"]: r["text"] for r in wrappers.extract(pages).collect()}
+    for r in pages.collect():
+        inner = re.search(r"<article>(.*)</article>", r["html"] or "", re.S)
+        inner = re.sub(r"<(script|style|form)\b.*?</\1>|<!--.*?-->", "", inner[1] if inner else "", flags=re.S)
+        blocks = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", b.replace("<br>", " "))).split()) for b in re.split(r"</?(?:p|h\d|div|li|ul|ol|table|tr|td|blockquote|section)\b[^>]*>", inner)]
+        assert got[r["page_id"]] == "\n\n".join(b for b in blocks if b), r["page_id"]
+
+
 def test_simple_tree_matching():
     a, _ = wrappers.parse("<body><div class=x><p>1</p></div><div class=y><ul><li>2</li></ul></div>")
     b, _ = wrappers.parse("<body><div class=z><p>0</p></div><div class=x><p>1</p></div><section>s</section><div class=y><ul><li>2</li></ul></div>")
