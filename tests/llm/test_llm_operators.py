@@ -588,3 +588,12 @@ def test_quality_without_labels(edge, none, spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert all(r["kept"] != r["base_failed"] for r in quality.assess(edge, labels).collect())
     assert quality.assess(none, labels).count() == 0
+
+
+def test_frequent_pretokens_are_counted_on_every_text(spark):
+    """More texts than any sample: words that stand in one text only, twice, are all found."""
+
+    word = F.concat(F.lit("q"), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij"), F.lit("z"))
+    docs = spark.range(200_000).select(F.when(F.col("id") % 1000 == 0, F.concat_ws("\n", word, word)).otherwise(F.lit("")).alias("text"))
+    found = {w for w, _ in bpe.frequent(docs, queries.tokenizer_file())}
+    assert {f"q{str(i).translate(str.maketrans('0123456789', 'abcdefghij'))}z".encode() for i in range(0, 200_000, 1000)} <= found
