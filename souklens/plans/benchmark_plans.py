@@ -23,7 +23,7 @@ AS_OF = fp.AS_OF
 @stage("options")
 def options(spark, root):
     """Priced options with their EUR price, location, type, category and retail price."""
-    cfg = fp.configurations(spark, root)
+    cfg = fp.configurations(spark, root, configs.retail_price().alias("retail"), configs.retail_kind().alias("retail_kind"))
     s = mp.suppliers(spark, root).select("supplier_id", F.col("country_name").alias("location"), F.when(F.col("nation_id") % 3 == 0, "EUR")
                                          .when(F.col("nation_id") % 3 == 1, "USD").otherwise("GBP").alias("currency"))
     # one row per currency
@@ -35,7 +35,7 @@ def options(spark, root):
         "activity_id", "supplier_id", F.concat_ws("-", "activity_id", "supplier_id").alias("option_id"), "pricing_id",
         F.concat_ws(" ", "title", (F.col("supplier_id") % 4).cast("string")).alias("option_title"),
         "location", "activity_type", "category", (F.col("from_price") / rate).alias("price_eur"),
-        (configs.retail_price(cfg) / rate).alias("retail_eur"), configs.retail_kind().alias("retail_kind")))
+        (F.col("retail") / rate).alias("retail_eur"), "retail_kind"))
 
 
 OPT_SQL = sb.with_(sb.SUPPLIERS, fp.CFG_SQL, sb.FX) + """,
