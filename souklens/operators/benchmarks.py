@@ -36,25 +36,35 @@ CATEGORY_LEVELS = [Level("global", (), 0), Level("location", ("location",), 10),
 def hierarchical_benchmarks(options: DataFrame, levels: list[Level], price: str = "price_eur") -> DataFrame:
     """Quantiles, mean and spread of prices per level, long form.
 
-    Every row is repeated once per level inside the row, then all levels share the
-    aggregations and one quantile pass under a single text key. Groups below the level's
-    minimum number of activities are left out.
+    Mean, spread and quantiles are taken level by level from the narrow rows, so no row is repeated before
+    a shuffle. Activities are counted for all levels at once where the rows of an activity lie together.
+    Groups below the level's minimum number of activities are left out.
     """
     dims = sorted({k for lv in levels for k in lv.keys})
     pick = F.explode(F.array(*[F.struct(F.lit(lv.name).alias("level"), *[
         (F.col(d) if d in lv.keys else F.lit(None).cast("string")).alias(d) for d in dims]) for lv in levels]))
-    shown = [F.coalesce(d, F.lit("")) for d in dims]
-    rows = (options.select(pick.alias("_l"), F.col(price).alias("_p"), "activity_id").select("_l.*", "_p", "activity_id")
-            .withColumn("_g", F.concat_ws("|", "level", *shown)))
-    stats = rows.groupBy("_g", "level", *dims).agg(F.count(F.lit(1)).alias("n_prices"), F.avg("_p").alias("avg_price"),
-                                                   F.stddev_samp("_p").alias("stddev_price"))
-    sizes = rows.select("_g", "activity_id").distinct().groupBy("_g").agg(F.count(F.lit(1)).alias("n_activities"))
-    minimum = None
+    rows = options.select(*dims, F.col(price).alias("_p"))
+    placed = options.select(*dims, "activity_id").repartition("activity_id").select(pick.alias("_l"), "activity_id").select("_l.*", "activity_id")
+    sizes = materialise(placed.distinct().groupBy("level", *dims).agg(F.count(F.lit(1)).alias("n_activities")))
+    out = None
     for lv in levels:
-        cond = F.col("level") == lv.name
-        minimum = F.when(cond, lv.min_activities) if minimum is None else minimum.when(cond, lv.min_activities)
-    out = stats.join(sizes, "_g").filter(F.col("n_activities") >= minimum)
-    return out.join(exact_quantiles(rows, "_p", PROBS, ["_g"]), "_g").drop("_g")
+        keys = list(lv.keys)
+        stats = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_prices"), F.avg("_p").alias("avg_price"), F.stddev_samp("_p").alias("stddev_price"))
+        enough = sizes.filter((F.col("level") == lv.name) & (F.col("n_activities") >= lv.min_activities)).select(*keys, "n_activities")
+        one = _same_group(_same_group(stats, enough, keys), exact_quantiles(rows, "_p", PROBS, keys), keys)
+        one = one.select(F.lit(lv.name).alias("level"), *[(F.col(d) if d in keys else F.lit(None).cast("string")).alias(d) for d in dims],
+                         "n_prices", "avg_price", "stddev_price", "n_activities", *PROBS)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _same_group(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Two tables with one row per group side by side; NULL keys match."""
+    r = right.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return (left.join(r, cond) if keys else left.crossJoin(r)).drop(*[f"_k_{k}" for k in keys])
 
 
 def attach_benchmarks(options: DataFrame, bench: DataFrame, levels: list[Level], cols: tuple[str, ...] = ("p50", "p95")) -> DataFrame:
@@ -67,7 +77,7 @@ def attach_benchmarks(options: DataFrame, bench: DataFrame, levels: list[Level],
     for lv in levels:
         b = bench.filter(F.col("level") == lv.name).select(*lv.keys, *[F.col(c).alias(f"{lv.name}_{c}") for c in cols])
         if lv.keys:
-            out = out.join(b, list(lv.keys), "left")
+            out = out.join(broadcast_if_small(b), list(lv.keys), "left")
         else:
             out = (out.withColumn("_one", F.lit(1)).join(F.broadcast(b.withColumn("_one", F.lit(1))), "_one", "left").drop("_one"))
     return out
@@ -230,8 +240,7 @@ def price_mismatch(options: DataFrame, tolerance: float = 0.05) -> DataFrame:
 def parent_variance_simple(options: DataFrame, min_spread: float = 0.3) -> DataFrame:
     """Plain rule: every option of an activity whose prices spread by more than ``min_spread``."""
     s = F.col("spread_ratio")
-    return (join_per_key(options, parent_stats(options), ["activity_id"], "parent_rows", ["option_id"])
-            .filter((F.col("num_options") > 1) & (s > min_spread))
+    return (parent_facts(options).filter((F.col("num_options") > 1) & (s > min_spread))
             .withColumn("severity", F.when(s > 2.0, 10).when(s > 1.0, 8).when(s > 0.5, 6).otherwise(4)))
 
 
