@@ -262,10 +262,10 @@ def _pass(docs: DataFrame, text_col: str, keep: list[str], shared, cleaned: bool
 def remove(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **names) -> DataFrame:
     """``docs`` with the benchmark passages cut out of ``text_col``; other columns and rows stay.
 
-    A null text stays null.
+    A null text stays null. A text goes to the workers once and comes back once, with or without passages.
     """
-    others = [c for c in docs.columns if c != text_col]
-    marked = docs.withColumn(text_col, docs[text_col])
-    out = scan(marked, benchmark, text_col, keep=others + [text_col], cleaned=True, **names)
-    text = F.when(F.col(text_col).isNull(), F.lit(None)).when(F.col("n_hit") == 0, F.col(text_col)).otherwise(F.col("cleaned"))
+    others, absent = [c for c in docs.columns if c != text_col], "_absent"
+    marked = docs.withColumns({text_col: docs[text_col], absent: docs[text_col].isNull()})
+    out = scan(marked, benchmark, text_col, keep=others + [absent], cleaned=True, **names)
+    text = F.when(~F.col(absent), F.col("cleaned"))
     return out.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns], "n_hit")

@@ -82,3 +82,18 @@ def test_query_as_sql(spark, name):
     names = sorted(got.column_names)
     rows = lambda t: sorted(map(repr, zip(*[t[c].to_pylist() for c in names])))
     assert rows(got) == rows(want)
+
+
+def test_texts_travel_once_to_be_cleaned(spark):
+    """No second copy of a text stands beside the one that is searched; nulls stay."""
+    from souklens.llm import fmindex
+
+    words = " ".join(f"w{i}" for i in range(12))
+    docs = spark.createDataFrame([(1, f"before {words} after"), (2, None), (3, "plain"), (4, "")], "doc_id long, text string")
+    out = fmindex.remove(docs, spark.createDataFrame([("i", words)], "item_id string, text string"))
+    assert {r["doc_id"]: (r["text"], r["n_hit"]) for r in out.collect()} == {1: ("before \n after", 12), 2: (None, 0), 3: ("plain", 0), 4: ("", 0)}
+    node = out._jdf.queryExecution().optimizedPlan()
+    while node.nodeName() != "MapInArrow":
+        node = node.children().apply(0)
+    sent = node.children().apply(0).schema()
+    assert [f.dataType().simpleString() for f in sent.fields()].count("string") == 1
