@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,3 +79,10 @@ def test_text_is_parsed_before_the_shuffle(spark):
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         above = plan[:plan.index("RepartitionByExpression")]
         assert "details" not in above and "from_json" not in above
+
+
+def test_bootstrap_remainders_take_no_arrays_of_their_own():
+    """In place, and right at the edges."""
+    values = [0, 1, lift.PRIME - 1, lift.PRIME, lift.PRIME + 1, 2 * lift.PRIME, (lift.PRIME - 1) ** 2, (lift.PRIME + 1) ** 2, 2 ** 63 - 1]
+    t = np.array(values, np.uint64)
+    assert lift._modulo(t) is t and t.tolist() == [v % lift.PRIME for v in values]
