@@ -205,12 +205,14 @@ def parent_facts(options: DataFrame, hot: int = HOT_PARENT) -> DataFrame:
             .unionByName(_parent_facts_joined(materialise(options.join(large, same, "left_semi"))).select(*wanted)))
 
 
-def within_parent_issues(options: DataFrame, performance: DataFrame, hot: int = HOT_PARENT) -> DataFrame:
+def within_parent_issues(options: DataFrame, performance: DataFrame | None = None, hot: int = HOT_PARENT) -> DataFrame:
     """Ordered sub-types of price problems inside one activity, with a severity ladder.
 
-    ``performance`` has ``option_id`` and ``bookings_l12m``; see ``parent_facts`` for ``hot``.
+    ``performance`` has ``option_id`` and ``bookings_l12m``; without it ``options`` has the latter. See ``parent_facts`` for ``hot``.
     """
-    o = parent_facts(options, hot).join(performance.select("option_id", "bookings_l12m"), "option_id", "left")
+    o = parent_facts(options, hot)
+    if performance is not None:
+        o = o.join(performance.select("option_id", "bookings_l12m"), "option_id", "left")
     c, n, p = F.col, F.coalesce("bookings_l12m", F.lit(0)), F.col("price_eur")
     dup = (c("title_configs") > 1) & (c("title_prices") > 1)
     over = lambda f: p > c("parent_avg") * f
@@ -247,15 +249,21 @@ def parent_variance_simple(options: DataFrame, min_spread: float = 0.3) -> DataF
 REPORT = ["issue", "sub_type", "severity", "supplier_id", "activity_id", "option_id", "pricing_id", "price_eur"]
 
 
-def issue_report(parts: list[DataFrame], performance: DataFrame) -> DataFrame:
-    """All issues with performance attached, by issue, then by impact (missing counts as 0)."""
+def issue_report(parts: list[DataFrame], performance: DataFrame | None = None) -> DataFrame:
+    """All issues with performance attached, by issue, then by impact (missing counts as 0).
+
+    Without ``performance`` the parts have ``gmv_l12m`` and ``bookings_l12m``. The report is stored before it is
+    sorted: a sort reads its input twice, the first time for the bounds of its ranges.
+    """
+    numbers = ["gmv_l12m", "bookings_l12m"]
     out = None
     for p in parts:
         if "sub_type" not in p.columns:
             p = p.withColumn("sub_type", F.lit(None).cast("string"))
-        p = p.select(*REPORT)
+        p = p.select(*REPORT, *([] if performance is not None else numbers))
         out = p if out is None else out.unionByName(p)
-    perf = performance.select("option_id", "gmv_l12m", "bookings_l12m")
-    return out.join(perf, "option_id", "left").orderBy(
+    if performance is not None:
+        out = out.join(performance.select("option_id", *numbers), "option_id", "left").select("option_id", *[c for c in REPORT if c != "option_id"], *numbers)
+    return materialise(out).orderBy(
         "issue", "sub_type", F.coalesce("gmv_l12m", F.lit(0.0)).desc(), F.coalesce("bookings_l12m", F.lit(0)).desc(),
         F.desc("severity"), "option_id", "pricing_id")

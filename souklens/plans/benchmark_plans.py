@@ -157,14 +157,15 @@ wpi AS (SELECT 'PARENT_VARIANCE' AS issue, *,
 
 @stage("option_performance")
 def option_performance(spark, root):
-    p = fp.performance(spark, root)
-    return p.select(F.concat_ws("-", "activity_id", "supplier_id").alias("option_id"), "bookings_l12m", "gmv_l12m")
+    """Options beside the performance of their listing, which has one row at most; both ids of an option are there."""
+    p = fp.performance(spark, root).select(*fp.KEYS, "bookings_l12m", "gmv_l12m")
+    return options(spark, root).join(p, fp.KEYS, "left")
 
 
 @query("within_parent_issues", "C37 W4 J13", doubles="price_eur:6",
        sql=OPT_SQL + OP_SQL + WPI_SQL + " SELECT issue, sub_type, severity, option_id, pricing_id, price_eur FROM wpi")
 def within_parent_issues(spark, root):
-    return bm.within_parent_issues(options(spark, root), option_performance(spark, root)).select(
+    return bm.within_parent_issues(option_performance(spark, root)).select(
         "issue", "sub_type", "severity", "option_id", "pricing_id", "price_eur")
 
 
@@ -186,6 +187,7 @@ iss AS (SELECT issue, NULL AS sub_type, severity, supplier_id, activity_id, opti
   UNION ALL SELECT issue, sub_type, severity, supplier_id, activity_id, option_id, pricing_id, price_eur FROM pm)
 SELECT iss.*, gmv_l12m, bookings_l12m FROM iss LEFT JOIN op USING (option_id)""")
 def issue_report(spark, root):
-    o, ob = with_bench(spark, root, bm.LEVELS)
-    perf = option_performance(spark, root)
-    return bm.issue_report([bm.price_outliers(ob, ORDER), bm.within_parent_issues(o, perf), bm.price_mismatch(o)], perf)
+    o = option_performance(spark, root)
+    ob = bm.attach_benchmarks(o, materialise(bm.hierarchical_benchmarks(o, bm.LEVELS)), bm.LEVELS)
+    columns = ["option_id", *[c for c in bm.REPORT if c != "option_id"], "gmv_l12m", "bookings_l12m"]
+    return bm.issue_report([bm.price_outliers(ob, ORDER), bm.within_parent_issues(o), bm.price_mismatch(o)]).select(*columns)

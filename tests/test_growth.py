@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from souklens.functions import quantiles
 from souklens.functions.quantiles import exact_quantiles, is_after, rows_at
-from souklens.operators import configs, lift, ranking
+from souklens.operators import benchmarks, configs, lift, ranking
 
 ROWS = [(i, random.Random(i).choice([None, -3.5, 0.0, 0.25, 2.0, 1e9]) if i % 3 else i * 0.37) for i in range(600)]
 
@@ -86,3 +86,16 @@ def test_bootstrap_remainders_take_no_arrays_of_their_own():
     values = [0, 1, lift.PRIME - 1, lift.PRIME, lift.PRIME + 1, 2 * lift.PRIME, (lift.PRIME - 1) ** 2, (lift.PRIME + 1) ** 2, 2 ** 63 - 1]
     t = np.array(values, np.uint64)
     assert lift._modulo(t) is t and t.tolist() == [v % lift.PRIME for v in values]
+
+
+def test_report_with_performance_in_its_parts(spark):
+    """Performance joined once to the options gives the report that joining it to every part gives; the stored report is sorted without them."""
+    rows = [(s, a, f"{a}-{s}", p, f"tour {a}", float(10 + (7 * s + 3 * a + p) % 90), 20.0) for s in range(4) for a in range(5) for p in (1, 2)]
+    o = spark.createDataFrame(rows, "supplier_id long, activity_id long, option_id string, pricing_id int, option_title string, price_eur double, retail_eur double")
+    perf = spark.createDataFrame([(f"{a}-{s}", s, 10.0 * a) for s in range(3) for a in range(5)], "option_id string, bookings_l12m long, gmv_l12m double")
+    both = o.join(perf, "option_id", "left")
+    want = benchmarks.issue_report([benchmarks.within_parent_issues(o, perf), benchmarks.price_mismatch(o)], perf)
+    got = benchmarks.issue_report([benchmarks.within_parent_issues(both), benchmarks.price_mismatch(both)])
+    assert got.select(want.columns).collect() == want.collect() and want.count() > 40
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Join" not in plan
