@@ -1,13 +1,17 @@
 """The pipeline stage by stage against plain versions, and the queries against their SQL."""
 
+import tracemalloc
+
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import brute
 import corpus_pipeline as cp
 from souklens.functions.storage import materialise
-from souklens.llm import pii, queries
+from souklens.llm import bpe, pii, queries
+from souklens.llm import textbytes as tb
 
 ROOT = "/root/testdata/sf0.001"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -97,3 +101,31 @@ def test_texts_travel_once_to_be_cleaned(spark):
         node = node.children().apply(0)
     sent = node.children().apply(0).schema()
     assert [f.dataType().simpleString() for f in sent.fields()].count("string") == 1
+
+
+def test_tokenizer_tables_reach_the_workers_built():
+    with open(queries.tokenizer_file(), "rb") as f:
+        built = bpe.Bpe(f.read())
+    block = next(tb.blocks(pa.array(["One two two, <|endoftext|>'ll 日本 🙂", None, "", "  \n x1"])))
+    want = [x.tolist() for x in built.encode(block)]
+    data = built.packed()
+    tracemalloc.start()
+    try:
+        own = bpe.worker_bpe((b"key", data))
+        assert tracemalloc.get_traced_memory()[1] < 30e6  # 67 MB are needed to build them
+    finally:
+        tracemalloc.stop()
+    assert not own._known and own is bpe.worker_bpe((b"key", data))
+    assert [x.tolist() for x in own.encode(block)] == want
+    tb.give_back("another")
+    assert bpe.worker_bpe((b"key", data)) is not own
+
+
+def test_round_trip_takes_small_blocks(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "word %d é " % i * 30 if i % 7 else None) for i in range(200)], "doc_id long, text string")
+    rows = lambda: sorted(map(tuple, bpe.round_trip(docs, queries.tokenizer_file()).collect()))
+    want = rows()
+    assert len(want) == 200 and all(r[-1] for r in want)
+    assert bpe.ROUND_TRIP_BYTES < tb.BLOCK_BYTES
+    monkeypatch.setattr(bpe, "ROUND_TRIP_BYTES", 100)
+    assert rows() == want
