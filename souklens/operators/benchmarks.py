@@ -130,15 +130,39 @@ def _largest_gap() -> Column:
     return F.greatest(gap(low), gap(high))
 
 
-def similar_title_gap(options: DataFrame, prefix: int = TITLE_PREFIX) -> DataFrame:
+def similar_title_gap(options: DataFrame, prefix: int = TITLE_PREFIX, hot: int = HOT_PARENT) -> DataFrame:
     """Per option: largest relative price gap to another option of the same parent whose
     title starts with the same characters.
 
     The gap to any other price is largest at the lowest or the highest one, so each title
-    group only needs the two extreme options on either side; no pairs are formed.
+    group only needs the two extreme options on either side; no pairs are formed. Options without an
+    activity or a title are left out. Activities of up to ``hot`` options take one exchange of the columns that
+    are read; larger ones are joined with hot keys spread. Calling it costs the count of options by activity.
     """
+    t = F.substring("option_title", 1, prefix)
+    o = options.filter(F.col("activity_id").isNotNull() & t.isNotNull()).select("activity_id", "option_id", "pricing_id", "price_eur", t.alias("_t"))
+    large = _large_activities(o, hot)
+    if large.isEmpty():
+        return _title_gap_in_windows(o)
+    large = broadcast_if_small(large.withColumnRenamed("_large", "activity_id"))
+    return (_title_gap_in_windows(o.join(large, "activity_id", "left_anti"))
+            .unionByName(_title_gap_joined(materialise(o.join(large, "activity_id", "left_semi")))))
+
+
+def _title_gap_in_windows(o: DataFrame) -> DataFrame:
+    """Options dealt out by title group once and sorted once: the windows of an option lie inside those of its group."""
+    c, p, keys = F.col, F.col("price_eur"), ["activity_id", "_t"]
+    option, alike = Window.partitionBy(*keys, "option_id"), Window.partitionBy(*keys)
+    o = o.repartition(*keys).withColumns({"lo": F.min(p).over(option), "hi": F.max(p).over(option)})
+    o = o.withColumns({"lo1": F.min(F.struct("lo", "option_id")).over(alike), "hi1": F.max(F.struct("hi", "option_id")).over(alike)})
+    o = o.withColumns({"lo2": F.min(F.when(c("option_id") != c("lo1.option_id"), c("lo"))).over(alike),
+                       "hi2": F.max(F.when(c("option_id") != c("hi1.option_id"), c("hi"))).over(alike)})
+    return o.select("activity_id", "option_id", "pricing_id", _largest_gap().alias("similar_gap"))
+
+
+def _title_gap_joined(o: DataFrame) -> DataFrame:
+    """The same for title groups of any size."""
     keys = ["activity_id", "_t"]
-    o = options.withColumn("_t", F.substring("option_title", 1, prefix))
     per = o.groupBy(*keys, "option_id").agg(F.min("price_eur").alias("lo"), F.max("price_eur").alias("hi"))
     first = per.groupBy(*keys).agg(F.min(F.struct("lo", "option_id")).alias("lo1"), F.max(F.struct("hi", "option_id")).alias("hi1"),
                                    F.count(F.lit(1)).alias("n"))
@@ -182,7 +206,13 @@ def _parent_facts_joined(options: DataFrame) -> DataFrame:
     o = percent_rank_of(options, "price_eur", ["activity_id"], "pr", prepared=True)
     o = join_per_key(o, parent_stats(options), ["activity_id"], "parent_rows", ["option_id"])
     o = join_per_key(o, title_stats(options), ["activity_id", "option_title"], "title_rows", ["option_id"])
-    return o.join(similar_title_gap(options), ["activity_id", "option_id", "pricing_id"], "left")
+    alike = options.withColumn("_t", F.substring("option_title", 1, TITLE_PREFIX))
+    return o.join(_title_gap_joined(alike), ["activity_id", "option_id", "pricing_id"], "left")
+
+
+def _large_activities(options: DataFrame, hot: int) -> DataFrame:
+    """Activities of more than ``hot`` options, stored."""
+    return materialise(options.groupBy("activity_id").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot).select(F.col("activity_id").alias("_large")))
 
 
 PARENT_FACTS = ["pr", "num_options", "num_prices", "parent_min", "parent_max", "parent_avg", "price_cv", "spread_ratio",
@@ -196,7 +226,7 @@ def parent_facts(options: DataFrame, hot: int = HOT_PARENT) -> DataFrame:
     options / ``hot``), are stored and take the joined way. Calling it costs the count of
     options by activity.
     """
-    large = materialise(options.groupBy("activity_id").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot).select(F.col("activity_id").alias("_large")))
+    large = _large_activities(options, hot)
     wanted = [*options.columns, *PARENT_FACTS]
     if large.isEmpty():
         return _parent_facts_in_windows(options).select(*wanted)

@@ -20,10 +20,9 @@ from souklens.sources.tables import row_count
 AS_OF = fp.AS_OF
 
 
-@stage("options")
-def options(spark, root):
-    """Priced options with their EUR price, location, type, category and retail price."""
-    cfg = fp.configurations(spark, root, configs.retail_price().alias("retail"), configs.retail_kind().alias("retail_kind"))
+def priced_options(spark, root, by):
+    """Priced options with their EUR price, location, type, category and retail price; slots are dealt out ``by`` these keys."""
+    cfg = fp.configurations(spark, root, configs.retail_price().alias("retail"), configs.retail_kind().alias("retail_kind"), by=by)
     s = mp.suppliers(spark, root).select("supplier_id", F.col("country_name").alias("location"), F.when(F.col("nation_id") % 3 == 0, "EUR")
                                          .when(F.col("nation_id") % 3 == 1, "USD").otherwise("GBP").alias("currency"))
     # one row per currency
@@ -38,6 +37,12 @@ def options(spark, root):
         (F.col("retail") / rate).alias("retail_eur"), "retail_kind"))
 
 
+@stage("options")
+def options(spark, root):
+    """Priced options; they are not shuffled to be joined to activities."""
+    return priced_options(spark, root, fp.dealt_by(spark, root))
+
+
 OPT_SQL = sb.with_(sb.SUPPLIERS, fp.CFG_SQL, sb.FX) + """,
 opt AS (SELECT cfg.activity_id, cfg.supplier_id, cfg.activity_id || '-' || cfg.supplier_id AS option_id, pricing_id, p_name || ' ' || (cfg.supplier_id % 4) AS option_title,
    country_name AS location, p_type AS activity_type, p_brand AS category, from_price / coalesce(rate, 1) AS price_eur, retail / coalesce(rate, 1) AS retail_eur, retail_kind
