@@ -178,24 +178,24 @@ def _title_gap_joined(o: DataFrame) -> DataFrame:
 def _parent_facts_in_windows(options: DataFrame) -> DataFrame:
     """Rank, parent, title and similar-title facts as windows under one partitioning by activity.
 
-    Every window's keys begin with the activity, so one exchange serves them all; distinct
-    counts are the largest dense rank, less one if NULL is among the values. Options without an activity
-    or a title have no similar ones.
+    Every window's keys begin with the activity, so one exchange serves them all, and two orders do: by price in the activity,
+    and by prefix, title and price. Distinct prices are the largest dense rank, less one if NULL is among them; distinct ids
+    are the size of a set. Options without an activity or a title have no similar ones.
     """
     c, p, keys = F.col, F.col("price_eur"), ["activity_id"]
-    parent, title, alike = Window.partitionBy(*keys), Window.partitionBy(*keys, "option_title"), Window.partitionBy(*keys, "_t")
-    nulls = lambda col, w: F.max(flag(F.col(col).isNull())).over(w)
-    count = lambda rank, col, w: (F.max(rank).over(w) - nulls(col, w)).cast("long")
+    parent, title = Window.partitionBy(*keys), Window.partitionBy(*keys, "_t", "option_title")
+    # whole groups; the order is that of the titles inside them
+    alike = Window.partitionBy(*keys, "_t").orderBy("option_title", p).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    count = lambda rank, w: (F.max(rank).over(w) - F.max(flag(p.isNull())).over(w)).cast("long")
+    ids = lambda col, w: F.size(F.collect_set(col).over(w)).cast("long")
     mean, lowest, highest = F.avg(p).over(parent), F.min(p).over(parent), F.max(p).over(parent)
     o = options.withColumns({"pr": F.percent_rank().over(parent.orderBy(p)), "_dp": F.dense_rank().over(parent.orderBy(p))})
-    o = o.withColumns({"num_prices": count("_dp", "price_eur", parent), "parent_min": lowest, "parent_max": highest, "parent_avg": mean,
-                       "price_cv": F.coalesce(ratio(F.stddev_samp(p).over(parent), mean), F.lit(0.0)),
+    o = o.withColumns({"num_options": ids("option_id", parent), "num_prices": count("_dp", parent), "parent_min": lowest, "parent_max": highest,
+                       "parent_avg": mean, "price_cv": F.coalesce(ratio(F.stddev_samp(p).over(parent), mean), F.lit(0.0)),
                        "spread_ratio": F.coalesce(ratio(highest - lowest, lowest), F.lit(0.0))})
-    o = o.withColumn("_do", F.dense_rank().over(parent.orderBy("option_id"))).withColumn("num_options", count("_do", "option_id", parent))
-    o = o.withColumns({"_tp": F.dense_rank().over(title.orderBy(p))})
-    o = o.withColumns({"title_prices": count("_tp", "price_eur", title), "title_min": F.min(p).over(title), "title_max": F.max(p).over(title)})
-    o = o.withColumn("_tc", F.dense_rank().over(title.orderBy("pricing_id"))).withColumn("title_configs", count("_tc", "pricing_id", title))
-    o = o.withColumn("_t", F.substring("option_title", 1, TITLE_PREFIX))
+    o = o.withColumn("_t", F.substring("option_title", 1, TITLE_PREFIX)).withColumn("_tp", F.dense_rank().over(title.orderBy(p)))
+    o = o.withColumns({"title_prices": count("_tp", title), "title_configs": ids("pricing_id", title),
+                       "title_min": F.min(p).over(title), "title_max": F.max(p).over(title)})
     o = o.withColumns({"lo1": F.min(F.struct(p.alias("lo"), "option_id")).over(alike), "hi1": F.max(F.struct(p.alias("hi"), "option_id")).over(alike)})
     o = o.withColumns({"lo2": F.min(F.when(c("option_id") != c("lo1.option_id"), p)).over(alike), "hi2": F.max(F.when(c("option_id") != c("hi1.option_id"), p)).over(alike)})
     return o.withColumn("similar_gap", F.when(c("activity_id").isNotNull() & c("option_title").isNotNull(), _largest_gap()))
@@ -219,15 +219,17 @@ PARENT_FACTS = ["pr", "num_options", "num_prices", "parent_min", "parent_max", "
                 "title_configs", "title_prices", "title_min", "title_max", "similar_gap"]
 
 
-def parent_facts(options: DataFrame, hot: int = HOT_PARENT) -> DataFrame:
+def parent_facts(options: DataFrame, hot: int | None = HOT_PARENT) -> DataFrame:
     """Options with their facts inside the activity (``PARENT_FACTS``).
 
     Activities of up to ``hot`` options share one exchange; larger ones, at most (number of
     options / ``hot``), are stored and take the joined way. Calling it costs the count of
-    options by activity.
+    options by activity; ``hot`` is None if it is known that none is large. Options that are dealt out by activity stay where they are.
     """
-    large = _large_activities(options, hot)
     wanted = [*options.columns, *PARENT_FACTS]
+    if hot is None:
+        return _parent_facts_in_windows(options).select(*wanted)
+    large = _large_activities(options, hot)
     if large.isEmpty():
         return _parent_facts_in_windows(options).select(*wanted)
     same, large = F.col("activity_id").eqNullSafe(F.col("_large")), broadcast_if_small(large)
@@ -235,10 +237,11 @@ def parent_facts(options: DataFrame, hot: int = HOT_PARENT) -> DataFrame:
             .unionByName(_parent_facts_joined(materialise(options.join(large, same, "left_semi"))).select(*wanted)))
 
 
-def within_parent_issues(options: DataFrame, performance: DataFrame | None = None, hot: int = HOT_PARENT) -> DataFrame:
-    """Ordered sub-types of price problems inside one activity, with a severity ladder.
+def with_parent_issue(options: DataFrame, performance: DataFrame | None = None, hot: int | None = HOT_PARENT) -> DataFrame:
+    """Every option with its price problem inside the activity: ``parent_sub_type`` and ``parent_severity``, NULL if it has none.
 
-    ``performance`` has ``option_id`` and ``bookings_l12m``; without it ``options`` has the latter. See ``parent_facts`` for ``hot``.
+    Ordered sub-types with a severity ladder. ``performance`` has ``option_id`` and ``bookings_l12m``; without it ``options``
+    has the latter. See ``parent_facts`` for ``hot``.
     """
     o = parent_facts(options, hot)
     if performance is not None:
@@ -257,7 +260,18 @@ def within_parent_issues(options: DataFrame, performance: DataFrame | None = Non
     sev = (F.when(c("title_configs") >= 4, 10).when(c("title_configs") >= 3, 9).when(none & over(1.5), 10)
            .when(none & over(1.2), 9).when((n <= 5) & over(1.5), 8).when(sim(1.0), 9).when(sim(0.5), 8)
            .when(top(0.9, 1.0), 10).when(top(0.9, 0.5), 9).when(top(0.75, 1.0), 8).when(top(0.75, 0.5), 7).otherwise(5))
-    return o.filter(trigger).withColumns({"issue": F.lit("PARENT_VARIANCE"), "sub_type": sub, "severity": sev})
+    return o.withColumns({"parent_sub_type": F.when(trigger, sub), "parent_severity": F.when(trigger, sev)})
+
+
+def parent_issues(options: DataFrame) -> DataFrame:
+    """Of the options from ``with_parent_issue`` those with a problem, as issues."""
+    return options.filter("parent_severity IS NOT NULL").withColumns({
+        "issue": F.lit("PARENT_VARIANCE"), "sub_type": F.col("parent_sub_type"), "severity": F.col("parent_severity")}).drop("parent_sub_type", "parent_severity")
+
+
+def within_parent_issues(options: DataFrame, performance: DataFrame | None = None, hot: int = HOT_PARENT) -> DataFrame:
+    """Price problems inside one activity, one row per option that has one; see ``with_parent_issue``."""
+    return parent_issues(with_parent_issue(options, performance, hot))
 
 
 def price_mismatch(options: DataFrame, tolerance: float = 0.05) -> DataFrame:
@@ -279,11 +293,12 @@ def parent_variance_simple(options: DataFrame, min_spread: float = 0.3) -> DataF
 REPORT = ["issue", "sub_type", "severity", "supplier_id", "activity_id", "option_id", "pricing_id", "price_eur"]
 
 
-def issue_report(parts: list[DataFrame], performance: DataFrame | None = None) -> DataFrame:
+def issue_report(parts: list[DataFrame], performance: DataFrame | None = None, stored: bool = False) -> DataFrame:
     """All issues with performance attached, by issue, then by impact (missing counts as 0).
 
     Without ``performance`` the parts have ``gmv_l12m`` and ``bookings_l12m``. The report is stored before it is
-    sorted: a sort reads its input twice, the first time for the bounds of its ranges.
+    sorted, as a sort reads its input twice, the first time for the bounds of its ranges; not if its parts
+    are ``stored``, so that reading them again is cheap.
     """
     numbers = ["gmv_l12m", "bookings_l12m"]
     out = None
@@ -294,6 +309,6 @@ def issue_report(parts: list[DataFrame], performance: DataFrame | None = None) -
         out = p if out is None else out.unionByName(p)
     if performance is not None:
         out = out.join(performance.select("option_id", *numbers), "option_id", "left").select("option_id", *[c for c in REPORT if c != "option_id"], *numbers)
-    return materialise(out).orderBy(
+    return (out if stored else materialise(out)).orderBy(
         "issue", "sub_type", F.coalesce("gmv_l12m", F.lit(0.0)).desc(), F.coalesce("bookings_l12m", F.lit(0)).desc(),
         F.desc("severity"), "option_id", "pricing_id")

@@ -6,7 +6,7 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
-from souklens.functions.skew import broadcast_if_small
+from souklens.functions.skew import broadcast_if_small, placed_beside
 from souklens.functions.storage import materialise
 from souklens.operators import benchmarks as bm
 from souklens.operators import configs
@@ -160,18 +160,31 @@ wpi AS (SELECT 'PARENT_VARIANCE' AS issue, *,
      OR (n BETWEEN 1 AND 5 AND price_eur > parent_avg * 1.5) OR g > 0.3 OR (num_options > 1 AND spread_ratio > 0.5 AND pr >= 0.75))"""
 
 
-@stage("option_performance")
-def option_performance(spark, root):
-    """Options beside the performance of their listing, which has one row at most; both ids of an option are there."""
-    p = fp.performance(spark, root).select(*fp.KEYS, "bookings_l12m", "gmv_l12m")
-    return options(spark, root).join(p, fp.KEYS, "left")
+ISSUE_COLS = ["activity_id", "supplier_id", "option_id", "pricing_id", "location", "activity_type", "category", "price_eur", "retail_eur",
+              "bookings_l12m", "gmv_l12m", "parent_sub_type", "parent_severity"]
+
+
+@stage("option_issues")
+def option_issues(spark, root):
+    """Options with the performance of their listing, which has one row at most, and their issue inside the activity.
+
+    Slots and bookings are dealt out by activity once; options meet their performance and each other where they are. If an activity
+    has too many lines for that, options and performance are joined and stored first.
+    """
+    crowded = fp.crowded(spark, root, bm.HOT_PARENT)
+    by = fp.KEYS if crowded else ["activity_id"]
+    p = fp.performance(spark, root, by=by).select(*fp.KEYS, "bookings_l12m", "gmv_l12m")
+    if crowded:
+        o = bm.with_parent_issue(materialise(options(spark, root).join(p, fp.KEYS, "left")))
+    else:
+        o = bm.with_parent_issue(placed_beside(priced_options(spark, root, by), p, fp.KEYS), hot=None)
+    return o.select(*ISSUE_COLS)
 
 
 @query("within_parent_issues", "C37 W4 J13", doubles="price_eur:6",
        sql=OPT_SQL + OP_SQL + WPI_SQL + " SELECT issue, sub_type, severity, option_id, pricing_id, price_eur FROM wpi")
 def within_parent_issues(spark, root):
-    return bm.within_parent_issues(option_performance(spark, root)).select(
-        "issue", "sub_type", "severity", "option_id", "pricing_id", "price_eur")
+    return bm.parent_issues(option_issues(spark, root)).select("issue", "sub_type", "severity", "option_id", "pricing_id", "price_eur")
 
 
 PM_SQL = """, pm AS (SELECT 'PRICE_MISMATCH' AS issue, *, CASE WHEN price_eur > retail_eur * 1.05 THEN 10 ELSE 8 END AS severity,
@@ -192,7 +205,7 @@ iss AS (SELECT issue, NULL AS sub_type, severity, supplier_id, activity_id, opti
   UNION ALL SELECT issue, sub_type, severity, supplier_id, activity_id, option_id, pricing_id, price_eur FROM pm)
 SELECT iss.*, gmv_l12m, bookings_l12m FROM iss LEFT JOIN op USING (option_id)""")
 def issue_report(spark, root):
-    o = option_performance(spark, root)
+    o = option_issues(spark, root)
     ob = bm.attach_benchmarks(o, materialise(bm.hierarchical_benchmarks(o, bm.LEVELS)), bm.LEVELS)
     columns = ["option_id", *[c for c in bm.REPORT if c != "option_id"], "gmv_l12m", "bookings_l12m"]
-    return bm.issue_report([bm.price_outliers(ob, ORDER), bm.within_parent_issues(o), bm.price_mismatch(o)]).select(*columns)
+    return bm.issue_report([bm.price_outliers(ob, ORDER), bm.parent_issues(o), bm.price_mismatch(o)], stored=True).select(*columns)
